@@ -6,6 +6,7 @@ import os
 import tempfile
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -17,14 +18,22 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """The checkpoint folder, which all executors share: spark.checkpoint.dir, or where that is unset (tests) a local one."""
+    context = spark.sparkContext
+    found = context._jsc.sc().getCheckpointDir()
+    if not found.isDefined():
+        context.setCheckpointDir(context.getConf().get("spark.checkpoint.dir") or os.path.join(tempfile.gettempdir(), "tidemark-checkpoints"))
+        found = context._jsc.sc().getCheckpointDir()
+    return found.get()
+
+
 def cut(df: DataFrame) -> DataFrame:
     """df, written to the shared checkpoint folder: later steps don't recompute it and lost executors don't lose it.
 
-    The folder is the session's spark.checkpoint.dir; only where that is unset (tests) is a local one made.
+    The folder is the session's spark.checkpoint.dir; see shared_folder.
     """
-    context = df.sparkSession.sparkContext
-    if not context.getConf().get("spark.checkpoint.dir") and not context._jsc.sc().getCheckpointDir().isDefined():
-        context.setCheckpointDir(os.path.join(tempfile.gettempdir(), "tidemark-checkpoints"))
+    shared_folder(df.sparkSession)
     return df.checkpoint(eager=True)
 
 
@@ -46,3 +55,18 @@ def map_texts(
 
     rows = df.select(*[F.col(c) for c in columns], F.col(text).alias("text"))
     return rows.mapInArrow(run, schema)
+
+
+def filter_texts(df: DataFrame, keep: Callable[[list[bytes]], np.ndarray], text: str = "text") -> DataFrame:
+    """The rows of df whose text (UTF-8, null: empty) keep() marks, with all columns as they are."""
+    names = [f"c{i}" for i in range(len(df.columns))]  # the caller's own names may clash
+    at = df.columns.index(text)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts = [b"" if t is None else t for t in batch.column(at).cast(pa.large_binary()).to_pylist()]
+            for part in chunks([len(t) + 64 for t in texts]):
+                yield batch.slice(part.start, part.stop - part.start).filter(pa.array(keep(texts[part]), pa.bool_()))
+
+    rows = df.toDF(*names)
+    return rows.mapInArrow(run, rows.schema).toDF(*df.columns)

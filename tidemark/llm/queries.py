@@ -7,10 +7,18 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from tidemark.llm.chat import op9_chat_formatting
+from tidemark.llm.decontaminate import op5_decontamination
+from tidemark.llm.packing import op2_best_fit_packing
 from tidemark.llm.pii import op10_pii
+from tidemark.llm.quality_model import op6_quality_classifier
 from tidemark.llm.quality_rules import op8_quality_rules
+from tidemark.llm.warc import op7_warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op2_best_fit_packing": op2_best_fit_packing,
+    "op5_decontamination": op5_decontamination,
+    "op6_quality_classifier": op6_quality_classifier,
+    "op7_warc": op7_warc,
     "op8_quality_rules": op8_quality_rules,
     "op9_chat_formatting": op9_chat_formatting,
     "op10_pii": op10_pii,

@@ -23,6 +23,10 @@ _IS_SPACE[[9, 10, 11, 12, 13, 32]] = True
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 
+#: Lower-cases and takes ASCII punctuation and controls as space: for matches that should survive reformatting.
+PLAIN = _LOWER.copy()
+PLAIN[[b for b in range(128) if not chr(b).isalnum()]] = 32
+
 
 def mix(h: np.ndarray) -> np.ndarray:
     """The splitmix64 finaliser: spreads every bit of h over the whole word."""
@@ -69,13 +73,14 @@ class Words:
 
     __slots__ = ("at", "end", "hash", "start")
 
-    def __init__(self, texts: list[bytes], lower: bool = False) -> None:
+    def __init__(self, texts: list[bytes], lower: bool = False, fold: np.ndarray | None = None) -> None:
+        """lower: A-Z count as a-z. fold: what each byte counts as, in place of that."""
         sizes = np.fromiter((len(t) + 1 for t in texts), np.int64, len(texts))
         first = np.concatenate([[0], np.cumsum(sizes)])
         data = b"\n".join(texts) + b"\n"
         buf = np.frombuffer(data, np.uint8)
-        if lower:
-            buf = _LOWER[buf]
+        if lower or fold is not None:
+            buf = (_LOWER if fold is None else fold)[buf]
         hashes, starts, ends, lo = [], [], [], 0
         while lo < len(buf):
             hi = min(len(buf), lo + PIECE)
