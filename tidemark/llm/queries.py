@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from tidemark.llm.chat import op9_chat_formatting
 from tidemark.llm.decontaminate import op5_decontamination
+from tidemark.llm.jaccard_join import op4_jaccard_join
 from tidemark.llm.packing import op2_best_fit_packing
 from tidemark.llm.pii import op10_pii
 from tidemark.llm.quality_model import op6_quality_classifier
@@ -16,6 +17,7 @@ from tidemark.llm.warc import op7_warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_best_fit_packing": op2_best_fit_packing,
+    "op4_jaccard_join": op4_jaccard_join,
     "op5_decontamination": op5_decontamination,
     "op6_quality_classifier": op6_quality_classifier,
     "op7_warc": op7_warc,
