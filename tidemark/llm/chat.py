@@ -73,6 +73,7 @@ def best_paths(messages: DataFrame) -> DataFrame:
     rank = F.struct((F.col("total") / F.col("steps")).alias("mean"), F.col("steps"), (-F.col("msg_id")).alias("first"))
     path = leaves.groupBy("tree_id").agg(F.max_by("msg_id", rank).alias("msg_id")).select("msg_id")
     for jump in jumps[:-1]:  # each distance up the path is one sum of powers of two, so no node comes twice
+        path = cut(path)
         path = path.unionByName(path.join(jump.where("anc IS NOT NULL").select("msg_id", "anc"), "msg_id").select(F.col("anc").alias("msg_id")))
     return path.join(done, "msg_id").select("tree_id", "msg_id", (F.col("steps") - 1).alias("depth"))
 
