@@ -8,9 +8,9 @@ revisits that refer to it.
 Reading. Files are split at the magic ``WARC/1.1``, which payloads may hold too, so a fragment is only a
 candidate record. A running sum of fragment lengths within splits and of split lengths within
 a file gives each candidate's offset; its header gives its length and thus its successor's offset.
-Pointer jumping from offset 0 keeps the candidates that the chain reaches: in round k the reached
-ones are joined with pointers 2^k records long, so a file of n records takes log2 n rounds. Magic
-inside a payload is never reached; the fragments up to the next reached record are its payload.
+Pointer jumping from offset 0 keeps the candidates that the chain reaches: tasks jump pointers to where
+they leave a split, and in round k the entered splits are joined with pointers 2^k splits long, so
+a file of n splits takes log2 n rounds. Magic inside a payload is never reached; the fragments up to the next reached record are its payload.
 Tables of offsets and headers go through the joins, payload bytes only where a record has to be put together.
 
 Defined cases: a null payload counts as empty; null or odd URLs are kept with control characters
@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import cut, shared_folder, table
+from tidemark.llm.common import cut, shared_folder, stored, table
 
 MAGIC = "WARC/1.1\r\n"
 CLOSE = "\r\n\r\n"
@@ -55,6 +55,7 @@ def records(pages: DataFrame, least: int = LEAST) -> DataFrame:
         .where("n > 1")
         .select(F.col("digest").alias("d"), F.col("bytes").alias("b"), "first_id")
     )
+    last = stored(last)  # its size is known from here on, so payloads are shuffled only if it is too large to broadcast
     body = body.join(last, (F.col("digest") == F.col("d")) & (F.col("bytes") == F.col("b")), "left")
     again = F.col("first_id").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("first_id"))
     url = F.regexp_replace(F.regexp_replace(F.coalesce("url", F.lit("")), "%", "%25"), r"[\x00-\x20\x7F]", "%20")
@@ -136,25 +137,54 @@ def candidates(spark: SparkSession, path: str) -> DataFrame:
     return rows.withColumn("next", F.col("start") + len(MAGIC) + F.col("head") + F.col("length") + len(CLOSE))
 
 
+def _exits(group: pa.Table) -> pa.Table:
+    """Where the chain from each candidate of a split leaves the split: pointers jumped from the last candidate back."""
+    start, after = (group.column(c).to_pylist() for c in ("start", "next"))
+    leaves: dict[int, int] = {}
+    for i in sorted(range(len(start)), key=lambda i: -start[i]):
+        if after[i] is not None:
+            leaves[start[i]] = leaves.get(after[i], after[i])
+    return pa.table({"file": pa.array(group.column("file").to_pylist()[:1] * len(leaves), pa.string()), "start": pa.array(leaves, pa.int64()), "next": pa.array(leaves.values(), pa.int64())})
+
+
+def _on_chain(group: pa.Table) -> pa.Table:
+    """The candidates of a split that the chain from its entered one meets."""
+    after = dict(zip(group.column("start").to_pylist(), group.column("next").to_pylist(), strict=True))
+    met = []
+    for at, entered in zip(group.column("start").to_pylist(), group.column("entered").to_pylist(), strict=True):
+        while entered and at in after:
+            met.append(at)
+            at = after.pop(at)
+    return pa.table({"file": pa.array(group.column("file").to_pylist()[:1] * len(met), pa.string()), "start": pa.array(met, pa.int64())})
+
+
 def reached(pointers: DataFrame) -> DataFrame:
-    """The (file, start) of the records on each file's chain from offset 0; pointers: file, start, next."""
+    """The (file, start) of the records on each file's chain from offset 0; pointers: file, split, start, next.
+
+    Inside a split (of bounded size) a task jumps each candidate's pointer to where its chain leaves the
+    split. From there pointers double in joins until the chain's entry into each split is known, then
+    each split follows its chain.
+    """
+    pointers = pointers.select("file", "split", "start", "next")
     known = cut(pointers.where("start = 0").select("file", "start"))
-    jump = cut(pointers.where("next IS NOT NULL").select("file", "start", "next"))
+    jump = cut(pointers.groupBy("file", "split").applyInArrow(_exits, "file string, start long, next long"))
     places = pointers.select("file", "start")
     while True:
         hop = known.join(jump, ["file", "start"]).select("file", F.col("next").alias("start"))
         more = cut(hop.join(places, ["file", "start"], "left_semi"))
         if not more.limit(1).count():
-            return known
+            break
         known = cut(known.unionByName(more))
         then = jump.select("file", F.col("start").alias("next"), F.col("next").alias("far"))
         jump = cut(jump.join(then, ["file", "next"]).select("file", "start", F.col("far").alias("next")))
+    entered = pointers.join(known.withColumn("entered", F.lit(True)), ["file", "start"], "left").withColumn("entered", F.coalesce("entered", F.lit(False)))
+    return entered.groupBy("file", "split").applyInArrow(_on_chain, "file string, start long")
 
 
 def read_warc(spark: SparkSession, path: str, payloads: bool = True) -> DataFrame:
     """header, payload_bytes and payload_digest (SHA-1, hex) of each record of the files in path; payloads: the payload too."""
     rows = cut(candidates(spark, path))
-    real = reached(rows.select("file", "start", "next")).withColumn("real", F.lit(True))
+    real = reached(rows).withColumn("real", F.lit(True))
     marked = rows.join(real, ["file", "start"], "left")
     owner = F.max(F.when(F.col("real"), F.col("start"))).over(Window.partitionBy("file").orderBy("start"))
     # a record with magic in its payload lies in several fragments; the first one tells its owner's length
