@@ -57,13 +57,13 @@ def needed(n, num: int, den: int):
 
 
 def set_sizes(docs: DataFrame, k: int) -> DataFrame:
-    """doc_id, n (set size) and cls (digest of the set) of every row."""
+    """doc_id, key (hash of the text), n (set size) and cls (digest of the set) of every row."""
 
     def work(batch: pa.RecordBatch, texts: list[bytes]) -> Iterator[dict[str, pa.Array]]:
         sets = _sets(texts, k)
-        yield {"doc_id": batch.column(0), "n": pa.array([len(s) for s in sets], pa.int64()), "cls": pa.array([_class_of(s) for s in sets], pa.binary())}
+        yield {"doc_id": batch.column(0), "key": batch.column(1), "n": pa.array([len(s) for s in sets], pa.int64()), "cls": pa.array([_class_of(s) for s in sets], pa.binary())}
 
-    return map_texts(docs, ["doc_id"], "doc_id long, n long, cls binary", work)
+    return map_texts(docs.select("doc_id", F.xxhash64("text").alias("key"), "text"), ["doc_id", "key"], "doc_id long, key long, n long, cls binary", work)
 
 
 def _pack(sets: list[np.ndarray], keys: list[bytes], ranges: int) -> Iterator[dict]:
@@ -351,27 +351,41 @@ def class_links(docs: DataFrame, classes: DataFrame, members: DataFrame, k: int,
     return rows.groupBy("shard", "whole", "i", "j").applyInArrow(lambda group: _block_links(group, num, den), "a binary, b binary")
 
 
-def jaccard_components(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100) -> DataFrame:
-    """doc_id, n_shingles and component_id (smallest doc_id that links reach, itself included) of every row."""
+def components_of(docs: DataFrame, k: int, num: int, den: int) -> DataFrame:
+    """doc_id, key, n, component (a class of it; null for empty sets) and component_id of every row."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").alias("text"))
     rows = cut(set_sizes(docs, k))
-    classes = cut(rows.where("n > 0").groupBy("cls").agg(F.min("doc_id").alias("rep"), F.max("n").alias("n"), F.count("*").alias("copies")))
+    classes = cut(rows.where("n > 0").groupBy("cls").agg(F.min("doc_id").alias("rep"), F.max("n").alias("n")))
     total = classes.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
     links = class_links(docs, classes, blocks(docs, k, num, den, total), k, num, den)
     found = components(links)
     own = classes.join(found, F.col("cls") == F.col("node"), "left").select("cls", "rep", F.coalesce("component", "cls").alias("component"))
     least = own.groupBy("component").agg(F.min("rep").alias("component_id"))
-    # only classes of more than one document, copies or links, need a look-up
-    ids = own.join(least, "component").select("cls", "component_id")
-    out = rows.join(ids, "cls", "left")
+    ids = own.join(least, "component").select("cls", "component", "component_id")
+    return rows.join(ids, "cls", "left").drop("cls")
+
+
+def jaccard_components(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100) -> DataFrame:
+    """doc_id, n_shingles and component_id (smallest doc_id that links reach, itself included) of every row."""
+    out = components_of(docs, k, num, den)
     return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
 
 
 def one_of_each(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100) -> DataFrame:
-    """One document of each component, the one with the smallest id, with all columns as they are; rows without words stay."""
-    found = jaccard_components(docs, k, num, den).where("n_shingles > 0 AND component_id <> doc_id").select(F.col("doc_id").alias("__gone")).distinct()
-    kept = docs.join(found, F.col("doc_id").cast("long") == F.col("__gone"), "left_anti")
-    return kept
+    """One row of each component, the one with the smallest doc_id (nulls first), with all columns as they are; rows without words stay."""
+    names = [f"c{i}" for i in range(len(docs.columns))]  # the caller's own names may clash
+    doc_id, text = (F.col(names[docs.columns.index(c)]) for c in ("doc_id", "text"))
+    found = cut(components_of(docs, k, num, den).where("n > 0").select("component", F.col("doc_id").alias("id"), "key"))
+    first = found.groupBy("component").agg(F.min(F.struct("id", "key")).alias("first"))
+    # of rows in found, only a component's first stays; rows repeated in full are told apart below
+    gone = found.join(first, "component").where(~F.struct("id", "key").eqNullSafe(F.col("first"))).select("id", "key").distinct()
+    same = doc_id.cast("long").eqNullSafe(F.col("id")) & (F.xxhash64(text) == F.col("key"))
+    kept = docs.toDF(*names).join(gone, same, "left_anti")
+    twice = cut(found.groupBy("id", "key").count().where("count > 1").join(gone.withColumnsRenamed({"id": "i", "key": "k"}), F.col("id").eqNullSafe(F.col("i")) & (F.col("key") == F.col("k")), "left_anti"))
+    if twice.limit(1).count():
+        many = kept.join(twice.select("id", "key"), same, "left_semi").withColumn("key", F.xxhash64(text))
+        kept = kept.join(twice.select("id", "key"), same, "left_anti").unionByName(many.dropDuplicates([names[docs.columns.index("doc_id")], "key"]).drop("key"))
+    return kept.toDF(*docs.columns)
 
 
 def op4_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
