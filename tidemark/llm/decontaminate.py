@@ -3,9 +3,9 @@
 A mask is a fixed set of word positions; a seed is the hash of the words at those positions,
 whatever stands at the others. The two masks of MASKS together hit every window of 13 words with
 at most two substitutions. Seeds of benchmark items are looked up among the seeds of every
-position of every text; a hit fixes an item and an alignment, and along it the best-scoring run
-of words (match +1, substitution -4, so a run of nothing but gains has four fifths equal) is the overlap. An overlap of MIN_WORDS words, or of the whole item if that is
-shorter, with four fifths of its words equal is a leak.
+position of every text; a hit fixes an item and an alignment, and along it the longest run with
+four fifths of its words equal is the overlap. An overlap of MIN_WORDS words, or of the whole item
+if that is shorter, is a leak.
 
 Words are compared in lower case, with ASCII punctuation as space. The benchmark goes to the
 executors in blocks of at most BLOCK_BYTES of text each, one pass over the texts for each block,
@@ -90,7 +90,7 @@ class Index:
             own = self.words[item]
             lo, hi = max(at, w.at[text]), min(at + len(own), w.at[text + 1])
             same = w.hash[lo:hi] == own[lo - at : hi - at]
-            first, last = best_run(same)
+            first, last = longest_run(same)
             equal = int(same[first:last].sum())
             if last - first >= min(MIN_WORDS, len(own)) and 5 * equal >= 4 * (last - first):
                 new = (equal, int(-(lo + first - w.at[text])), int(last - first))
@@ -99,12 +99,14 @@ class Index:
             yield text, int(self.ids[item]), -start, n, equal
 
 
-def best_run(same: np.ndarray) -> tuple[int, int]:
-    """The bounds of the run with the largest score, 1 for a match and -4 for a substitution."""
-    total = np.concatenate([[0], np.cumsum(np.where(same, 1, -4))])
-    low = np.minimum.accumulate(total)
-    end = int(np.argmax(total - low))
-    return int(np.flatnonzero(total[: end + 1] == low[end])[-1]), end
+def longest_run(same: np.ndarray) -> tuple[int, int]:
+    """The bounds of the longest run with four fifths of it equal, from its first match to its last."""
+    total = np.concatenate([[0], np.cumsum(np.where(same, 1, -4))])  # a run is good if this does not fall over it
+    first = np.searchsorted(-np.minimum.accumulate(total), -total, side="left")
+    end = int(np.argmax(np.arange(len(total)) - first))
+    start = int(first[end])
+    hits = np.flatnonzero(same[start:end])
+    return (start + int(hits[0]), start + int(hits[-1]) + 1) if len(hits) else (0, 0)
 
 
 def blocks(benchmark: DataFrame) -> Iterator[Index]:
