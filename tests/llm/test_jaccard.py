@@ -55,9 +55,10 @@ def corpus(rng, n):
     return rows + [(n, None), (n + 1, ""), (n + 2, " \t\n"), (n + 3, "one"), (n + 4, "ONE"), (n + 5, "one two"), (n + 5, "one two"), (None, rows[0][1]), (n + 6, "z" * 3_000_000)]
 
 
-@pytest.mark.parametrize(("k", "num", "size"), [(4, 85, 2048), (5, 80, 16)])
-def test_against_brute_force(spark, monkeypatch, k, num, size):
+@pytest.mark.parametrize(("k", "num", "size", "hot"), [(4, 85, 2048, 200_000), (5, 80, 16, 200_000), (4, 85, 2048, 5), (5, 80, 2048, 12)])
+def test_against_brute_force(spark, monkeypatch, k, num, size, hot):
     monkeypatch.setattr(jaccard_join, "BLOCK", size)  # small: blocks are split and parts meet
+    monkeypatch.setattr(jaccard_join, "HOT", hot)  # small: most shingles that repeat are hot
     rows = corpus(np.random.default_rng(k), 150)
     docs = spark.createDataFrame([(i, t, 0, "x") for i, t in rows], "doc_id long, text string, component_id int, cls string")
     got = sorted((tuple(r) for r in jaccard_join.jaccard_components(docs, k, num, 100).collect()), key=repr)
@@ -99,3 +100,15 @@ def test_empty_table(spark):
 def test_components_of_a_long_path(spark):
     edges = spark.createDataFrame([(i, i + 1) for i in range(200)] + [(500, 501), (7, 7)], "a long, b long")
     assert {r.node: r.component for r in components(edges).collect()} == {i: 0 for i in range(201)} | {500: 500, 501: 500}
+
+
+def test_hot_shingles_are_found(spark, monkeypatch):
+    monkeypatch.setattr(jaccard_join, "HOT", 8)
+    docs = spark.createDataFrame([(i, f"a b c d e f g h x{i} y{i} z{i}") for i in range(12)], "doc_id long, text string").coalesce(1)
+    rows = jaccard_join.set_sizes(docs, 4)
+    hot = jaccard_join.hot_shingles(rows.where("common IS NOT NULL").select("common"), 100)
+    assert len(hot) == 5
+    packed = jaccard_join.packed_tokens(docs, 4, 8, hot, 50, 100).collect()
+    assert sum(np.frombuffer(r.counts, np.uint32).sum() for r in packed if r.range < 0) == 12 * 5
+    assert {r.component_id for r in jaccard_join.jaccard_components(docs, 4, 45, 100).collect()} == {0}
+    assert len({r.component_id for r in jaccard_join.jaccard_components(docs, 4, 50, 100).collect()}) == 12

@@ -10,7 +10,8 @@ found or is implied by links that are.
    shingles, a class with fewer shared ones than that links with nothing. Of the others, the rarest
    shingles up to and including the first one that no link can miss are keys; linked classes have a key
    in common, so classes joined by keys, directly or through others, form a block. Shingles
-   travel as packed arrays, by ranges of their hash, so counting them costs a few bytes each.
+   travel as packed arrays, by ranges of their hash, so counting them costs a few bytes each. Hot
+   shingles, which HOT or more classes hold, come last in the order and are not sent about at all: a class tells how many it has.
 3. Signature trees. A block's classes are the leaves of a tree whose nodes hold the OR of the token
    bitmaps beneath, and their size range. A dual traversal descends pairs of nodes and drops
    those whose largest possible overlap (common bits, plus what hash folding may hide) is below what their smallest
@@ -37,6 +38,10 @@ from tidemark.llm.components import components
 from tidemark.llm.tokens import Words, shingle_sets
 
 RANGE_TOKENS = 5_000_000
+#: A shingle that this many classes hold (counting those of batches in which LOCAL or more do) is hot; more are needed where that would give over HOT_MOST.
+HOT = 200_000
+HOT_MOST = 1_000_000
+LOCAL = 4
 BLOCK = 2048
 BLOCK_TOKENS = 3_000_000
 FILTER_BITS = 1 << 24
@@ -57,17 +62,38 @@ def needed(n, num: int, den: int):
 
 
 def set_sizes(docs: DataFrame, k: int) -> DataFrame:
-    """doc_id, key (hash of the text), n (set size) and cls (digest of the set) of every row."""
+    """doc_id, key (hash of the text), n (set size) and cls (digest of the set) of every row.
+
+    common, in one row of each batch: the shingles that LOCAL or more classes of it hold, and how many do.
+    """
 
     def work(batch: pa.RecordBatch, texts: list[bytes]) -> Iterator[dict[str, pa.Array]]:
         sets = _sets(texts, k)
-        yield {"doc_id": batch.column(0), "key": batch.column(1), "n": pa.array([len(s) for s in sets], pa.int64()), "cls": pa.array([_class_of(s) for s in sets], pa.binary())}
+        every = np.concatenate(list({_class_of(s): s for s in sets}.values()))
+        token, count = np.unique(every, return_counts=True)
+        token, count = token[count >= LOCAL], count[count >= LOCAL]
+        common = [np.concatenate([token, count.astype(_U)]).tobytes()] + [None] * (len(texts) - 1)
+        yield {"doc_id": batch.column(0), "key": batch.column(1), "n": pa.array([len(s) for s in sets], pa.int64()), "cls": pa.array([_class_of(s) for s in sets], pa.binary()), "common": pa.array(common, pa.binary())}
+
+    return map_texts(docs.select("doc_id", F.xxhash64("text").alias("key"), "text"), ["doc_id", "key"], "doc_id long, key long, n long, cls binary, common binary", work)
+
+
+def hot_shingles(common: DataFrame, total: int) -> np.ndarray:
+    """The shingles that very many classes hold, sorted: at most HOT_MOST, since each stands for a millionth of all shingles at least."""
 
-    return map_texts(docs.select("doc_id", F.xxhash64("text").alias("key"), "text"), ["doc_id", "key"], "doc_id long, key long, n long, cls binary", work)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for both in batch.column(0).to_pylist():
+                token, count = np.frombuffer(both, np.int64).reshape(2, -1)
+                yield pa.RecordBatch.from_pydict({"token": pa.array(token), "c": pa.array(count)})
 
+    counted = common.mapInArrow(run, "token long, c long").groupBy("token").agg(F.sum("c").alias("c"))
+    found = counted.where(F.col("c") >= max(HOT, total // HOT_MOST)).select("token").toArrow()
+    return np.sort(np.asarray(found.column(0).to_numpy(), np.int64).view(_U))
 
-def _pack(sets: list[np.ndarray], keys: list[bytes], ranges: int) -> Iterator[dict]:
-    """The tokens of sets by range of their hash: classes, sizes, how many of each, and their low 32 bits."""
+
+def _pack(sets: list[np.ndarray], full: np.ndarray, keys: list[bytes], ranges: int) -> Iterator[dict]:
+    """The tokens of sets by range of their hash: classes, full sizes, how many of each, and their low 32 bits."""
     sizes = np.array([len(s) for s in sets], np.int64)
     own = np.repeat(np.arange(len(sets)), sizes)
     tokens = np.concatenate(sets)
@@ -82,7 +108,7 @@ def _pack(sets: list[np.ndarray], keys: list[bytes], ranges: int) -> Iterator[di
             yield {
                 "range": r,
                 "classes": b"".join(keys[i] for i in here),
-                "sizes": sizes[here].astype(np.uint32).tobytes(),
+                "sizes": full[here].astype(np.uint32).tobytes(),
                 "counts": count.astype(np.uint32).tobytes(),
                 "tokens": low[lo:hi].tobytes(),
             }
@@ -91,24 +117,49 @@ def _pack(sets: list[np.ndarray], keys: list[bytes], ranges: int) -> Iterator[di
 _PACKED = "range long, classes binary, sizes binary, counts binary, tokens binary"
 
 
-def packed_tokens(docs: DataFrame, k: int, ranges: int) -> DataFrame:
+def packed_tokens(docs: DataFrame, k: int, ranges: int, hot: np.ndarray, num: int, den: int) -> DataFrame:
+    """The shingles of all classes, packed by range. Hot ones stay behind: a class's row in range -1-shard tells
+    how many it holds, and the smallest of them as far as they can be keys.
+    """
+    sent = docs.sparkSession.sparkContext.broadcast(hot)
+
     def work(batch: pa.RecordBatch, texts: list[bytes]) -> Iterator[dict[str, pa.Array]]:
         own = {}
         for s in _sets(texts, k):
             if len(s):
                 own.setdefault(_class_of(s), s)  # copies here count once already
-        for row in _pack(list(own.values()), list(own), ranges) if own else ():
+        if not own:
+            return
+        names, sets = list(own), list(own.values())
+        warm = [s[np.isin(s, sent.value)] for s in sets] if len(sent.value) else []
+        sizes = np.array([len(s) for s in sets])
+        cold = [s[~np.isin(s, h)] if len(h) else s for s, h in zip(sets, warm, strict=True)] if warm else sets
+        for row in _pack(cold, sizes, names, ranges):
             yield {c: pa.array([v]) for c, v in row.items()}
+        for name, h, n in zip(names, warm, sizes.tolist(), strict=False):
+            if len(h):
+                row = (-1 - _shard(np.frombuffer(name, "V16"), ranges)[0], name, np.uint32(n).tobytes(), np.uint32(len(h)).tobytes(), h[: n - needed(n, num, den) + 1].tobytes())
+                yield {c: pa.array([v]) for c, v in zip(("range", "classes", "sizes", "counts", "tokens"), row, strict=True)}
 
     return map_texts(docs, [], _PACKED, work)
 
 
+def _shard(classes: np.ndarray, shards: int) -> np.ndarray:
+    return (classes.view("<u8").reshape(-1, 2)[:, 0] % _U(shards)).astype(np.int64)
+
+
 def _array(column: pa.ChunkedArray, kind) -> np.ndarray:
-    return np.concatenate([np.frombuffer(x, kind) for x in column.to_pylist()])
+    return np.frombuffer(b"".join(column.to_pylist()), kind)
 
 
 def _shared(key: tuple, group: pa.Table, shards: int) -> pa.Table:
     """The shared tokens of one range, by class: packed as before, with each token's class count, by shard of the class."""
+    if key[0].as_py() < 0:  # hot shingles go on as they are, a row for each class
+        names = group.column("classes").to_pylist()
+        rows = group.take(pa.array(sorted({name: i for i, name in enumerate(names)}.values())))
+        n = len(rows)
+        extra = {"shard": pa.array([-1 - key[0].as_py()] * n, pa.int64()), "range": pa.array([-1] * n, pa.int64()), "dfs": pa.array([b""] * n, pa.binary())}
+        return pa.table({c: extra.get(c, rows.column(c) if c in rows.column_names else None) for c in _SHARED.names})
     classes = _array(group.column("classes"), "V16")
     counts, sizes = _array(group.column("counts"), np.uint32), _array(group.column("sizes"), np.uint32)
     _, first = np.unique(classes.view([("a", "<u8"), ("b", "<u8")]), return_index=True)
@@ -123,7 +174,7 @@ def _shared(key: tuple, group: pa.Table, shards: int) -> pa.Table:
     df = np.repeat(np.diff(edge), np.diff(edge))
     both, df = both[df > 1], df[df > 1].astype(np.uint32)
     token, own = (both >> _U(32)).astype(np.uint32), (both & _U(0xFFFFFFFF)).astype(np.int64)
-    shard = (classes.view("<u8").reshape(-1, 2)[:, 0] % _U(shards)).astype(np.int64)
+    shard = _shard(classes, shards)
     order = np.lexsort((own, shard[own]))
     token, own, df = token[order], own[order], df[order]
     cuts = np.searchsorted(shard[own], np.arange(shards + 1))
@@ -150,18 +201,26 @@ _SHARED = pa.schema([("shard", pa.int64()), ("range", pa.int64()), *((c, pa.bina
 
 
 def _keys(group: pa.Table, num: int, den: int) -> pa.Table:
-    """(cls, token) of the keys of the classes of one shard."""
+    """(cls, token) of the keys of the classes of one shard: shared shingles by class count and id, then hot ones by id."""
+    pairs = [("a", "<u8"), ("b", "<u8")]
+    warm = np.asarray(group.column("range").to_numpy(), np.int64) < 0
+    hot, group = group.filter(pa.array(warm)), group.filter(pa.array(~warm))
     counts = _array(group.column("counts"), np.uint32)
-    classes = _array(group.column("classes"), "V16").view([("a", "<u8"), ("b", "<u8")])
-    sizes = _array(group.column("sizes"), np.uint32).astype(np.int64)
+    classes = np.concatenate([_array(group.column("classes"), "V16"), _array(hot.column("classes"), "V16")]).view(pairs)
+    sizes = np.concatenate([_array(group.column("sizes"), np.uint32), _array(hot.column("sizes"), np.uint32)]).astype(np.int64)
     names, first, at = np.unique(classes, return_index=True, return_inverse=True)
-    n = sizes[first]
-    own = np.repeat(at.ravel(), counts)
+    n, at = sizes[first], at.ravel()
+    own = np.repeat(at[: len(counts)], counts)
     rows = np.repeat(np.asarray(group.column("range").to_numpy(), np.int64), [len(x) // 4 for x in group.column("tokens").to_pylist()])
     token = (rows << 32) | _array(group.column("tokens"), np.uint32).astype(np.int64)
-    df = _array(group.column("dfs"), np.uint32)
-    shared = np.bincount(own, minlength=len(n))
-    keys = shared - needed(n, num, den) + 1  # the rarest of the shared; classes below 1 have too few
+    df = _array(group.column("dfs"), np.uint32).astype(np.int64)
+    held = np.bincount(at[len(counts) :], _array(hot.column("counts"), np.uint32), minlength=len(n)).astype(np.int64)
+    listed = [len(x) // 8 for x in hot.column("tokens").to_pylist()]
+    own = np.concatenate([own, np.repeat(at[len(counts) :], listed)])
+    token = np.concatenate([token, (_array(hot.column("tokens"), _U) | _U(1 << 63)).view(np.int64)])
+    df = np.concatenate([df, np.full(sum(listed), np.iinfo(np.int64).max)])
+    cold = np.bincount(own[: len(own) - sum(listed)], minlength=len(n))
+    keys = cold + held - needed(n, num, den) + 1  # the rarest of the shared; classes below 1 have too few
     live = (keys > 0)[own]
     own, token, df = own[live], token[live], df[live]
     order = np.lexsort((token, df, own))
@@ -172,10 +231,10 @@ def _keys(group: pa.Table, num: int, den: int) -> pa.Table:
     return pa.table({"cls": pa.array([names[i].tobytes() for i in own], pa.binary()), "token": pa.array(token)})
 
 
-def blocks(docs: DataFrame, k: int, num: int, den: int, total: int) -> DataFrame:
+def blocks(docs: DataFrame, k: int, num: int, den: int, total: int, hot: np.ndarray) -> DataFrame:
     """(cls, block) of the classes that may link, blocks of two or more; linked classes are in one block."""
     ranges = max(24, -(-total // RANGE_TOKENS))
-    packed = packed_tokens(docs, k, ranges)
+    packed = packed_tokens(docs, k, ranges, hot, num, den)
     shared = packed.groupBy("range").applyInArrow(
         lambda key, group: _shared(key, group, ranges), "shard long, range long, classes binary, sizes binary, counts binary, tokens binary, dfs binary"
     )
@@ -357,12 +416,13 @@ def components_of(docs: DataFrame, k: int, num: int, den: int) -> DataFrame:
     rows = cut(set_sizes(docs, k))
     classes = cut(rows.where("n > 0").groupBy("cls").agg(F.min("doc_id").alias("rep"), F.max("n").alias("n")))
     total = classes.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
-    links = class_links(docs, classes, blocks(docs, k, num, den, total), k, num, den)
+    hot = hot_shingles(rows.where("common IS NOT NULL").select("common"), total)
+    links = class_links(docs, classes, blocks(docs, k, num, den, total, hot), k, num, den)
     found = components(links)
     own = classes.join(found, F.col("cls") == F.col("node"), "left").select("cls", "rep", F.coalesce("component", "cls").alias("component"))
     least = own.groupBy("component").agg(F.min("rep").alias("component_id"))
     ids = own.join(least, "component").select("cls", "component", "component_id")
-    return rows.join(ids, "cls", "left").drop("cls")
+    return rows.join(ids, "cls", "left").drop("cls", "common")
 
 
 def jaccard_components(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100) -> DataFrame:

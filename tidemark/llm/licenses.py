@@ -29,6 +29,8 @@ from tidemark.llm.tokens import PLAIN, Words, encode, mix
 
 BITS = 18
 SAMPLE_TEXTS = 2_000
+SAMPLE_LINES = 8_000
+LONG = 2_000
 MIN_PROBABILITY = 0.5
 MIN_SIMILARITY = 0.6
 MIN_PAIRS = 2
@@ -237,13 +239,22 @@ def fit(unknown: list[str], seed: int = 7, rounds: int = 200, penalty: float = 2
     return Model(weights, b, float(temperature), templates, own, maybe)
 
 
-def train(docs: DataFrame, sample_texts: int = SAMPLE_TEXTS, seed: int = 7) -> Model:
-    """A model whose unknown class is the lines (of at most 400 bytes each) of sample_texts texts, those with the smallest hash of doc_id."""
-    rows = docs.where(F.col("text").isNotNull()).select(F.xxhash64("doc_id").alias("h"), F.col("doc_id"), F.substring("text", 1, 2000).alias("text"))
-    texts = [r[0] for r in rows.orderBy("h", "doc_id").limit(sample_texts).select("text").collect()]
-    own = [x.strip()[:400] for t in texts for x in t.split("\n") if x.strip()]
+def train(docs: DataFrame, sample_texts: int = SAMPLE_TEXTS, sample_lines: int = SAMPLE_LINES, seed: int = 7) -> Model:
+    """A model whose unknown class is sample_lines lines of sample_texts texts, those with the smallest hashes.
+
+    Lines of more than LONG bytes are not drawn, which bounds what comes to the driver; scanning takes all.
+    """
+    sample = docs.where(F.col("text").isNotNull()).select("doc_id", F.xxhash64("doc_id").alias("h")).orderBy("h", "doc_id").limit(sample_texts)
+    sample = sample.select(F.col("doc_id").cast("long").alias("sample_id")).distinct()
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(sample), F.col("doc_id").eqNullSafe(F.col("sample_id")))
+
+    def work(batch: pa.RecordBatch, texts: list[bytes]) -> Iterator[dict[str, pa.Array]]:
+        yield {"line": pa.array(sorted({x.strip() for t in texts for x in t.split(b"\n") if x.strip() and len(x) <= LONG}), pa.binary())}
+
+    lines = map_texts(rows, [], "line binary", work).distinct().orderBy(F.xxhash64("line"), "line").limit(sample_lines)
     stated = {" ".join(x.lower().split()) for t in TEMPLATES.values() for x in t}
-    return fit([x for x in own if " ".join(x.lower().split()) not in stated][: 4 * sample_texts], seed)
+    own = [r[0].decode("utf-8", "replace") for r in lines.collect()]
+    return fit([x for x in own if " ".join(x.lower().split()) not in stated], seed)
 
 
 def scan_licenses(docs: DataFrame, model: Model) -> DataFrame:
