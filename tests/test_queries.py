@@ -10,7 +10,7 @@ import os
 import duckdb
 import pytest
 
-from tidemark.plans import analytics, messages, scalars, state, streams  # noqa: F401
+from tidemark.plans import admin, analytics, messages, scalars, state, streams  # noqa: F401
 from tidemark.plans.registry import ORACLE_SQL, QUERIES
 
 
