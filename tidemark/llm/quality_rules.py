@@ -24,6 +24,7 @@ from tidemark.llm.tokens import Words, _IS_SPACE, mix, windows
 
 REPEAT_WINDOW = 8
 MIN_WORDS = 20
+DOUBT = 0.02
 GOOD, BAD, ABSTAIN = 1, 0, 2
 
 _SYMBOL = np.zeros(256, bool)
@@ -108,8 +109,11 @@ def rules() -> dict[str, tuple[Column, Column]]:
         "length": (c("n_words") < 20, c("n_words").between(40, 200_000)),
         "word_length": (~ratio("word_chars", "n_words").between(2.5, 12), ratio("word_chars", "n_words").between(3, 9)),
         "symbols": (ratio("n_symbols", "n_words") > 0.1, ratio("n_symbols", "n_words") <= 0.02),
-        "dup_lines": (ratio("n_dup_lines", "n_lines") > 0.3, ratio("n_dup_lines", "n_lines") <= 0.1),
-        "repeats": (ratio("n_repeat_words", "n_words") > 0.2, ratio("n_repeat_words", "n_words") <= 0.1),
+        # one rule, for repeated lines are repeated windows too: EM takes rules to be independent in each class
+        "repetition": (
+            (ratio("n_dup_lines", "n_lines") > 0.3) | (ratio("n_repeat_words", "n_words") > 0.2),
+            (ratio("n_dup_lines", "n_lines") <= 0.1) & (ratio("n_repeat_words", "n_words") <= 0.1),
+        ),
         "endings": (ratio("n_ended", "n_lines") < 0.2, ratio("n_ended", "n_lines") > 0.6),
         "letters": (ratio("n_letters", "word_chars") < 0.7, ratio("n_letters", "word_chars") > 0.85),
         "shouting": (ratio("n_upper", "n_letters") > 0.4, ratio("n_upper", "n_letters") < 0.15),
@@ -129,8 +133,9 @@ def vote_pattern() -> Column:
 def fit_votes(patterns: np.ndarray, counts: np.ndarray, n_rules: int, rounds: int = 200) -> np.ndarray:
     """EM over pattern counts: the posterior probability of good for each pattern.
 
-    Starts from the share of good votes, so the classes can't swap names. Votes are smoothed by
-    one document's worth in each class.
+    Starts from the share of good votes, so the classes can't swap names. Votes are smoothed by one
+    document's worth in each class. In the end each vote gets a probability of DOUBT at least in either class: no rule
+    counts as all but certain, so a single one that disagrees with all others does not decide.
     """
     digits = (patterns[:, None] // 3 ** np.arange(n_rules - 1, -1, -1)) % 3
     votes = np.stack([digits == v for v in (BAD, GOOD, ABSTAIN)], 2).astype(float)  # pattern, rule, vote
@@ -146,7 +151,9 @@ def fit_votes(patterns: np.ndarray, counts: np.ndarray, n_rules: int, rounds: in
         if np.abs(new - post).max(initial=0) < 1e-9:
             break
         post = new
-    return post
+    table = np.maximum(table, DOUBT)
+    logs = np.log(prior) + np.einsum("crv,prv->pc", np.log(table / table.sum(2, keepdims=True)), votes)
+    return 1 / (1 + np.exp(np.clip(logs[:, 0] - logs[:, 1], -500, 500)))
 
 
 def score_quality(docs: DataFrame, threshold: float = 0.5) -> DataFrame:
