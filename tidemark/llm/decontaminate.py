@@ -12,7 +12,7 @@ executors in blocks of at most BLOCK_BYTES of text each, one pass over the texts
 so what is sent at once has a fixed bound; the texts are never shuffled.
 
 Defined cases: null and empty texts and items match nothing; an item of fewer than eight words is
-too short to be told from chance and is not searched; equal items are all reported; repeated rows
+too short to be told from chance and is not searched; equal items are all reported, a null item_id as -1; repeated rows
 get their own results; an empty table gives no leak.
 """
 
