@@ -37,7 +37,7 @@ from tidemark.llm.common import cut, map_texts, table
 from tidemark.llm.components import components
 from tidemark.llm.tokens import Words, shingle_sets
 
-RANGE_TOKENS = 5_000_000
+RANGE_TOKENS = 3_000_000
 #: A shingle that this many classes hold (counting those of batches in which LOCAL or more do) is hot; more are needed where that would give over HOT_MOST.
 HOT = 200_000
 HOT_MOST = 1_000_000
@@ -165,14 +165,17 @@ def _shared(key: tuple, group: pa.Table, shards: int) -> pa.Table:
     _, first = np.unique(classes.view([("a", "<u8"), ("b", "<u8")]), return_index=True)
     keep = np.zeros(len(classes), bool)
     keep[first] = True
-    own = np.repeat(np.arange(len(classes), dtype=np.uint64), counts)
-    both = (_array(group.column("tokens"), np.uint32).astype(_U) << _U(32)) | own
+    both = _array(group.column("tokens"), np.uint32).astype(_U)
+    both <<= _U(32)
+    both |= np.repeat(np.arange(len(classes), dtype=np.uint32), counts)
     both = both[np.repeat(keep, counts)]
     both.sort()
     token = (both >> _U(32)).astype(np.uint32)
     edge = np.flatnonzero(np.concatenate([[True], token[1:] != token[:-1], [True]]))
-    df = np.repeat(np.diff(edge), np.diff(edge))
-    both, df = both[df > 1], df[df > 1].astype(np.uint32)
+    df = np.diff(edge).astype(np.uint32)
+    shared = np.repeat(df > 1, df)  # most shingles are held once
+    both, df = both[shared], np.repeat(df[df > 1], df[df > 1])
+    del token, edge, shared
     token, own = (both >> _U(32)).astype(np.uint32), (both & _U(0xFFFFFFFF)).astype(np.int64)
     shard = _shard(classes, shards)
     order = np.lexsort((own, shard[own]))
