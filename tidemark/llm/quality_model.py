@@ -103,11 +103,12 @@ def fit(text: np.ndarray, feature: np.ndarray, grade: np.ndarray, rounds: int =
         return Model(grades, np.zeros(SIZE), np.zeros(0))
     n, k = len(y), len(grades) - 1
     seen = np.bincount(feature, minlength=SIZE)
-    off = np.bincount(feature, (y - y.mean())[text], minlength=SIZE)
+    off = np.bincount(feature, (y - y.mean()).astype(np.float32)[text], minlength=SIZE)
     used = np.flatnonzero((seen >= least) & (np.abs(off) > screen * y.std() * np.sqrt(np.maximum(seen, 1))))
-    place = np.full(SIZE, -1)
+    place = np.full(SIZE, -1, np.int32)
     place[used] = np.arange(len(used))
-    text, feature = text[place[feature] >= 0], place[feature[place[feature] >= 0]]
+    feature = place[feature]
+    text, feature = text[feature >= 0], feature[feature >= 0]
     scale = 1 / np.sqrt(np.maximum(seen[used] / n, 1e-3))
     times = lambda v: np.bincount(text, (v * scale)[feature], minlength=n)
     back = lambda r: np.bincount(feature, r[text], minlength=len(used)) * scale / n
@@ -156,9 +157,11 @@ def train(docs: DataFrame, ratings: DataFrame, max_labelled: int = MAX_LABELLED)
         yield {"grade": batch.column(0), "features": pa.array([feature[a:b].astype(np.int32).tobytes() for a, b in zip(cut[:-1], cut[1:], strict=True)], pa.binary())}
 
     found = map_texts(rows, ["grade"], "grade int, features binary", work).toArrow()
-    own = [np.frombuffer(x, np.int32) for x in found.column("features").to_pylist()]
-    text = np.repeat(np.arange(len(own)), [len(x) for x in own])
-    return fit(text, np.concatenate(own) if own else np.zeros(0, np.int32), np.asarray(found.column("grade").to_pylist(), np.int64))
+    grade = np.asarray(found.column("grade").to_pylist(), np.int64)
+    packed = found.column("features").to_pylist()
+    del found
+    text = np.repeat(np.arange(len(packed), dtype=np.int32), [len(x) // 4 for x in packed])
+    return fit(text, np.frombuffer(b"".join(packed), np.int32), grade)
 
 
 def score_documents(docs: DataFrame, model: Model, threshold: float = KEEP) -> DataFrame:
