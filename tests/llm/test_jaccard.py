@@ -112,3 +112,15 @@ def test_hot_shingles_are_found(spark, monkeypatch):
     assert sum(np.frombuffer(r.counts, np.uint32).sum() for r in packed if r.range < 0) == 12 * 5
     assert {r.component_id for r in jaccard_join.jaccard_components(docs, 4, 45, 100).collect()} == {0}
     assert len({r.component_id for r in jaccard_join.jaccard_components(docs, 4, 50, 100).collect()}) == 12
+
+
+def test_hot_shingles_are_cut_in_the_order_of_keys(spark, monkeypatch):
+    monkeypatch.setattr(jaccard_join, "HOT", 5)
+    rows = []
+    for t in range(24):  # nine words, and six texts that add one: 6 / 7 in common with the template, 6 / 8 with each other
+        words = " ".join(f"t{t}w{i}" for i in range(9))
+        rows += [(100 * t + j, f"{words} own{j}" if j else words) for j in range(7)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)
+    got = sorted((tuple(r) for r in jaccard_join.jaccard_components(docs, 4, 85, 100).collect()), key=repr)
+    assert got == brute(rows, 4, 85, 100)
+    assert {i - c for i, _, c in got} == set(range(7))

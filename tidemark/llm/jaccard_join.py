@@ -119,7 +119,7 @@ _PACKED = "range long, classes binary, sizes binary, counts binary, tokens binar
 
 def packed_tokens(docs: DataFrame, k: int, ranges: int, hot: np.ndarray, num: int, den: int) -> DataFrame:
     """The shingles of all classes, packed by range. Hot ones stay behind: a class's row in range -1-shard tells
-    how many it holds, and the smallest of them as far as they can be keys.
+    how many it holds, and the first of them as far as they can be keys, in the order of _keys: by their low 63 bits.
     """
     sent = docs.sparkSession.sparkContext.broadcast(hot)
 
@@ -138,7 +138,7 @@ def packed_tokens(docs: DataFrame, k: int, ranges: int, hot: np.ndarray, num: in
             yield {c: pa.array([v]) for c, v in row.items()}
         for name, h, n in zip(names, warm, sizes.tolist(), strict=False):
             if len(h):
-                row = (-1 - _shard(np.frombuffer(name, "V16"), ranges)[0], name, np.uint32(n).tobytes(), np.uint32(len(h)).tobytes(), h[: n - needed(n, num, den) + 1].tobytes())
+                row = (-1 - _shard(np.frombuffer(name, "V16"), ranges)[0], name, np.uint32(n).tobytes(), np.uint32(len(h)).tobytes(), h[np.argsort(h << _U(1), kind="stable")][: n - needed(n, num, den) + 1].tobytes())
                 yield {c: pa.array([v]) for c, v in zip(("range", "classes", "sizes", "counts", "tokens"), row, strict=True)}
 
     return map_texts(docs, [], _PACKED, work)
