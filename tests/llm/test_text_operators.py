@@ -200,6 +200,31 @@ def test_pseudo_likelihood_of_odd_rows(spark):
     assert pseudo_likelihood.score_documents(none, *pseudo_likelihood.train(none)).count() == 0
 
 
+def test_every_word_has_its_own_probability(spark, small):
+    docs = spark.read.parquet(f"{small}/documents.parquet").select("doc_id", "text").unionByName(spark.createDataFrame([(None, None), (-1, ""), (-2, "onceonly unheardof"), (-2, "onceonly unheardof")], "doc_id long, text string"))
+    counts = pseudo_likelihood.count_words(docs).cache()
+    network, vocabulary = pseudo_likelihood.train(docs, counts=counts)
+    seen = {r.word: r.n for r in counts.collect()}
+    known = set(vocabulary.view(np.int64).tolist())
+    mass = Counter()
+    for x, n in seen.items():
+        mass[(x % 2**64) >> 58] += n * (x not in known)
+    base = {r.doc_id: r for r in pseudo_likelihood.score_documents(docs, network, vocabulary).collect()}
+    new = spark.createDataFrame([(-3, "neverseenword"), (-3, "neverseenword")], "doc_id long, text string")
+    got = pseudo_likelihood.score_words(docs, network, vocabulary, counts).collect()
+    assert len(got) == docs.count() and Counter(r.doc_id for r in got)[-2] == 2
+    texts = {r.doc_id: r.text for r in docs.collect()}
+    for r in got:
+        own = Words(encode([texts[r.doc_id]]), lower=True).hash.view(np.int64).tolist()
+        share = sum(np.log(seen[x] / (mass[(x % 2**64) >> 58] + 1)) for x in own if x not in known)
+        assert r.n_words == len(own) and abs(r.log_likelihood - base[r.doc_id].log_likelihood - share) < 1e-6 * max(1, abs(share))
+    (x,) = Words([b"neverseenword"]).hash.tolist()
+    plain = pseudo_likelihood.score_documents(new, network, vocabulary).first().log_likelihood
+    assert [round(r.log_likelihood - plain + np.log(mass[x >> 58] + 1), 6) for r in pseudo_likelihood.score_words(new, network, vocabulary, counts).collect()] == [0, 0]
+    none = docs.where("false")
+    assert pseudo_likelihood.score_words(none, network, vocabulary, pseudo_likelihood.count_words(none)).count() == 0
+
+
 def test_empty_tables(spark):
     none = spark.createDataFrame([], "doc_id long, text string")
     assert quality_rules.score_quality(none).count() == 0

@@ -2,14 +2,18 @@
 
 A bidirectional window network predicts each word from the two words on either side: position-wise
 embeddings of the neighbours sum up, tanh makes them a hidden layer, and a two-step softmax
-(class of the word, then word in class) gives its probability. A document's score is the sum of
-the log-probabilities of all its words, each predicted with the word itself masked.
+(class of the symbol, then symbol in class) gives the probability of its symbol; a symbol that many
+words share is followed by the share of the word among them, by its count in the whole corpus. A document's score is the
+sum of the log-probabilities of all its words, each predicted with the word itself masked.
 
 The network is trained in NumPy on the whole corpus: every word of every document is predicted
 once, by Adagrad steps on small batches. Each task trains a copy from one start on its own
 share of the documents; weights come back as rows and are averaged by Spark, by the words each copy
 has seen. What returns to the driver is one row for each weight, whatever the corpus holds. The vocabulary is the
-most frequent words by a count over all documents; other words fall into hashed symbols.
+most frequent words by a count over all documents; other words fall into hashed symbols. The counts
+of those words grow with the corpus and stay distributed: a document's words travel to them as packed
+arrays, by ranges of their hash, and sums of logarithms come back. One more count in each symbol is left to
+words that the counts don't hold.
 
 Defined cases: a null or empty text has no word, a log-likelihood of 0 and a null mean; repeated rows
 are scored each; an empty corpus leaves the starting weights; words beyond a text's ends count as
@@ -18,6 +22,7 @@ one boundary symbol.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -25,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import map_texts, table
+from tidemark.llm.common import cut, map_texts, table
 from tidemark.llm.tokens import Words, chunks
 
 CLASSES, MEMBERS, HIDDEN, SIDE = 16, 32, 16, 2
@@ -35,6 +40,8 @@ KNOWN = SYMBOLS - HASHED - 1  # symbol 0 is the boundary
 BATCH = 8192
 RATE = 0.15
 MAX_TRAINERS = 1024
+RANGE_WORDS = 2_000_000
+_U = np.uint64
 _OFFSETS = tuple(d for d in range(-SIDE, SIDE + 1) if d)
 _SHAPES = (
     ("context", (len(_OFFSETS), SYMBOLS, HIDDEN)),
@@ -125,11 +132,16 @@ def _softmax(z: np.ndarray) -> np.ndarray:
     return e
 
 
+def _shared_symbol(word: np.ndarray) -> np.ndarray:
+    """Which of the hashed symbols a word outside the vocabulary falls into."""
+    return (word >> _U(58)).astype(np.int64) % HASHED
+
+
 def symbols_of(w: Words, vocabulary: np.ndarray) -> np.ndarray:
     """The symbol of each word; vocabulary: word hashes, most frequent first."""
     order = np.argsort(vocabulary)
     names = vocabulary[order]
-    out = 1 + KNOWN + (w.hash >> np.uint64(58)).astype(np.int64) % HASHED
+    out = 1 + KNOWN + _shared_symbol(w.hash)
     if len(names):
         at = np.minimum(np.searchsorted(names, w.hash), len(names) - 1)
         known = names[at] == w.hash
@@ -171,9 +183,9 @@ def count_words(docs: DataFrame) -> DataFrame:
     return map_texts(docs, [], "word long, n long", work).groupBy("word").agg(F.sum("n").alias("n"))
 
 
-def train(docs: DataFrame, max_trainers: int = MAX_TRAINERS) -> tuple[Network, np.ndarray]:
-    """The network and its vocabulary, from all words of all documents."""
-    top = count_words(docs).orderBy(F.desc("n"), "word").limit(KNOWN).select("word").toArrow()
+def train(docs: DataFrame, max_trainers: int = MAX_TRAINERS, counts: DataFrame | None = None) -> tuple[Network, np.ndarray]:
+    """The network and its vocabulary, from all words of all documents. counts: count_words(docs), if at hand."""
+    top = (count_words(docs) if counts is None else counts).orderBy(F.desc("n"), "word").limit(KNOWN).select("word").toArrow()
     vocabulary = np.asarray(top.column(0).to_numpy(), np.int64).view(np.uint64)
     start = Network.start()
 
@@ -199,7 +211,7 @@ def train(docs: DataFrame, max_trainers: int = MAX_TRAINERS) -> tuple[Network, n
 
 
 def score_documents(docs: DataFrame, network: Network, vocabulary: np.ndarray) -> DataFrame:
-    """doc_id, n_words, log_likelihood and mean_log_likelihood of every row."""
+    """doc_id, n_words, log_likelihood and mean_log_likelihood of every row, by symbols alone."""
     sent = docs.sparkSession.sparkContext.broadcast((network.flat, vocabulary))
 
     def work(batch: pa.RecordBatch, texts: list[bytes]) -> Iterator[dict[str, pa.Array]]:
@@ -210,6 +222,86 @@ def score_documents(docs: DataFrame, network: Network, vocabulary: np.ndarray) -
     return rows.withColumn("mean_log_likelihood", F.when(F.col("n_words") > 0, F.col("log_likelihood") / F.col("n_words")))
 
 
+def _range(word: np.ndarray, ranges: int) -> np.ndarray:
+    return ((word >> _U(20)) % _U(ranges)).astype(np.int64)
+
+
+def _log_counts(packed: pa.Table, counts: pa.Table) -> pa.Table:
+    """Of one range of words: for each piece of texts, the sum of log(n) of its words by row. Words not counted have n = 1."""
+    word = np.asarray(counts.column("word").to_numpy(), np.int64).view(_U)
+    order = np.argsort(word)
+    word, log = word[order], np.log(np.asarray(counts.column("n").to_numpy(), np.float64)[order])
+    rows = []
+    for piece, own, row, times in zip(*(packed.column(c).to_pylist() for c in ("piece", "words", "rows", "times")), strict=True):
+        own, row, times = np.frombuffer(own, _U), np.frombuffer(row, np.uint32), np.frombuffer(times, np.uint32)
+        logs = np.zeros(len(own))
+        if len(word):
+            at = np.minimum(np.searchsorted(word, own), len(word) - 1)
+            logs = np.where(word[at] == own, log[at], 0.0)
+        here, place = np.unique(row, return_inverse=True)
+        rows.append({"piece": piece, "rows": here.tobytes(), "logs": np.bincount(place, logs * times, len(here)).tobytes()})
+    return pa.Table.from_pylist(rows, schema=_PARTS)
+
+
+_PARTS = pa.schema([("piece", pa.string()), ("rows", pa.binary()), ("logs", pa.binary())])
+_PACKED = "range long, piece string, words binary, rows binary, times binary, doc_ids array<long>, n_words array<long>, logs array<double>"
+_NAMES = ("range", "piece", "words", "rows", "times", "doc_ids", "n_words", "logs")
+_TYPES = (pa.int64(), pa.string(), pa.binary(), pa.binary(), pa.binary(), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.list_(pa.float64()))
+
+
+def score_words(docs: DataFrame, network: Network, vocabulary: np.ndarray, counts: DataFrame) -> DataFrame:
+    """As score_documents, every word by its own probability: that of its symbol, times its share of the symbol's words.
+
+    counts: word and n of all words, as of count_words, in any number.
+    """
+    known = docs.sparkSession.createDataFrame([(int(x),) for x in vocabulary.view(np.int64)], "word long")
+    rare = counts.join(F.broadcast(known), "word", "left_anti")
+    symbol = F.shiftrightunsigned("word", 58) % HASHED
+    held = np.zeros(HASHED)
+    for s, n in rare.groupBy(symbol.alias("s")).agg(F.sum("n").alias("n")).collect():
+        held[s] = n
+    ranges = max(24, -(-int(held.sum()) // RANGE_WORDS))
+    whole = np.log(held + 1)  # one count is left to words that were not seen
+    sent = docs.sparkSession.sparkContext.broadcast((network.flat, vocabulary))
+
+    def work(batch: pa.RecordBatch, texts: list[bytes]) -> Iterator[dict[str, pa.Array]]:
+        n, total = score(Network(sent.value[0]), sent.value[1], texts)
+        w = Words(texts, lower=True)
+        other = ~np.isin(w.hash, sent.value[1])
+        word, text = w.hash[other], w.text_of()[other]
+        total -= np.bincount(text, whole[_shared_symbol(word)], len(texts))
+        order = np.lexsort((text, word, _range(word, ranges)))
+        word, text = word[order], text[order]
+        first = np.flatnonzero(np.concatenate([[True], (word[1:] != word[:-1]) | (text[1:] != text[:-1])])) if len(word) else np.zeros(0, np.int64)
+        times = np.diff(np.concatenate([first, [len(word)]])).astype(np.uint32)
+        word, text = word[first], text[first].astype(np.uint32)
+        piece = uuid.uuid4().hex
+        rows = [(-1, piece, None, None, None, batch.column(0).to_pylist(), n.tolist(), total.tolist())]
+        cuts = np.searchsorted(_range(word, ranges), np.arange(ranges + 1))
+        for r in range(ranges):
+            part = slice(cuts[r], cuts[r + 1])
+            if cuts[r] < cuts[r + 1]:
+                rows.append((r, piece, word[part].tobytes(), text[part].tobytes(), times[part].tobytes(), None, None, None))
+        yield {c: pa.array(v, t) for c, v, t in zip(_NAMES, zip(*rows, strict=True), _TYPES, strict=True)}
+
+    packed = cut(map_texts(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), ["doc_id"], _PACKED, work))
+    place = F.pmod(F.shiftrightunsigned("word", 20), F.lit(ranges)).alias("range")
+    words = packed.where("range >= 0").select("range", "piece", "words", "rows", "times").groupBy("range")
+    parts = words.cogroup(rare.select(place, "word", "n").groupBy("range")).applyInArrow(_log_counts, "piece string, rows binary, logs binary")
+    bases = packed.where("range < 0").select("piece", "doc_ids", "n_words", F.col("logs").alias("base"))
+
+    def total(pieces: pa.Table, parts: pa.Table) -> pa.Table:
+        row = pieces.to_pylist()[0]
+        logs = np.array(row["base"])
+        for at, own in zip(parts.column("rows").to_pylist(), parts.column("logs").to_pylist(), strict=True):
+            logs[np.frombuffer(at, np.uint32)] += np.frombuffer(own, np.float64)
+        return pa.table({"doc_id": pa.array(row["doc_ids"], pa.int64()), "n_words": pa.array(row["n_words"], pa.int64()), "log_likelihood": pa.array(logs)})
+
+    rows = bases.groupBy("piece").cogroup(parts.groupBy("piece")).applyInArrow(total, "doc_id long, n_words long, log_likelihood double")
+    return rows.withColumn("mean_log_likelihood", F.when(F.col("n_words") > 0, F.col("log_likelihood") / F.col("n_words")))
+
+
 def op1_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    return score_documents(docs, *train(docs))
+    counts = cut(count_words(docs))
+    return score_words(docs, *train(docs, counts=counts), counts)
