@@ -112,6 +112,24 @@ def test_pii_learns_contexts(spark):
     assert pii.redact(docs).columns == docs.columns and pii.redact(docs).count() == docs.count()
 
 
+def test_pii_finds_runs_of_words_and_text_starts(spark):
+    texts = [f"word{i} please call me +1 (614) 555-80{i:02d} today" for i in range(20)] + [f"well please write to a{i}@x.example.com soon" for i in range(20)]
+    texts += [f"+1 (614) 555-81{i:02d} is the number" for i in range(20)]
+    odd = ["please call me 030 123 45 67 today", "please call me (168) 555-5254 today", "please write to jane [at] mail [dot] com soon", "555-1234567 is the number", "in 12 34 rooms"]
+    docs = spark.createDataFrame(list(enumerate(texts + odd)), "doc_id long, text string")
+    clean = {r.doc_id: r.text for r in pii.redact(docs).collect()}
+    want = ["please call me [PHONE] today"] * 2 + ["please write to [EMAIL] soon", "[PHONE] is the number", "in 12 34 rooms"]
+    assert [clean[len(texts) + i] for i in range(len(odd))] == want
+
+
+def test_pii_learns_until_nothing_is_new(spark):
+    rows = [(f"known{i}", "phone", "a 0", "") for i in range(30)]
+    for step in range(6):  # instances of each context vouch for the next one
+        rows += [(f"s{step}n{i}", "", f"a {step + j}", "") for i in range(8) for j in (0, 1)]
+    found = spark.createDataFrame(rows, "instance string, kind string, left string, right string")
+    assert {r.pattern for r in pii.bootstrap(found, min_score=0.5).collect()} >= {f"L a {i}" for i in range(7)}
+
+
 def test_decontamination(spark, small):
     item = "alpha beta gamma delta epsilon zeta eta theta iota kappa lambda mu nu xi omicron pi"
     words = item.split()

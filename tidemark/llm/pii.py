@@ -8,7 +8,9 @@ them; identifiers of high-confidence patterns become known and vouch for further
 end every identifier under an accepted pattern is a span of the pattern's kind. Base spans stay.
 
 An identifier is a word, stripped of edge punctuation, with four digits or more, or with an @ or
-(at) inside, that overlaps no base span. Tables carry identifiers and their neighbours, never
+(at) inside, or a run of several words on one line: numbers with four digits or more in all, or words around a
+written-out at and dots. It overlaps no base span. Rounds end when no new instance appears; a text's start is a left
+context like others. Tables carry identifiers and their neighbours, never
 texts; the graph is aggregated, so a pattern shared by a third of all rows is one counter.
 
 Defined cases: a null or empty text has no span (counts 0, spans ''); repeated rows get a result
@@ -38,6 +40,9 @@ DIGITS = re.compile(r"[0-9]")
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 EDGE = ".,;:!?\"'()[]{}<>"
 HIDDEN = re.compile(r"[@]|\(at\)|\[at\]", re.I)
+NUMBERS = re.compile(r"(?<![^\x20\x09-\x0D(\[{<\"'])[+(]*[0-9][0-9()./+-]*(?:[\x20\x09]+[(]?[0-9][0-9()./+-]*)+(?![^\x20\x09-\x0D,;:!?\"'\]}>])")
+#: A run with written-out at: (at) or [at] between words, then further names, joined by (dot) or [dot] or as they are.
+SPELT = re.compile(r"[\w.%+-]+[\x20\x09]*[(\[]at[)\]][\x20\x09]*[\w.-]+(?:[\x20\x09]*[(\[]dot[)\]][\x20\x09]*[\w-]+)*", re.I)
 
 Span = tuple[str, int, int]
 
@@ -72,6 +77,10 @@ def base_spans(text: str) -> list[Span]:
     return out
 
 
+def digits_of(text: str) -> int:
+    return sum("0" <= c <= "9" for c in text)
+
+
 def shape(instance: str) -> str:
     """What an identifier looks like: digits as 9, letters as a, runs as one."""
     return re.sub(r"a+", "a", re.sub(r"9+", "9", re.sub(r"[^\W\d_]", "a", re.sub(r"[0-9]", "9", instance))))
@@ -84,11 +93,22 @@ def contexts(text: str, base: list[Span]) -> Iterator[tuple[str, int, int, str,
     spans = sorted((s, e, k) for k, s, e in base)
     for s, e, kind in spans:
         yield kind, s, e, *_around(text, s, e)
+    runs, free, bases = [], 0, iter([*spans, (len(text) + 1, len(text) + 1, "")])
+    s0, e0, _ = next(bases)
+    both = [m for pattern in (NUMBERS, SPELT) if pattern is NUMBERS or HIDDEN.search(text) for m in pattern.finditer(text)]
+    for lo, hi in sorted((m.start(), m.start() + len(m.group().rstrip(".-/+"))) for m in both if m.re is SPELT or digits_of(m.group()) >= 4):
+        while e0 <= lo:
+            s0, e0, _ = next(bases)
+        if lo >= free and not s0 < hi:
+            yield "", lo, hi, *_around(text, lo, hi)
+            runs.append((lo, hi, ""))
+            free = hi
+    spans = sorted(spans + runs)
     taken = iter(spans + [(len(text) + 1, len(text) + 1, "")])
     s0, e0, _ = next(taken)
     for m in WORD.finditer(text):
         word = m.group()
-        if sum("0" <= c <= "9" for c in word) < 4 and not HIDDEN.search(word):
+        if digits_of(word) < 4 and not HIDDEN.search(word):
             continue
         lo = m.start() + len(word) - len(word.lstrip(EDGE))
         hi = m.end() - len(word) + len(word.rstrip(EDGE))
@@ -145,16 +165,16 @@ def _accepted(edges: DataFrame, known: DataFrame, min_known: int, min_score: flo
     return good.groupBy("pattern").agg(F.max_by("kind", F.struct("n", "kind")).alias("kind"))
 
 
-def bootstrap(found: DataFrame, rounds: int = 3, min_known: int = 5, min_score: float = 0.8) -> DataFrame:
+def bootstrap(found: DataFrame, min_known: int = 5, min_score: float = 0.8) -> DataFrame:
     """(pattern, kind) of the patterns accepted in the end.
 
     found: kind ('' if unknown), instance, left, right. Each round accepts patterns by the
-    instances known so far, and every instance of an accepted pattern becomes known.
+    instances known so far, and every instance of an accepted pattern becomes known, until none is new.
     """
-    edges = found.where("left <> ''").select("instance", "kind", F.explode(_patterns()).alias("pattern"))
+    edges = found.select("instance", "kind", F.explode(_patterns()).alias("pattern"))
     edges = cut(edges.groupBy("pattern", "instance").agg(F.max("kind").alias("kind")))
     known = edges.where("kind <> ''").groupBy("instance").agg(F.min("kind").alias("kind"))
-    for _ in range(rounds):
+    while True:
         good = _accepted(edges, known, min_known, min_score)
         more = edges.where("kind = ''").drop("kind").join(good, "pattern").groupBy("instance").agg(F.min("kind").alias("kind"))
         more = cut(more.join(known.select("instance"), "instance", "left_anti"))
@@ -169,7 +189,7 @@ def discovered(spans: DataFrame) -> DataFrame:
     found = spans.where(F.size("found") > 0).select("doc_id", "key", F.explode("found").alias("f")).select("doc_id", "key", "f.*")
     found = cut(found.dropDuplicates(["doc_id", "key", "start", "end", "kind"]))
     good = bootstrap(found.select("kind", "instance", "left", "right"))
-    hits = found.where("kind = '' AND left <> ''").withColumn("pattern", F.explode(_patterns())).drop("kind").join(good, "pattern")
+    hits = found.where("kind = ''").withColumn("pattern", F.explode(_patterns())).drop("kind").join(good, "pattern")
     one = hits.groupBy("doc_id", "key", "start", "end").agg(F.min("kind").alias("kind"))
     return one.groupBy("doc_id", "key").agg(F.collect_list(F.struct("kind", "start", "end")).alias("more"))
 
