@@ -107,3 +107,8 @@ def test_warc(spark):
     finally:
         for k, v in before.items():
             spark.conf.set(k, v)
+
+
+def test_a_new_bin_is_priced_by_all_short_pieces_to_come():
+    bins, sizes, used = packing.pack(np.ones(512, np.int64))
+    assert sizes.tolist() == [512] and used.tolist() == [512] and not bins.any()

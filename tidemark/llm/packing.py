@@ -59,16 +59,11 @@ def pack(lengths: np.ndarray, sizes: tuple[int, ...] = SIZES, cost=default_cost)
 
     def rate(size: int, first: int) -> float:
         """Cost per filled place of a bin that holds first and then, again and again, the longest piece to come that fits."""
-        filled, own = first, Counter()
-        while (fits := mask & ((1 << (size - filled + 1)) - 1) & ~1) and sum(own.values()) < 64:
+        filled, rest = first, mask & ~1
+        while fits := rest & ((1 << (size - filled + 1)) - 1):
             n = fits.bit_length() - 1
-            while n > 0 and own[n] >= left[n]:
-                fits &= (1 << n) - 1
-                n = fits.bit_length() - 1
-            if n <= 0:
-                break
-            own[n] += 1
-            filled += n
+            filled += n * min(left[n], (size - filled) // n)
+            rest = fits & ((1 << n) - 1)
         return cost(size) / max(filled, 1)
 
     for i in order:
