@@ -6,13 +6,16 @@ capitals, length ...) a text has. Weights carry an L1 penalty, so only words tha
 keep one, and a long text of ordinary words adds no noise. The fit gives each text an expected
 grade and the tail probability of the top grade; a text is kept if that tail is at least KEEP.
 
-Fitting uses at most MAX_LABELLED rated documents, those with the smallest hash of doc_id: the
-bound is a parameter. Their features are computed on the executors and only they come to the
-driver. Scoring covers every text whole, in one Arrow pass without a shuffle.
-
-Defined cases: a null or empty text has only measured features; a rating given twice counts once,
-with the lower grade; null grades and ids are not used; without two different grades there is
-nothing to learn, so every document is kept with a tail of 1. Repeated rows get their own results.
+Fitting uses at most MAX_LABELLED rated rows, those with the smallest hash of doc_id, and of them as many as have
+MAX_MARKS features in all: both bounds are parameters. Features are computed on the executors, one task
+fits, and only grades, thresholds and weights other than 0 come to the driver. Scoring covers every
+text whole, in one Arrow pass without a shuffle.
+
+Defined cases: a null or empty text has only measured features; a text of any length has at most SIZE features; a
+rating given twice counts once, with the lower grade; null grades and ids are not used; a rated id on several
+rows rates each, within the bounds; rows tied in the hash follow by id, grade and features; without two different
+grades there is nothing to learn, so every document is kept with a tail of 1. Repeated rows get their own results;
+only doc_id and text are read, so other columns can't clash; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -30,6 +33,7 @@ from tidemark.llm.quality_rules import text_stats
 from tidemark.llm.tokens import PLAIN, Words
 
 MAX_LABELLED = 20_000
+MAX_MARKS = 10_000_000
 BITS = 18
 #: A text is kept if it has the top grade with this probability at least; held-out ratings lose under 1 % of sound texts to it.
 KEEP = 0.7
@@ -145,23 +149,47 @@ def grades_of(labels: DataFrame) -> DataFrame:
     return labels.select(F.col("doc_id").cast("long").alias("doc_id"), grade.cast("int").alias("grade"))
 
 
-def train(docs: DataFrame, ratings: DataFrame, max_labelled: int = MAX_LABELLED) -> Model:
+def train(docs: DataFrame, ratings: DataFrame, max_labelled: int = MAX_LABELLED, max_marks: int = MAX_MARKS) -> Model:
     """A model from (doc_id, grade) ratings of docs."""
     rated = ratings.where("doc_id IS NOT NULL AND grade IS NOT NULL").groupBy("doc_id").agg(F.min("grade").alias("grade"))
-    rated = rated.orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_labelled).select(F.col("doc_id").alias("rated_id"), "grade")
+    rated = rated.withColumn("h", F.xxhash64("doc_id")).orderBy("h", "doc_id").limit(max_labelled).select(F.col("doc_id").alias("rated_id"), "grade", "h")
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(rated), F.col("doc_id") == F.col("rated_id"))
 
     def work(batch: pa.RecordBatch, texts: list[bytes]) -> Iterator[dict[str, pa.Array]]:
         text, feature = distinct(*features(texts))
         cut = np.searchsorted(text, np.arange(len(texts) + 1))
-        yield {"grade": batch.column(0), "features": pa.array([feature[a:b].astype(np.int32).tobytes() for a, b in zip(cut[:-1], cut[1:], strict=True)], pa.binary())}
-
-    found = map_texts(rows, ["grade"], "grade int, features binary", work).toArrow()
-    grade = np.asarray(found.column("grade").to_pylist(), np.int64)
-    packed = found.column("features").to_pylist()
-    del found
-    text = np.repeat(np.arange(len(packed), dtype=np.int32), [len(x) // 4 for x in packed])
-    return fit(text, np.frombuffer(b"".join(packed), np.int32), grade)
+        packed = [feature[a:b].astype(np.int32).tobytes() for a, b in zip(cut[:-1], cut[1:], strict=True)]
+        yield {"h": batch.column(0), "doc_id": batch.column(1), "grade": batch.column(2), "features": pa.array(packed, pa.binary())}
+
+    def learn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        grade, sizes, marks = [], [], []
+        total = 0
+        for batch in batches:
+            for g, own in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                total += len(own) // 4
+                if total <= max_marks:
+                    grade.append(g)
+                    sizes.append(len(own) // 4)
+                    marks.append(own)
+        text = np.repeat(np.arange(len(sizes), dtype=np.int32), sizes)
+        feature = np.frombuffer(b"".join(marks), np.int32)
+        del marks
+        model = fit(text, feature, np.array(grade, np.int64))
+        used = np.flatnonzero(model.weights)
+        yield pa.RecordBatch.from_pylist([{"grades": model.grades, "thresholds": model.thresholds, "features": used, "weights": model.weights[used]}], schema=_MODEL)
+
+    found = map_texts(rows, ["h", "doc_id", "grade"], "h long, doc_id long, grade int, features binary", work)
+    # the rows with the least hashes in one partition, in order: a row may be rated once and stand many times
+    few = found.orderBy("h", "doc_id", "grade", "features").limit(max_labelled).select("grade", "features")
+    row = few.mapInArrow(learn, "grades array<long>, thresholds array<double>, features array<long>, weights array<double>").first()
+    weights = np.zeros(SIZE)
+    if row is None:
+        return Model(np.zeros(0, np.int64), weights, np.zeros(0))
+    weights[np.array(row.features, np.int64)] = row.weights
+    return Model(np.array(row.grades, np.int64), weights, np.array(row.thresholds))
+
+
+_MODEL = pa.schema([("grades", pa.list_(pa.int64())), ("thresholds", pa.list_(pa.float64())), ("features", pa.list_(pa.int64())), ("weights", pa.list_(pa.float64()))])
 
 
 def score_documents(docs: DataFrame, model: Model, threshold: float = KEEP) -> DataFrame:
