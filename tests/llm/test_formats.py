@@ -112,3 +112,63 @@ def test_warc(spark):
 def test_a_new_bin_is_priced_by_all_short_pieces_to_come():
     bins, sizes, used = packing.pack(np.ones(512, np.int64))
     assert sizes.tolist() == [512] and used.tolist() == [512] and not bins.any()
+
+
+def naive_pack(lengths, sizes, cost):
+    """Best fit by plain search: the fullest open bin with room, of equal ones the one filled last; else the size that fills cheapest."""
+    todo = sorted(range(len(lengths)), key=lambda i: -lengths[i])
+    bins, out = [], [0] * len(lengths)  # a bin: [size, used, time of its last change]
+    for now, i in enumerate(todo):
+        n = lengths[i]
+        fit = [b for b, (size, used, _) in enumerate(bins) if size - used >= n]
+        if fit:
+            b = min(fit, key=lambda b: (bins[b][0] - bins[b][1], -bins[b][2]))
+        else:
+
+            def price(size, n=n, now=now):
+                filled = n
+                for j in todo[now + 1 :]:  # longest first
+                    if lengths[j] and filled + lengths[j] <= size:
+                        filled += lengths[j]
+                return cost(size) / max(filled, 1)
+
+            size = min((s for s in sizes if s >= n), key=lambda s: (price(s), s))
+            b = len(bins)
+            bins.append([size, 0, 0])
+        bins[b][1] += n
+        bins[b][2] = now
+        out[i] = b
+    return out, [min(s for s in sizes if s >= used) for _, used, _ in bins], [used for _, used, _ in bins]
+
+
+@pytest.mark.parametrize("seed", range(12))
+def test_pack_against_plain_search(seed):
+    rng = np.random.default_rng(seed)
+    sizes = [(16, 32, 64), (10, 100), (50,), (256, 512, 1024, 2048)][seed % 4]
+    lengths = np.minimum(rng.geometric(0.05 if sizes[-1] < 200 else 0.004, 150) - (seed % 3 > 0), sizes[-1])
+    got = [x.tolist() for x in packing.pack(lengths, sizes)]
+    assert got == [list(x) for x in naive_pack(lengths.tolist(), sizes, packing.default_cost)]
+
+
+def test_packing_follows_rows_alone(spark):
+    rows = [(i // 3 if i % 5 else None, " ".join(["w"] * (i * 37 % 900))) for i in range(300)] + [(7, "same words here")] * 200
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    one, many = (sorted((tuple(r) for r in packing.pack_documents(docs.repartition(n), (64, 256), shard=60).collect()), key=repr) for n in (1, 7))
+    assert one == many and sum(r[0] == 7 and r[4] == 3 for r in one) == 200
+
+
+def test_copies_are_numbered(spark):
+    counted = spark.createDataFrame([("a", 1), ("b", 10), ("c", 7)], "x string, count long")
+    got = sorted((r.x, r.copy) for r in packing.copies(counted, step=4).collect())
+    assert got == sorted([("a", 0), *(("b", i) for i in range(10)), *(("c", i) for i in range(7))])
+
+
+def test_packed_texts_make_up_the_texts(spark):
+    texts = {1: "  a b  c\nd e f g ", 2: "", 3: None, 4: " \n ", 5: "é" * 9, 6: "x " * 1000}
+    docs = spark.createDataFrame([*texts.items(), (5, "é" * 9)], "doc_id long, text string")
+    rows = packing.packed_texts(docs, (3, 8)).collect()
+    whole = {}
+    for r in sorted(set(map(tuple, ((r.doc_id, r.piece, r.text) for r in rows)))):
+        whole[r[0]] = whole.get(r[0], "") + r[2]
+    assert whole == {k: v or "" for k, v in texts.items()}
+    assert sum(r.doc_id == 5 for r in rows) == 2 and all(len(r.text.split()) == r.length for r in rows)
