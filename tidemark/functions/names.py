@@ -12,13 +12,15 @@ PREFIX = "mq"
 
 
 def normalize(name: Column) -> Column:
-    """-, . and : become _, other odd characters go, runs of _ are one, none at the edges."""
-    clean = F.regexp_replace(F.regexp_replace(name, r"[-.:]", "_"), r"[^A-Za-z0-9_]", "")
-    return F.regexp_replace(F.regexp_replace(clean, "_+", "_"), "^_|_$", "")
+    """A name of word characters alone stays as it is. Of others these characters stay; what separates them (-, ., : and _) is
+    one _ for each run, none at the edges.
+    """
+    separated = F.regexp_replace(F.regexp_replace(name, r"[^\w.:-]", ""), r"[_.:-]+", "_")
+    return F.when(name.rlike(r"^\w+\z"), name).otherwise(F.btrim(separated, F.lit("_")))
 
 
 def valid_name(name: Column) -> Column:
-    return F.coalesce(name.rlike(r"^[A-Za-z0-9_]+\z") & (F.length(name) <= MAX_NAME), F.lit(False))
+    return F.coalesce(name.rlike(r"^\w+\z") & (F.length(name) <= MAX_NAME), F.lit(False))
 
 
 def physical(logical: Column, prefix: str = PREFIX) -> Column:
@@ -47,15 +49,20 @@ def priority_of(queue: Column) -> Column:
 
 
 def handler_queue(handler_class: Column) -> Column:
-    """CamelCase and :: to snake_case."""
-    flat = F.regexp_replace(handler_class, "::", "_")
-    flat = F.regexp_replace(flat, r"([A-Z]+)([A-Z][a-z])", "$1_$2")
-    return F.lower(F.regexp_replace(flat, r"([a-z\d])([A-Z])", "$1_$2"))
+    """CamelCase and :: to snake_case: an underscore where a word starts after a small letter or digit, or after capitals."""
+    return F.lower(F.regexp_replace(handler_class, "::|(?<=[a-z0-9])(?=[A-Z])|(?<=[A-Z])(?=[A-Z][a-z])", "_"))
+
+
+#: What no table name may hold.
+FORBIDDEN = ("$", ";", "--", "'")
 
 
 def table_name_ok(name: Column) -> Column:
-    """Names that may become table names: no dollar, semicolon, quote or comment."""
-    return ~name.rlike(r"\$|;|--|'")
+    """Names that may become table names."""
+    bad = F.lit(False)
+    for part in FORBIDDEN:
+        bad = bad | F.contains(name, F.lit(part))
+    return ~bad
 
 
 def advisory_lock(queue: Column) -> Column:

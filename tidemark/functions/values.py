@@ -60,11 +60,23 @@ def poll_interval(base: Column, higher_busy: Column) -> Column:
     return F.when(higher_busy, base * 3).otherwise(base)
 
 
-def redact(payload: Column, keys: list[str]) -> Column:
-    """JSON text with the string, number, boolean or null under each of the keys masked."""
-    for key in keys:
-        payload = F.regexp_replace(payload, rf'(?i)("[^"]*{key}[^"]*"\s*:\s*)("(?:[^"\\]|\\.)*"|[^,}}\]\s]+)', r'$1"[FILTERED]"')
-    return payload
+def log_json(severity: Column, component: Column, message: Column) -> Column:
+    """A log line as JSON; a line without component has null there."""
+    return F.to_json(F.struct(severity.alias("severity"), component.alias("component"), message.alias("message")), {"ignoreNullFields": "false"})
+
+
+def capsules(spec: Column) -> Column:
+    """'q1,q2: n; q3: m' as an array of queue_name, capsule (its place) and threads; if a queue is named twice, of one element that names it as repeated."""
+    parts = F.transform(F.split(spec, ";"), lambda part, i: F.struct(i.alias("capsule"), F.split(part, ":").alias("p")))
+    queues = lambda x: F.split(F.element_at(x["p"], 1), ",")
+    each = lambda x: F.transform(
+        queues(x), lambda q: F.struct(F.trim(q).alias("queue_name"), x["capsule"].alias("capsule"), F.trim(F.element_at(x["p"], 2)).cast("int").alias("threads"), F.lit(None).cast("string").alias("repeated"))
+    )
+    rows = F.flatten(F.transform(parts, each))
+    named = F.transform(rows, lambda r: r["queue_name"])
+    twice = F.filter(named, lambda q: F.size(F.filter(named, lambda o: o == q)) > 1)
+    refused = F.array(F.struct(F.lit(None).cast("string").alias("queue_name"), F.lit(None).cast("int").alias("capsule"), F.lit(None).cast("int").alias("threads"), F.get(twice, F.lit(0)).alias("repeated")))
+    return F.when(F.size(twice) > 0, refused).otherwise(rows)
 
 
 def log_parts(line: Column) -> Column:

@@ -35,6 +35,17 @@ def with_health(queues: DataFrame, stats: DataFrame) -> DataFrame:
     return rows.withColumn("bloat", values.ratio(F.col("dead"), F.col("live") + F.col("dead")))
 
 
+#: Fixed value: milliseconds between notifications of a queue whose throttle has no interval of its own.
+DEFAULT_THROTTLE_MS = 250
+
+
+def throttles_after(settings: DataFrame, wanted: DataFrame, disabled: DataFrame) -> DataFrame:
+    """Throttle settings (queue_name, interval_ms) after new ones, null meaning the default, and queues whose throttle is off. An interval below 0 is refused: it changes nothing."""
+    good = wanted.select("queue_name", F.coalesce("interval_ms", F.lit(DEFAULT_THROTTLE_MS)).alias("interval_ms")).where("interval_ms >= 0")
+    rest = settings.join(disabled, "queue_name", "left_anti").join(good.select("queue_name"), "queue_name", "left_anti")
+    return rest.select("queue_name", "interval_ms").unionByName(good.join(disabled, "queue_name", "left_anti"))
+
+
 def headroom(connections: DataFrame, most: int) -> DataFrame:
     """Connections in use, how many listeners among them, and what is left."""
     return connections.agg(

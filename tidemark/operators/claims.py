@@ -29,12 +29,20 @@ def read(messages: DataFrame, queue: str, as_of: str, qty: int = 1, condition: C
     return claimed(rows.orderBy("msg_id").limit(qty), as_of, vt_secs)
 
 
-def contains(path_values: dict[str, object], body: str = "message") -> Column:
-    """Top-level JSON containment; an empty filter holds for all rows."""
-    out = F.lit(True)
-    for key, value in path_values.items():
-        out = out & (F.get_json_object(body, f"$.{key}") == F.lit(str(value)))
-    return out
+def read_with_poll(messages: DataFrame, queue: str, as_of: str, qty: int = 1, condition: Column | None = None, vt_secs: int = 30, max_poll_s: float = 5, every_ms: int = 100) -> DataFrame:
+    """read, tried again every every_ms until rows are claimable or max_poll_s have passed.
+
+    In a table that nobody writes to, the try that finds rows follows from the least vt: one aggregate, no loop.
+    """
+    rows = messages.where(F.col("queue_name") == queue)
+    rows = rows if condition is None else rows.where(condition)
+    wait = F.greatest(times.seconds_between(F.min("vt"), times.moment(as_of)), F.lit(0.0))
+    tick = F.ceil(F.round(wait * 1000 / every_ms, 6)) * every_ms / 1000  # the first try at or after the least vt
+    found = rows.agg(tick.alias("after_s")).where(F.col("after_s") < max_poll_s)
+    at = times.moment(as_of) + F.make_dt_interval(secs=F.col("after_s").cast("decimal(18,6)"))
+    ready = rows.join(F.broadcast(found.select(at.alias("polled_at"))))  # one row
+    ready = ready.where(F.col("vt") <= F.col("polled_at")).orderBy("msg_id").limit(qty)
+    return ready.withColumns({"vt": F.col("polled_at") + F.make_dt_interval(secs=F.lit(vt_secs)), "read_ct": F.col("read_ct") + 1, "last_read_at": F.col("polled_at")})
 
 
 def pop(messages: DataFrame, queue: str, as_of: str, qty: int = 1) -> tuple[DataFrame, DataFrame]:
@@ -64,13 +72,9 @@ def _open_ranks(messages: DataFrame, queue: str, as_of: str, qty: int) -> DataFr
 def read_grouped(messages: DataFrame, queue: str, as_of: str, qty: int, vt_secs: int = 30) -> DataFrame:
     """Groups in order of their heads, each drained before the next, as far as qty goes.
 
-    A group with an unclaimable message before the one at hand yields nothing beyond it.
+    A group whose head is not claimable yields nothing; of others all claimable messages come, later ones in flight or not.
     """
-    blocked = (
-        messages.where((F.col("queue_name") == queue) & ~visible(as_of)).groupBy(_group().alias("fifo_key")).agg(F.min("msg_id").alias("blocked_id"))
-    )
-    rows = _open_ranks(messages, queue, as_of, qty).join(blocked, "fifo_key", "left").where("blocked_id IS NULL OR head_id < blocked_id")
-    return claimed(rows.orderBy("head_id", "msg_rank").limit(qty).drop("blocked_id"), as_of, vt_secs)
+    return claimed(_open_ranks(messages, queue, as_of, qty).orderBy("head_id", "msg_rank").limit(qty), as_of, vt_secs)
 
 
 def read_grouped_round_robin(messages: DataFrame, queue: str, as_of: str, qty: int, vt_secs: int = 30) -> DataFrame:
@@ -117,16 +121,57 @@ def set_vt(messages: DataFrame, ids: DataFrame, vt: Column) -> DataFrame:
     return messages.join(marked, ["queue_name", "msg_id"], "left").withColumn("vt", F.when(F.col("__hit"), vt).otherwise(F.col("vt"))).drop("__hit")
 
 
-def dead_letter(messages: DataFrame, as_of: str, max_retries: int = 5, suffix: str = "_dlq") -> tuple[DataFrame, DataFrame]:
-    """(rows moved to their dead-letter queues as new messages, rows that stay): moved are those read more than max_retries times."""
+RUN = 1_000_000
+
+
+def numbered(rows: DataFrame, by: str, order: str, name: str = "place") -> DataFrame:
+    """rows with their place, from 1, among those of the same ``by`` in the order of a whole number that is theirs alone.
+
+    Runs of RUN numbers are counted first and ranked apart, so a key with most of the rows is many tasks' work.
+    """
+    run = rows.withColumn("__run", F.floor(F.col(order) / RUN))
+    before = F.sum("__n").over(Window.partitionBy(by).orderBy("__run").rowsBetween(Window.unboundedPreceding, -1))
+    runs = run.groupBy(by, "__run").agg(F.count("*").alias("__n")).select(by, "__run", F.coalesce(before, F.lit(0)).alias("__before"))
+    inside = F.row_number().over(Window.partitionBy(by, "__run").orderBy(order))
+    return run.withColumn("__inside", inside).join(runs, [by, "__run"]).withColumn(name, F.col("__before") + F.col("__inside")).drop("__run", "__inside", "__before")
+
+
+def high_water(messages: DataFrame, *others: DataFrame) -> DataFrame:
+    """(queue_name, last_id): the largest id that each queue has given out, by live rows and others (archives, marks of ids), which deletes don't lower."""
+    ids = messages.select("queue_name", "msg_id")
+    for rows in others:
+        ids = ids.unionByName(rows.select("queue_name", "msg_id"))
+    return ids.groupBy("queue_name").agg(F.max("msg_id").alias("last_id"))
+
+
+def produced(rows: DataFrame, marks: DataFrame, as_of: str) -> DataFrame:
+    """rows as new messages of the queue_name they bear: ids beyond its last one in the order of the old ids, unread, visible at once."""
+    last = marks.select("queue_name", "last_id")
+    new = numbered(rows, "queue_name", "msg_id", "__new").join(last, "queue_name", "left")
+    now = times.moment(as_of)
+    fresh = {"msg_id": F.coalesce("last_id", F.lit(0)) + F.col("__new"), "read_ct": F.lit(0), "enqueued_at": now, "vt": now}
+    return new.withColumns(fresh).select(*rows.columns)
+
+
+def dead_letter(messages: DataFrame, as_of: str, max_retries: int = 5, suffix: str = "_dlq", marks: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    """(new messages of the dead-letter queues, rows that stay): rows read more than max_retries times move, bodies and headers as they are.
+
+    marks: high_water() of all queues; without it, of the rows at hand. Old ids must be unique in each queue.
+    """
     spent = (F.col("read_ct") > max_retries) & ~F.col("queue_name").endswith(suffix)
-    moved = messages.where(spent).withColumns(
-        {"queue_name": F.concat("queue_name", F.lit(suffix)), "read_ct": F.lit(0), "enqueued_at": times.moment(as_of), "vt": times.moment(as_of)}
-    )
-    return moved, messages.where(~spent)
+    moved = messages.where(spent).withColumn("queue_name", F.concat("queue_name", F.lit(suffix)))
+    return produced(moved, high_water(messages) if marks is None else marks, as_of), messages.where(~spent)
 
 
-def reroute(messages: DataFrame, source: str, target: str, as_of: str, body: Column | None = None) -> DataFrame:
-    """A queue's messages as new ones of another queue, with their payload or another."""
+def reroute(messages: DataFrame, source: str, target: str, as_of: str, body: Column | None = None, marks: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    """(a queue's messages as new ones of another queue, with their bodies or another; rows that stay)."""
     rows = messages.where(F.col("queue_name") == source)
-    return rows.withColumns({"queue_name": F.lit(target), "read_ct": F.lit(0), "vt": times.moment(as_of), "message": F.col("message") if body is None else body})
+    rows = rows.withColumns({"queue_name": F.lit(target), "message": F.col("message") if body is None else body})
+    return produced(rows, high_water(messages) if marks is None else marks, as_of), messages.where(F.col("queue_name") != source)
+
+
+def retry_dead_letters(messages: DataFrame, as_of: str, suffix: str = "_dlq", marks: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    """(all dead letters as new messages of the queues they came from, rows that stay)."""
+    dead = F.col("queue_name").endswith(suffix)
+    rows = messages.where(dead).withColumn("queue_name", F.expr(f"left(queue_name, length(queue_name) - {len(suffix)})"))
+    return produced(rows, high_water(messages) if marks is None else marks, as_of), messages.where(~dead)

@@ -79,29 +79,80 @@ def watchdog(ages: list[Column], threshold: float) -> Column:
     return F.coalesce(F.least(*ages) > threshold, F.lit(False)) if len(ages) > 1 else F.coalesce(ages[0] > threshold, F.lit(False))
 
 
-def verdict(metrics: DataFrame, processes: DataFrame, streams: DataFrame, as_of: str, stall_s: int = 600) -> DataFrame:
-    """One row: STALLED, DEGRADED or OK with its reasons. Dead-letter and stream queues don't count as work."""
-    work = metrics.where(~names.is_dead_letters(F.col("queue_name"))).join(streams, "queue_name", "left_anti")
-    load = work.agg(
-        F.coalesce(F.sum("visible"), F.lit(0)).alias("visible"), F.coalesce(F.max("oldest_claimable_s"), F.lit(0)).alias("oldest_s"), F.coalesce(F.max("max_read_ct"), F.lit(0)).alias("reads")
-    )
-    dead = metrics.where(names.is_dead_letters(F.col("queue_name"))).agg(F.coalesce(F.sum("length"), F.lit(0)).alias("dead"))
-    crew = process_status(processes, as_of).agg(F.count_if(F.col("status") == "healthy").alias("healthy"), F.count_if(F.col("status") != "healthy").alias("unwell"))
-    # three frames of one row each
-    one = load.join(F.broadcast(dead)).join(F.broadcast(crew))
-    stalled = F.filter(
-        F.array(
-            F.when((F.col("visible") > 0) & (F.col("healthy") == 0), "no healthy process"),
-            F.when(F.col("oldest_s") > stall_s, "oldest claimable message too old"),
-        ),
-        lambda r: r.isNotNull(),
+DRAINING = ("worker", "consumer")
+SHOWN = 10
+
+
+def _listed(rows: DataFrame, flag: str, prefix: str) -> list[Column]:
+    """Aggregates over queues: how many have the flag, and their names in order, ten at most. One row for each queue is all that is gathered."""
+    names_of = F.array_sort(F.collect_list(F.when(F.col(flag), F.col("queue_name"))))
+    n = F.count_if(F.col(flag))
+    shown = F.array_join(F.slice(names_of, 1, SHOWN), ", ")
+    return [n.alias(f"{prefix}_n"), F.concat(shown, F.when(n > SHOWN, F.concat(F.lit(" (+"), (n - SHOWN).cast("string"), F.lit(" more)"))).otherwise("")).alias(f"{prefix}_names")]
+
+
+def verdict(
+    queues: DataFrame, processes: DataFrame, streams: DataFrame, drained: DataFrame | None = None, oldest_transaction_s: Column | None = None, unregistered: Column | None = None
+) -> DataFrame:
+    """One row: status (STALLED, DEGRADED or OK), reasons, and what they were drawn from.
+
+    queues: queue_name, length, visible, visible_unread and paused; processes: kind and status; streams: queue_name. Dead-letter and
+    stream queues are no work. A queue with visible messages has a backlog, a paused one's is not active. drained: the queues
+    that some process is set to claim from; without it all are.
+
+    STALLED: a worker's loop stands while there is an active backlog; or else draining processes are alive and a drained queue has
+    visible messages that nobody ever claimed. DEGRADED: stale processes, paused backlogs, active backlogs nobody drains, dead letters, a
+    transaction open for over 300 s, unregistered streams.
+    """
+    dead = names.is_dead_letters(F.col("queue_name"))
+    known = streams.select("queue_name", F.lit(True).alias("is_stream")).distinct()
+    own = queues.join(known, "queue_name", "left").withColumn("work", ~dead & F.col("is_stream").isNull())
+    if drained is not None:
+        own = own.join(drained.select("queue_name", F.lit(True).alias("has_drain")).distinct(), "queue_name", "left").withColumn("has_drain", F.coalesce("has_drain", F.lit(False)))
+    else:
+        own = own.withColumn("has_drain", F.lit(True))
+    own = own.withColumn("backlog", F.col("work") & (F.col("visible") > 0)).withColumns(
+        {
+            "active": F.col("backlog") & ~F.col("paused"),
+            "held": F.col("backlog") & F.col("paused"),
+            "dead": dead & (F.col("length") > 0),
+        }
     )
-    degraded = F.filter(
-        F.array(F.when(F.col("dead") > 0, "dead letters"), F.when(F.col("unwell") > 0, "processes unwell"), F.when(F.col("reads") > 5, "messages read too often")), lambda r: r.isNotNull()
+    own = own.withColumns({"unclaimed": F.col("active") & F.col("has_drain") & (F.col("visible_unread") > 0), "undrained": F.col("active") & ~F.col("has_drain")})
+    flags = {"active": "active", "held": "held", "unclaimed": "unclaimed", "undrained": "undrained", "dead": "dead"}
+    load = own.agg(
+        *[c for flag, prefix in flags.items() for c in _listed(own, flag, prefix)],
+        F.count("*").alias("queues"),
+        F.coalesce(F.sum(F.when(F.col("work"), F.col("visible"))), F.lit(0)).alias("total_visible"),
+        F.coalesce(F.sum(F.when(F.col("work"), F.col("length"))), F.lit(0)).alias("total_depth"),
     )
-    return one.select(
-        F.when(F.size(stalled) > 0, "STALLED").when(F.size(degraded) > 0, "DEGRADED").otherwise("OK").alias("verdict"), F.array_join(F.concat(stalled, degraded), "; ").alias("reasons")
+    worker = F.col("kind") == "worker"
+    crew = processes.agg(
+        F.count_if(worker).alias("workers"),
+        F.count_if(worker & (F.col("status") == "stalled")).alias("stalled_workers"),
+        F.count_if(F.col("kind").isin(*DRAINING) & F.col("status").isin("healthy", "stalled")).alias("drainers"),
+        F.count_if(F.col("status") == "stale").alias("stale_processes"),
     )
+    # two frames of one row each
+    one = load.join(F.broadcast(crew)).withColumns({"oldest_transaction_s": oldest_transaction_s if oldest_transaction_s is not None else F.lit(None).cast("long"), "unregistered": unregistered if unregistered is not None else F.lit(0)})
+    text = lambda n, *parts: F.concat(F.col(n).cast("string"), *[F.lit(p) if p[:1] in " :" else F.col(p) for p in parts])
+    standing = (F.col("stalled_workers") > 0) & (F.col("active_n") > 0)
+    stalled = [
+        F.when(standing, text("stalled_workers", " worker(s) stalled (heart-beating but claim loop not advancing) while ", "active_n", " queue(s) have visible backlog: ", "active_names")),
+        F.when(~standing & (F.col("drainers") > 0) & (F.col("unclaimed_n") > 0), text("unclaimed_n", " queue(s) have visible messages with read_ct=0 (never claimed) while ", "drainers", " draining process(es) are alive: ", "unclaimed_names")),
+    ]
+    degraded = [
+        F.when(F.col("stale_processes") > 0, text("stale_processes", " process(es) stale (no recent heartbeat)")),
+        F.when(F.col("held_n") > 0, text("held_n", " paused queue(s) holding a backlog: ", "held_names")),
+        F.when(F.col("undrained_n") > 0, text("undrained_n", " queue(s) hold messages but no capsule is configured to drain them: ", "undrained_names")),
+        F.when(F.col("dead_n") > 0, text("dead_n", " dead-letter queue(s) hold messages")),
+        F.when(F.col("oldest_transaction_s") > 300, F.concat(F.lit("oldest open transaction is "), F.col("oldest_transaction_s").cast("string"), F.lit("s old (MVCC horizon pinning risk)"))),
+        F.when(F.col("unregistered") > 0, text("unregistered", " unregistered stream queue(s) detected (dormant pre-registry durable streams)")),
+    ]
+    one = one.withColumns({"stalled": F.filter(F.array(*stalled), lambda r: r.isNotNull()), "degraded": F.filter(F.array(*degraded), lambda r: r.isNotNull())})
+    status = F.when(F.size("stalled") > 0, "STALLED").when(F.size("degraded") > 0, "DEGRADED").otherwise("OK")
+    summary = ("queues", "total_visible", "total_depth", "workers", "stalled_workers", "stale_processes", "oldest_transaction_s")
+    return one.select(status.alias("status"), F.concat("stalled", "degraded").alias("reasons"), *summary)
 
 
 def check_status(verdict: Column) -> Column:
@@ -117,8 +168,9 @@ def http_status(state: Column) -> Column:
 
 
 def listen_connections(scope: Column, capsules: Column, consumers: Column) -> Column:
-    """Connections for notifications: none, one that all share, or one each."""
-    return F.when(scope == "off", 0).when(scope == "shared", 1).otherwise(capsules + consumers)
+    """Connections for notifications: none where they are off, one that all share if there is anyone to share it, or one each."""
+    each = capsules + consumers
+    return F.when(scope == "off", 0).when(scope == "shared", F.least(each, F.lit(1))).otherwise(each)
 
 
 def pool_size(capsules: DataFrame, async_threads: int = 3) -> DataFrame:
@@ -126,11 +178,34 @@ def pool_size(capsules: DataFrame, async_threads: int = 3) -> DataFrame:
     return capsules.agg((F.sum(F.when(F.col("mode") == "async", async_threads).otherwise(F.col("threads"))) + 2).alias("connections"))
 
 
-def autoscale(busy: Column, size: Column, least: Column, most: Column, free: Column) -> Column:
-    """The next pool size: half as many again at 85 % busy, one less under 30 %, no growth into the emergency margin."""
-    share = busy / size
-    grown = F.least(most, size + F.greatest(F.lit(1), F.floor(size / 2)))
-    return F.when((share >= 0.85) & (free > grown - size), grown).when(share < 0.30, F.greatest(least, size - 1)).otherwise(size).cast("long")
+#: Fixed values of pool sizing: when to grow and shrink, a process's claim on free connections, the most that one step adds, and the margins.
+GROW_AT, SHRINK_UNDER = 0.85, 0.30
+CLAIM, PEER_WEIGHT, STEP = 0.25, 1.5, 4
+MARGIN, MARGIN_LEAST = 0.05, 5
+RESERVE, RESERVE_LEAST = 0.20, 20
+
+
+def autoscale(size: Column, available: Column, limit: Column, used: Column, peers: Column, baseline: Column, most: Column, may_shrink: Column | None = None) -> Column:
+    """(action, size) of a pool after one look at it. limit, used, peers: the server's connections; null if they could not be read.
+
+    Few connections left at the server bring the pool to its baseline at once. Else a busy pool grows by its claim on a fair share of
+    them, and an idle one (where may_shrink) falls by a step towards the baseline.
+    """
+    free = limit - used
+    margin = F.greatest(F.lit(MARGIN_LEAST), F.ceil(limit * MARGIN))
+    reserve = F.greatest(F.lit(RESERVE_LEAST), F.ceil(limit * RESERVE))
+    busy = (size - available) / size
+    fair = free / (F.greatest(F.coalesce(peers, F.lit(0)), F.lit(1)) * PEER_WEIGHT)
+    step = F.least(F.floor(fair * CLAIM), F.lit(STEP), F.floor(free / 2))
+    grown = F.least(size + step, most)  # least() skips a null: no upper limit
+    known = size.isNotNull() & available.isNotNull() & (size > 0)
+    may_grow = (free > reserve) & (size > 1) & (step >= 1) & (grown > size)
+    idle = (busy < SHRINK_UNDER) & (size > baseline) & (F.lit(True) if may_shrink is None else may_shrink)
+    hold = F.struct(F.lit("hold").alias("action"), size.cast("long").alias("size"))
+    act = lambda name, to: F.struct(F.lit(name).alias("action"), to.cast("long").alias("size"))
+    calm = F.when(~known, hold).when(busy >= GROW_AT, F.when(may_grow, act("grow", grown)).otherwise(hold)).when(idle, act("shrink", F.greatest(baseline, size - STEP))).otherwise(hold)
+    short = F.when(F.coalesce(size, F.lit(0)) > baseline, act("emergency_shrink", baseline)).otherwise(hold)
+    return F.when(limit.isNull() | used.isNull(), hold).when(free < margin, short).otherwise(calm)
 
 
 def snapshot_rates(snapshots: DataFrame, key: str, at: str, count: str) -> DataFrame:

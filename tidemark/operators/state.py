@@ -5,10 +5,14 @@ Consecutive-failure streaks are gaps and islands: one window sort by key, no loo
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.functions import times, values
+from tidemark.functions import times, topics, values
+from tidemark.operators.claims import numbered
 
 
 def to_run(events: DataFrame, processed: DataFrame) -> DataFrame:
@@ -24,10 +28,38 @@ def first_by(rows: DataFrame, keys: list[str], order: str) -> DataFrame:
     return best.select(*keys, *[F.col(f"row.{c}").alias(c) for c in rest])
 
 
-def dedup_window(events: DataFrame, key: str, at: str, ttl_s: int) -> DataFrame:
-    """Events that a cache of seen keys lets through: the first of a key, and any ttl or more after the one before it."""
-    before = F.lag(at).over(Window.partitionBy(key).orderBy(at, *[c for c in events.columns if c not in (key, at)]))
-    return events.withColumn("__before", before).where(F.col("__before").isNull() | (times.seconds_between(F.col(at), F.col("__before")) >= ttl_s)).drop("__before")
+def dedup_cache(events: DataFrame, cache: str, key: str, at: str, ttl_s: float = 300, max_size: int = 10_000) -> DataFrame:
+    """Events that a cache of seen keys lets through, in time order (ties by the other columns).
+
+    An event marks its key if it passes, and only then; the key is seen until more than ttl_s after that. A full cache
+    forgets its oldest mark. ``cache`` names the process an event comes to, each with a cache of its own: its events stream through
+    one task that holds max_size marks, never the events.
+    """
+    rest = [c for c in events.columns if c not in (cache, at)]
+    dealt = events.withColumn("__us", times.micros(F.col(at))).repartition(F.col(cache)).sortWithinPartitions(cache, "__us", *rest)
+    names = dealt.columns
+    place = {c: names.index(c) for c in (cache, key, "__us")}
+    ttl = round(ttl_s * 1e6)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own: object = run  # no cache has this name
+        marks: dict[object, int] = {}  # in the order of marking
+        for batch in batches:
+            keep = []
+            for c, k, us in zip(*(batch.column(place[x]).to_pylist() for x in (cache, key, "__us")), strict=True):
+                if c != own:
+                    own, marks = c, {}
+                seen = k in marks and us - marks[k] <= ttl
+                keep.append(not seen)
+                if not seen:
+                    if k in marks:
+                        del marks[k]
+                    elif len(marks) >= max_size:
+                        del marks[next(iter(marks))]
+                    marks[k] = us
+            yield batch.filter(pa.array(keep, pa.bool_()))
+
+    return dealt.mapInArrow(run, dealt.schema).drop("__us")
 
 
 def batch_progress(jobs: DataFrame) -> DataFrame:
@@ -43,10 +75,29 @@ def acquire(requests: DataFrame, held: DataFrame, order: str) -> DataFrame:
     return first_by(requests.join(held.select("lock_key"), "lock_key", "left_anti"), ["lock_key"], order)
 
 
-def semaphore_grants(requests: DataFrame, max_value: int, order: str) -> DataFrame:
-    """Requests with granted: the first max_value of each key. Slots that expired are not looked at."""
-    place = F.row_number().over(Window.partitionBy("key").orderBy(order))
-    return requests.withColumn("granted", place <= max_value)
+def semaphore_grants(requests: DataFrame, max_value: int, order: str, held: DataFrame | None = None) -> DataFrame:
+    """Requests with granted: the first of each key, as many as slots are free.
+
+    held: key and value, the slots taken so far. Whether a slot has expired is not looked at here. ``order`` is a whole number that is a
+    request's own.
+    """
+    placed = numbered(requests, "key", order, "__place")
+    if held is None:
+        return placed.withColumn("granted", F.col("__place") <= max_value).drop("__place")
+    taken = held.select("key", F.col("value").alias("__taken"))
+    return placed.join(taken, "key", "left").withColumn("granted", F.col("__place") + F.coalesce("__taken", F.lit(0)) <= max_value).drop("__place", "__taken")
+
+
+def semaphores_after(held: DataFrame, granted: DataFrame, max_value: int) -> DataFrame:
+    """Semaphores (key, value, max_value, expires_at) after granted requests (key, expires_at): values add up, the latest expiry holds, max_value is the new one."""
+    new = granted.groupBy("key").agg(F.count("*").alias("__n"), F.max("expires_at").alias("__until"))
+    both = held.join(new, "key", "full")
+    return both.select(
+        "key",
+        (F.coalesce("value", F.lit(0)) + F.coalesce("__n", F.lit(0))).cast("long").alias("value"),
+        F.when(F.col("__n").isNotNull(), F.lit(max_value)).otherwise(F.col("max_value")).cast("long").alias("max_value"),
+        F.greatest("expires_at", "__until").alias("expires_at"),
+    )
 
 
 def semaphore_release(held: DataFrame, released: DataFrame) -> DataFrame:
@@ -55,6 +106,32 @@ def semaphore_release(held: DataFrame, released: DataFrame) -> DataFrame:
     return held.join(gone, "key", "left").withColumn("value", F.greatest(F.col("value") - F.coalesce("n", F.lit(0)), F.lit(0).cast("long"))).drop("n")
 
 
+def semaphores_expired(held: DataFrame, blocked: DataFrame, as_of: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(expired keys, semaphores that stay, the blocked execution that each expired key lets go next)."""
+    over = F.col("expires_at") < times.moment(as_of)
+    gone = held.where(over).select("key")
+    free = next_blocked(blocked.join(gone.withColumnRenamed("key", "concurrency_key"), "concurrency_key", "left_semi"), as_of)
+    return gone, held.where(F.col("expires_at").isNull() | ~over), free
+
+
+def uniqueness(requests: DataFrame, held: DataFrame, order: str, until: str = "executed", on_conflict: str = "reject") -> DataFrame:
+    """requests (lock_key, ...) with outcome.
+
+    until 'executed': the first request of a free key gets the lock as it is enqueued, others conflict. until 'executing': all are
+    enqueued, the lock is taken when one starts, so none conflicts here. A conflict is 'rejected' (an error), 'discarded', or
+    'logged' and discarded.
+    """
+    conflict = {"reject": "rejected", "discard": "discarded", "log": "logged"}[on_conflict]
+    if until == "executing":
+        return requests.withColumn("outcome", F.lit("enqueued"))
+    if until != "executed":
+        raise ValueError(f"{until!r} is neither 'executed' nor 'executing'")
+    first = requests.groupBy("lock_key").agg(F.min(order).alias("__first"))
+    taken = held.select("lock_key").distinct().withColumn("__held", F.lit(True))
+    won = F.col("__held").isNull() & (F.col(order) == F.col("__first"))
+    return requests.join(first, "lock_key").join(taken, "lock_key", "left").withColumn("outcome", F.when(won, "enqueued").otherwise(conflict)).drop("__first", "__held")
+
+
 def next_blocked(blocked: DataFrame, as_of: str) -> DataFrame:
     """By concurrency key the execution to release: lowest priority number, then the oldest; expired ones are out."""
     alive = blocked.where(F.col("expires_at") > times.moment(as_of)).withColumn("rank", F.struct("priority", "created_at", "id"))
@@ -89,8 +166,15 @@ def maintenance_backoff(streak: Column, base: float = 30, most: float = 600) ->
     return F.when(streak >= 2, values.doubling(base, streak - 1, most)).otherwise(F.lit(0.0))
 
 
-def job_outcome(read_ct: Column, ok: Column, max_retries: int = 5) -> Column:
-    return F.when(read_ct > max_retries, "dead_lettered").when(ok, "success").otherwise("failed")
+def job_outcome(read_ct: Column, ok: Column, max_retries: int = 5, locked: Column | None = None) -> Column:
+    """dead_lettered if read too often, skipped if another holds its lock while it runs, else success or failed."""
+    spent = F.when(read_ct > max_retries, "dead_lettered")
+    return (spent if locked is None else spent.when(locked, "skipped")).when(ok, "success").otherwise("failed")
+
+
+def job_effects(outcome: Column) -> Column:
+    """What happens to the message: archived, moved to the dead letters, or left until its visibility timeout is over."""
+    return F.when(outcome == "success", "archive").when(outcome == "dead_lettered", "move").otherwise("leave")
 
 
 def retained(rows: DataFrame, at: str, as_of: str, seconds: int) -> DataFrame:
@@ -123,6 +207,11 @@ def orphan_locks(locks: DataFrame, messages: DataFrame, as_of: str, vt_secs: int
     return known.join(messages.select("queue_name", "msg_id"), ["queue_name", "msg_id"], "left_anti")
 
 
+def zombies(messages: DataFrame, failures: DataFrame) -> DataFrame:
+    """Messages read more than once without a recorded failure: the worker died or the job was dropped."""
+    return messages.where("read_ct > 1").join(failures.select("queue_name", "msg_id"), ["queue_name", "msg_id"], "left_anti")
+
+
 def message_exists(ids: DataFrame, messages: DataFrame) -> DataFrame:
     """ids with exists: true, false, or null if the queue itself is unknown."""
     there = messages.select("queue_name", "msg_id", F.lit(True).alias("there")).distinct()
@@ -131,10 +220,12 @@ def message_exists(ids: DataFrame, messages: DataFrame) -> DataFrame:
     return out.select("queue_name", "msg_id", F.when(F.col("known"), F.coalesce("there", F.lit(False))).alias("exists"))
 
 
-def latest_failures(failures: DataFrame, most: int = 10_000) -> DataFrame:
-    """The last error of each message, its text cut to a stored length."""
-    last = failures.groupBy("queue_name", "msg_id").agg(F.max_by(F.struct("error_class", "error_message", "failed_at"), "failed_at").alias("e"))
-    return last.select("queue_name", "msg_id", "e.error_class", F.substring("e.error_message", 1, most).alias("error_message"), "e.failed_at")
+def latest_failures(failures: DataFrame, most: int = 10_000, frames: int = 30) -> DataFrame:
+    """The last error of each message, its text cut to a stored length and its backtrace, if there, to its first lines."""
+    trace = ["backtrace"] if "backtrace" in failures.columns else []
+    last = failures.groupBy("queue_name", "msg_id").agg(F.max_by(F.struct("error_class", "error_message", "failed_at", *trace), "failed_at").alias("e"))
+    lines = [F.substring_index("e.backtrace", "\n", frames).alias(c) for c in trace]
+    return last.select("queue_name", "msg_id", "e.error_class", F.substring("e.error_message", 1, most).alias("error_message"), "e.failed_at", *lines)
 
 
 def merge(old: DataFrame, new: DataFrame, keys: list[str]) -> DataFrame:
@@ -147,6 +238,39 @@ def sync(tasks: DataFrame, config: DataFrame, keys: list[str]) -> DataFrame:
     return merge(tasks.where("NOT static"), config, keys)
 
 
+def handled(pending: DataFrame, as_of: str) -> DataFrame:
+    """Rows of processed events (event_id, handler_class) that mark pending ones as done."""
+    return pending.select("event_id", "handler_class", times.moment(as_of).alias("processed_at"))
+
+
+def replayed(events: DataFrame) -> DataFrame:
+    """events with target: the topic or, without a routing key, the handler they are published to again."""
+    return events.withColumn("target", F.coalesce("routing_key", "handler_class"))
+
+
+def bindable(new: DataFrame, queues: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(bindings that may be made, those refused with why: 'pattern' or 'queue'); the queue must exist."""
+    known = queues.select("queue_name", F.lit(True).alias("__known")).distinct()
+    marked = new.join(known, "queue_name", "left")
+    why = F.when(~topics.valid_pattern(F.col("pattern")), "pattern").when(F.col("__known").isNull(), "queue")
+    marked = marked.withColumn("refused", why).drop("__known")
+    return marked.where("refused IS NULL").select(*new.columns), marked.where("refused IS NOT NULL")
+
+
+def unbound(bindings: DataFrame, gone: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(pattern, queue_name and whether it existed of each binding to remove, bindings that stay)."""
+    keys = ["pattern", "queue_name"]
+    there = bindings.select(*keys).distinct().withColumn("__there", F.lit(True))
+    told = gone.select(*keys).join(there, keys, "left").withColumn("existed", F.coalesce("__there", F.lit(False))).drop("__there")
+    return told, bindings.join(gone.select(*keys), keys, "left_anti")
+
+
+def bindings(rows: DataFrame, queue: str | None = None) -> DataFrame:
+    """Bindings, of one queue if named, the newest first."""
+    own = rows if queue is None else rows.where(F.col("queue_name") == queue)
+    return own.orderBy(F.desc("bound_at"), "pattern", "queue_name")
+
+
 def bound(bindings: DataFrame, new: DataFrame) -> DataFrame:
     """Bindings with new ones added unless they are there."""
     keys = ["pattern", "queue_name"]

@@ -5,9 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.functions import names, times, values
+from tidemark.functions import names, times
 from tidemark.operators import admin, schedules, state
 from tidemark.plans.registry import query
+from tidemark.sources import queues
 from tidemark.sources.views import NOW, Source
 from tidemark.streaming import fanout
 
@@ -23,9 +24,18 @@ def create_queue(s: Source) -> DataFrame:
     return admin.created(s.queue_messages.select("queue_name").distinct(), _names(s, "mq_new", "mq_low", "mq_new"))
 
 
-@query("SELECT * FROM (VALUES ('mq_low', true), ('mq_nowhere', false)) t(queue_name, existed)")
+@query("SELECT 'mq_' || n_name AS queue_name, n_nationkey % 2 = 0 AS existed FROM nation")
 def drop_queue(s: Source) -> DataFrame:
-    return admin.dropped(s.queue_messages.select("queue_name").distinct(), _names(s, "mq_low", "mq_nowhere"))[0]
+    """Whether each queue to drop was there; the catalog holds every second one."""
+    own = s.nation.select(F.concat(F.lit("mq_"), "n_name").alias("queue_name"), "n_nationkey")
+    return admin.dropped(own.where("n_nationkey % 2 = 0").select("queue_name"), own.select("queue_name"))[0]
+
+
+@query("SELECT DISTINCT queue_name, queue_name = 'mq_low' AS unlogged FROM queue_messages UNION ALL SELECT 'mq_fast', true")
+def create_unlogged_queue(s: Source) -> DataFrame:
+    """The catalog tells which queues are not logged; a known queue keeps what it is."""
+    old = s.queue_messages.select("queue_name").distinct().withColumn("unlogged", F.col("queue_name") == "mq_low")
+    return admin.created(old, s.spark.createDataFrame([("mq_fast", True), ("mq_billing", True)], "queue_name string, unlogged boolean"))
 
 
 @query("SELECT stream_name, stream_name = 'room:3' OR regexp_matches(stream_name, '^room:1') AS durable, count(*) AS n FROM stream_stats GROUP BY 1")
@@ -63,10 +73,12 @@ def utilisation(s: Source) -> DataFrame:
     return rows.select("user_id", admin.utilisation(F.col("busy"), F.col("all")).alias("share"))
 
 
-@query("SELECT * FROM (VALUES (1, '3.0 done/s · 1.5 failed/s'), (2, '0.5 done/s'), (3, '')) t(id, label)")
+@query("""SELECT user_id, CASE WHEN c = 0 AND e = 0 THEN '' WHEN e = 0 THEN printf('%.1f', c / 2.0) || ' done/s' WHEN c = 0 THEN printf('%.1f', e / 2.0) || ' failed/s'
+    ELSE printf('%.1f', c / 2.0) || ' done/s · ' || printf('%.1f', e / 2.0) || ' failed/s' END AS label FROM (SELECT user_id, count(*) FILTER (WHERE event_type = 'signup') AS c, count(*) FILTER (WHERE event_type = 'error' AND user_id % 3 > 0) AS e FROM events GROUP BY 1) u""")
 def worker_rates(s: Source) -> DataFrame:
-    rows = s.spark.createDataFrame([(1, 3.0, 1.5), (2, 0.5, 0.0), (3, 0.0, 0.0)], "id int, done double, failed double")
-    return rows.select("id", admin.rates_text({"done": F.col("done"), "failed": F.col("failed")}).alias("label"))
+    kind = F.col("event_type")
+    rows = s.events.groupBy("user_id").agg(F.count_if(kind == "signup").alias("c"), F.count_if((kind == "error") & (F.col("user_id") % 3 > 0)).alias("e"))
+    return rows.select("user_id", admin.rates_text({"done": F.col("c") / 2, "failed": F.col("e") / 2}).alias("label"))
 
 
 @query("SELECT lock_key AS key, msg_id, CASE WHEN row_number() OVER (PARTITION BY lock_key ORDER BY msg_id) <= 1 THEN 'enqueue' ELSE 'block' END AS outcome FROM locks")
@@ -75,31 +87,37 @@ def enqueue_conflict(s: Source) -> DataFrame:
     return rows.select("key", "msg_id", state.conflict_outcome(F.col("granted"), "block").alias("outcome"))
 
 
-@query("SELECT * FROM (VALUES ('hourly', TIMESTAMP '2024-01-03 10:05:00')) t(key, due_at)")
+@query("""SELECT n_name AS key, CASE WHEN n_nationkey % 2 = 0 THEN TIMESTAMP '2024-01-03 10:05:00' END AS due_at FROM nation WHERE n_nationkey % 2 = 0 AND n_nationkey % 3 > 0""")
 def cron_catch_up(s: Source) -> DataFrame:
-    due = schedules.due_runs(s.spark.createDataFrame([("hourly",), ("daily",)], "key string"), {"hourly": "5 * * * *", "daily": "0 3 * * *"}, "2024-01-03 00:00:00", "2024-01-03 10:30:00")
-    ran = s.spark.createDataFrame([("hourly", "2024-01-03 09:05:00")], "key string, run_at string").withColumn("run_at", F.col("run_at").cast("timestamp_ntz"))
+    """Runs to make up for: hourly tasks whose last one is missing; daily ones are too long ago."""
+    tasks = s.nation.select(F.col("n_name").alias("key"), "n_nationkey", F.when(F.col("n_nationkey") % 2 == 0, "hourly").otherwise("daily").alias("kind"))
+    due = schedules.due_runs(tasks, {"hourly": "5 * * * *", "daily": "0 3 * * *"}, "2024-01-03 00:00:00", "2024-01-03 10:30:00", "kind")
+    ran = tasks.select("key", F.when(F.col("n_nationkey") % 3 == 0, times.moment("2024-01-03 10:05:00")).otherwise(times.moment("2024-01-03 09:05:00")).alias("run_at"))
     return admin.missed_run(due, ran, "2024-01-03 10:30:00", 3600)
 
 
-@query("SELECT * FROM (VALUES ('mq_low', 250), ('mq_billing', 1000), ('mq_new', 250)) t(queue_name, interval_ms)")
+@query("SELECT 'mq_' || n_name AS queue_name, CASE n_nationkey % 4 WHEN 0 THEN 100 * n_regionkey WHEN 1 THEN 250 ELSE 500 END AS interval_ms FROM nation WHERE n_nationkey % 4 <> 3")
 def throttle_settings(s: Source) -> DataFrame:
-    schema = "queue_name string, interval_ms int"
-    old = s.spark.createDataFrame([("mq_low", 250), ("mq_billing", 500), ("mq_gone", 250)], schema)
-    new = s.spark.createDataFrame([("mq_billing", 1000), ("mq_new", 250)], schema)
-    return state.merge(old.join(_names(s, "mq_gone"), "queue_name", "left_anti"), new, ["queue_name"])
+    """Settings after queues were updated (0), enabled without an interval (1: the default), left alone (2) and disabled (3)."""
+    kind = F.col("n_nationkey") % 4
+    own = s.nation.select(F.concat(F.lit("mq_"), "n_name").alias("queue_name"), kind.alias("kind"), (F.col("n_regionkey") * 100).alias("wanted"))
+    old = own.where("kind <> 1").select("queue_name", F.lit(500).alias("interval_ms"))
+    new = own.where("kind < 2").select("queue_name", F.when(F.col("kind") == 0, F.col("wanted")).cast("int").alias("interval_ms"))
+    return admin.throttles_after(old, new, own.where("kind = 3").select("queue_name"))
 
 
-@query("SELECT count(*) AS clients, true AS in_range FROM (SELECT DISTINCT user_id FROM events) e")
+@query("SELECT user_id, user_id % 4 AS writer FROM (SELECT DISTINCT user_id FROM events) e")
 def writer_partitions(s: Source) -> DataFrame:
-    rows = s.events.select("user_id").distinct().withColumn("writer", fanout.writer_of(F.col("user_id"), 4))
-    return rows.agg(F.count("*").alias("clients"), F.min(F.col("writer").between(0, 3)).alias("in_range"))
+    """The writer of each client, by the hash it brings (here its number)."""
+    return s.events.select("user_id").distinct().withColumn("writer", fanout.writer_of(F.col("user_id"), 4))
 
 
-@query("SELECT -1 - event_id AS msg_id, event_type FROM events WHERE event_type <> 'error'")
+@query("SELECT c.client, m.stream_name, -1 - m.msg_id AS msg_id FROM stream_messages m, (VALUES ('a'), ('b')) c(client) WHERE m.role <> 'system' OR c.client = 'a'")
 def ephemeral_fanout(s: Source) -> DataFrame:
     """Messages without storage: negative ids, no cursor, only the audience filter."""
-    return s.events.where("event_type <> 'error'").select((-1 - F.col("event_id")).alias("msg_id"), "event_type")
+    streams = s.stream_messages.select("stream_name").distinct()
+    clients = streams.withColumn("client", F.explode(F.array(F.lit("a"), F.lit("b"))))
+    return fanout.ephemeral(s.stream_messages.withColumnRenamed("msg_id", "seq"), clients, (F.col("role") != "system") | (F.col("client") == "a"))
 
 
 @query(f"SELECT id FROM processes WHERE last_heartbeat_at >= {_T} - INTERVAL 86700 SECOND")
@@ -123,17 +141,11 @@ def send_target(s: Source) -> DataFrame:
     return s.queue_messages.select("msg_id", names.with_priority(F.col("queue_name"), F.col("read_ct"), 3).alias("target"))
 
 
-@query("SELECT strftime(enqueued_at + INTERVAL 1 DAY, '%Y-%m-%d') AS partition, count(*) AS n FROM queue_messages WHERE read_ct = 6 GROUP BY 1")
+@query("SELECT strftime(enqueued_at + INTERVAL 1 DAY, '%Y-%m-%d') AS partition, queue_name, count(*) AS n FROM queue_messages GROUP BY 1, 2")
 def archive_partitions(s: Source) -> DataFrame:
     """An archive by days of archived_at, as when it is turned into a partitioned table."""
-    rows = s.queue_messages.where("read_ct = 6").withColumn("archived_at", F.col("enqueued_at") + F.expr("INTERVAL 1 DAY"))
-    return rows.groupBy(F.date_format("archived_at", "yyyy-MM-dd").alias("partition")).agg(F.count("*").alias("n"))
-
-
-@query("SELECT * FROM (VALUES (1, '{\"user\":{\"token\":\"[FILTERED]\",\"id\":4},\"Password\": \"[FILTERED]\"}'), (2, '[1]')) t(id, payload)")
-def deep_redact(s: Source) -> DataFrame:
-    rows = s.spark.createDataFrame([(1, '{"user":{"token":"a\\"b","id":4},"Password": 12}'), (2, "[1]")], "id int, payload string")
-    return rows.select("id", values.redact(F.col("payload"), ["token", "password"]).alias("payload"))
+    rows = s.queue_messages.withColumn("archived_at", F.col("enqueued_at") + F.expr("INTERVAL 1 DAY"))
+    return queues.partition_key(rows, "1 day", "archived_at").groupBy("partition", "queue_name").agg(F.count("*").alias("n"))
 
 
 @query(f"SELECT msg_id FROM queue_messages WHERE enqueued_at >= {_T} - INTERVAL 2880 MINUTE AND read_ct = 0 ORDER BY msg_id DESC LIMIT 100")

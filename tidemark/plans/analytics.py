@@ -166,15 +166,49 @@ def watchdog(s: Source) -> DataFrame:
     return rows.select("hostname", metrics.watchdog([F.col("age")], 86_700).alias("stalled"))
 
 
-@query(f"""WITH m AS ({_METRICS}), w AS (SELECT * FROM m WHERE queue_name NOT LIKE '%dlq' AND queue_name NOT IN (SELECT queue_name FROM stream_queues)),
-    load AS (SELECT sum(visible) AS visible, max(oldest_claimable_s) AS oldest_s, max(max_read_ct) AS reads FROM w),
-    dead AS (SELECT coalesce(sum(length), 0) AS dead FROM m WHERE queue_name LIKE '%dlq'),
-    crew AS (SELECT count(*) FILTER (WHERE epoch({_T} - last_heartbeat_at) <= 300 AND (loop_tick_at IS NULL OR epoch({_T} - loop_tick_at) <= 90)) AS healthy, count(*) AS n FROM processes),
-    r AS (SELECT list_filter([CASE WHEN visible > 0 AND healthy = 0 THEN 'no healthy process' END, CASE WHEN oldest_s > 600 THEN 'oldest claimable message too old' END], lambda x: x IS NOT NULL) AS a,
-    list_filter([CASE WHEN dead > 0 THEN 'dead letters' END, CASE WHEN n > healthy THEN 'processes unwell' END, CASE WHEN reads > 5 THEN 'messages read too often' END], lambda x: x IS NOT NULL) AS b FROM load, dead, crew)
-    SELECT CASE WHEN len(a) > 0 THEN 'STALLED' WHEN len(b) > 0 THEN 'DEGRADED' ELSE 'OK' END AS verdict, array_to_string(list_concat(a, b), '; ') AS reasons FROM r""")
+_STATE = f"""SELECT m.*, coalesce(s.paused, false) AS paused, ends_with(m.queue_name, '_dlq') AS dead, m.queue_name IN (SELECT queue_name FROM stream_queues) AS stream FROM ({_METRICS}) m
+    LEFT JOIN queue_states s ON 'mq_' || s.queue_name = m.queue_name"""
+
+
+def _verdict_sql(scene: str, drained: str, processes: str, oldest: str, unregistered: str) -> str:
+    names_ = lambda cond: f"array_to_string(list(queue_name ORDER BY queue_name) FILTER (WHERE {cond}), ', ')"
+    active, undrained = "NOT dead AND NOT stream AND visible > 0 AND NOT paused", f"NOT ({drained})"
+    unclaimed = f"{active} AND ({drained}) AND visible_unread > 0"
+    held = "NOT dead AND NOT stream AND visible > 0 AND paused"
+    return f"""SELECT '{scene}' AS scene, CASE WHEN len(a) > 0 THEN 'STALLED' WHEN len(b) > 0 THEN 'DEGRADED' ELSE 'OK' END AS status, array_to_string(list_concat(a, b), '; ') AS reasons, total_visible, total_depth, workers FROM (
+    SELECT list_filter([CASE WHEN stalled > 0 AND active > 0 THEN stalled || ' worker(s) stalled (heart-beating but claim loop not advancing) while ' || active || ' queue(s) have visible backlog: ' || active_names
+        WHEN drainers > 0 AND unclaimed > 0 THEN unclaimed || ' queue(s) have visible messages with read_ct=0 (never claimed) while ' || drainers || ' draining process(es) are alive: ' || unclaimed_names END], lambda x: x IS NOT NULL) AS a,
+    list_filter([CASE WHEN stale > 0 THEN stale || ' process(es) stale (no recent heartbeat)' END, CASE WHEN held > 0 THEN held || ' paused queue(s) holding a backlog: ' || held_names END,
+        CASE WHEN undrained > 0 THEN undrained || ' queue(s) hold messages but no capsule is configured to drain them: ' || undrained_names END, CASE WHEN dead > 0 THEN dead || ' dead-letter queue(s) hold messages' END,
+        CASE WHEN {oldest} > 300 THEN 'oldest open transaction is ' || {oldest} || 's old (MVCC horizon pinning risk)' END,
+        CASE WHEN {unregistered} > 0 THEN {unregistered} || ' unregistered stream queue(s) detected (dormant pre-registry durable streams)' END], lambda x: x IS NOT NULL) AS b, * FROM
+    (SELECT count(*) FILTER (WHERE {active}) AS active, {names_(active)} AS active_names, count(*) FILTER (WHERE {held}) AS held, {names_(held)} AS held_names, count(*) FILTER (WHERE {unclaimed}) AS unclaimed, {names_(unclaimed)} AS unclaimed_names,
+        count(*) FILTER (WHERE {active} AND {undrained}) AS undrained, {names_(f"{active} AND {undrained}")} AS undrained_names, count(*) FILTER (WHERE dead AND length > 0) AS dead,
+        sum(visible) FILTER (WHERE NOT dead AND NOT stream) AS total_visible, sum(length) FILTER (WHERE NOT dead AND NOT stream) AS total_depth FROM ({_STATE}) q) l,
+    (SELECT count(*) FILTER (WHERE kind = 'worker') AS workers, count(*) FILTER (WHERE kind = 'worker' AND status = 'stalled') AS stalled, count(*) FILTER (WHERE kind IN ('worker', 'consumer') AND status IN ('healthy', 'stalled')) AS drainers,
+        count(*) FILTER (WHERE status = 'stale') AS stale FROM ({_STATUS}) p WHERE {processes}) c) r"""
+
+
+_SCENES = {
+    "as is": ("true", "true", "NULL", "0"),
+    "no stalled worker": ("true", "NOT (kind = 'worker' AND status = 'stalled')", "301", "0"),
+    "undrained": ("queue_name = 'mq_default'", "status = 'healthy' AND kind = 'dispatcher'", "300", "4"),
+    "nobody": ("false", "false", "NULL", "0"),
+}
+
+
+@query(" UNION ALL ".join(_verdict_sql(scene, *args) for scene, args in _SCENES.items()))
 def health_verdict(s: Source) -> DataFrame:
-    return metrics.verdict(metrics.queue_metrics(s.queue_messages, NOW), s.processes, s.stream_queues, NOW)
+    """The verdict in several scenes: which queues are drained, which processes live, what the server says."""
+    queues = metrics.paused_flags(metrics.queue_metrics(s.queue_messages, NOW), s.queue_states)
+    crew = metrics.process_status(s.processes, NOW, 90_000, {"worker": 60_000}, 86_500)
+    out = None
+    for scene, (drained, processes, oldest, unregistered) in _SCENES.items():
+        claimed = None if drained == "true" else queues.where(drained).select("queue_name")
+        one = metrics.verdict(queues, crew.where(processes), s.stream_queues, claimed, F.lit(None if oldest == "NULL" else int(oldest)).cast("long"), F.lit(int(unregistered)))
+        one = one.select(F.lit(scene).alias("scene"), "status", F.array_join("reasons", "; ").alias("reasons"), "total_visible", "total_depth", "workers")
+        out = one if out is None else out.unionByName(one)
+    return out
 
 
 @query("SELECT queue_name, day, n, round(coalesce(CAST(n - lag(n) OVER w AS DOUBLE) / epoch(day - lag(day) OVER w), 0), 1) AS rate FROM (SELECT queue_name, date_trunc('day', enqueued_at) AS day, 100000 * count(*) AS n FROM queue_messages GROUP BY 1, 2) d WINDOW w AS (PARTITION BY queue_name ORDER BY day)")

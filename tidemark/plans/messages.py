@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.functions import names, times, topics
+from tidemark.functions import names, payloads, times, topics
 from tidemark.operators import claims
 from tidemark.plans.registry import query
 from tidemark.sources import queues
@@ -20,9 +20,10 @@ def queue_scan(s: Source) -> DataFrame:
     return queues.page(s.queue_messages, 25, 50, ["mq_default"]).select("msg_id", "read_ct", "enqueued_at", "vt")
 
 
-@query("SELECT queue_name, msg_id, message FROM queue_messages WHERE msg_id = 17")
+@query("SELECT queue_name, msg_id, message FROM queue_messages WHERE queue_name = 'mq_low' AND msg_id = (SELECT min(msg_id) FROM queue_messages WHERE queue_name = 'mq_low')")
 def point_lookup(s: Source) -> DataFrame:
-    return s.queue_messages.where("msg_id = 17").select("queue_name", "msg_id", "message")
+    first = s.queue_messages.where("queue_name = 'mq_low'").agg(F.min("msg_id")).first()[0]
+    return queues.message(s.queue_messages, "mq_low", first).select("queue_name", "msg_id", "message")
 
 
 @query("SELECT queue_name, msg_id FROM queue_messages WHERE queue_name IN ('mq_low', 'mq_billing') ORDER BY msg_id DESC LIMIT 40 OFFSET 10")
@@ -36,23 +37,38 @@ def catalog_scan(s: Source) -> DataFrame:
 
 
 @query(
-    f"""SELECT queue_name, msg_id, read_ct, vt FROM (SELECT queue_name, msg_id, read_ct, vt FROM queue_messages
-    UNION ALL SELECT queue_name, max(msg_id) + 1, 0, {_T} + INTERVAL 10 SECOND FROM queue_messages WHERE queue_name = 'mq_low' GROUP BY queue_name) u
+    f"""SELECT queue_name, msg_id, read_ct, vt, headers FROM (SELECT queue_name, msg_id, read_ct, vt, headers FROM queue_messages
+    UNION ALL SELECT queue_name, max(msg_id) + 1, 0, {_T} + INTERVAL 10 SECOND, '{{"x-pgmq-group":"g"}}' FROM queue_messages WHERE queue_name = 'mq_low' GROUP BY queue_name) u
     WHERE queue_name = 'mq_low' AND vt > {_T}"""
 )
 def send(s: Source) -> DataFrame:
-    body = s.spark.createDataFrame([("mq_low", 1, '{"a":1}')], "queue_name string, position long, message string")
+    body = s.spark.createDataFrame([("mq_low", 1, '{"a":1}', '{"x-pgmq-group":"g"}')], "queue_name string, position long, message string, headers string")
     sent = queues.send(s.queue_messages, body, NOW, delay=10)
-    return sent.where("queue_name = 'mq_low'").where(F.col("vt") > times.moment(NOW)).select("queue_name", "msg_id", "read_ct", "vt")
+    return sent.where("queue_name = 'mq_low'").where(F.col("vt") > times.moment(NOW)).select("queue_name", "msg_id", "read_ct", "vt", "headers")
 
 
-@query("SELECT m.msg_id + p.position AS msg_id, p.message FROM (SELECT max(msg_id) AS msg_id FROM queue_messages WHERE queue_name = 'mq_billing') m, (VALUES (1, 'a'), (2, 'b'), (3, 'c')) p(position, message)")
+@query("SELECT queue_name, msg_id, read_ct, enqueued_at, CAST(NULL AS TIMESTAMP) AS last_read_at, vt, message, headers FROM queue_messages")
+def message_records(s: Source) -> DataFrame:
+    return queues.records(s.queue_messages)
+
+
+@query("SELECT max(msg_id) + 1 AS msg_id FROM queue_messages WHERE queue_name = 'mq_low'")
+def high_water_ids(s: Source) -> DataFrame:
+    """The newest messages of a queue are archived; the next one sent still gets an id beyond theirs."""
+    rows = s.queue_messages
+    newest = rows.where("queue_name = 'mq_low'").orderBy(F.desc("msg_id")).limit(20).select("queue_name", "msg_id")
+    gone, rest = claims.archive(rows, newest, NOW)
+    body = s.spark.createDataFrame([("mq_low", 1, "{}")], "queue_name string, position long, message string")
+    return queues.sent(rest, body, NOW, marks=claims.high_water(rest, gone)).select("msg_id")
+
+
+@query("SELECT m.msg_id + p.position AS msg_id, p.message, p.headers FROM (SELECT max(msg_id) AS msg_id FROM queue_messages WHERE queue_name = 'mq_billing') m, (VALUES (1, 'a', 'h'), (2, 'b', NULL), (3, 'c', NULL)) p(position, message, headers)")
 def send_batch(s: Source) -> DataFrame:
     batch = queues.checked_batch(["a", "b", "c"], ["h", None, None])
     arrays = s.spark.createDataFrame([("mq_billing", [m for m, _ in batch], [h for _, h in batch])], "queue_name string, messages array<string>, headers array<string>")
-    rows = arrays.select("queue_name", F.posexplode(F.arrays_zip("messages", "headers"))).select("queue_name", (F.col("pos") + 1).alias("position"), F.col("col.messages").alias("message"))
-    old = s.queue_messages
-    return queues.send(old, rows, NOW).join(old.select("queue_name", "msg_id"), ["queue_name", "msg_id"], "left_anti").select("msg_id", "message")
+    pairs = arrays.select("queue_name", F.posexplode(F.arrays_zip("messages", "headers")))
+    rows = pairs.select("queue_name", (F.col("pos") + 1).alias("position"), F.col("col.messages").alias("message"), F.col("col.headers").alias("headers"))
+    return queues.sent(s.queue_messages, rows, NOW).select("msg_id", "message", "headers")
 
 
 _ROUTED = "SELECT DISTINCT m.msg_id, b.queue_name AS target FROM queue_messages m JOIN topic_bindings b ON regexp_matches(m.routing_key, b.compiled_regex)"
@@ -68,9 +84,22 @@ def send_topic(s: Source) -> DataFrame:
     return queues.routed(s.queue_messages, s.topic_bindings).groupBy("msg_id").agg(F.count("*").alias("copies"))
 
 
-@query(f"SELECT target, msg_id FROM ({_ROUTED}) r WHERE msg_id < 500")
+_SENT = f"""SELECT target AS queue_name, coalesce(last_id, 0) + row_number() OVER (PARTITION BY target ORDER BY msg_id) AS msg_id, msg_id AS source_id
+    FROM ({_ROUTED}) r LEFT JOIN (SELECT queue_name, max(msg_id) AS last_id FROM queue_messages GROUP BY queue_name) l ON l.queue_name = r.target"""
+
+
+@query(_SENT)
 def send_batch_topic(s: Source) -> DataFrame:
-    return queues.routed(s.queue_messages.where("msg_id < 500"), s.topic_bindings).select("target", "msg_id")
+    """Every message sent again by its routing key: the new ids in each queue that a binding leads to."""
+    bodies = s.queue_messages.select(F.col("msg_id").alias("position"), "routing_key", F.col("msg_id").cast("string").alias("message"))
+    rows = queues.send_topic(s.queue_messages, bodies, s.topic_bindings, NOW)
+    return rows.select("queue_name", "msg_id", F.col("message").cast("long").alias("source_id"))
+
+
+@query("SELECT k.routing_key, b.handler_class, b.queue_name FROM (SELECT DISTINCT routing_key FROM queue_messages) k JOIN (SELECT *, 'On' || queue_name AS handler_class FROM topic_bindings) b ON regexp_matches(k.routing_key, b.compiled_regex)")
+def handler_match(s: Source) -> DataFrame:
+    handlers = s.topic_bindings.withColumn("handler_class", F.concat(F.lit("On"), "queue_name"))
+    return queues.handlers_for(s.queue_messages.select("routing_key").distinct(), handlers)
 
 
 @query("SELECT k.routing_key, b.pattern, b.queue_name FROM (SELECT DISTINCT routing_key FROM queue_messages) k JOIN topic_bindings b ON regexp_matches(k.routing_key, b.compiled_regex)")
@@ -84,12 +113,17 @@ def pattern_to_regex(s: Source) -> DataFrame:
 
 
 @query(
-    """SELECT f.pattern AS topic_filter, b.pattern AS subscription FROM topic_bindings b, (SELECT pattern FROM topic_bindings) f
-    WHERE f.pattern = b.pattern OR (f.pattern LIKE '%#' AND starts_with(b.pattern, regexp_replace(f.pattern, '[#*].*$', ''))) OR starts_with(b.pattern, f.pattern)"""
+    """SELECT f.name AS filters, b.queue_name FROM (VALUES ('exact', 'click.*'), ('all', 'x.#'), ('stem', 'purchase'), ('none', 'nothing'), ('two', '*.u1'), ('two', 'signup')) f(name, topic)
+    JOIN topic_bindings b ON f.topic = b.pattern OR right(f.topic, 1) = '#' OR starts_with(b.pattern, regexp_replace(f.topic, '[.]#$', '')) GROUP BY ALL"""
 )
 def pattern_overlap(s: Source) -> DataFrame:
-    f, b = s.topic_bindings.select(F.col("pattern").alias("topic_filter")), s.topic_bindings.select(F.col("pattern").alias("subscription"))
-    return f.join(b, topics.overlaps(F.col("topic_filter"), F.col("subscription")))
+    """By consumer the queues it reads, from its topic filters."""
+    consumers = {"exact": ["click.*"], "all": ["x.#"], "stem": ["purchase"], "none": ["nothing"], "two": ["*.u1", "signup"]}
+    each = [queues.queues_for_topics(topics_, s.topic_bindings).select(F.lit(name).alias("filters"), "queue_name") for name, topics_ in consumers.items()]
+    out = each[0]
+    for rows in each[1:]:
+        out = out.unionByName(rows)
+    return out
 
 
 @query("SELECT routing_key, length(routing_key) <= 255 AND regexp_full_match(routing_key, '[A-Za-z0-9_-]+([.][A-Za-z0-9_-]+)*') AS valid FROM (SELECT DISTINCT routing_key FROM queue_messages UNION ALL SELECT * FROM (VALUES ('.a'), ('a..b'), ('a b'), ('')) v(k)) u")
@@ -112,9 +146,54 @@ def read(s: Source) -> DataFrame:
     return claims.read(s.queue_messages, "mq_default", NOW, 10).select("msg_id", "read_ct", "vt", "last_read_at")
 
 
-@query(f"SELECT msg_id FROM queue_messages WHERE queue_name = 'mq_low' AND {_OPEN} AND json_extract_string(message, '$.k') = '7' ORDER BY msg_id LIMIT 10")
+_BODIES = """SELECT o_orderkey AS msg_id, 'mq_orders' AS queue_name, 0 AS read_ct, o_orderdate AS enqueued_at, TIMESTAMP '2024-01-01 00:00:00' AS vt,
+    '{"k":' || CASE o_orderkey % 4 WHEN 0 THEN '7' WHEN 1 THEN '"7"' WHEN 2 THEN '7.0' ELSE 'true' END || ',"user":{"id":' || CAST(o_orderkey % 3 AS VARCHAR) || ',"x":null},"tags":[1,{"t":"'
+    || lower(o_orderstatus) || '"},"s"]}' AS message FROM orders"""
+
+
+def _bodies(s: Source) -> DataFrame:
+    key = F.col("o_orderkey") % 4
+    kind = F.when(key == 0, "7").when(key == 1, '"7"').when(key == 2, "7.0").otherwise("true")
+    body = F.concat(F.lit('{"k":'), kind, F.lit(',"user":{"id":'), (F.col("o_orderkey") % 3).cast("string"), F.lit(',"x":null},"tags":[1,{"t":"'), F.lower("o_orderstatus"), F.lit('"},"s"]}'))
+    return s.orders.select(F.col("o_orderkey").alias("msg_id"), F.lit("mq_orders").alias("queue_name"), F.lit(0).alias("read_ct"), times.moment("2024-01-01 00:00:00").alias("vt"), body.alias("message"))
+
+
+@query(
+    f"""WITH b AS ({_BODIES}) SELECT * FROM (SELECT 'number' AS wanted, count(*) AS n, min(msg_id) AS first_id FROM b WHERE msg_id % 4 IN (0, 2)
+    UNION ALL SELECT 'string', count(*), min(msg_id) FROM b WHERE msg_id % 4 = 1 UNION ALL SELECT 'boolean', count(*), min(msg_id) FROM b WHERE msg_id % 4 = 3
+    UNION ALL SELECT 'nested', count(*), min(msg_id) FROM b WHERE json_extract_string(message, '$.user.id') = '2' AND json_type(message, '$.user.x') = 'NULL'
+    UNION ALL SELECT 'element', count(*), min(msg_id) FROM b WHERE json_extract_string(message, '$.tags[1].t') = 'f'
+    UNION ALL SELECT 'nothing', count(*), min(msg_id) FROM b UNION ALL SELECT 'absent', 0, CAST(NULL AS BIGINT)) r"""
+)
+def containment(s: Source) -> DataFrame:
+    """How many bodies hold each wanted document: by type, at any depth, inside arrays."""
+    wanted = {"number": {"k": 7}, "string": {"k": "7"}, "boolean": {"k": True}, "nested": {"user": {"id": 2, "x": None}}, "element": {"tags": ["s", {"t": "f"}]}, "nothing": {}, "absent": {"id": 2}}
+    rows = _bodies(s)
+    counts = rows.agg(*[x for name, w in wanted.items() for x in (F.count_if(payloads.holds(F.col("message"), w)).alias(f"{name}_n"), F.min(F.when(payloads.holds(F.col("message"), w), F.col("msg_id"))).alias(f"{name}_id"))])
+    return counts.select(F.inline(F.array(*[F.struct(F.lit(name).alias("wanted"), F.col(f"{name}_n").alias("n"), F.col(f"{name}_id").alias("first_id")) for name in wanted])))
+
+
+@query(f"WITH b AS ({_BODIES}) SELECT msg_id, read_ct + 1 AS read_ct FROM b WHERE msg_id % 4 IN (0, 2) AND json_extract_string(message, '$.tags[1].t') = 'o' ORDER BY msg_id LIMIT 10")
 def conditional_read(s: Source) -> DataFrame:
-    return claims.read(s.queue_messages, "mq_low", NOW, 10, claims.contains({"k": 7})).select("msg_id")
+    return claims.read(_bodies(s), "mq_orders", NOW, 10, payloads.holds(F.col("message"), {"k": 7, "tags": [{"t": "o"}]})).select("msg_id", "read_ct")
+
+
+@query(
+    f"""WITH own AS (SELECT msg_id, read_ct, vt FROM queue_messages WHERE queue_name = 'mq_mailers' AND vt > {_T}),
+    t AS (SELECT {_T} + to_seconds(ceil(epoch(min(vt) - {_T}) * 1000 / 250.0) * 0.25) AS polled FROM own)
+    SELECT msg_id, read_ct + 1 AS read_ct, polled AS last_read_at FROM own, t WHERE vt <= polled AND polled < {_T} + INTERVAL 7200 SECOND ORDER BY msg_id LIMIT 5"""
+)
+def read_with_poll(s: Source) -> DataFrame:
+    """Of a queue with nothing claimable at first: what the first try finds after the first visibility timeout ends."""
+    waiting = s.queue_messages.where(~claims.visible(NOW))
+    return claims.read_with_poll(waiting, "mq_mailers", NOW, 5, max_poll_s=7200, every_ms=250).select("msg_id", "read_ct", "last_read_at")
+
+
+@query(f"SELECT msg_id FROM queue_messages WHERE queue_name = 'mq_mailers' AND vt > {_T} AND vt <= {_T} + INTERVAL 5 SECOND")
+def read_with_poll_in_vain(s: Source) -> DataFrame:
+    """The same within the usual five seconds, which are over before anything is claimable."""
+    waiting = s.queue_messages.where(~claims.visible(NOW))
+    return claims.read_with_poll(waiting, "mq_mailers", NOW, 5).select("msg_id")
 
 
 @query(f"SELECT queue_name, count(*) AS n, min(msg_id) AS first_id FROM (SELECT * FROM queue_messages WHERE NOT (queue_name = 'mq_low' AND msg_id IN (SELECT msg_id FROM queue_messages WHERE queue_name = 'mq_low' AND {_OPEN} ORDER BY msg_id LIMIT 5))) r GROUP BY queue_name")
@@ -198,16 +277,32 @@ def set_vt(s: Source) -> DataFrame:
     return claims.set_vt(s.queue_messages, ids, times.ago(NOW, -60)).where(~claims.visible(NOW)).groupBy("queue_name").agg(F.count("*").alias("n"))
 
 
-@query("SELECT queue_name || '_dlq' AS queue_name, count(*) AS n, CAST(sum(0) AS BIGINT) AS reads FROM queue_messages WHERE read_ct > 5 AND queue_name NOT LIKE '%\\_dlq' ESCAPE '\\' GROUP BY 1")
+@query(f"""SELECT queue_name || '_dlq' AS queue_name, coalesce((SELECT max(msg_id) FROM queue_messages d WHERE d.queue_name = m.queue_name || '_dlq'), 0) + row_number() OVER (PARTITION BY queue_name ORDER BY msg_id) AS msg_id,
+    0 AS read_ct, {_T} AS vt, headers FROM queue_messages m WHERE read_ct > 5 AND NOT ends_with(queue_name, '_dlq')""")
 def dead_letter(s: Source) -> DataFrame:
-    moved, _ = claims.dead_letter(s.queue_messages, NOW)
-    return moved.groupBy("queue_name").agg(F.count("*").alias("n"), F.sum("read_ct").alias("reads"))
+    """Messages read too often as new messages of their dead-letter queues, with new ids."""
+    return claims.dead_letter(s.queue_messages, NOW)[0].select("queue_name", "msg_id", "read_ct", "vt", "headers")
+
+
+@query("SELECT queue_name, count(*) AS n, max(read_ct) AS reads FROM queue_messages WHERE NOT (read_ct > 5 AND NOT ends_with(queue_name, '_dlq')) GROUP BY queue_name")
+def dead_letter_rest(s: Source) -> DataFrame:
+    return claims.dead_letter(s.queue_messages, NOW)[1].groupBy("queue_name").agg(F.count("*").alias("n"), F.max("read_ct").alias("reads"))
 
 
-@query(f"SELECT 'mq_default' AS queue_name, msg_id, 0 AS read_ct, {_T} AS vt FROM queue_messages WHERE queue_name = 'mq_default_dlq' AND msg_id % 7 = 0")
+@query(f"""SELECT replace(queue_name, '_dlq', '') AS queue_name, (SELECT max(msg_id) FROM queue_messages WHERE queue_name = 'mq_default') + row_number() OVER (ORDER BY msg_id) AS msg_id,
+    0 AS read_ct, {_T} AS vt, message FROM queue_messages WHERE queue_name = 'mq_default_dlq'""")
 def retry_dead_letters(s: Source) -> DataFrame:
-    rows = claims.reroute(s.queue_messages, "mq_default_dlq", "mq_default", NOW).where("msg_id % 7 = 0")
-    return rows.select("queue_name", "msg_id", "read_ct", "vt")
+    """All dead letters as new messages of the queue they came from."""
+    return claims.retry_dead_letters(s.queue_messages, NOW)[0].select("queue_name", "msg_id", "read_ct", "vt", "message")
+
+
+@query(f"""SELECT queue_name, count(*) AS n, max(msg_id) AS last_id, count(*) FILTER (WHERE message = '{{}}') AS edited FROM (
+    SELECT queue_name, msg_id, message FROM queue_messages WHERE queue_name <> 'mq_low' UNION ALL
+    SELECT 'mq_billing', (SELECT max(msg_id) FROM queue_messages WHERE queue_name = 'mq_billing') + row_number() OVER (ORDER BY msg_id), '{{}}' FROM queue_messages WHERE queue_name = 'mq_low') u GROUP BY queue_name""")
+def reroute(s: Source) -> DataFrame:
+    """All queues after one was moved to another with edited bodies."""
+    moved, rest = claims.reroute(s.queue_messages, "mq_low", "mq_billing", NOW, F.lit("{}"))
+    return rest.unionByName(moved).groupBy("queue_name").agg(F.count("*").alias("n"), F.max("msg_id").alias("last_id"), F.count_if(F.col("message") == "{}").alias("edited"))
 
 
 @query(f"SELECT queue_name, count(*) AS n, count(*) FILTER (WHERE {_OPEN}) AS visible FROM queue_messages GROUP BY queue_name")
@@ -233,11 +328,16 @@ def outbox_source(s: Source) -> DataFrame:
     return queues.unpublished(s.outbox_entries).select("id", "queue_name", "routing_key")
 
 
-@query("SELECT CASE WHEN routing_key IS NOT NULL THEN 'topic' ELSE 'queue' END AS route, coalesce(routing_key, queue_name) AS target, priority, count(*) AS n, min(id) AS first_id, max(id) AS last_id FROM outbox_entries WHERE published_at IS NULL GROUP BY 1, 2, 3")
+@query("SELECT CASE WHEN routing_key IS NOT NULL THEN 'topic' ELSE 'queue' END AS route, coalesce(routing_key, queue_name) AS target, priority, delay, count(*) AS n, min(id) AS first_id, max(id) AS last_id FROM outbox_entries WHERE published_at IS NULL GROUP BY 1, 2, 3, 4")
 def outbox_grouping(s: Source) -> DataFrame:
     return queues.outbox_groups(s.outbox_entries)
 
 
+@query("SELECT id, queue_name, routing_key FROM outbox_entries ORDER BY created_at DESC, id DESC LIMIT 25 OFFSET 50")
+def outbox_page(s: Source) -> DataFrame:
+    return s.outbox_entries.orderBy(F.desc("created_at"), F.desc("id")).offset(50).limit(25).select("id", "queue_name", "routing_key")
+
+
 @query(f"SELECT count(*) FILTER (WHERE published_at IS NULL) AS unpublished, count(*) AS total, CAST(round_even(epoch({_T} - min_by(created_at, id) FILTER (WHERE published_at IS NULL)), 0) AS BIGINT) AS oldest_age_s FROM outbox_entries")
 def outbox_stats(s: Source) -> DataFrame:
     return queues.outbox_stats(s.outbox_entries, NOW)
@@ -268,7 +368,21 @@ def total_pages(s: Source) -> DataFrame:
     return queues.total_pages(s.queue_messages.where("queue_name = 'mq_default_dlq'"), 25)
 
 
-@query("SELECT DISTINCT regexp_replace(queue_name, '^mq_', '') AS queue_name FROM queue_messages WHERE queue_name NOT LIKE '%dlq' AND queue_name NOT IN (SELECT queue_name FROM stream_queues)")
+@query("SELECT DISTINCT regexp_replace(queue_name, '^mq_', '') AS queue_name FROM queue_messages WHERE queue_name NOT LIKE '%dlq' AND queue_name NOT IN (SELECT queue_name FROM stream_queues) AND queue_name <> 'mq_billing'")
 def wildcard_queues(s: Source) -> DataFrame:
-    rows = s.queue_messages.select("queue_name").distinct().where(~names.is_dead_letters(F.col("queue_name")))
-    return rows.join(s.stream_queues, "queue_name", "left_anti").select(names.logical(F.col("queue_name")).alias("queue_name"))
+    """What a worker of all queues reads: no dead letters, streams or queues of event handlers (here mq_billing)."""
+    events = s.spark.createDataFrame([("mq_billing",)], "queue_name string")
+    kinds = queues.split_kinds(s.queue_messages.select("queue_name").distinct(), s.stream_queues, events)
+    return kinds.where("kind = 'job'").select(names.logical(F.col("queue_name")).alias("queue_name"))
+
+
+@query("SELECT DISTINCT queue_name, CASE WHEN ends_with(queue_name, '_dlq') THEN 'dead_letter' WHEN queue_name = 'mq_mailers' THEN 'stream' WHEN queue_name = 'mq_billing' THEN 'event' ELSE 'job' END AS kind FROM queue_messages")
+def queue_kinds(s: Source) -> DataFrame:
+    events = s.spark.createDataFrame([("mq_billing",)], "queue_name string")
+    return queues.split_kinds(s.queue_messages.select("queue_name").distinct(), s.stream_queues, events)
+
+
+@query("SELECT 'mq_low' AS queue_name, 'a_mq_low' AS table_name, count(*) AS rest FROM (SELECT DISTINCT queue_name FROM queue_messages WHERE queue_name <> 'mq_low') q")
+def detach_archive(s: Source) -> DataFrame:
+    gone, rest = queues.detached(s.queue_messages.select("queue_name").distinct(), "mq_low")
+    return gone.join(F.broadcast(rest.agg(F.count("*").alias("rest"))))  # one row

@@ -5,10 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.functions import names, times, values
-from tidemark.operators import metrics, stats
+from tidemark.functions import names, payloads, times, values
+from tidemark.operators import claims, metrics, stats
 from tidemark.plans.registry import query
-from tidemark.sources import sinks
+from tidemark.sources import queues, sinks
 from tidemark.sources.views import NOW, Source
 
 _T = f"TIMESTAMP '{NOW}'"
@@ -22,16 +22,29 @@ def queue_names(s: Source) -> DataFrame:
     )
 
 
-@query("SELECT name, normal, length(normal) <= 47 AND regexp_full_match(normal, '[A-Za-z0-9_]+') AS valid FROM (SELECT p_name AS name, trim(regexp_replace(regexp_replace(regexp_replace(p_name, '[-.:]', '_', 'g'), '[^A-Za-z0-9_]', '', 'g'), '_+', '_', 'g'), '_') AS normal FROM (SELECT DISTINCT p_name FROM part) p) n")
+_ODD_NAMES = """SELECT DISTINCT replace(c_mktsegment, 'U', 'u__') || CASE c_custkey % 6 WHEN 0 THEN '_x_' WHEN 1 THEN '-a.b' WHEN 2 THEN '::Z' WHEN 3 THEN ' é!' WHEN 4 THEN '_-_9-' ELSE repeat('y', 60) END AS name FROM customer"""
+
+
+def _odd_names(s: Source) -> DataFrame:
+    kind = F.col("c_custkey") % 6
+    end = F.when(kind == 0, "_x_").when(kind == 1, "-a.b").when(kind == 2, "::Z").when(kind == 3, " é!").when(kind == 4, "_-_9-").otherwise("y" * 60)
+    return s.customer.select(F.concat(F.replace("c_mktsegment", F.lit("U"), F.lit("u__")), end).alias("name")).distinct()
+
+
+@query(f"""SELECT name, normal, length(normal) <= 47 AND regexp_full_match(normal, '[A-Za-z0-9_]+') AS valid FROM (SELECT name, CASE WHEN regexp_full_match(name, '[A-Za-z0-9_]+') THEN name
+    ELSE trim(regexp_replace(regexp_replace(regexp_replace(name, '[-.:]', '_', 'g'), '[^A-Za-z0-9_]', '', 'g'), '_+', '_', 'g'), '_') END AS normal FROM ({_ODD_NAMES}) p) n""")
 def normalize_names(s: Source) -> DataFrame:
-    rows = s.part.select(F.col("p_name").alias("name")).distinct().withColumn("normal", names.normalize(F.col("name")))
+    """Names as queues bear them: good ones, runs of underscores too, stay as they are."""
+    rows = _odd_names(s).withColumn("normal", names.normalize(F.col("name")))
     return rows.withColumn("valid", names.valid_name(F.col("normal")))
 
 
-@query("SELECT * FROM (VALUES ('OrderPlacedHandler', 'order_placed_handler'), ('Billing::HTTPNotifier', 'billing_http_notifier'), ('A1Job', 'a1_job')) h(handler, queue)")
+@query("""SELECT o_orderkey, CASE o_orderkey % 4 WHEN 0 THEN 'order_placed' WHEN 1 THEN 'billing_http' WHEN 2 THEN 'a1' ELSE 'v2_api' END || '_' || lower(o_orderstatus) || CASE WHEN o_orderkey % 2 = 0 THEN '_handler' ELSE 'x_job' END AS queue FROM orders""")
 def handler_queues(s: Source) -> DataFrame:
-    rows = s.spark.createDataFrame([("OrderPlacedHandler",), ("Billing::HTTPNotifier",), ("A1Job",)], "handler string")
-    return rows.withColumn("queue", names.handler_queue(F.col("handler")))
+    """Queues named after handler classes such as Billing::HTTPOx::Job."""
+    first = F.element_at(F.array(*map(F.lit, ("OrderPlaced", "Billing::HTTP::", "A1", "V2API::"))), (F.col("o_orderkey") % 4 + 1).cast("int"))
+    last = F.when(F.col("o_orderkey") % 2 == 0, F.concat("o_orderstatus", F.lit("Handler"))).otherwise(F.concat("o_orderstatus", F.lit("x::Job")))
+    return s.orders.select("o_orderkey", names.handler_queue(F.concat(first, last)).alias("queue"))
 
 
 @query("SELECT DISTINCT queue_name, substr(sha256(queue_name), 1, 16) AS short_id FROM queue_messages")
@@ -39,16 +52,21 @@ def short_ids(s: Source) -> DataFrame:
     return s.queue_messages.select("queue_name").distinct().withColumn("short_id", values.short_id(F.col("queue_name")))
 
 
-@query("SELECT * FROM (VALUES ('a$b', false), ('q;drop', false), ('it''s', false), ('x--y', false), ('fine_1', true)) t(name, ok)")
+@query("SELECT DISTINCT p_name || e AS name, NOT regexp_matches(p_name || e, '[$;'']|--') AS ok FROM part, (VALUES (''), ('$'), (';x'), (chr(39) || 's'), ('--'), ('-_-')) v(e)")
 def table_names(s: Source) -> DataFrame:
-    rows = s.spark.createDataFrame([("a$b",), ("q;drop",), ("it's",), ("x--y",), ("fine_1",)], "name string")
+    ends = s.spark.createDataFrame([("",), ("$",), (";x",), ("'s",), ("--",), ("-_-",)], "e string")
+    rows = s.part.select("p_name").join(F.broadcast(ends)).select(F.concat("p_name", "e").alias("name")).distinct()  # six rows
     return rows.withColumn("ok", names.table_name_ok(F.col("name")))
 
 
-@query("SELECT * FROM (VALUES ('mq_default', 1), ('mq_low', 1)) t(queue_name, locks)")
+@query("""WITH RECURSIVE q AS (SELECT DISTINCT queue_name FROM queue_messages),
+    step AS (SELECT queue_name, 0 AS i, CAST(4294967295 AS BIGINT) AS c FROM q UNION ALL
+    SELECT queue_name, i + 1, CASE WHEN x & 1 = 1 THEN xor(x >> 1, 3988292384) ELSE x >> 1 END FROM
+    (SELECT queue_name, i, CASE WHEN i % 8 = 0 THEN xor(c, CAST(ascii(substr(queue_name, i // 8 + 1, 1)) AS BIGINT)) ELSE c END AS x FROM step WHERE i < 8 * length(queue_name)) s)
+    SELECT queue_name, xor(c, 4294967295) & 2147483647 AS id FROM step WHERE i = 8 * length(queue_name)""")
 def lock_ids(s: Source) -> DataFrame:
-    rows = s.queue_messages.select("queue_name").distinct().where("queue_name IN ('mq_default', 'mq_low')")
-    return rows.withColumn("id", names.advisory_lock(F.col("queue_name"))).groupBy("queue_name").agg(F.countDistinct("id").cast("int").alias("locks"))
+    """The advisory lock of each queue: its checksum without the top bit."""
+    return s.queue_messages.select("queue_name").distinct().withColumn("id", names.advisory_lock(F.col("queue_name")).cast("long"))
 
 
 @query(f"SELECT event_id, CAST(round_even(epoch({_T} - ts), 0) AS BIGINT) AS age_s FROM events")
@@ -77,9 +95,10 @@ def json_preview(s: Source) -> DataFrame:
     return s.events.select("event_id", values.preview(F.concat("props", "props", "props"), 20).alias("preview"))
 
 
-@query("SELECT msg_id, CAST(json_extract_string(message, '$.k') AS INTEGER) AS k FROM queue_messages")
+@query("SELECT msg_id, CAST(json_extract_string(message, '$.k') AS INTEGER) AS k, coalesce(json_extract_string(headers, '$.x-pgmq-group'), '_default_fifo_group') AS group_key FROM queue_messages")
 def json_extract(s: Source) -> DataFrame:
-    return s.queue_messages.select("msg_id", F.get_json_object("message", "$.k").cast("int").alias("k"))
+    group = F.coalesce(queues.group_of(F.col("headers")), F.lit(claims.NO_GROUP))
+    return s.queue_messages.select("msg_id", F.get_json_object("message", "$.k").cast("int").alias("k"), group.alias("group_key"))
 
 
 @query("SELECT event_id, regexp_extract(props, '[0-9]+', 0) AS k, event_type FROM events")
@@ -90,21 +109,41 @@ def json_build(s: Source) -> DataFrame:
     return read.select(F.col("e.event_id").cast("long").alias("event_id"), F.regexp_extract("e.payload", "[0-9]+", 0).alias("k"), F.col("e.routing_key").alias("event_type"))
 
 
-@query("SELECT event_id, regexp_replace(props, '(\"k\": *)[0-9]+', '\\1\"[FILTERED]\"') AS payload FROM events")
+def _payload(s: Source) -> DataFrame:
+    key = F.col("o_orderkey").cast("string")
+    text = ['{"user": {"api_key":"k', key, '","id":', key, ',"keys":["a",{"Auth_Token":{"a":1,"b":[2]},"x":null}]},"note":"token=\\"abc\\", {\\"password\\":1}", "message":"m","payload":{"message":7,"arguments":null},"my-key":null,"list":["token"]}']
+    whole = F.concat(*[F.lit(x) if isinstance(x, str) else x for x in text])
+    return s.orders.select("o_orderkey", F.when(F.col("o_orderkey") % 5 == 0, "no {json").when(F.col("o_orderkey") % 5 == 1, F.concat(F.lit('[{"secret":'), key, F.lit("},[1.5]]"))).otherwise(whole).alias("payload"))
+
+
+@query("""SELECT o_orderkey, CASE o_orderkey % 5 WHEN 0 THEN 'no {json' WHEN 1 THEN '[{"secret":"[FILTERED]"},[1.5]]' ELSE
+    '{"user":{"api_key":"[FILTERED]","id":' || o_orderkey || ',"keys":["a",{"Auth_Token":"[FILTERED]","x":null}]},"note":"token=' || chr(92) || '"abc' || chr(92) || '", {' || chr(92) || '"password' || chr(92) || '":1}","message":"m","payload":{"message":7,"arguments":null},"my-key":"[FILTERED]","list":["token"]}' END AS payload FROM orders""")
 def payload_filter(s: Source) -> DataFrame:
-    return s.events.select("event_id", values.redact(F.col("props"), ["k"]).alias("payload"))
+    """Secrets masked by key at any depth, whatever is under the key; texts that only look like keys, and no JSON, stay."""
+    return _payload(s).select("o_orderkey", payloads.filtered(F.col("payload")).alias("payload"))
 
 
-@query("SELECT * FROM (VALUES (1, 'tick'), (2, NULL), (3, NULL), (4, 'a b')) t(id, event)")
+@query("""SELECT o_orderkey, CASE o_orderkey % 5 WHEN 0 THEN 'no {json' WHEN 1 THEN '[{"secret":' || o_orderkey || '},[1.5]]' ELSE
+    '{"user":{"api_key":"k' || o_orderkey || '","id":' || o_orderkey || ',"keys":["a",{"Auth_Token":{"a":1,"b":[2]},"x":null}]},"note":"token=' || chr(92) || '"abc' || chr(92) || '", {' || chr(92) || '"password' || chr(92) || '":1}","message":"[redacted]","payload":{"message":"[redacted]","arguments":null},"my-key":null,"list":["token"]}' END AS payload FROM orders""")
+def deep_redact(s: Source) -> DataFrame:
+    """Message bodies masked: leaves under the body keys, not objects, lists or null."""
+    return _payload(s).select("o_orderkey", payloads.redacted(F.col("payload")).alias("payload"))
+
+
+@query("SELECT o_orderkey, CASE o_orderkey % 5 WHEN 0 THEN lower(o_orderstatus) WHEN 1 THEN 'a ' || lower(o_orderstatus) END AS event FROM orders")
 def sse_events(s: Source) -> DataFrame:
-    rows = s.spark.createDataFrame([(1, " tick "), (2, "  "), (3, "a\nb"), (4, "a b")], "id int, name string")
-    return rows.select("id", values.sse_event(F.col("name")).alias("event"))
+    """Usable event names: stripped; blank ones and such of several lines count as none."""
+    name = F.lower("o_orderstatus")
+    kinds = [F.concat(F.lit("  "), name, F.lit(" ")), F.concat(F.lit("a "), name), F.lit("   "), F.concat(name, F.lit("\n"), name), F.concat(name, F.lit("\rx"))]
+    return s.orders.select("o_orderkey", values.sse_event(F.element_at(F.array(*kinds), (F.col("o_orderkey") % 5 + 1).cast("int"))).alias("event"))
 
 
-@query("SELECT * FROM (VALUES (1, 5), (2, 7), (3, NULL), (4, NULL), (5, 0)) t(id, position)")
+@query("""SELECT o_orderkey, CASE o_orderkey % 6 WHEN 0 THEN o_orderkey WHEN 1 THEN o_custkey WHEN 4 THEN 9223372036854775807 WHEN 5 THEN 0 END AS position FROM orders""")
 def cursors(s: Source) -> DataFrame:
-    rows = s.spark.createDataFrame([(1, "5", "9"), (2, None, "7"), (3, "-1", "3"), (4, None, "99999999999999999999"), (5, "0", None)], "id int, header string, parameter string")
-    return rows.select("id", values.cursor(F.col("header"), F.col("parameter")).cast("int").alias("position"))
+    """Positions from a header, which wins even if it is bad, or else a parameter."""
+    key, kind = F.col("o_orderkey").cast("string"), F.col("o_orderkey") % 6
+    header = F.when(kind == 0, key).when(kind == 2, F.concat(F.lit("-"), key)).when(kind == 3, "9223372036854775808").when(kind == 4, "9223372036854775807").when(kind == 5, "0")
+    return s.orders.select("o_orderkey", values.cursor(header, F.col("o_custkey").cast("string")).alias("position"))
 
 
 @query("SELECT stream_name, greatest(0, max(msg_id) - 2) AS since_id, 0 AS since_start, max(msg_id) AS since_mark FROM stream_messages GROUP BY 1")
@@ -124,43 +163,71 @@ def poll_backoff(s: Source) -> DataFrame:
     return s.events.select("event_id", F.round(values.poll_interval(F.lit(0.1), F.col("user_id") % 2 == 0), 4).alias("poll_s"))
 
 
-@query("SELECT * FROM (VALUES ('[Worker] started', 'Worker', 'started'), ('plain', NULL, 'plain'), ('[A] [B] x', 'A', '[B] x')) t(line, component, message)")
+@query("""SELECT o_orderkey, CASE o_orderkey % 4 WHEN 0 THEN NULL WHEN 3 THEN 'A' ELSE o_orderpriority END AS component, CASE o_orderkey % 4 WHEN 0 THEN 'plain ' || CAST(o_custkey AS VARCHAR) WHEN 1 THEN 'started ' || CAST(o_custkey AS VARCHAR) WHEN 2 THEN 'x' ELSE '[B] ' || CAST(o_custkey AS VARCHAR) END AS message,
+    '{"severity":"INFO","component":' || CASE o_orderkey % 4 WHEN 0 THEN 'null' WHEN 3 THEN '"A"' ELSE '"' || o_orderpriority || '"' END || ',"message":"' || CASE o_orderkey % 4 WHEN 0 THEN 'plain ' || CAST(o_custkey AS VARCHAR) WHEN 1 THEN 'started ' || CAST(o_custkey AS VARCHAR) WHEN 2 THEN 'x' ELSE '[B] ' || CAST(o_custkey AS VARCHAR) END || '"}' AS json FROM orders""")
 def log_lines(s: Source) -> DataFrame:
-    rows = s.spark.createDataFrame([("[Worker] started",), ("plain",), ("[A] [B] x",)], "line string")
-    return rows.select("line", values.log_parts(F.col("line")).alias("p")).select("line", "p.*")
+    kind, clerk, own = F.col("o_orderkey") % 4, F.col("o_custkey").cast("string"), F.concat(F.lit("["), "o_orderpriority", F.lit("] "))
+    line = F.when(kind == 0, F.concat(F.lit("plain "), clerk)).when(kind == 1, F.concat(own, F.lit("started "), clerk)).when(kind == 2, F.concat(own, F.lit("x"))).otherwise(F.concat(F.lit("[A] [B] "), clerk))
+    rows = s.orders.select("o_orderkey", values.log_parts(line).alias("p")).select("o_orderkey", "p.*")
+    return rows.withColumn("json", values.log_json(F.lit("INFO"), F.col("component"), F.col("message")))
 
 
-@query("SELECT * FROM (VALUES ('default', 0, 5), ('mailers', 0, 5), ('low', 1, 2)) t(queue_name, capsule, threads)")
+@query("""SELECT n_nationkey, q AS queue_name, CASE WHEN q = 'low' THEN 1 ELSE 0 END AS capsule, CASE WHEN q = 'low' THEN 2 ELSE n_nationkey + 1 END AS threads, CAST(NULL AS VARCHAR) AS repeated
+    FROM nation, (VALUES ('default'), ('mailers'), ('low')) v(q) WHERE n_nationkey % 4 <> 3 UNION ALL SELECT n_nationkey, NULL, NULL, NULL, 'default' FROM nation WHERE n_nationkey % 4 = 3""")
 def capsule_strings(s: Source) -> DataFrame:
-    """'q1,q2: n; q3: m' as rows of queue, capsule and threads."""
-    parts = s.spark.createDataFrame([("default,mailers: 5; low: 2",)], "spec string").select(F.posexplode(F.split("spec", ";")).alias("capsule", "part"))
-    split = parts.select("capsule", F.split(F.trim("part"), ":").alias("p"))
-    return split.select(F.explode(F.split(F.element_at("p", 1), ",")).alias("queue_name"), "capsule", F.trim(F.element_at("p", 2)).cast("int").alias("threads")).withColumn("queue_name", F.trim("queue_name"))
+    """'q1,q2: n; q3: m' as rows of queue, capsule and threads; a spec that names a queue twice is refused, with the queue's name."""
+    spec = F.concat(F.lit("default, mailers: "), (F.col("n_nationkey") + 1).cast("string"), F.when(F.col("n_nationkey") % 4 == 3, "; low,default: 2").otherwise("; low: 2"))
+    rows = s.nation.select("n_nationkey", values.capsules(spec).alias("c")).select("n_nationkey", F.explode("c").alias("c"))
+    return rows.select("n_nationkey", "c.queue_name", "c.capsule", "c.threads", "c.repeated")
 
 
-@query("SELECT * FROM (VALUES (true, false, 3, 3, 'OK', 200), (true, false, 1, 3, 'DEGRADED', 200), (false, false, 0, 3, 'BOOTING', 503), (true, true, 3, 3, 'DRAINING', 503)) t(booted, draining, live, expected, state, code)")
+@query("""SELECT *, CASE state WHEN 'OK' THEN 200 WHEN 'DEGRADED' THEN 200 ELSE 503 END AS code FROM (SELECT o_orderkey,
+    CASE WHEN o_orderkey % 5 = 0 THEN 'DRAINING' WHEN o_orderkey % 7 = 0 THEN 'BOOTING' WHEN o_custkey % 4 >= o_orderkey % 3 THEN 'OK' ELSE 'DEGRADED' END AS state FROM orders) o""")
 def readiness(s: Source) -> DataFrame:
-    rows = s.spark.createDataFrame([(True, False, 3, 3), (True, False, 1, 3), (False, False, 0, 3), (True, True, 3, 3)], "booted boolean, draining boolean, live int, expected int")
-    rows = rows.withColumn("state", metrics.readiness(F.col("booted"), F.col("draining"), F.col("live"), F.col("expected")))
+    key = F.col("o_orderkey")
+    rows = s.orders.select("o_orderkey", metrics.readiness(key % 7 != 0, key % 5 == 0, F.col("o_custkey") % 4, key % 3).alias("state"))
     return rows.withColumn("code", metrics.http_status(F.col("state")))
 
 
-@query("SELECT * FROM (VALUES ('off', 0), ('shared', 1), ('fork', 5)) t(scope, connections)")
+@query("SELECT c_custkey, CASE WHEN c_custkey % 3 = 0 THEN 0 WHEN c_custkey % 3 = 1 THEN CASE WHEN c_nationkey % 4 + c_custkey % 2 > 0 THEN 1 ELSE 0 END ELSE c_nationkey % 4 + c_custkey % 2 END AS connections FROM customer")
 def listen_budget(s: Source) -> DataFrame:
-    rows = s.spark.createDataFrame([("off",), ("shared",), ("fork",)], "scope string")
-    return rows.withColumn("connections", metrics.listen_connections(F.col("scope"), F.lit(3), F.lit(2)))
+    """Connections by scope, number of capsules and of consumers."""
+    scope = F.element_at(F.array(F.lit("off"), F.lit("shared"), F.lit("fork")), (F.col("c_custkey") % 3 + 1).cast("int"))
+    return s.customer.select("c_custkey", metrics.listen_connections(scope, F.col("c_nationkey") % 4, F.col("c_custkey") % 2).alias("connections"))
 
 
-@query("SELECT 5 + 3 + 2 AS connections")
+@query("SELECT sum(CASE WHEN c_custkey % 4 = 0 THEN 3 ELSE c_nationkey END) + 2 AS connections FROM customer")
 def pool_size(s: Source) -> DataFrame:
-    rows = s.spark.createDataFrame([("threads", 5), ("async", 40)], "mode string, threads int")
-    return metrics.pool_size(rows).select(F.col("connections").cast("int").alias("connections"))
+    """Connections for capsules, a quarter of them asynchronous."""
+    return metrics.pool_size(s.customer.select(F.when(F.col("c_custkey") % 4 == 0, "async").otherwise("threads").alias("mode"), F.col("c_nationkey").alias("threads")))
+
+
+_POOLS = """SELECT o_orderkey, CASE WHEN o_orderkey % 97 = 0 THEN NULL ELSE o_custkey % 14 END AS size, least(o_custkey % 14, o_orderkey % 13) AS available, 100 + o_custkey % 300 AS maxc,
+    CASE WHEN o_orderkey % 89 = 0 THEN NULL ELSE (o_orderkey * 7) % (90 + o_custkey % 300) + 10 END AS used, o_orderkey % 6 AS peers, 3 AS baseline,
+    CASE WHEN o_custkey % 2 = 0 THEN 10 END AS cap, o_orderkey % 4 <> 1 AS may_shrink FROM orders"""
+
+
+def _pools(s: Source) -> DataFrame:
+    key, cust = F.col("o_orderkey"), F.col("o_custkey")
+    return s.orders.select(
+        "o_orderkey", F.when(key % 97 != 0, cust % 14).alias("size"), F.least(cust % 14, key % 13).alias("available"), (100 + cust % 300).alias("maxc"),
+        F.when(key % 89 != 0, (key * 7) % (90 + cust % 300) + 10).alias("used"), (key % 6).alias("peers"), F.lit(3).alias("baseline"), F.when(cust % 2 == 0, 10).alias("cap"), (key % 4 != 1).alias("may_shrink"),
+    )
 
 
-@query("SELECT * FROM (VALUES (6, 6, 9), (1, 6, 5), (3, 6, 6), (10, 10, 10)) t(busy, size, next)")
+@query(f"""SELECT o_orderkey, action, CAST(CASE action WHEN 'emergency_shrink' THEN baseline WHEN 'grow' THEN target WHEN 'shrink' THEN greatest(baseline, size - 4) ELSE size END AS BIGINT) AS size FROM (
+    SELECT *, CASE WHEN maxc IS NULL OR used IS NULL THEN 'hold'
+        WHEN free < margin THEN CASE WHEN coalesce(size, 0) > baseline THEN 'emergency_shrink' ELSE 'hold' END
+        WHEN size IS NULL OR available IS NULL OR size <= 0 THEN 'hold'
+        WHEN busy >= 0.85 THEN CASE WHEN free <= reserve OR size <= 1 OR delta < 1 OR target <= size THEN 'hold' ELSE 'grow' END
+        WHEN may_shrink AND busy < 0.30 THEN CASE WHEN size <= baseline THEN 'hold' ELSE 'shrink' END ELSE 'hold' END AS action FROM (
+    SELECT *, CASE WHEN cap IS NULL THEN size + delta ELSE least(size + delta, cap) END AS target FROM (
+    SELECT *, least(floor(0.25 * (free / (greatest(peers, 1) * 1.5))), 4, free // 2) AS delta, CASE WHEN size > 0 THEN (size - available) / size END AS busy,
+        greatest(5, ceil(0.05 * maxc)) AS margin, greatest(20, ceil(0.20 * maxc)) AS reserve FROM (SELECT *, maxc - used AS free FROM ({_POOLS}) p) a) b) c) d""")
 def pool_autoscale(s: Source) -> DataFrame:
-    rows = s.spark.createDataFrame([(6, 6), (1, 6), (3, 6), (10, 10)], "busy int, size int")
-    return rows.withColumn("next", metrics.autoscale(F.col("busy"), F.col("size"), F.lit(3), F.lit(10), F.lit(20)).cast("int"))
+    c = F.col
+    step = metrics.autoscale(c("size"), c("available"), c("maxc"), c("used"), c("peers"), c("baseline"), c("cap"), c("may_shrink"))
+    return _pools(s).select("o_orderkey", step.alias("step")).select("o_orderkey", "step.action", "step.size")
 
 
 _LENGTHS = "SELECT queue_name, count(*) AS length FROM queue_messages GROUP BY queue_name"
@@ -204,6 +271,9 @@ def probe_gauges(s: Source) -> DataFrame:
     return rows.unpivot("queue_name", ["queue_depth", "queue_latency_ms"], "gauge", "value")
 
 
-@query("SELECT * FROM (VALUES ('STALLED', 'fail'), ('DEGRADED', 'warn'), ('OK', 'ok')) t(verdict, status)")
+@query("SELECT o_orderkey, CASE o_orderkey % 3 WHEN 0 THEN 'fail' WHEN 1 THEN 'warn' ELSE 'ok' END AS status, CASE o_orderkey % 3 WHEN 0 THEN o_orderpriority WHEN 1 THEN 'b' END AS detail FROM orders")
 def verdict_status(s: Source) -> DataFrame:
-    return s.spark.createDataFrame([("STALLED",), ("DEGRADED",), ("OK",)], "verdict string").withColumn("status", metrics.check_status(F.col("verdict")))
+    """A check's status and its first reason."""
+    status = F.element_at(F.array(F.lit("STALLED"), F.lit("DEGRADED"), F.lit("OK")), (F.col("o_orderkey") % 3 + 1).cast("int"))
+    reasons = F.when(status == "STALLED", F.array("o_orderpriority", F.lit("b"))).when(status == "DEGRADED", F.array(F.lit("b"))).otherwise(F.expr("CAST(array() AS array<string>)"))
+    return s.orders.select("o_orderkey", metrics.check_status(status).alias("status"), F.get(reasons, F.lit(0)).alias("detail"))

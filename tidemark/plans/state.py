@@ -10,6 +10,7 @@ from tidemark.operators import schedules, state
 from tidemark.plans.registry import query
 from tidemark.sources import queues
 from tidemark.sources.views import NOW, Source
+from tidemark.streaming import fanout
 
 _T = f"TIMESTAMP '{NOW}'"
 
@@ -19,10 +20,23 @@ def idempotent_claim(s: Source) -> DataFrame:
     return state.to_run(s.processed_events.select("event_id", "handler_class"), s.processed_events)
 
 
-@query("""SELECT user_id, ts, event_id FROM (SELECT *, lag(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS before FROM events) e
-    WHERE before IS NULL OR epoch(ts - before) >= 3600""")
+_HOPS = """WITH RECURSIVE first AS (SELECT {key}, min(ts) AS ts FROM events GROUP BY ALL),
+    hops AS (SELECT * FROM first UNION ALL SELECT h.{key}, (SELECT min(e.ts) FROM events e WHERE e.{key} = h.{key} AND {then}) FROM hops h WHERE h.ts IS NOT NULL)"""
+
+
+@query(_HOPS.format(key="user_id", then="e.ts > h.ts + INTERVAL 3600 SECOND") + " SELECT user_id, ts FROM hops WHERE ts IS NOT NULL")
 def dedup_cache(s: Source) -> DataFrame:
-    return state.dedup_window(s.events.select("user_id", "ts", "event_id"), "user_id", "ts", 3600)
+    """Times at which a user's events pass one cache for all: those more than the TTL after the last that passed."""
+    rows = s.events.select(F.lit("worker").alias("process"), F.col("user_id"), "ts").distinct()
+    return state.dedup_cache(rows, "process", "user_id", "ts", 3600).select("user_id", "ts")
+
+
+@query("""SELECT event_type, user_id, ts, event_id FROM (SELECT *, lag(user_id) OVER w AS before, lag(ts) OVER w AS at FROM events WINDOW w AS (PARTITION BY event_type ORDER BY ts, user_id, event_id)) e
+    WHERE before IS NULL OR before <> user_id""")
+def dedup_cache_of_one(s: Source) -> DataFrame:
+    """A cache of one entry a process: an event passes if its key is not the one that passed last."""
+    rows = s.events.select("event_type", "user_id", "ts", "event_id")
+    return state.dedup_cache(rows, "event_type", "user_id", "ts", 10**8, max_size=1)
 
 
 _BATCH = """SELECT batch_id, count(*) AS total, count(*) FILTER (WHERE outcome = 'completed') AS completed, count(*) FILTER (WHERE outcome = 'discarded') AS discarded FROM batch_jobs GROUP BY batch_id"""
@@ -33,15 +47,59 @@ def batch_progress(s: Source) -> DataFrame:
     return state.batch_progress(s.batch_jobs)
 
 
-@query("SELECT lock_key, min(msg_id) AS msg_id FROM locks WHERE lock_key NOT IN ('lock7', 'lock8') GROUP BY lock_key")
+@query("""SELECT lock_key, msg_id, CASE WHEN lock_key NOT IN (SELECT lock_key FROM locks WHERE user_id = 1) AND msg_id = min(msg_id) OVER (PARTITION BY lock_key) THEN 'enqueued' ELSE 'discarded' END AS outcome FROM locks""")
 def uniqueness_acquire(s: Source) -> DataFrame:
-    held = s.spark.createDataFrame([("lock7",), ("lock8",)], "lock_key string")
-    return state.acquire(s.locks.select("lock_key", "msg_id"), held, "msg_id")
+    held = s.locks.where("user_id = 1").select("lock_key")
+    return state.uniqueness(s.locks.select("lock_key", "msg_id"), held, "msg_id", on_conflict="discard")
+
+
+@query("SELECT outcome, count(*) AS n FROM (SELECT 'enqueued' AS outcome FROM locks) o GROUP BY 1")
+def uniqueness_while_executing(s: Source) -> DataFrame:
+    return state.uniqueness(s.locks.select("lock_key", "msg_id"), s.locks.select("lock_key"), "msg_id", until="executing").groupBy("outcome").agg(F.count("*").alias("n"))
+
+
+@query("SELECT lock_key, min(msg_id) AS msg_id FROM locks WHERE lock_key NOT IN (SELECT lock_key FROM locks WHERE user_id = 1) GROUP BY lock_key")
+def lock_winners(s: Source) -> DataFrame:
+    return state.acquire(s.locks.select("lock_key", "msg_id"), s.locks.where("user_id = 1").select("lock_key"), "msg_id")
+
+
+_HELD = "SELECT lock_key AS key, count(*) AS value, 3 AS max_value, max(created_at) AS expires_at FROM locks WHERE user_id < 3 GROUP BY 1"
+
+
+def _held(s: Source) -> DataFrame:
+    rows = s.locks.where("user_id < 3").groupBy(F.col("lock_key").alias("key"))
+    return rows.agg(F.count("*").alias("value"), F.lit(3).cast("long").alias("max_value"), F.max("created_at").alias("expires_at"))
+
+
+_GRANTS = f"""SELECT l.lock_key AS key, l.msg_id, l.created_at, row_number() OVER (PARTITION BY l.lock_key ORDER BY l.msg_id) + coalesce(h.value, 0) <= 3 AS granted
+    FROM locks l LEFT JOIN ({_HELD}) h ON h.key = l.lock_key WHERE l.user_id >= 3"""
+
+
+def _grants(s: Source) -> DataFrame:
+    return state.semaphore_grants(s.locks.where("user_id >= 3").select(F.col("lock_key").alias("key"), "msg_id", "created_at"), 3, "msg_id", _held(s))
 
 
-@query("SELECT lock_key AS key, msg_id, row_number() OVER (PARTITION BY lock_key ORDER BY msg_id) <= 2 AS granted FROM locks")
+@query(f"SELECT key, msg_id, granted FROM ({_GRANTS}) g")
 def semaphore_acquire(s: Source) -> DataFrame:
-    return state.semaphore_grants(s.locks.select(F.col("lock_key").alias("key"), "msg_id"), 2, "msg_id")
+    return _grants(s).select("key", "msg_id", "granted")
+
+
+@query(f"""SELECT coalesce(h.key, n.key) AS key, coalesce(h.value, 0) + coalesce(n.n, 0) AS value, 3 AS max_value, greatest(coalesce(h.expires_at, n.until), coalesce(n.until, h.expires_at)) AS expires_at
+    FROM ({_HELD}) h FULL JOIN (SELECT key, count(*) AS n, max(created_at) + INTERVAL 60 SECOND AS until FROM ({_GRANTS}) g WHERE granted GROUP BY key) n ON n.key = h.key""")
+def semaphore_values(s: Source) -> DataFrame:
+    """Semaphores after the requests: slots taken and the latest expiry."""
+    granted = _grants(s).where("granted").select("key", (F.col("created_at") + F.expr("INTERVAL 60 SECOND")).alias("expires_at"))
+    return state.semaphores_after(_held(s), granted, 3)
+
+
+@query(f"""SELECT h.key, b.id FROM ({_HELD}) h LEFT JOIN (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY concurrency_key ORDER BY priority, created_at, id) AS r FROM
+    (SELECT id, 'lock' || CAST(id % 500 AS VARCHAR) AS concurrency_key, priority, created_at, expires_at FROM blocked) k WHERE expires_at > TIMESTAMP '2024-01-15 00:00:00') x WHERE r = 1) b ON b.concurrency_key = h.key
+    WHERE h.expires_at < TIMESTAMP '2024-01-15 00:00:00'""")
+def semaphore_expiry(s: Source) -> DataFrame:
+    """Keys whose semaphore has expired, with the blocked execution that may go on now."""
+    blocked = s.blocked.withColumn("concurrency_key", F.concat(F.lit("lock"), (F.col("id") % 500).cast("string")))
+    gone, _, free = state.semaphores_expired(_held(s), blocked, "2024-01-15 00:00:00")
+    return gone.join(free.select(F.col("concurrency_key").alias("key"), "id"), "key", "left")
 
 
 @query("SELECT lock_key AS key, greatest(3 - count(*), 0) AS value FROM locks GROUP BY 1")
@@ -128,9 +186,12 @@ def message_exists(s: Source) -> DataFrame:
     return state.message_exists(ids, s.queue_messages)
 
 
-@query("SELECT m.queue_name, m.msg_id FROM queue_messages m WHERE m.read_ct > 1 AND NOT EXISTS (SELECT 1 FROM failed_events f WHERE f.msg_id = m.msg_id)")
+@query("""SELECT m.queue_name, m.msg_id FROM queue_messages m WHERE m.read_ct > 1 AND NOT EXISTS
+    (SELECT 1 FROM (SELECT msg_id, CASE WHEN msg_id % 2 = 0 THEN 'mq_default' ELSE 'mq_low' END AS queue_name FROM failed_events) f WHERE f.queue_name = m.queue_name AND f.msg_id = m.msg_id)""")
 def zombies(s: Source) -> DataFrame:
-    return s.queue_messages.where("read_ct > 1").join(s.failed_events.select("msg_id"), "msg_id", "left_anti").select("queue_name", "msg_id")
+    """Messages read again though no failure of that queue and message is on record."""
+    failures = s.failed_events.select("msg_id", F.when(F.col("msg_id") % 2 == 0, "mq_default").otherwise("mq_low").alias("queue_name"))
+    return state.zombies(s.queue_messages, failures).select("queue_name", "msg_id")
 
 
 @query("SELECT queue_name, error_class, max(failed_at) AS failed_at, count(*) AS n FROM failed_events GROUP BY 1, 2")
@@ -150,9 +211,16 @@ def failed_page(s: Source) -> DataFrame:
     return s.failed_events.orderBy(F.desc("failed_at"), "msg_id").offset(25).limit(25).select("queue_name", "msg_id", "error_class")
 
 
-@query("SELECT msg_id % 1000 AS short_id, count(DISTINCT queue_name) AS queues FROM queue_messages GROUP BY 1 HAVING count(DISTINCT queue_name) > 1")
+@query("SELECT event_id, handler_class FROM processed_events ORDER BY processed_at DESC, CAST(event_id AS BIGINT) LIMIT 25 OFFSET 75")
+def processed_page(s: Source) -> DataFrame:
+    return s.processed_events.orderBy(F.desc("processed_at"), F.col("event_id").cast("long")).offset(75).limit(25).select("event_id", "handler_class")
+
+
+@query("SELECT msg_id, count(DISTINCT queue_name) AS queues FROM (SELECT msg_id, queue_name FROM queue_messages UNION ALL SELECT msg_id, 'mq_other_dlq' FROM failed_events) u WHERE ends_with(queue_name, '_dlq') GROUP BY msg_id HAVING count(DISTINCT queue_name) > 1")
 def ambiguous_ids(s: Source) -> DataFrame:
-    return s.queue_messages.groupBy((F.col("msg_id") % 1000).alias("short_id")).agg(F.countDistinct("queue_name").alias("queues")).where("queues > 1")
+    """Ids that more than one dead-letter queue holds."""
+    rows = s.queue_messages.select("msg_id", "queue_name").unionByName(s.failed_events.select("msg_id", F.lit("mq_other_dlq").alias("queue_name")))
+    return rows.where(names.is_dead_letters(F.col("queue_name"))).groupBy("msg_id").agg(F.countDistinct("queue_name").alias("queues")).where("queues > 1")
 
 
 @query("SELECT queue_name, 'a_' || queue_name || '_msg_id_idx' AS index_name FROM (SELECT DISTINCT queue_name FROM queue_messages) q WHERE queue_name NOT LIKE '%dlq'")
@@ -186,11 +254,14 @@ def pending_events(s: Source) -> DataFrame:
     return queues.page(s.queue_messages.join(F.broadcast(handlers), "queue_name", "left_semi"), 50).select("msg_id", "queue_name")
 
 
-@query("SELECT stream_name, msg_id FROM stream_messages WHERE role = 'assistant' OR (role = 'user' AND msg_id < 3)")
+@query("""SELECT c.client, m.stream_name, m.msg_id FROM (SELECT *, CASE role WHEN 'system' THEN 'typo' WHEN 'assistant' THEN NULL ELSE CASE WHEN msg_id % 4 = 0 THEN 'admins' ELSE 'members' END END AS label FROM stream_messages) m,
+    (VALUES ('root', true, 1), ('guest', false, NULL)) c(client, admin, level) WHERE m.label IS NULL OR (m.label = 'admins' AND c.admin) OR (m.label = 'members' AND coalesce(c.level > 0, false))""")
 def audience_filter(s: Source) -> DataFrame:
-    """Rows whose label has a predicate that holds; unknown labels ('system') are dropped."""
-    keep = F.when(F.col("role") == "assistant", True).when(F.col("role") == "user", F.col("msg_id") < 3)
-    return s.stream_messages.where(F.coalesce(keep, F.lit(False))).select("stream_name", "msg_id")
+    """Who sees which broadcast: no label, everybody; an unknown label or a predicate without an answer, nobody."""
+    clients = s.spark.createDataFrame([("root", True, 1), ("guest", False, None)], "client string, admin boolean, level int")
+    label = F.when(F.col("role") == "system", "typo").when(F.col("role") != "assistant", F.when(F.col("msg_id") % 4 == 0, "admins").otherwise("members"))
+    rows = s.stream_messages.withColumn("label", label).join(F.broadcast(clients))  # two rows
+    return rows.where(fanout.visible_to(F.col("label"), {"admins": F.col("admin"), "members": F.col("level") > 0})).select("client", "stream_name", "msg_id")
 
 
 @query("SELECT event_id, user_id FROM events WHERE user_id IS NULL OR user_id <> 7")
@@ -198,10 +269,24 @@ def exclude_filter(s: Source) -> DataFrame:
     return s.events.where(F.col("user_id").isNull() | (F.col("user_id") != 7)).select("event_id", "user_id")
 
 
-@query("SELECT key, run_at FROM (SELECT 'hourly' AS key, unnest(generate_series(TIMESTAMP '2024-01-01 00:00:00', TIMESTAMP '2024-01-03 23:59:00', INTERVAL 1 MINUTE)) AS run_at UNION ALL SELECT 'weekday', unnest(generate_series(TIMESTAMP '2024-01-01 00:00:00', TIMESTAMP '2024-01-03 23:59:00', INTERVAL 1 MINUTE))) t WHERE (key = 'hourly' AND minute(run_at) = 5) OR (key = 'weekday' AND minute(run_at) % 20 = 0 AND hour(run_at) BETWEEN 9 AND 11 AND dayofweek(run_at) BETWEEN 1 AND 2)")
+_CRONS = {"hourly": "5 * * * *", "weekday": "*/20 9-11 * * mon-tue", "monthly": "0 6 1,15 jan *"}
+
+
+@query("""SELECT n_name AS key, run_at FROM (SELECT n_name, n_nationkey % 3 AS kind, unnest(generate_series(TIMESTAMP '2024-01-01 00:00:00', TIMESTAMP '2024-01-16 23:59:00', INTERVAL 1 MINUTE)) AS run_at FROM nation) t
+    WHERE (kind = 0 AND minute(run_at) = 5) OR (kind = 1 AND minute(run_at) % 20 = 0 AND hour(run_at) BETWEEN 9 AND 11 AND dayofweek(run_at) IN (1, 2))
+    OR (kind = 2 AND minute(run_at) = 0 AND hour(run_at) = 6 AND day(run_at) IN (1, 15) AND month(run_at) = 1)""")
 def cron_due(s: Source) -> DataFrame:
-    tasks = s.spark.createDataFrame([("hourly",), ("weekday",)], "key string")
-    return schedules.due_runs(tasks, {"hourly": "5 * * * *", "weekday": "*/20 9-11 * * 1-2"}, "2024-01-01 00:00:00", "2024-01-03 23:59:00")
+    kind = F.element_at(F.array(*map(F.lit, _CRONS)), (F.col("n_nationkey") % 3 + 1).cast("int"))
+    return schedules.due_runs(s.nation.select(F.col("n_name").alias("key"), kind.alias("kind")), _CRONS, "2024-01-01 00:00:00", "2024-01-16 23:59:00", "kind")
+
+
+@query("""SELECT event_id, date_trunc('hour', ts) + INTERVAL 5 MINUTE + CASE WHEN minute(ts) >= 5 THEN INTERVAL 1 HOUR ELSE INTERVAL 0 HOUR END AS next_at,
+    date_trunc('hour', ts) + INTERVAL 5 MINUTE - CASE WHEN ts > date_trunc('hour', ts) + INTERVAL 5 MINUTE THEN INTERVAL 0 HOUR ELSE INTERVAL 1 HOUR END AS previous_at,
+    CASE WHEN epoch(ts - date_trunc('hour', ts)) BETWEEN 300 AND 900 THEN date_trunc('hour', ts) + INTERVAL 5 MINUTE END AS run_at FROM events""")
+def cron_neighbours(s: Source) -> DataFrame:
+    """Due times around each event, and the one that a look at the clock then would fire."""
+    ts, cron = F.col("ts"), _CRONS["hourly"]
+    return s.events.select("event_id", schedules.next_due(ts, cron, 2).alias("next_at"), schedules.previous_due(ts, cron, 2).alias("previous_at"), schedules.run_time(ts, cron, 600).alias("run_at"))
 
 
 @query("SELECT t.key, e.last_run_at FROM (VALUES ('u1'), ('u2'), ('none')) t(key) LEFT JOIN (SELECT 'u' || CAST(user_id AS VARCHAR) AS key, max(ts) AS last_run_at FROM events GROUP BY 1) e ON e.key = t.key")
@@ -215,34 +300,48 @@ def recurring_dedup(s: Source) -> DataFrame:
     return s.events.select("user_id", F.date_trunc("hour", "ts").cast("timestamp_ntz").alias("run_at")).dropDuplicates(["user_id", "run_at"])
 
 
-@query("SELECT * FROM (VALUES ('a', true, '1'), ('c', false, 'old'), ('d', true, '2')) t(key, static, command)")
+@query("SELECT CAST(r_regionkey AS VARCHAR) || n AS key, n = 'a' AS static, n || r_name AS command FROM region, (VALUES ('a'), ('c')) v(n) WHERE n = 'a' OR r_regionkey % 2 = 0")
 def recurring_sync(s: Source) -> DataFrame:
-    schema = "key string, static boolean, command string"
-    old = s.spark.createDataFrame([("a", True, "old"), ("b", True, "old"), ("c", False, "old")], schema)
-    return state.sync(old, s.spark.createDataFrame([("a", True, "1"), ("d", True, "2")], schema), ["key"])
+    """Recurring tasks after a sync: the configured ones ('a') replace their old rows, other static ones ('b') go, the rest ('c') stay."""
+    task = lambda n, static, command: s.region.select(F.concat(F.col("r_regionkey").cast("string"), F.lit(n)).alias("key"), F.lit(static).alias("static"), command.alias("command"))
+    name = F.col("r_name")
+    old = task("a", True, F.lit("old")).unionByName(task("b", True, name)).unionByName(task("c", False, F.concat(F.lit("c"), name)).where("key RLIKE '^[024]'"))
+    return state.sync(old, task("a", True, F.concat(F.lit("a"), name)), ["key"])
 
 
-@query("SELECT * FROM (VALUES ('default', false), ('billing', false), ('low', true)) t(queue_name, paused)")
+@query("SELECT regexp_replace(queue_name, '^mq_', '') AS queue_name, count(*) % 2 = 0 AS paused FROM queue_messages GROUP BY 1")
 def pause_resume(s: Source) -> DataFrame:
-    new = s.spark.createDataFrame([("default", False), ("low", True)], "queue_name string, paused boolean")
+    """Queue states after every queue was paused or resumed by the parity of its length; none was there twice."""
+    new = s.queue_messages.groupBy(names.logical(F.col("queue_name")).alias("queue_name")).agg((F.count("*") % 2 == 0).alias("paused"))
     return state.merge(s.queue_states, new, ["queue_name"])
 
 
 @query("SELECT pattern, queue_name FROM topic_bindings UNION ALL SELECT 'new.#', 'q_all'")
 def bind_topic(s: Source) -> DataFrame:
-    new = s.spark.createDataFrame([("new.#", "q_all"), ("#", "q_all")], "pattern string, queue_name string")
-    return state.bound(s.topic_bindings.select("pattern", "queue_name"), new)
+    """Bindings after new ones: known ones stay as they are, bad patterns and queues that don't exist are refused."""
+    new = s.spark.createDataFrame([("new.#", "q_all"), ("#", "q_all"), ("a.**", "q_all"), ("x.*", "q_nowhere")], "pattern string, queue_name string")
+    queues_ = s.topic_bindings.select("queue_name").distinct()
+    return state.bound(s.topic_bindings.select("pattern", "queue_name"), state.bindable(new, queues_)[0])
+
+
+@query("SELECT * FROM (VALUES ('a.**', 'pattern'), ('x.*', 'queue')) v(pattern, refused)")
+def bind_topic_refused(s: Source) -> DataFrame:
+    new = s.spark.createDataFrame([("new.#", "q_all"), ("a.**", "q_all"), ("x.*", "q_nowhere")], "pattern string, queue_name string")
+    return state.bindable(new, s.topic_bindings.select("queue_name").distinct())[1].select("pattern", "refused")
 
 
-@query("SELECT count(*) AS bindings, count(DISTINCT queue_name) AS queues FROM topic_bindings WHERE pattern <> '#'")
+@query("SELECT pattern, queue_name, queue_name = 'q_all' AS existed FROM (SELECT DISTINCT pattern, 'q_all' AS queue_name FROM topic_bindings WHERE queue_name = 'q_all' UNION ALL SELECT '#', 'q_click') v")
 def unbind_topic(s: Source) -> DataFrame:
-    gone = s.spark.createDataFrame([("#", "q_all")], "pattern string, queue_name string")
-    return s.topic_bindings.join(gone, ["pattern", "queue_name"], "left_anti").agg(F.count("*").alias("bindings"), F.countDistinct("queue_name").alias("queues"))
+    """Which of the bindings to remove were there."""
+    gone = s.topic_bindings.where("queue_name = 'q_all'").select("pattern", "queue_name").unionByName(s.spark.createDataFrame([("#", "q_click")], "pattern string, queue_name string"))
+    return state.unbound(s.topic_bindings, gone)[0]
 
 
-@query("SELECT queue_name, count(*) AS patterns, max(pattern) AS last_pattern FROM topic_bindings GROUP BY queue_name")
+@query("SELECT pattern, queue_name, bound_at FROM (SELECT *, TIMESTAMP '2024-01-01 00:00:00' + to_hours(length(pattern)) AS bound_at FROM topic_bindings) b ORDER BY bound_at DESC, pattern, queue_name LIMIT 4")
 def list_bindings(s: Source) -> DataFrame:
-    return s.topic_bindings.groupBy("queue_name").agg(F.count("*").alias("patterns"), F.max("pattern").alias("last_pattern"))
+    """Bindings by bound_at, newest first, then pattern; a page of them."""
+    rows = s.topic_bindings.withColumn("bound_at", times.moment("2024-01-01 00:00:00") + F.make_dt_interval(hours=F.length("pattern")))
+    return state.bindings(rows).limit(4).select("pattern", "queue_name", "bound_at")
 
 
 @query("SELECT a.id AS id, max(b.priority) AS max_priority FROM (SELECT user_id AS id, user_id % 5 AS q FROM events GROUP BY 1, 2) a JOIN (SELECT user_id AS id, user_id % 5 AS q, user_id % 11 AS priority FROM events GROUP BY 1, 2, 3) b ON a.q = b.q GROUP BY 1")
@@ -267,14 +366,26 @@ def bulk_discard(s: Source) -> DataFrame:
     return rest.groupBy("queue_name").agg(F.count("*").alias("n"))
 
 
-@query(f"SELECT event_id, handler_class, {_T} AS processed_at FROM processed_events WHERE completed_at IS NULL AND event_id LIKE '%9'")
+@query(f"SELECT event_id, handler_class, {_T} AS processed_at FROM processed_events WHERE completed_at IS NULL")
 def mark_handled(s: Source) -> DataFrame:
-    rows = s.processed_events.where("completed_at IS NULL AND event_id LIKE '%9'")
-    return rows.select("event_id", "handler_class", times.moment(NOW).alias("processed_at"))
+    """Every pending event marked as handled; its message is archived."""
+    pending = s.processed_events.where("completed_at IS NULL").select("event_id", "handler_class")
+    return state.handled(pending, NOW)
 
 
-@query("SELECT count(*) FILTER (WHERE vt > enqueued_at) AS delayed, CAST(max(read_ct) AS INTEGER) AS reads FROM queue_messages WHERE read_ct > 5")
-def dead_letter_decision(s: Source) -> DataFrame:
-    return s.queue_messages.where("read_ct > 5").agg(F.count_if(F.col("vt") > F.col("enqueued_at")).alias("delayed"), F.max("read_ct").alias("reads"))
+@query("SELECT routing_key AS target, count(*) AS n FROM (SELECT e.event_id, m.routing_key FROM processed_events e JOIN queue_messages m ON CAST(m.msg_id AS VARCHAR) = e.event_id WHERE e.completed_at IS NOT NULL) r GROUP BY 1")
+def replay_events(s: Source) -> DataFrame:
+    """Handled events as they would be published again: by routing key, or by handler where there is none."""
+    rows = s.processed_events.where("completed_at IS NOT NULL").join(s.queue_messages.select(F.col("msg_id").cast("string").alias("event_id"), "routing_key"), "event_id")
+    return state.replayed(rows).groupBy("target").agg(F.count("*").alias("n"))
+
 
+@query("SELECT CASE WHEN read_ct > 5 THEN 'dead_lettered' WHEN msg_id % 7 = 0 THEN 'skipped' WHEN msg_id % 3 > 0 THEN 'success' ELSE 'failed' END AS outcome, CASE WHEN read_ct > 5 THEN 'move' WHEN msg_id % 7 <> 0 AND msg_id % 3 > 0 THEN 'archive' ELSE 'leave' END AS effect, count(*) AS n FROM queue_messages GROUP BY 1, 2")
+def job_effects(s: Source) -> DataFrame:
+    outcome = state.job_outcome(F.col("read_ct"), F.col("msg_id") % 3 > 0, locked=F.col("msg_id") % 7 == 0)
+    return s.queue_messages.groupBy(outcome.alias("outcome"), state.job_effects(outcome).alias("effect")).agg(F.count("*").alias("n"))
 
+
+@query("SELECT msg_id, read_ct > 5 AS dead FROM queue_messages")
+def dead_letter_decision(s: Source) -> DataFrame:
+    return s.queue_messages.select("msg_id", (state.job_outcome(F.col("read_ct"), F.lit(True)) == "dead_lettered").alias("dead"))

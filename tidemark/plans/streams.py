@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tidemark.functions import times
 from tidemark.plans.registry import query
 from tidemark.sources.views import NOW, Source
 from tidemark.streaming import fanout, live
@@ -30,21 +31,71 @@ def durable_fanout(s: Source) -> DataFrame:
     return fanout.deliveries(s.stream_messages, _clients(s), F.col("role") != "system")
 
 
-@query(f"SELECT DISTINCT c.client, m.stream_name, m.msg_id FROM stream_messages m JOIN {_CLIENTS} c ON c.stream_name = m.stream_name")
+@query("SELECT c.client, m.stream_name, m.msg_id FROM stream_messages m JOIN (SELECT DISTINCT stream_name, 'a' AS client, 0 AS sent FROM stream_messages UNION ALL SELECT DISTINCT stream_name, 'b', 2 FROM stream_messages) c ON c.stream_name = m.stream_name WHERE m.msg_id > c.sent")
 def connect_replay(s: Source) -> DataFrame:
-    every = s.stream_messages.join(_clients(s), "stream_name").select("client", "stream_name", "msg_id")
-    return fanout.replay_then_live(every, every.where("msg_id > 2"))
+    """What each client gets that connects: all of the replay, then what came in meanwhile, nothing twice or up to its last sent id."""
+    clients = _clients(s)
+    every = s.stream_messages.join(clients, "stream_name").select("client", "stream_name", "msg_id")
+    return fanout.replay_then_live(every.where("msg_id <= 3"), every.where("msg_id > 1"), clients)
 
 
-@query("SELECT * FROM (VALUES ('a', 9), ('b', 7), ('c', 3)) t(client, cursor)")
+@query("SELECT o_orderkey AS client, CASE WHEN o_orderkey % 5 = 0 THEN o_custkey WHEN o_orderkey % 3 = 0 THEN o_custkey + 9 ELSE o_custkey + 7 END AS cursor FROM orders")
 def write_ack(s: Source) -> DataFrame:
-    rows = s.spark.createDataFrame([("a", True, 0, 9, None, 3), ("b", True, 2, 9, 7, 3), ("c", False, 2, 9, 7, 3)], "client string, alive boolean, kept int, batch_max int, written_max int, last_sent int")
+    """Cursors after a write: dead connections keep theirs, fully filtered batches reach their end, others what was written."""
+    key, last = F.col("o_orderkey"), F.col("o_custkey")
+    kept = F.when(key % 3 == 0, 0).otherwise(2)
+    rows = s.orders.select(key.alias("client"), (key % 5 != 0).alias("alive"), kept.alias("kept"), (last + 9).alias("batch_max"), F.when(kept > 0, last + 7).alias("written_max"), last.alias("last_sent"))
     return fanout.acknowledged(rows)
 
 
-@query("SELECT user_id, max(event_id) AS event_id FROM events GROUP BY user_id, floor(epoch_us(ts) / 3600000000)")
+@query("""WITH RECURSIVE first AS (SELECT user_id, min(ts) AS ts FROM events GROUP BY 1),
+    hops AS (SELECT * FROM first UNION ALL SELECT h.user_id, (SELECT min(e.ts) FROM events e WHERE e.user_id = h.user_id AND e.ts >= h.ts + INTERVAL 3600 SECOND) FROM hops h WHERE h.ts IS NOT NULL)
+    SELECT h.user_id, h.ts + INTERVAL 3600 SECOND AS flushed_at, arg_max(e.event_id, (e.ts, e.event_id)) AS event_id FROM hops h JOIN events e ON e.user_id = h.user_id AND e.ts >= h.ts AND e.ts < h.ts + INTERVAL 3600 SECOND
+    WHERE h.ts IS NOT NULL GROUP BY 1, 2""")
 def broadcast_coalescing(s: Source) -> DataFrame:
-    return fanout.coalesced(s.events.select("user_id", "event_id", "ts"), "user_id", "ts", "event_id", 3600).select("user_id", "event_id")
+    """The last frame of each window, which its first frame opens."""
+    return fanout.coalesced(s.events.select("user_id", "event_id", "ts"), ["user_id"], "ts", "event_id", 3600).select("user_id", "event_id", "flushed_at")
+
+
+@query("SELECT event_id, CASE WHEN user_id % 3 = 0 THEN ts ELSE ts + INTERVAL 5 SECOND END AS sent_at FROM events WHERE user_id % 3 <> 1")
+def deferred_broadcasts(s: Source) -> DataFrame:
+    """Broadcasts outside (0) and inside transactions that commit (2) or roll back (1)."""
+    tx = F.when(F.col("user_id") % 3 > 0, F.col("event_id"))
+    rows = s.events.select("event_id", F.col("ts").alias("at"), tx.alias("tx_id"))
+    done = s.events.where("user_id % 3 > 0").select(F.col("event_id").alias("tx_id"), F.when(F.col("user_id") % 3 == 2, F.col("ts") + F.expr("INTERVAL 5 SECOND")).alias("committed_at"))
+    return fanout.deferred(rows, done).select("event_id", "sent_at")
+
+
+_MEMBERS = "SELECT stream_name, member_id, 'm' || member_id AS metadata, min(seen_at) AS joined_at, max(seen_at) AS last_seen_at FROM presence WHERE event_type <> 'signup' GROUP BY 1, 2"
+
+
+def _members(s: Source) -> DataFrame:
+    own = s.presence.where("event_type <> 'signup'").groupBy("stream_name", "member_id")
+    return own.agg(F.concat(F.lit("m"), F.first("member_id")).alias("metadata"), F.min("seen_at").alias("joined_at"), F.max("seen_at").alias("last_seen_at"))
+
+
+@query(f"""SELECT coalesce(m.stream_name, j.stream_name) AS stream_name, coalesce(m.member_id, j.member_id) AS member_id, CASE WHEN j.member_id IS NOT NULL THEN 'new' ELSE m.metadata END AS metadata,
+    coalesce(m.joined_at, {_T}) AS joined_at, CASE WHEN j.member_id IS NOT NULL THEN {_T} ELSE m.last_seen_at END AS last_seen_at
+    FROM ({_MEMBERS}) m FULL JOIN (SELECT DISTINCT stream_name, CASE WHEN event_id % 2 = 0 THEN member_id ELSE 'x' || member_id END AS member_id FROM presence WHERE event_type = 'signup') j ON j.stream_name = m.stream_name AND j.member_id = m.member_id""")
+def presence_join(s: Source) -> DataFrame:
+    """Members after joins of known and unknown ones."""
+    joins = s.presence.where("event_type = 'signup'").select("stream_name", F.when(F.col("event_id") % 2 == 0, F.col("member_id")).otherwise(F.concat(F.lit("x"), "member_id")).alias("member_id"), F.lit("new").alias("metadata"))
+    return fanout.members_after(_members(s), joins, NOW)
+
+
+@query(f"""SELECT stream_name, count(*) AS members, count(*) FILTER (WHERE last_seen_at = {_T}) AS touched FROM (SELECT m.stream_name, CASE WHEN t.member_id IS NOT NULL THEN {_T} ELSE m.last_seen_at END AS last_seen_at
+    FROM ({_MEMBERS}) m LEFT JOIN (SELECT DISTINCT stream_name, member_id FROM presence WHERE event_type = 'signup') t ON t.stream_name = m.stream_name AND t.member_id = m.member_id) x WHERE last_seen_at >= TIMESTAMP '2024-01-30 12:00:00' GROUP BY 1""")
+def presence_touch(s: Source) -> DataFrame:
+    """By stream the members left after some were heard of and the idle ones swept."""
+    touched = fanout.members_touched(_members(s), s.presence.where("event_type = 'signup'"), NOW)
+    _, rest = fanout.members_swept(touched, "2024-01-30 12:00:00")
+    return rest.groupBy("stream_name").agg(F.count("*").alias("members"), F.count_if(F.col("last_seen_at") == times.moment(NOW)).alias("touched"))
+
+
+@query(f"SELECT stream_name, member_id, metadata, joined_at FROM ({_MEMBERS}) m WHERE (stream_name, member_id) IN (SELECT (stream_name, member_id) FROM presence WHERE event_type = 'error')")
+def presence_leave(s: Source) -> DataFrame:
+    """Members that leave, as they were; who was not there is not told of."""
+    return fanout.members_left(_members(s), s.presence.where("event_type = 'error'"))[0].select("stream_name", "member_id", "metadata", "joined_at")
 
 
 @query("SELECT user_id, event_id FROM (SELECT *, sum(event_id % 4) OVER w AS total, row_number() OVER (PARTITION BY user_id ORDER BY event_id DESC) AS r FROM events WINDOW w AS (PARTITION BY user_id ORDER BY event_id DESC ROWS UNBOUNDED PRECEDING)) e WHERE total <= 10 OR r = 1")

@@ -22,7 +22,8 @@ VIEWS: dict[str, str] = {
        CASE WHEN k % 10 = 0 THEN TIMESTAMP_NTZ '2024-01-31 01:00:00' ELSE ts + INTERVAL 30 SECOND END AS vt,
        CASE WHEN user_id % 5 = 0 THEN NULL ELSE concat('u', CAST(user_id AS STRING)) END AS group_key,
        concat(event_type, '.u', CAST(user_id AS STRING), CASE WHEN k % 2 = 0 THEN '.retry' ELSE '' END) AS routing_key,
-       props AS message FROM {_K}""",
+       props AS message,
+       CASE WHEN user_id % 5 = 0 THEN NULL ELSE concat(chr(123), '"x-pgmq-group":"u', CAST(user_id AS STRING), '"', chr(125)) END AS headers FROM {_K}""",
     "job_stats": f"""SELECT event_id AS id, concat(event_type, '_job') AS job_class, concat('mq_q', CAST(user_id % 4 AS STRING)) AS queue_name,
        CASE WHEN k % 20 = 0 THEN 'dead_lettered' WHEN k % 20 < 3 THEN 'failed' ELSE 'success' END AS status,
        CAST(round(value * 10) AS BIGINT) AS duration_ms,
@@ -38,7 +39,7 @@ FROM {orders} JOIN {lineitem} ON l_orderkey = o_orderkey""",
     "outbox_entries": """SELECT o_orderkey AS id,
        CASE WHEN o_orderkey % 3 = 0 THEN NULL ELSE concat('mq_', lower(substr(o_orderpriority, 3))) END AS queue_name,
        CASE WHEN o_orderkey % 3 = 0 THEN concat('orders.', lower(o_orderstatus)) ELSE NULL END AS routing_key,
-       CAST(substr(o_orderpriority, 1, 1) AS INT) AS priority,
+       CAST(substr(o_orderpriority, 1, 1) AS INT) AS priority, CAST(o_orderkey % 2 * 10 AS INT) AS delay,
        CASE WHEN o_orderstatus = 'O' THEN NULL ELSE o_orderdate END AS published_at, o_orderdate AS created_at FROM {orders}""",
     "processes": """SELECT user_id AS id, CASE user_id % 4 WHEN 0 THEN 'worker' WHEN 1 THEN 'consumer' WHEN 2 THEN 'dispatcher' ELSE 'scheduler' END AS kind,
        concat('host', CAST(user_id % 3 AS STRING)) AS hostname, max(ts) AS last_heartbeat_at,
@@ -74,8 +75,8 @@ def with_views(sql: str) -> str:
     parts = ", ".join(f"{v} AS ({duck_view(v)})" for v in used)
     if not parts:
         return sql
-    own = re.match(r"\s*WITH\s+", sql)
-    return f"WITH {parts}, {sql[own.end() :]}" if own else f"WITH {parts} {sql}"
+    own = re.match(r"\s*WITH\s+(RECURSIVE\s+)?", sql)
+    return f"WITH {own[1] or ''}{parts}, {sql[own.end() :]}" if own else f"WITH {parts} {sql}"
 
 
 class Source:

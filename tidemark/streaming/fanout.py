@@ -5,6 +5,9 @@ Batch forms take a log and give what a stream would have emitted by its end.
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -23,9 +26,13 @@ def deliveries(log: DataFrame, clients: DataFrame, visible: Column | None = None
     return (rows if visible is None else rows.where(visible)).select("client", "stream_name", "msg_id")
 
 
-def replay_then_live(replay: DataFrame, live: DataFrame) -> DataFrame:
-    """A replay followed by buffered live messages, each message once for each client."""
-    return replay.unionByName(live).dropDuplicates(["client", "stream_name", "msg_id"])
+def replay_then_live(replay: DataFrame, live: DataFrame, clients: DataFrame | None = None) -> DataFrame:
+    """A replay followed by buffered live messages, each message once for each client; clients (client, stream_name, sent): nothing up to the last sent id."""
+    both = replay.unionByName(live).dropDuplicates(["client", "stream_name", "msg_id"])
+    if clients is None:
+        return both
+    last = clients.select("client", "stream_name", F.col("sent").alias("__sent"))
+    return both.join(last, ["client", "stream_name"], "left").where(F.col("msg_id") > F.coalesce("__sent", F.lit(0))).drop("__sent")
 
 
 def acknowledged(written: DataFrame) -> DataFrame:
@@ -34,12 +41,103 @@ def acknowledged(written: DataFrame) -> DataFrame:
     return written.select("client", F.coalesce(done, F.col("last_sent")).alias("cursor"))
 
 
-def coalesced(frames: DataFrame, key: str, at: str, order: str, window_s: float) -> DataFrame:
-    """The last frame of each key in windows of fixed grid; a streaming query does the same with a watermark."""
-    bucket = F.floor(times.micros(F.col(at)) / int(window_s * 1e6))
-    rest = [c for c in frames.columns if c != key]
-    best = frames.groupBy(key, bucket.alias("bucket")).agg(F.max_by(F.struct(*rest), order).alias("f"))
-    return best.select(key, *[F.col(f"f.{c}").alias(c) for c in rest])
+def folded(rows: DataFrame, keys: list[str], at: str, step: Callable[[], Callable[[int, bool], int]]) -> DataFrame:
+    """rows with window: what a fold over each key's rows in time order (ties by the other columns) gives for each; nothing of a key is held but the fold's state.
+
+    step makes the fold: (microseconds, whether the key is new) -> window.
+    """
+    rest = [c for c in rows.columns if c not in (*keys, at)]
+    dealt = rows.withColumn("__us", times.micros(F.col(at))).repartition(*keys).sortWithinPartitions(*keys, "__us", *rest)
+    place = [dealt.columns.index(c) for c in (*keys, "__us")]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        fold, last = step(), None
+        for batch in batches:
+            out = []
+            for *key, us in zip(*(batch.column(i).to_pylist() for i in place), strict=True):
+                out.append(fold(us, key != last))
+                last = key
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(out, pa.int64())], names=[*batch.schema.names, "window"])
+
+    return dealt.mapInArrow(run, dealt.withColumn("window", F.lit(0).cast("long")).schema).drop("__us")
+
+
+def opened_by_first(window_s: float) -> Callable[[], Callable[[int, bool], int]]:
+    """A fold: the start of a window that its first row opens and that is closed window_s later, however many rows come."""
+
+    def step() -> Callable[[int, bool], int]:
+        start = 0
+
+        def fold(us: int, new: bool) -> int:
+            nonlocal start
+            if new or us - start >= window_s * 1e6:
+                start = us
+            return start
+
+        return fold
+
+    return step
+
+
+def coalesced(frames: DataFrame, keys: list[str], at: str, order: str, window_s: float) -> DataFrame:
+    """The last frame of each key (stream and target) in windows that their first frame opens, with flushed_at, the window's end."""
+    marked = folded(frames, keys, at, opened_by_first(window_s))
+    rest = [c for c in frames.columns if c not in keys]
+    best = marked.groupBy(*keys, "window").agg(F.max_by(F.struct(*rest), F.struct(at, order)).alias("f"))
+    flushed = F.timestamp_micros((F.col("window") + int(window_s * 1e6))).cast("timestamp_ntz")
+    return best.select(*keys, *[F.col(f"f.{c}").alias(c) for c in rest], flushed.alias("flushed_at"))
+
+
+def visible_to(label: Column, predicates: dict[str, Column]) -> Column:
+    """Whether a broadcast is for a client: without a label for all; else if its predicate holds. Unknown labels, and predicates that give null, hide it."""
+    out = F.lit(False)
+    for name, holds in predicates.items():
+        out = F.when(label == name, F.coalesce(holds, F.lit(False))).otherwise(out)
+    return F.when(label.isNull(), True).otherwise(out)
+
+
+def deferred(broadcasts: DataFrame, transactions: DataFrame) -> DataFrame:
+    """Broadcasts as they go out: those of a transaction at its commit, never if it rolled back, others at once.
+
+    broadcasts: at and tx_id (null: none); transactions: tx_id, committed_at (null: rolled back).
+    """
+    known = transactions.select("tx_id", "committed_at", F.lit(True).alias("__known"))
+    out = broadcasts.join(known, "tx_id", "left").where(F.col("tx_id").isNull() | F.col("committed_at").isNotNull())
+    return out.withColumn("sent_at", F.coalesce("committed_at", "at")).drop("committed_at", "__known")
+
+
+def ephemeral(broadcasts: DataFrame, clients: DataFrame, visible: Column | None = None) -> DataFrame:
+    """(client, stream_name, msg_id) of broadcasts without storage (stream_name, seq): negative ids, to every client of the stream, whatever its cursor."""
+    rows = broadcasts.join(clients.select("client", "stream_name"), "stream_name").withColumn("msg_id", -1 - F.col("seq"))
+    return (rows if visible is None else rows.where(visible)).select("client", "stream_name", "msg_id")
+
+
+def members_after(members: DataFrame, joins: DataFrame, as_of: str) -> DataFrame:
+    """Members after joins (stream_name, member_id, metadata): a known one gets the new metadata and is seen now, and keeps joined_at."""
+    keys = ["stream_name", "member_id"]
+    new = joins.groupBy(*keys).agg(F.max("metadata").alias("__new")).withColumn("__hit", F.lit(True))
+    both = members.join(new, keys, "full")
+    now = times.moment(as_of)
+    return both.select(*keys, F.when(F.col("__hit"), F.col("__new")).otherwise(F.col("metadata")).alias("metadata"), F.coalesce("joined_at", now).alias("joined_at"), F.when(F.col("__hit"), now).otherwise(F.col("last_seen_at")).alias("last_seen_at"))
+
+
+def members_left(members: DataFrame, leaves: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(members that were there and left, members that stay)."""
+    keys = ["stream_name", "member_id"]
+    return members.join(leaves.select(*keys), keys, "left_semi"), members.join(leaves.select(*keys), keys, "left_anti")
+
+
+def members_touched(members: DataFrame, touches: DataFrame, as_of: str) -> DataFrame:
+    """Members with last_seen_at now for those who were heard of; nobody joins by that."""
+    keys = ["stream_name", "member_id"]
+    hits = touches.select(*keys).distinct().withColumn("__hit", F.lit(True))
+    return members.join(hits, keys, "left").withColumn("last_seen_at", F.when(F.col("__hit"), times.moment(as_of)).otherwise(F.col("last_seen_at"))).drop("__hit")
+
+
+def members_swept(members: DataFrame, cutoff: str) -> tuple[DataFrame, DataFrame]:
+    """(members last seen before the cutoff, members that stay)."""
+    old = F.col("last_seen_at") < times.moment(cutoff)
+    return members.where(old), members.where(~old)
 
 
 def newest_within(jobs: DataFrame, client: str, order: str, frames: str, cap: int) -> DataFrame:
@@ -55,8 +153,9 @@ def presence(events: DataFrame, as_of: str, timeout_s: int, left: Column) -> Dat
     return last.where(~F.col("gone") & (F.col("seen_at") >= times.ago(as_of, timeout_s))).drop("gone")
 
 
-def writer_of(client: Column, writers: int) -> Column:
-    return F.pmod(F.xxhash64(client), F.lit(writers))
+def writer_of(client_hash: Column, writers: int) -> Column:
+    """The writer that all frames of a client go to, by the client's hash."""
+    return F.pmod(client_hash, F.lit(writers))
 
 
 def wakes(notifications: DataFrame, batch: Column) -> DataFrame:

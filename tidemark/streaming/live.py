@@ -12,6 +12,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from tidemark.streaming import fanout
+
 
 def windowed_counts(events: DataFrame, at: str, late: str = "10 minutes", width: str = "1 minute", *by: str) -> DataFrame:
     """Counts by window; rows later than the watermark are dropped, windows come out when they close."""
@@ -59,22 +61,15 @@ def completions(jobs: DataFrame) -> DataFrame:
 
 
 def throttled_batch(events: DataFrame, key: str, at: str, interval_ms: int) -> DataFrame:
-    """throttled over a finished log: a sequential fold, one key in a task, rows of a key in order and never held together."""
-    import pyarrow as pa
+    """throttled over a finished log: the rows that open a window of the interval, a sequential fold of each key's rows in order.
 
-    rows = events.select(key, at).repartition(key).sortWithinPartitions(key, at)
+    A key's rows stream through one task, which holds its last time and no rows.
+    """
+    marked = fanout.folded(events.select(key, at), [key], at, fanout.opened_by_first(interval_ms / 1000))
+    first = marked.groupBy(key, "window").agg(F.min(at).alias(at))
+    return first.select(key, at)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        name, last = None, None
-        for batch in batches:
-            keep = []
-            times = batch.column(1).cast(pa.int64()).to_pylist()
-            for k, t in zip(batch.column(0).to_pylist(), times, strict=True):
-                if k != name or last is None or t - last >= interval_ms * 1000:
-                    name, last = k, t
-                    keep.append(True)
-                else:
-                    keep.append(False)
-            yield batch.filter(pa.array(keep, pa.bool_()))
-
-    return rows.mapInArrow(run, rows.schema)
+
+def polled(messages: DataFrame, sink, path: str, every: str = "100 milliseconds"):
+    """A consumer loop: each trigger hands what is new in a stream of messages to sink(rows, batch number), with progress kept under path."""
+    return messages.writeStream.foreachBatch(sink).trigger(processingTime=every).option("checkpointLocation", path).start()
