@@ -69,9 +69,9 @@ def _hash_piece(buf: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarr
 
 
 class Words:
-    """The words of some texts: hash and byte bounds by word; ``at[i]:at[i+1]`` are text i's."""
+    """The words of some texts: hash and byte bounds (in buf, the folded texts) by word; ``at[i]:at[i+1]`` are text i's."""
 
-    __slots__ = ("at", "end", "hash", "start")
+    __slots__ = ("at", "buf", "end", "hash", "start")
 
     def __init__(self, texts: list[bytes], lower: bool = False, fold: np.ndarray | None = None) -> None:
         """lower: A-Z count as a-z. fold: what each byte counts as, in place of that."""
@@ -81,6 +81,7 @@ class Words:
         buf = np.frombuffer(data, np.uint8)
         if lower or fold is not None:
             buf = (_LOWER if fold is None else fold)[buf]
+        self.buf = buf
         hashes, starts, ends, lo = [], [], [], 0
         while lo < len(buf):
             hi = min(len(buf), lo + PIECE)
