@@ -10,9 +10,10 @@ from collections import OrderedDict
 import pytest
 from pyspark.sql import functions as F
 
-from tidemark.functions import names, payloads, topics
-from tidemark.operators import admin, claims, metrics, schedules, state
-from tidemark.sources import queues
+from tidemark.functions import names, payloads, times, topics
+from tidemark.operators import admin, claims, metrics, schedules, state, stats
+from tidemark.sources import queues, sinks
+from tidemark.sources.views import Source
 from tidemark.streaming import fanout, live
 
 START = datetime.datetime(2024, 1, 1)
@@ -190,8 +191,8 @@ def test_uniqueness_strategies(spark):
 
 @pytest.mark.parametrize("cron", ["5 * * * *", "*/20 9-11 * * mon-tue", "0 6 1,15 jan *", "30 23 13 * fri", "0 0 29 2 *"])
 def test_neighbouring_due_times(spark, cron):
-    times = [START + datetime.timedelta(minutes=m, seconds=s) for m, s in ((0, 0), (5, 0), (5, 1), (9 * 60, 0), (700, 30), (60 * 24 * 17, 59), (60 * 24 * 58, 0))]
-    rows = spark.createDataFrame([(i, str(t)) for i, t in enumerate(times)], "i int, t string").withColumn("t", F.col("t").cast("timestamp_ntz"))
+    moments = [START + datetime.timedelta(minutes=m, seconds=s) for m, s in ((0, 0), (5, 0), (5, 1), (9 * 60, 0), (700, 30), (60 * 24 * 17, 59), (60 * 24 * 58, 0))]
+    rows = spark.createDataFrame([(i, str(t)) for i, t in enumerate(moments)], "i int, t string").withColumn("t", F.col("t").cast("timestamp_ntz"))
     got = sorted(rows.select("i", "t", schedules.next_due(F.col("t"), cron).alias("n"), schedules.previous_due(F.col("t"), cron).alias("p")).collect())
     minute, hour, day, month, week = schedules.parsed(cron)
     either = cron.split()[2] != "*" and cron.split()[4] != "*"
@@ -251,3 +252,45 @@ def test_polling_loop_hands_over_each_batch(spark, tmp_path):
 def test_throttle_takes_rows_an_interval_apart(spark):
     rows = spark.createDataFrame([("a", t) for t in (0, 100, 250, 260, 499, 500, 900)], "k string, ms int").withColumn("at", F.timestamp_millis("ms").cast("timestamp_ntz"))
     assert sorted(r.at.microsecond // 1000 for r in live.throttled_batch(rows, "k", "at", 250).collect()) == [0, 250, 500, 900]
+
+
+def test_a_steady_child_starts_a_new_streak(spark):
+    rows = spark.createDataFrame([("a", i, crash, float(up)) for i, (crash, up) in enumerate([(True, 1), (True, 2), (True, 31), (True, 3), (False, 50), (True, 1), (True, 40)])], "k string, i int, crash boolean, up double")
+    got = state.restart_delays(rows, "k", ["i"], F.col("crash"), uptime=F.col("up")).orderBy("i").collect()
+    assert [(r.streak, r.delay_s) for r in got] == [(1, 1.0), (2, 2.0), (1, 1.0), (2, 2.0), (0, 0.0), (1, 1.0), (1, 1.0)]
+
+
+def test_statistics_are_written_and_streamed(spark, tmp_path):
+    rows = spark.createDataFrame([("q", "success", 12.6, 1), ("q", "failed", 3.2, 0)], "queue_name string, status string, elapsed_ms double, read_ct int")
+    stats.write_stats(stats.consumer_rows(rows), f"{tmp_path}/stats")
+    stats.write_stats(stats.consumer_rows(rows), f"{tmp_path}/stats")
+    back = spark.read.parquet(f"{tmp_path}/stats")
+    assert back.count() == 4 and {(r.job_class, r.duration_ms, r.enqueue_latency_ms, r.retry_count) for r in back.collect()} == {("EventConsumer", 13, None, 0), ("EventConsumer", 3, None, 0)}
+    stream = spark.readStream.schema(back.schema).parquet(f"{tmp_path}/stats")
+    query = stats.stream_stats_to(stream, f"{tmp_path}/out", f"{tmp_path}/state", "100 milliseconds")
+    try:
+        query.processAllAvailable()
+    finally:
+        query.stop()
+    assert spark.read.parquet(f"{tmp_path}/out").count() == 4
+
+
+def test_all_reports_of_the_overview(spark, small):
+    source = Source(spark, small)
+    bundle = stats.insights(source.job_stats, source.stream_stats, "2024-01-31 00:00:00", 10**6)
+    assert list(bundle) == ["summary", "throughput", "status_counts", "slowest", "latency_trend", "latency_by_queue", "live_streams"]
+    rows = {r.name: json.loads(r.json) for r in sinks.json_bundle(bundle).collect()}
+    assert set(rows) == set(bundle) and len(rows["summary"]) == 1 and sum(r["n"] for r in rows["status_counts"]) == rows["summary"][0]["total"]
+    assert "latency_trend" not in stats.insights(source.job_stats.drop("enqueue_latency_ms"), source.stream_stats, "2024-01-31 00:00:00", 60)
+
+
+def test_labels_are_sorted_and_escaped(spark):
+    labels = F.create_map(F.lit("b"), F.lit('x"y\n\\'), F.lit("a"), F.lit("1"), F.lit("c"), F.lit(None).cast("string"))
+    got = spark.range(1).select(sinks.label_set(labels).alias("l"), sinks.label_set(F.expr("CAST(map() AS map<string,string>)")).alias("none")).first()
+    assert got.l == '{a="1",b="x\\"y\\n\\\\"}' and got.none == ""
+    numbers = spark.range(1).select(sinks.number(F.lit(2.0)).alias("a"), sinks.number(F.lit(0.123456789)).alias("b"), sinks.sse_retry(F.lit(500)).alias("c")).first()
+    assert tuple(numbers) == ("2", "0.123456789", "retry: 500\n\n")
+
+
+def test_window_labels():
+    assert [times.range_label(m) for m in (30, 60, 360, 1440, 10080, 90)] == ["30m", "1h", "6h", "1d", "7d", "90m"]

@@ -65,6 +65,14 @@ def ms_duration(ms: Column) -> Column:
     )
 
 
+def range_label(minutes: int) -> str:
+    """The name of a window of the last minutes: 30m, 6h, 7d."""
+    for size, unit in ((1440, "d"), (60, "h")):
+        if minutes >= size and minutes % size == 0:
+            return f"{minutes // size}{unit}"
+    return f"{minutes}m"
+
+
 def short_number(n: Column) -> Column:
     """1234 as 1.2K, 3400000 as 3.4M."""
     return (

@@ -11,10 +11,31 @@ def doubling(base: float, n: Column, most: float) -> Column:
     return F.least(F.lit(float(base)) * F.pow(F.lit(2.0), n - 1), F.lit(float(most)))
 
 
-def retry_delay(read_ct: Column, base: float = 5, most: float = 300) -> Column:
-    """Seconds to wait after a failed read; the first read's failure is attempt 0 and waits none. No jitter."""
+def retry_delay(read_ct: Column, base: float = 5, most: float = 300, jitter: float = 0.0, chance: Column | None = None) -> Column:
+    """Seconds to wait after a failed read; the first read's failure is attempt 0 and waits none.
+
+    jitter: by how large a share the wait may be longer or shorter, as chance (0 to 1, such as a hash of the message) says; the most holds after it too.
+    """
     attempt = read_ct - 1
-    return F.when(attempt >= 1, doubling(base, attempt, most)).otherwise(F.lit(0.0))
+    wait = doubling(base, attempt, most)
+    if jitter:
+        share = 1 + jitter * (2 * (F.lit(0.5) if chance is None else chance) - 1)
+        wait = F.least(wait * share, F.lit(float(most)))
+    return F.when(attempt >= 1, wait).otherwise(F.lit(0.0))
+
+
+def wrapped(payload: Column) -> Column:
+    """A payload as an event's: JSON objects and arrays as they are, scalars and other text under the key value."""
+    kind = F.schema_of_variant(F.try_parse_json(payload))
+    whole = kind.startswith("OBJECT") | kind.startswith("ARRAY")
+    scalar = F.when(kind.isNull(), F.to_json(F.struct(payload.alias("value")))).otherwise(F.concat(F.lit('{"value":'), payload, F.lit("}")))
+    return F.when(whole, payload).otherwise(scalar)
+
+
+def unwrapped(envelope: Column, key: str = "html") -> Column:
+    """What a stream's envelope holds under key; a text that is no envelope passes as it is."""
+    inner = F.get_json_object(envelope, f"$.{key}")
+    return F.coalesce(inner, envelope)
 
 
 def percent_done(done: Column, total: Column) -> Column:

@@ -22,9 +22,10 @@ def dropped(catalog: DataFrame, gone: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 def pattern_flag(streams: DataFrame, rules: DataFrame, default: bool) -> DataFrame:
     """streams with flag: whether a rule, an exact name or a regex, names them; without any rule the default."""
-    exact = F.col("stream_name") == F.col("rule")
-    regex = F.regexp_like("stream_name", F.col("rule")) & F.col("is_regex")
-    named = streams.select("stream_name").distinct().join(rules, exact | regex, "left_semi").withColumn("__hit", F.lit(True))
+    own = streams.select("stream_name").distinct()
+    exact = own.join(rules.select(F.col("rule").alias("stream_name")), "stream_name", "left_semi")
+    regex = own.join(rules.where("is_regex"), F.regexp_like("stream_name", F.col("rule")), "left_semi")
+    named = exact.unionByName(regex).distinct().withColumn("__hit", F.lit(True))
     return streams.join(named, "stream_name", "left").withColumn("flag", F.coalesce("__hit", F.lit(default))).drop("__hit")
 
 

@@ -54,11 +54,53 @@ def table_health(tables: DataFrame) -> DataFrame:
     """Totals over tables of live and dead rows; tables without counts are left out."""
     known = tables.where("live IS NOT NULL OR dead IS NOT NULL").fillna(0, ["live", "dead"])
     bloat = values.ratio(F.col("dead"), F.col("live") + F.col("dead"))
+    vacuum = [F.max("last_vacuum_s").alias("oldest_vacuum_s")] if "last_vacuum_s" in tables.columns else []
     return known.withColumn("bloat", bloat).agg(
-        F.sum("dead").alias("dead"), F.sum("live").alias("live"), F.max("bloat").alias("worst_bloat"), F.count_if(F.col("bloat") > 0.1).alias("bloated")
+        F.sum("dead").alias("dead"), F.sum("live").alias("live"), F.max("bloat").alias("worst_bloat"), F.count_if(F.col("bloat") > 0.1).alias("bloated"), *vacuum
     )
 
 
+def gauges(metrics: DataFrame, processes: DataFrame, summary: DataFrame, streams: DataFrame) -> DataFrame:
+    """(gauge, tag, value) of all that a probe reports: by queue, by host, of the whole and of streams. Gauges without a value are left out; the latency of a queue
+    that only holds parked messages is 0.
+    """
+    number = lambda c: F.col(c).cast("double")
+    by_queue = {
+        "queue_depth": number("length"),
+        "queue_visible_depth": number("visible"),
+        "queue_paused": F.col("paused").cast("int").cast("double"),
+        "queue_oldest_message_age_seconds": number("oldest_age_s"),
+        "queue_oldest_claimable_age_seconds": number("oldest_claimable_s"),
+        "queue_latency": F.coalesce(number("oldest_claimable_s"), F.lit(0.0)) * 1000,
+    }
+    parts = [
+        metrics.select(F.concat(F.lit("queue:"), "queue_name").alias("tag"), *[c.alias(k) for k, c in by_queue.items()]).unpivot("tag", list(by_queue), "gauge", "value"),
+        processes.groupBy(F.concat(F.lit("hostname:"), "hostname").alias("tag")).agg(F.count("*").cast("double").alias("value")).withColumn("gauge", F.lit("active_processes")),
+    ]
+    for rows in (summary, streams):
+        columns = rows.columns
+        parts.append(rows.select(F.lit("").alias("tag"), *[number(c).alias(c) for c in columns]).unpivot("tag", columns, "gauge", "value"))
+    out = parts[0].select("gauge", "tag", "value")
+    for rows in parts[1:]:
+        out = out.unionByName(rows.select("gauge", "tag", "value"))
+    return out.where("value IS NOT NULL")
+
+
+def peer_priority(workers: DataFrame, as_of: str, alive_s: int = 300) -> DataFrame:
+    """By worker the highest priority of other live workers that share a queue with it, 0 if none does. workers: id, queues, priority, last_heartbeat_at.
+
+    Each queue's two highest priorities tell it of all: the highest unless that is the worker's own.
+    """
+    live = workers.where(F.col("last_heartbeat_at") > times.ago(as_of, alive_s))
+    each = live.select("id", "priority", F.explode("queues").alias("queue"))
+    top = each.groupBy("queue").agg(F.max(F.struct("priority", "id")).alias("first"))
+    rest = each.join(top, "queue").where(F.col("id") != F.col("first.id")).groupBy("queue").agg(F.max("priority").alias("second"))
+    known = top.join(rest, "queue", "left")
+    own = workers.select("id", F.explode("queues").alias("queue")).join(known, "queue", "left")
+    seen = F.when(F.col("first.id") != F.col("id"), F.col("first.priority")).otherwise(F.col("second"))
+    return own.groupBy("id").agg(F.greatest(F.lit(0), F.coalesce(F.max(seen), F.lit(0))).alias("max_priority"))
+
+
 def vacuum_candidates(tables: DataFrame, threshold: float = 0.1) -> DataFrame:
     total = F.col("live") + F.col("dead")
     return tables.where((total > 0) & (F.col("dead") / total > threshold)).orderBy(F.desc("dead"))

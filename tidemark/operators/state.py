@@ -157,8 +157,26 @@ def breaker_trips(rows: DataFrame, key: str, order: list[str], failed: Column, a
     return hit.withColumn("trip", trip.cast("long")).withColumn("pause_s", values.doubling(base, F.col("trip"), most))
 
 
-def restart_delays(rows: DataFrame, key: str, order: list[str], crashed: Column, base: float = 1, most: float = 60) -> DataFrame:
-    """Delay before each restart: doubling with the crash streak, none after a clean exit."""
+def paused_at(trips: DataFrame, key: str, at: str, as_of: str) -> DataFrame:
+    """By key whether its breaker holds it paused: until the pause of its last trip is over, when it goes on by itself. trips: as of breaker_trips, with a time."""
+    last = trips.groupBy(key).agg(F.max_by(F.struct(at, "pause_s"), at).alias("t"))
+    until = F.col(f"t.{at}") + F.make_dt_interval(secs=F.col("t.pause_s").cast("decimal(18,6)"))
+    return last.select(key, (until > times.moment(as_of)).alias("paused"), until.alias("until"))
+
+
+def restart_delays(rows: DataFrame, key: str, order: list[str], crashed: Column, base: float = 1, most: float = 60, uptime: Column | None = None, steady_s: float = 30) -> DataFrame:
+    """Delay before each restart: doubling with the crash streak, none after a clean exit. A crash after steady_s of uptime starts a new streak."""
+    if uptime is not None:
+        steady = crashed & (uptime >= steady_s)
+        marked = streaks(rows.withColumn("__steady", steady), key, order, crashed & ~steady)
+        # the crash that starts anew is the first of its streak, and those after it come on top
+        by = Window.partitionBy(key).orderBy(*order)
+        island = F.count_if(F.col("__steady") | ~crashed).over(by.rowsBetween(Window.unboundedPreceding, 0))
+        opened = marked.withColumn("__island", island)
+        first = F.max(F.col("__steady")).over(Window.partitionBy(key, "__island"))
+        streak = F.when(crashed, F.col("streak") + F.when(first, 1).otherwise(0)).otherwise(F.lit(0))
+        out = opened.withColumn("streak", streak.cast("long")).drop("__steady", "__island")
+        return out.withColumn("delay_s", F.when(F.col("streak") > 0, values.doubling(base, F.col("streak"), most)).otherwise(F.lit(0.0)))
     return streaks(rows, key, order, crashed).withColumn("delay_s", F.when(F.col("streak") > 0, values.doubling(base, F.col("streak"), most)).otherwise(F.lit(0.0)))
 
 
@@ -187,9 +205,10 @@ def stream_retention(streams: DataFrame, rules: DataFrame, default_s: int = 300)
 
     rules: place, kind ('exact' or 'regex'), name, seconds; a small table whose size Spark checks.
     """
-    exact = (F.col("kind") == "exact") & (F.col("stream_name") == F.col("name"))
-    regex = (F.col("kind") == "regex") & F.regexp_like("stream_name", F.col("name"))
-    hits = streams.select("stream_name").distinct().join(rules, exact | regex)
+    own = streams.select("stream_name").distinct()
+    exact = own.join(rules.where("kind = 'exact'").withColumnRenamed("name", "stream_name"), "stream_name").select("stream_name", "kind", "place", "seconds")
+    regex = own.join(rules.where("kind = 'regex'"), F.regexp_like("stream_name", F.col("name"))).select("stream_name", "kind", "place", "seconds")
+    hits = exact.unionByName(regex)
     best = hits.groupBy("stream_name").agg(F.min_by("seconds", F.struct(F.col("kind") != "exact", "place")).alias("seconds"))
     return streams.select("stream_name").distinct().join(best, "stream_name", "left").select("stream_name", F.coalesce("seconds", F.lit(default_s)).alias("keep_s"))
 
@@ -201,11 +220,46 @@ def orphan_streams(streams: DataFrame, as_of: str, threshold_s: int) -> DataFram
 
 
 def orphan_locks(locks: DataFrame, messages: DataFrame, as_of: str, vt_secs: int = 30) -> DataFrame:
-    """Locks older than two visibility timeouts whose message is gone; a lock of an unknown queue is kept."""
+    """Locks older than two visibility timeouts whose message is gone; a lock of an unknown queue is kept.
+
+    A lock that was taken before its message had an id (msg_id 0 or below) goes by the key in the messages' bodies.
+    """
     old = locks.where(F.col("created_at") < times.ago(as_of, 2 * vt_secs))
     known = old.join(messages.select("queue_name").distinct(), "queue_name", "left_semi")
-    return known.join(messages.select("queue_name", "msg_id"), ["queue_name", "msg_id"], "left_anti")
+    gone = known.where("msg_id > 0").join(messages.select("queue_name", "msg_id"), ["queue_name", "msg_id"], "left_anti")
+    keys = messages.select("queue_name", lock_key_of(F.col("message")).alias("lock_key")).where("lock_key IS NOT NULL")
+    return gone.unionByName(known.where("msg_id <= 0").join(keys, ["queue_name", "lock_key"], "left_anti").select(*gone.columns))
+
+
+#: Fixed value: where a message's body holds its uniqueness key.
+LOCK_KEY = "uniqueness_key"
+
+
+def lock_key_of(body: Column) -> Column:
+    return F.get_json_object(body, f"$.{LOCK_KEY}")
+
+
+def key_exists(keys: DataFrame, messages: DataFrame) -> DataFrame:
+    """keys (queue_name, lock_key) with exists: whether a message of the queue bears the key, null if the queue itself is unknown."""
+    there = messages.select("queue_name", lock_key_of(F.col("message")).alias("lock_key")).distinct().withColumn("there", F.lit(True))
+    queues = messages.select("queue_name", F.lit(True).alias("known")).distinct()
+    out = keys.join(there, ["queue_name", "lock_key"], "left").join(queues, "queue_name", "left")
+    return out.select("queue_name", "lock_key", F.when(F.col("known"), F.coalesce("there", F.lit(False))).alias("exists"))
+
+
+def drained_split(backlog: DataFrame, drained: DataFrame | None) -> DataFrame:
+    """Queues with drained: whether some process claims from them; None: all are claimed from."""
+    if drained is None:
+        return backlog.withColumn("drained", F.lit(True))
+    marks = drained.select("queue_name", F.lit(True).alias("__d")).distinct()
+    return backlog.join(marks, "queue_name", "left").withColumn("drained", F.coalesce("__d", F.lit(False))).drop("__d")
+
 
+def unregistered(queues: DataFrame, indexes: DataFrame, registry: DataFrame) -> DataFrame:
+    """Queues that look like streams, by the index that only a stream's archive has, but are not registered. indexes: index_name."""
+    mark = indexes.select("index_name").distinct()
+    looks = queues.withColumn("index_name", F.concat(F.lit("a_"), "queue_name", F.lit("_msg_id_idx"))).join(mark, "index_name", "left_semi")
+    return looks.join(registry, "queue_name", "left_anti").select("queue_name")
 
 def zombies(messages: DataFrame, failures: DataFrame) -> DataFrame:
     """Messages read more than once without a recorded failure: the worker died or the job was dropped."""

@@ -24,6 +24,9 @@ def job_summary(stats: DataFrame, as_of: str, minutes: int) -> DataFrame:
     """One row, also over no rows: counts by status, durations, latencies and retries; nulls are 0."""
     rows = stats.where(times.since(as_of, F.col("created_at"), minutes))
     status = lambda s: F.count_if(F.col("status") == s)
+    latencies = []
+    if "enqueue_latency_ms" in stats.columns:  # older logs have none
+        latencies = [zero(F.round(F.avg("enqueue_latency_ms"), 1)).alias("avg_latency_ms"), zero(F.bround(p("enqueue_latency_ms", 0.95), 0)).alias("p95_latency_ms")]
     return rows.agg(
         F.count("*").alias("total"),
         status("success").alias("success"),
@@ -34,8 +37,7 @@ def job_summary(stats: DataFrame, as_of: str, minutes: int) -> DataFrame:
         zero(F.bround(p("duration_ms", 0.5), 0)).alias("p50_duration_ms"),
         zero(F.bround(p("duration_ms", 0.95), 0)).alias("p95_duration_ms"),
         zero(F.bround(p("duration_ms", 0.99), 0)).alias("p99_duration_ms"),
-        zero(F.round(F.avg("enqueue_latency_ms"), 1)).alias("avg_latency_ms"),
-        zero(F.bround(p("enqueue_latency_ms", 0.95), 0)).alias("p95_latency_ms"),
+        *latencies,
         zero(F.round(F.avg("retry_count"), 2)).alias("avg_retries"),
     )
 
@@ -90,6 +92,75 @@ def stream_counters(stats: DataFrame) -> DataFrame:
     )
 
 
+#: What each event counts as. kind, metric, where its value comes from (a number, duration or a payload key), payload keys that are labels, and further labels.
+EVENT_METRICS: dict[str, tuple[tuple[str, str, object, tuple[str, ...], dict[str, str]], ...]] = {
+    "executor.execute": (("histogram", "job_duration_ms", "duration", ("queue", "job_class"), {}),),
+    "job_completed": (("counter", "queue_job_count", 1, ("queue", "job_class"), {"status": "processed"}),),
+    "job_failed": (("counter", "queue_job_count", 1, ("queue", "job_class"), {"status": "failed"}),),
+    "job_dead_lettered": (("counter", "queue_job_count", 1, ("queue", "job_class"), {"status": "dead_lettered"}),),
+    "event_processed": (("histogram", "event_duration_ms", "duration", ("handler", "routing_key"), {}), ("counter", "event_count", 1, ("handler", "routing_key"), {"status": "processed"})),
+    "event_failed": (("counter", "event_count", 1, ("handler", "routing_key"), {"status": "failed"}),),
+    "client.send_message": (("counter", "messages_sent", 1, ("queue",), {}),),
+    "client.send_batch": (("counter", "messages_sent", "count", ("queue",), {}),),
+    "client.read_batch": (("counter", "messages_read", "count", ("queue",), {}),),
+    "stream.broadcast": (("counter", "stream_broadcast_count", 1, ("stream", "deferred"), {}),),
+    "outbox.publish": (("counter", "outbox_published", 1, ("kind",), {}),),
+    "recurring.enqueue": (("counter", "recurring_enqueued", 1, ("task", "class_name"), {}),),
+    "worker.recycle": (("counter", "worker_recycled", 1, ("reason",), {"kind": "worker"}),),
+    "consumer.recycle": (("counter", "worker_recycled", 1, ("reason",), {"kind": "consumer"}),),
+    "client.pool": (("gauge", "pool_size", "size", ("hostname",), {}), ("gauge", "pool_available", "available", ("hostname",), {})),
+}
+
+
+def event_points(events: DataFrame) -> DataFrame:
+    """kind, metric, labels, value and n by metric and set of labels, as a registry holds them: counters add up, gauges keep the last value, histograms sum and count.
+
+    events: name, at, duration (ms) and payload (a map of strings); others are left out, and labels without a value.
+    """
+
+    def point(kind: str, metric: str, value: object, keys: tuple[str, ...], more: dict[str, str]) -> Column:
+        labels = F.create_map(*[x for k in keys for x in (F.lit(k), F.col("payload")[k])], *[F.lit(x) for pair in more.items() for x in pair])
+        amount = F.col("duration") if value == "duration" else F.lit(float(value)) if isinstance(value, int) else F.col("payload")[value].try_cast("double")
+        amount = F.coalesce(amount, F.lit(1.0 if metric == "messages_sent" else 0.0)) if kind == "counter" else amount
+        return F.struct(F.lit(kind).alias("kind"), F.lit(metric).alias("metric"), F.map_filter(labels, lambda _, v: v.isNotNull()).alias("labels"), amount.cast("double").alias("value"))
+
+    points = F.lit(None)
+    for name, own in EVENT_METRICS.items():
+        points = F.when(F.col("name") == name, F.array(*[point(*x) for x in own])).otherwise(points)
+    rows = events.select("at", F.explode(points).alias("p")).select("at", "p.*").where("value IS NOT NULL")
+    rows = rows.withColumn("key", F.to_json(F.array_sort(F.map_entries("labels"))))  # maps don't group
+    last = F.max_by("value", "at")
+    out = rows.groupBy("kind", "metric", "key").agg(F.first("labels").alias("labels"), F.sum("value").alias("total"), last.alias("last"), F.count("*").alias("n"))
+    return out.select("kind", "metric", "labels", F.when(F.col("kind") == "gauge", F.col("last")).otherwise(F.col("total")).alias("value"), "n")
+
+
+def consumer_rows(handled: DataFrame) -> DataFrame:
+    """Log rows of events that consumers handled: one class for all, no latency, a first read is no retry."""
+    return handled.select(
+        F.lit("EventConsumer").alias("job_class"), "queue_name", "status", F.round("elapsed_ms", 0).cast("long").alias("duration_ms"), F.lit(None).cast("long").alias("enqueue_latency_ms"), F.greatest(F.col("read_ct") - 1, F.lit(0)).alias("retry_count")
+    )
+
+
+def write_stats(rows: DataFrame, path: str) -> None:
+    """Appends log rows to the statistics under path, in one write for all."""
+    rows.write.mode("append").parquet(path)
+
+
+def stream_stats_to(rows: DataFrame, path: str, checkpoint: str, every: str = "5 seconds", files: int | None = None):
+    """Appends a stream of log rows to path: what has come in goes out every few seconds in one write; progress is kept, so no row is written twice."""
+    return rows.writeStream.format("parquet").option("path", path).option("checkpointLocation", checkpoint).trigger(processingTime=every).start()
+
+
+def insights(stats: DataFrame, streams: DataFrame, as_of: str, minutes: int) -> dict[str, DataFrame]:
+    """The reports of the overview: summary, throughput, counts, slowest classes, live streams, and latencies where the log has them."""
+    recent = stats.where(times.since(as_of, F.col("created_at"), minutes))
+    out = {"summary": job_summary(stats, as_of, minutes), "throughput": per_minute(recent), "status_counts": counts_by(recent, "status"), "slowest": slowest_classes(recent)}
+    if "enqueue_latency_ms" in stats.columns:
+        out["latency_trend"] = latency(recent, F.date_trunc("minute", "created_at").cast("timestamp_ntz").alias("minute"))
+        out["latency_by_queue"] = latency(recent, "queue_name")
+    return out | {"live_streams": stream_counters(streams)}
+
+
 def metric_points(stats: DataFrame) -> DataFrame:
     """Counters and histogram sums by metric and tag, as a metrics backend holds them."""
     jobs = stats.groupBy(F.lit("jobs_total").alias("metric"), F.concat(F.lit("status:"), "status").alias("tag")).agg(F.count("*").cast("double").alias("value"))

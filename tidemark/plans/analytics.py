@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from tidemark.functions import times
 from tidemark.operators import metrics, stats
 from tidemark.plans.registry import query
+from tidemark.sources import sinks
 from tidemark.sources.views import NOW, Source
 
 _T = f"TIMESTAMP '{NOW}'"
@@ -141,9 +142,10 @@ def _tables(s: Source) -> DataFrame:
     return s.queue_messages.groupBy("queue_name").agg(F.count_if(F.col("read_ct") < 5).alias("live"), F.count_if(F.col("read_ct") >= 5).alias("dead"))
 
 
-@query(f"SELECT CAST(sum(dead) AS BIGINT) AS dead, CAST(sum(live) AS BIGINT) AS live, max(round(dead / (dead + live), 4)) AS worst_bloat, count(*) FILTER (WHERE round(dead / (dead + live), 4) > 0.1) AS bloated FROM ({_TABLES}) t")
+@query(f"SELECT CAST(sum(dead) AS BIGINT) AS dead, CAST(sum(live) AS BIGINT) AS live, max(round(dead / (dead + live), 4)) AS worst_bloat, count(*) FILTER (WHERE round(dead / (dead + live), 4) > 0.1) AS bloated, max(CASE WHEN queue_name <> 'mq_low' THEN live % 1000 END) AS oldest_vacuum_s FROM ({_TABLES}) t")
 def table_health(s: Source) -> DataFrame:
-    return metrics.table_health(_tables(s))
+    """Health over all tables, one of which was never vacuumed."""
+    return metrics.table_health(_tables(s).withColumn("last_vacuum_s", F.when(F.col("queue_name") != "mq_low", F.col("live") % 1000)))
 
 
 @query(f"SELECT queue_name, live, dead FROM ({_TABLES}) t WHERE dead / (dead + live) > 0.28 ORDER BY dead DESC")
@@ -215,3 +217,98 @@ def health_verdict(s: Source) -> DataFrame:
 def snapshot_rates(s: Source) -> DataFrame:
     days = s.queue_messages.groupBy("queue_name", F.date_trunc("day", "enqueued_at").cast("timestamp_ntz").alias("day")).agg((F.count("*") * 100_000).alias("n"))
     return metrics.snapshot_rates(days, "queue_name", "day", "n")
+
+
+@query(f"SELECT stream_name, broadcasts, active FROM ({_COUNTERS}) c ORDER BY broadcasts DESC, stream_name LIMIT 10")
+def live_streams(s: Source) -> DataFrame:
+    """Streams by their broadcasts, the busiest first."""
+    return stats.stream_counters(s.stream_stats).orderBy(F.desc("broadcasts"), "stream_name").limit(10)
+
+
+@query("SELECT 'EventConsumer' AS job_class, queue_name, CASE WHEN msg_id % 5 = 0 THEN 'failed' ELSE 'success' END AS status, CAST(round(msg_id % 700 / 7.0, 0) AS BIGINT) AS duration_ms, CAST(NULL AS BIGINT) AS enqueue_latency_ms, greatest(read_ct - 1, 0) AS retry_count FROM queue_messages")
+def consumer_stat_rows(s: Source) -> DataFrame:
+    rows = s.queue_messages.select("queue_name", F.when(F.col("msg_id") % 5 == 0, "failed").otherwise("success").alias("status"), (F.col("msg_id") % 700 / 7.0).alias("elapsed_ms"), "read_ct")
+    return stats.consumer_rows(rows)
+
+
+def _notices(s: Source) -> DataFrame:
+    names = F.array(*map(F.lit, stats.EVENT_METRICS), F.lit("other"))
+    user, at = F.col("user_id").cast("string"), F.col("event_id")
+    payload = F.create_map(*[F.lit(x) if i % 2 == 0 else x for i, x in enumerate([
+        "queue", F.concat(F.lit("q"), (F.col("user_id") % 3).cast("string")), "job_class", F.when(F.col("user_id") % 2 == 0, "J"), "handler", F.lit('H"1'), "count", (at % 4).cast("string"), "stream", F.lit("s"), "deferred", F.lit("false"),
+        "kind", F.lit("job"), "task", F.lit("t"), "reason", F.lit("age"), "hostname", F.concat(F.lit("h"), (F.col("user_id") % 2).cast("string")), "size", (at % 9).cast("string"), "available", user])])
+    return s.events.select(F.element_at(names, (at % 16 + 1).cast("int")).alias("name"), at.alias("at"), F.col("value").alias("duration"), payload.alias("payload"))
+
+
+_NAMES_SQL = "CASE event_id % 16 " + " ".join(f"WHEN {i} THEN '{name}'" for i, name in enumerate(stats.EVENT_METRICS)) + " ELSE 'other' END"
+_QUEUE_TAGS = "'job_class=' || CASE WHEN user_id % 2 = 0 THEN 'J' ELSE '' END || ',queue=q' || CAST(user_id % 3 AS VARCHAR)"
+
+
+@query(f"""WITH n AS (SELECT *, {_NAMES_SQL} AS name FROM events), p AS (
+    SELECT 'histogram' AS kind, 'job_duration_ms' AS metric, {_QUEUE_TAGS} AS tags, value, event_id FROM n WHERE name = 'executor.execute'
+    UNION ALL SELECT 'counter', 'queue_job_count', {_QUEUE_TAGS} || ',status=' || CASE name WHEN 'job_completed' THEN 'processed' WHEN 'job_failed' THEN 'failed' ELSE 'dead_lettered' END, 1, event_id FROM n WHERE name IN ('job_completed', 'job_failed', 'job_dead_lettered')
+    UNION ALL SELECT 'histogram', 'event_duration_ms', 'handler=H"1', value, event_id FROM n WHERE name = 'event_processed'
+    UNION ALL SELECT 'counter', 'event_count', 'handler=H"1,status=' || replace(name, 'event_', ''), 1, event_id FROM n WHERE name IN ('event_processed', 'event_failed')
+    UNION ALL SELECT 'counter', 'messages_sent', 'queue=q' || CAST(user_id % 3 AS VARCHAR), CASE name WHEN 'client.send_batch' THEN event_id % 4 ELSE 1 END, event_id FROM n WHERE name IN ('client.send_message', 'client.send_batch')
+    UNION ALL SELECT 'counter', 'messages_read', 'queue=q' || CAST(user_id % 3 AS VARCHAR), event_id % 4, event_id FROM n WHERE name = 'client.read_batch'
+    UNION ALL SELECT 'counter', 'stream_broadcast_count', 'deferred=false,stream=s', 1, event_id FROM n WHERE name = 'stream.broadcast'
+    UNION ALL SELECT 'counter', 'outbox_published', 'kind=job', 1, event_id FROM n WHERE name = 'outbox.publish'
+    UNION ALL SELECT 'counter', 'recurring_enqueued', 'task=t', 1, event_id FROM n WHERE name = 'recurring.enqueue'
+    UNION ALL SELECT 'counter', 'worker_recycled', 'kind=' || replace(name, '.recycle', '') || ',reason=age', 1, event_id FROM n WHERE name IN ('worker.recycle', 'consumer.recycle')
+    UNION ALL SELECT 'gauge', 'pool_size', 'hostname=h' || CAST(user_id % 2 AS VARCHAR), event_id % 9, event_id FROM n WHERE name = 'client.pool'
+    UNION ALL SELECT 'gauge', 'pool_available', 'hostname=h' || CAST(user_id % 2 AS VARCHAR), user_id, event_id FROM n WHERE name = 'client.pool')
+    SELECT kind, metric, replace(tags, 'job_class=,', '') AS tags, round(CASE kind WHEN 'gauge' THEN arg_max(value, event_id) ELSE sum(value) END, 4) AS value, count(*) AS n FROM p GROUP BY kind, metric, tags""")
+def metric_catalogue(s: Source) -> DataFrame:
+    """All event names as metrics with their labels."""
+    tags = F.array_join(F.transform(F.array_sort(F.map_entries("labels")), lambda e: F.concat(e["key"], F.lit("="), e["value"])), ",")
+    return stats.event_points(_notices(s)).select("kind", "metric", tags.alias("tags"), F.round("value", 4).alias("value"), "n")
+
+
+@query(f"""WITH n AS (SELECT *, {_NAMES_SQL} AS name FROM events), q AS (SELECT * FROM n WHERE name IN ('client.send_message', 'client.send_batch'))
+    SELECT 'messages_sent' AS name, 0 AS place, '# TYPE messages_sent counter' AS line UNION ALL SELECT 'messages_sent', 1, 'messages_sent{{queue="q' || CAST(user_id % 3 AS VARCHAR) || '"}} ' || CAST(sum(CASE name WHEN 'client.send_batch' THEN event_id % 4 ELSE 1 END) AS VARCHAR) FROM q GROUP BY user_id % 3
+    UNION ALL SELECT 'event_count', 0, '# TYPE event_count counter' UNION ALL SELECT 'event_count', 1, 'event_count{{handler="H' || chr(92) || '"1",status="' || replace(name, 'event_', '') || '"}} ' || CAST(count(*) AS VARCHAR) FROM n WHERE name IN ('event_processed', 'event_failed') GROUP BY name""")
+def prometheus_registry(s: Source) -> DataFrame:
+    """The registry's text of two counters; labels by name and escaped."""
+    return sinks.prometheus_registry(stats.event_points(_notices(s)).where("metric IN ('messages_sent', 'event_count')"))
+
+
+@query(f"""WITH t AS (SELECT queue_name, live, dead, round(dead / (dead + live), 4) AS bloat FROM ({_TABLES}) x)
+    SELECT 'table_live' AS name, 0 AS place, '# HELP table_live Live rows' AS line UNION ALL SELECT 'table_live', 1, '# TYPE table_live gauge' UNION ALL SELECT 'table_live', 2, 'table_live{{queue_name="' || queue_name || '"}} ' || live FROM t
+    UNION ALL SELECT 'table_bloat', 0, '# HELP table_bloat Share of dead rows' UNION ALL SELECT 'table_bloat', 1, '# TYPE table_bloat gauge' UNION ALL SELECT 'table_bloat', 2, 'table_bloat{{queue_name="' || queue_name || '"}} ' || CASE WHEN bloat = floor(bloat) THEN CAST(CAST(bloat AS BIGINT) AS VARCHAR) ELSE CAST(bloat AS VARCHAR) END FROM t""")
+def prometheus_families(s: Source) -> DataFrame:
+    """Several families at once; one without any value is left out."""
+    rows = _tables(s).withColumns({"bloat": F.round(F.col("dead") / (F.col("dead") + F.col("live")), 4), "none": F.lit(None).cast("double")})
+    return sinks.prometheus_families(rows, {"table_live": ("live", "Live rows"), "table_bloat": ("bloat", "Share of dead rows"), "table_none": ("none", "Nothing")}, ["queue_name"])
+
+
+@query("""SELECT 'status_counts' AS name, '[' || string_agg(json, ',' ORDER BY json) || ']' AS json FROM (SELECT '{"status":"' || status || '","n":' || count(*) || '}' AS json FROM job_stats GROUP BY status) a
+    UNION ALL SELECT 'live_streams', '[' || string_agg(json, ',' ORDER BY json) || ']' FROM (SELECT '{"stream_name":"' || stream_name || '","broadcasts":' || broadcasts || ',"active":' || active || '}' AS json FROM (""" + _COUNTERS + """) c) b""")
+def insights_bundle(s: Source) -> DataFrame:
+    """Two of the overview's reports as JSON; test_rules.py looks at all of them."""
+    bundle = stats.insights(s.job_stats, s.stream_stats, NOW, 10**6)
+    return sinks.json_bundle({k: bundle[k] for k in ("status_counts", "live_streams")})
+
+
+@query(f"""WITH m AS (SELECT q.*, coalesce(s.paused, false) AS paused FROM ({_METRICS}) q LEFT JOIN queue_states s ON 'mq_' || s.queue_name = q.queue_name),
+    g AS (SELECT 'queue:' || queue_name AS tag, unnest(['queue_depth', 'queue_visible_depth', 'queue_paused', 'queue_oldest_message_age_seconds', 'queue_oldest_claimable_age_seconds', 'queue_latency']) AS gauge,
+        unnest([CAST(length AS DOUBLE), visible, CAST(paused AS INT), oldest_age_s, oldest_claimable_s, coalesce(oldest_claimable_s, 0) * 1000]) AS value FROM m
+    UNION ALL SELECT 'hostname:' || hostname, 'active_processes', count(*) FROM processes GROUP BY hostname
+    UNION ALL SELECT '', unnest(['total_queues', 'total_depth', 'total_visible']), unnest([count(*), sum(length), sum(visible)]) FROM m
+    UNION ALL SELECT '', unnest(['stream_broadcasts', 'stream_connects']), unnest([count(*) FILTER (WHERE event_type = 'broadcast'), count(*) FILTER (WHERE event_type = 'connect')]) FROM stream_stats)
+    SELECT gauge, tag, CAST(value AS DOUBLE) AS value FROM g WHERE value IS NOT NULL""")
+def all_gauges(s: Source) -> DataFrame:
+    own = metrics.paused_flags(metrics.queue_metrics(s.queue_messages, NOW), s.queue_states)
+    total = metrics.dashboard(own).select(F.col("queues").alias("total_queues"), "total_depth", "total_visible")
+    streams = stats.stream_summary(s.stream_stats).select(F.col("broadcasts").alias("stream_broadcasts"), F.col("connects").alias("stream_connects"))
+    return metrics.gauges(own, s.processes, total, streams)
+
+
+_WORKERS = "SELECT id, id % 7 AS priority, 'q' || CAST(id % 5 AS VARCHAR) AS q1, 'q' || CAST(id % 3 AS VARCHAR) AS q2, last_heartbeat_at FROM processes"
+
+
+@query(f"""SELECT a.id, greatest(0, coalesce(max(b.priority), 0)) AS max_priority FROM ({_WORKERS}) a LEFT JOIN ({_WORKERS}) b ON b.id <> a.id AND b.last_heartbeat_at > {_T} - INTERVAL 87000 SECOND AND (b.q1 IN (a.q1, a.q2) OR b.q2 IN (a.q1, a.q2)) GROUP BY a.id""")
+def peer_priority(s: Source) -> DataFrame:
+    """By worker the highest priority of other live workers that share a queue with it."""
+    queue = lambda n: F.concat(F.lit("q"), (F.col("id") % n).cast("string"))
+    workers = s.processes.select("id", (F.col("id") % 7).alias("priority"), F.array_distinct(F.array(queue(5), queue(3))).alias("queues"), "last_heartbeat_at")
+    return metrics.peer_priority(workers, NOW, 87_000)

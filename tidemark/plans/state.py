@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.functions import names, times, values
-from tidemark.operators import schedules, state
+from tidemark.operators import claims, schedules, state
 from tidemark.plans.registry import query
 from tidemark.sources import queues
 from tidemark.sources.views import NOW, Source
@@ -230,16 +230,19 @@ def stream_fingerprints(s: Source) -> DataFrame:
     return own.withColumn("index_name", F.concat(F.lit("a_"), "queue_name", F.lit("_msg_id_idx"))).join(index, "index_name").select("queue_name", "index_name")
 
 
-@query("SELECT DISTINCT queue_name FROM queue_messages WHERE queue_name NOT IN (SELECT queue_name FROM stream_queues)")
+@query("SELECT queue_name FROM (SELECT DISTINCT queue_name FROM queue_messages WHERE queue_name IN ('mq_mailers', 'mq_low')) q WHERE queue_name NOT IN (SELECT queue_name FROM stream_queues)")
 def unregistered_streams(s: Source) -> DataFrame:
-    return s.queue_messages.select("queue_name").distinct().join(s.stream_queues, "queue_name", "left_anti")
+    """Queues that have a stream's index but are not registered as streams."""
+    indexes = s.spark.createDataFrame([("a_mq_mailers_msg_id_idx",), ("a_mq_low_msg_id_idx",), ("a_mq_gone_msg_id_idx",), ("q_mq_billing_vt_idx",)], "index_name string")
+    return state.unregistered(s.queue_messages.select("queue_name").distinct(), indexes, s.stream_queues)
 
 
-@query("SELECT queue_name IN ('mq_low', 'mq_billing') AS drained, count(*) AS n FROM queue_messages GROUP BY 1")
+@query("SELECT queue_name, queue_name IN (SELECT queue_name FROM stream_queues) OR queue_name = 'mq_low' AS drained, true AS by_all FROM (SELECT DISTINCT queue_name FROM queue_messages) q")
 def drain_partition(s: Source) -> DataFrame:
-    drained = s.spark.createDataFrame([("mq_low", True), ("mq_billing", True)], "queue_name string, drained boolean")
-    own = s.queue_messages.groupBy("queue_name").agg(F.count("*").alias("n")).join(drained, "queue_name", "left")
-    return own.groupBy(F.coalesce("drained", F.lit(False)).alias("drained")).agg(F.sum("n").alias("n"))
+    """Which queues are claimed from: by some processes, and where one claims from all."""
+    own = s.queue_messages.select("queue_name").distinct()
+    some = s.stream_queues.select("queue_name").unionByName(s.spark.createDataFrame([("mq_low",)], "queue_name string"))
+    return state.drained_split(state.drained_split(own, None).withColumnRenamed("drained", "by_all"), some)
 
 
 @query("SELECT queue_name FROM (VALUES ('mq_low'), ('mq_nowhere')) c(queue_name) WHERE queue_name NOT IN (SELECT queue_name FROM queue_messages)")
@@ -389,3 +392,72 @@ def job_effects(s: Source) -> DataFrame:
 @query("SELECT msg_id, read_ct > 5 AS dead FROM queue_messages")
 def dead_letter_decision(s: Source) -> DataFrame:
     return s.queue_messages.select("msg_id", (state.job_outcome(F.col("read_ct"), F.lit(True)) == "dead_lettered").alias("dead"))
+
+
+_LOCKED = """SELECT o_orderkey AS msg_id, 'mq_orders' AS queue_name, CASE WHEN o_orderkey % 3 = 0 THEN '{"uniqueness_key":"lock' || CAST(o_orderkey % 900 AS VARCHAR) || '"}' ELSE '{}' END AS message FROM orders"""
+
+
+def _locked(s: Source) -> DataFrame:
+    key = F.col("o_orderkey")
+    body = F.when(key % 3 == 0, F.concat(F.lit('{"uniqueness_key":"lock'), (key % 900).cast("string"), F.lit('"}'))).otherwise("{}")
+    return s.orders.select(key.alias("msg_id"), F.lit("mq_orders").alias("queue_name"), body.alias("message"))
+
+
+@query(f"""SELECT lock_key, queue_name, CASE WHEN queue_name = 'mq_orders' THEN lock_key IN (SELECT json_extract_string(message, '$.uniqueness_key') FROM ({_LOCKED}) m WHERE message <> '{{}}') END AS "exists"
+    FROM (SELECT DISTINCT lock_key, CASE WHEN user_id % 2 = 0 THEN 'mq_orders' ELSE 'mq_gone' END AS queue_name FROM locks) l""")
+def message_exists_by_key(s: Source) -> DataFrame:
+    keys = s.locks.select("lock_key", F.when(F.col("user_id") % 2 == 0, "mq_orders").otherwise("mq_gone").alias("queue_name")).distinct()
+    return state.key_exists(keys, _locked(s))
+
+
+@query(f"""SELECT lock_key, msg_id FROM (SELECT lock_key, -msg_id AS msg_id, created_at FROM locks) l WHERE created_at < {_T} - INTERVAL 60 SECOND
+    AND lock_key NOT IN (SELECT json_extract_string(message, '$.uniqueness_key') FROM ({_LOCKED}) m WHERE message <> '{{}}')""")
+def orphan_locks_by_key(s: Source) -> DataFrame:
+    """Locks taken before their message had an id: gone if no body bears their key."""
+    locks = s.locks.select("lock_key", (-F.col("msg_id")).alias("msg_id"), "created_at", F.lit("mq_orders").alias("queue_name"))
+    return state.orphan_locks(locks, _locked(s), NOW).select("lock_key", "msg_id")
+
+
+@query(f"""SELECT queue_name, max_at + to_seconds(pause_s) > TIMESTAMP '2024-01-30 23:00:00' AS paused FROM (SELECT queue_name, max(created_at) AS max_at, arg_max(least(30.0 * pow(2.0, trip - 1), 600.0), created_at) AS pause_s FROM
+    (SELECT queue_name, created_at, row_number() OVER (PARTITION BY queue_name ORDER BY created_at, id) AS trip FROM ({_STREAK}) s WHERE streak > 0 AND streak % 2 = 0) t GROUP BY 1) u""")
+def breaker_resumes(s: Source) -> DataFrame:
+    """Which queues a breaker still holds; pauses end by themselves."""
+    trips = state.breaker_trips(s.job_stats, "queue_name", ["created_at", "id"], F.col("status") != "success", after=2)
+    return state.paused_at(trips, "queue_name", "created_at", "2024-01-30 23:00:00").select("queue_name", "paused")
+
+
+@query("SELECT msg_id, CASE WHEN read_ct >= 2 THEN least(least(5.0 * pow(2.0, read_ct - 2), 300.0) * (1 + 0.15 * (2 * (msg_id % 100 / 100.0) - 1)), 300.0) ELSE 0.0 END AS delay_s FROM queue_messages")
+def retry_jitter(s: Source) -> DataFrame:
+    delay = values.retry_delay(F.col("read_ct"), jitter=0.15, chance=F.col("msg_id") % 100 / 100.0)
+    return s.queue_messages.select("msg_id", delay.alias("delay_s"))
+
+
+@query("SELECT CASE WHEN left(body, 1) = '{' THEN body WHEN left(body, 1) = '[' THEN body WHEN body LIKE 'no%' THEN '{\"value\":\"' || body || '\"}' ELSE '{\"value\":' || body || '}' END AS wrapped, CASE WHEN body LIKE '{\"html%' THEN 'x' || k ELSE body END AS unwrapped FROM (SELECT o_orderkey AS k, CASE o_orderkey % 5 WHEN 0 THEN '{\"html\":\"x' || o_orderkey || '\"}' WHEN 1 THEN '[' || o_orderkey || ']' WHEN 2 THEN CAST(o_orderkey AS VARCHAR) WHEN 3 THEN 'no json ' || o_orderkey ELSE '{\"a\":1}' END AS body FROM orders) b")
+def envelopes(s: Source) -> DataFrame:
+    """Payloads as events wrap them and as streams unwrap them."""
+    key = F.col("o_orderkey").cast("string")
+    kinds = [F.concat(F.lit('{"html":"x'), key, F.lit('"}')), F.concat(F.lit("["), key, F.lit("]")), key, F.concat(F.lit("no json "), key), F.lit('{"a":1}')]
+    rows = s.orders.select(F.element_at(F.array(*kinds), (F.col("o_orderkey") % 5 + 1).cast("int")).alias("body"))
+    return rows.select(values.wrapped(F.col("body")).alias("wrapped"), values.unwrapped(F.col("body")).alias("unwrapped"))
+
+
+@query("SELECT batch_id FROM (SELECT batch_id, CASE WHEN count(*) = count(*) FILTER (WHERE outcome <> 'pending') THEN TIMESTAMP '2024-01-01 00:00:00' + to_days(CAST(batch_id % 40 AS INTEGER)) END AS finished_at FROM batch_jobs GROUP BY 1) b WHERE finished_at IS NULL OR finished_at >= TIMESTAMP '2024-01-31 00:00:00' - INTERVAL 7 DAY")
+def retention_batches(s: Source) -> DataFrame:
+    """Batches that stay: those not finished, and those that finished in the last week."""
+    rows = state.batch_progress(s.batch_jobs).withColumn("finished_at", F.when(F.col("finished"), times.moment("2024-01-01 00:00:00") + F.make_dt_interval(days=(F.col("batch_id") % 40).cast("int"))))
+    return state.retained(rows, "finished_at", NOW, 7 * 86_400).select("batch_id")
+
+
+@query("SELECT user_id, date_trunc('hour', ts) AS run_at FROM events WHERE date_trunc('hour', ts) >= TIMESTAMP '2024-01-31 00:00:00' - INTERVAL 3 DAY GROUP BY ALL")
+def retention_recurring(s: Source) -> DataFrame:
+    runs = s.events.select("user_id", F.date_trunc("hour", "ts").cast("timestamp_ntz").alias("run_at")).dropDuplicates(["user_id", "run_at"])
+    return state.retained(runs, "run_at", NOW, 3 * 86_400)
+
+
+@query("SELECT queue_name, count(*) AS n, max(msg_id) AS last_id FROM (SELECT queue_name, msg_id FROM queue_messages UNION ALL SELECT f.queue_name, coalesce(l.last_id, 0) + row_number() OVER (PARTITION BY f.queue_name ORDER BY f.msg_id) FROM (SELECT DISTINCT msg_id, CASE WHEN msg_id % 2 = 0 THEN 'mq_default' ELSE 'mq_low' END AS queue_name FROM failed_events) f LEFT JOIN (SELECT queue_name, max(msg_id) AS last_id FROM queue_messages GROUP BY 1) l ON l.queue_name = f.queue_name) u GROUP BY 1")
+def bulk_retry(s: Source) -> DataFrame:
+    """All failed jobs sent again: new messages beyond each queue's last one."""
+    failed = s.failed_events.select("msg_id", F.when(F.col("msg_id") % 2 == 0, "mq_default").otherwise("mq_low").alias("queue_name"), F.lit(0).alias("read_ct"), "failed_at").distinct()
+    rows = failed.select("queue_name", "msg_id", "read_ct", F.col("failed_at").alias("enqueued_at"), F.col("failed_at").alias("vt"))
+    again = claims.produced(rows, claims.high_water(s.queue_messages), NOW)
+    return s.queue_messages.select("queue_name", "msg_id").unionByName(again.select("queue_name", "msg_id")).groupBy("queue_name").agg(F.count("*").alias("n"), F.max("msg_id").alias("last_id"))
