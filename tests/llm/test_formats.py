@@ -172,3 +172,69 @@ def test_packed_texts_make_up_the_texts(spark):
         whole[r[0]] = whole.get(r[0], "") + r[2]
     assert whole == {k: v or "" for k, v in texts.items()}
     assert sum(r.doc_id == 5 for r in rows) == 2 and all(len(r.text.split()) == r.length for r in rows)
+
+
+def plain_paths(rows, top):
+    """Every root-to-leaf path by walking up, ranked by mean score, turns and leaf."""
+    parent = {m: p if any(r[1] == p for r in rows) else None for _, m, p, _ in rows}
+    score, tree = {m: s or 0.0 for _, m, _, s in rows}, {m: t for t, m, _, _ in rows}
+    inner, paths = {p for p in parent.values() if p is not None}, {}
+    for leaf in set(parent) - inner:
+        path, seen = [leaf], {leaf}
+        while parent[path[-1]] is not None and parent[path[-1]] not in seen:
+            path.append(parent[path[-1]])
+            seen.add(path[-1])
+        if parent[path[-1]] is None:
+            paths.setdefault(tree[leaf], []).append((-sum(score[m] for m in path) / len(path), -len(path), leaf, path[::-1]))
+    return sorted((t, k + 1, m, d) for t, own in paths.items() for k, (*_, path) in enumerate(sorted(own)[:top]) for d, m in enumerate(path))
+
+
+@pytest.mark.parametrize("top", [1, 3])
+@pytest.mark.parametrize("seed", range(2))
+def test_best_paths_against_walks(spark, seed, top):
+    rng = np.random.default_rng(seed)
+    rows = []
+    for m in range(150):
+        tree = int(rng.integers(5))
+        own = [x[1] for x in rows if x[0] == tree]
+        up = None if not own or rng.random() < 0.05 else int(rng.choice(own)) if rng.random() < 0.95 else 10_000
+        rows.append((tree, m, up, None if m % 11 == 0 else float(rng.integers(0, 5))))
+    rows += [(9, 900, 901, 1.0), (9, 901, 900, 1.0)]  # a cycle
+    got = chat.best_paths(spark.createDataFrame(rows, "tree_id long, msg_id long, parent_id long, score double"), top).collect()
+    assert sorted((r.tree_id, r["rank"], r.msg_id, r.depth) for r in got) == plain_paths(rows, top)
+
+
+def test_each_chosen_path_is_one_conversation(spark):
+    rows = [(1, 1, None, 1.0, "user", "hi"), (1, 2, 1, 5.0, "assistant", "good"), (1, 3, 1, 2.0, "assistant", "fair"), (1, 4, 1, 0.0, "assistant", "bad")]
+    messages = spark.createDataFrame(rows, "tree_id long, msg_id long, parent_id long, score double, role string, text string")
+    got = {r["rank"]: chat.parse_chat(r.formatted) for r in chat.format_chats(messages, top=2).collect()}
+    assert got == {1: [("user", "hi"), ("assistant", "good")], 2: [("user", "hi"), ("assistant", "fair")]}
+    assert chat.best_paths(messages.where("false")).count() == 0 and chat.format_chats(messages.where("false"), 2).count() == 0
+
+
+def test_chats_with_long_texts_and_taken_ids(spark, tmp_path):
+    long = "<|im_end|>é" * 200_000
+    rows = [(-1, 5, "assistant", "mine"), (7, 0, "user", long), (7, 1, "assistant", long), (None, 0, None, None)]
+    spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").write.parquet(f"{tmp_path}/conversations.parquet")
+    got = {r.conv_id: r for r in chat.op9_chat_formatting(spark, str(tmp_path)).collect()}
+    assert (got[7].n_turns, got[7].loss_chars) == (2, len(long)) and got[7].loss_sha256 == hashlib.sha256(long.encode()).hexdigest()
+    assert got[-1].n_turns == 3 and got[-1].loss_chars == len(chat.CONTROL) + 4 and got[None].n_turns == 1
+
+
+def test_warc_keeps_urls_and_long_pages(spark):
+    urls = ["http://a/%20b c\t%25\x7f\n", "%%20 %2520", "", None, "é ü", "x" * 300_000 + " "]
+    long = "<p>WARC/1.1\r\nContent-Length: 3\r\n\r\n" * 40_000
+    pages = [(i, u, long if i == 5 else f"t{i}") for i, u in enumerate(urls)]
+    path = f"{shared_folder(spark)}/t-{uuid.uuid4().hex}"
+    warc.write_warc(spark.createDataFrame(pages, "page_id long, url string, html string"), path)
+    got = {r.page_id: r for r in warc.page_records(warc.read_warc(spark, path, payloads=False)).collect()}
+    assert [got[i].url for i in range(6)] == [u or "" for u in urls]
+    assert (got[5].payload_bytes, got[5].payload_digest) == (len(long), hashlib.sha1(long.encode()).hexdigest())
+
+
+def test_pages_tied_for_the_largest_id_are_all_responses(spark):
+    big = "p" * 1200
+    path = f"{shared_folder(spark)}/t-{uuid.uuid4().hex}"
+    warc.write_warc(spark.createDataFrame([(3, "u", big), (9, "u", big), (9, "u", big), (None, "u", big)], "page_id long, url string, html string"), path)
+    got = sorted(((r.page_id or 0, r.record_type, r.refers_to) for r in warc.page_records(warc.read_warc(spark, path, payloads=False)).collect()))
+    assert got == [(0, "revisit", 9), (3, "revisit", 9), (9, "response", None), (9, "response", None)]

@@ -3,7 +3,7 @@
 ``best_paths`` takes messages with parents and enumerates root-to-leaf paths by iterative
 self-joins on jump pointers: after k joins a node knows its 2^k-th ancestor and the scores on the
 way, so a path of n turns takes log2 n joins. Leaves of a tree are ranked by their path's mean
-score; the best path is read off the same pointers. Joins carry ids only, texts join once.
+score; the best paths, one or more, are read off the same pointers. Joins carry ids only, texts join once.
 ``format_chats`` writes each path as one string with a template that marks turns and a loss mask
 of code-point spans; ``read_chats`` reads both back.
 
@@ -13,8 +13,9 @@ a backslash. Unescaping is the exact inverse for every string.
 
 Defined cases: null role or text counts as empty; a null conversation id is an id of its own; a
 null turn comes first; rows of equal turn follow by role, then text; repeated rows are turns of
-their own; an empty table gives no conversation. A message whose parent is missing is a root;
-messages whose parents form a cycle reach no root and give no path.
+their own; a text of any length is one turn; an empty table gives no conversation. A message whose parent is missing is a root;
+messages whose parents form a cycle reach no root and give no path. In the query conversation -1 is added, and rows that bear
+that id already are turns of it too. Only the named columns are read, so others can't clash.
 """
 
 from __future__ import annotations
@@ -50,11 +51,11 @@ def unescape_role(role: str) -> str:
     return unescape(re.sub(r"<(\\*)\\n", r"<\1n", role.replace("<n", "\n")))
 
 
-def best_paths(messages: DataFrame) -> DataFrame:
-    """(tree_id, msg_id, depth) of the messages on each tree's best root-to-leaf path; root depth 0.
+def best_paths(messages: DataFrame, top: int = 1) -> DataFrame:
+    """(tree_id, rank, msg_id, depth) of the messages on each tree's best root-to-leaf paths; rank from 1 up to top, root depth 0.
 
-    messages: tree_id, msg_id (unique), parent_id, score. The best path has the largest mean score
-    (null score: 0), then the most turns, then the smallest leaf.
+    messages: tree_id, msg_id (unique), parent_id, score. A better path has the larger mean score
+    (null score: 0), then the more turns, then the smaller leaf.
     """
     ids = messages.select(F.col("msg_id").alias("up"))
     start = messages.join(ids, F.col("parent_id") == F.col("up"), "left")
@@ -70,12 +71,17 @@ def best_paths(messages: DataFrame) -> DataFrame:
     done = jumps[-1].where("anc IS NULL")
     inner = messages.where("parent_id IS NOT NULL").select(F.col("parent_id").alias("msg_id")).distinct()
     leaves = done.join(inner, "msg_id", "left_anti")
-    rank = F.struct((F.col("total") / F.col("steps")).alias("mean"), F.col("steps"), (-F.col("msg_id")).alias("first"))
-    path = leaves.groupBy("tree_id").agg(F.max_by("msg_id", rank).alias("msg_id")).select("msg_id")
-    for jump in jumps[:-1]:  # each distance up the path is one sum of powers of two, so no node comes twice
+    mean = F.col("total") / F.col("steps")
+    if top == 1:  # an aggregate: a tree with most of the leaves is combined before the shuffle
+        best = F.max_by("msg_id", F.struct(mean.alias("mean"), F.col("steps"), (-F.col("msg_id")).alias("first")))
+        path = leaves.groupBy("tree_id").agg(best.alias("msg_id")).select(F.lit(1).alias("rank"), "msg_id")
+    else:  # Spark keeps top rows of each tree before the shuffle
+        order = Window.partitionBy("tree_id").orderBy(mean.desc(), F.desc("steps"), "msg_id")
+        path = leaves.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= top).select("rank", "msg_id")
+    for jump in jumps[:-1]:  # each distance up the path is one sum of powers of two, so no node comes twice in a path
         path = cut(path)
-        path = path.unionByName(path.join(jump.where("anc IS NOT NULL").select("msg_id", "anc"), "msg_id").select(F.col("anc").alias("msg_id")))
-    return path.join(done, "msg_id").select("tree_id", "msg_id", (F.col("steps") - 1).alias("depth"))
+        path = path.unionByName(path.join(jump.where("anc IS NOT NULL").select("msg_id", "anc"), "msg_id").select("rank", F.col("anc").alias("msg_id")))
+    return path.join(done, "msg_id").select("tree_id", "rank", "msg_id", (F.col("steps") - 1).alias("depth"))
 
 
 def chain(conversations: DataFrame) -> DataFrame:
@@ -86,14 +92,14 @@ def chain(conversations: DataFrame) -> DataFrame:
     return rows.withColumn("parent_id", F.lag("msg_id").over(order)).withColumn("score", F.lit(0.0))
 
 
-def format_chats(messages: DataFrame) -> DataFrame:
-    """(tree_id, formatted, loss_mask) of each tree's best path; messages as in best_paths, with role and text."""
-    turns = best_paths(messages).join(messages.select("msg_id", "role", "text"), "msg_id")
-    whole = turns.groupBy("tree_id").agg(F.sort_array(F.collect_list(F.struct("depth", "role", "text"))).alias("turns"))
+def format_chats(messages: DataFrame, top: int = 1) -> DataFrame:
+    """(tree_id, rank, formatted, loss_mask) of each tree's best paths, each a conversation of its own; messages as in best_paths, with role and text."""
+    turns = best_paths(messages, top).join(messages.select("msg_id", "role", "text"), "msg_id")
+    whole = turns.groupBy("tree_id", "rank").agg(F.sort_array(F.collect_list(F.struct("depth", "role", "text"))).alias("turns"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for tree, own in zip(batch.column("tree_id"), batch.column("turns"), strict=True):
+            for tree, rank, own in zip(batch.column("tree_id"), batch.column("rank"), batch.column("turns"), strict=True):
                 out, mask, at = [], [], 0
                 for turn in own.as_py():
                     head, body = f"{START}{escape_role(turn['role'] or '')}\n", escape(turn["text"] or "")
@@ -101,12 +107,12 @@ def format_chats(messages: DataFrame) -> DataFrame:
                         mask.append({"start": at + len(head), "length": len(body)})
                     out.append(f"{head}{body}{END}\n")
                     at += len(out[-1])
-                yield pa.RecordBatch.from_pylist([{"tree_id": tree.as_py(), "formatted": "".join(out), "loss_mask": mask}], schema=_FORMATTED)
+                yield pa.RecordBatch.from_pylist([{"tree_id": tree.as_py(), "rank": rank.as_py(), "formatted": "".join(out), "loss_mask": mask}], schema=_FORMATTED)
 
-    return whole.mapInArrow(run, "tree_id long, formatted string, loss_mask array<struct<start:long,length:long>>")
+    return whole.mapInArrow(run, "tree_id long, rank int, formatted string, loss_mask array<struct<start:long,length:long>>")
 
 
-_FORMATTED = pa.schema([("tree_id", pa.int64()), ("formatted", pa.string()), ("loss_mask", pa.list_(pa.struct([("start", pa.int64()), ("length", pa.int64())])))])
+_FORMATTED = pa.schema([("tree_id", pa.int64()), ("rank", pa.int32()), ("formatted", pa.string()), ("loss_mask", pa.list_(pa.struct([("start", pa.int64()), ("length", pa.int64())])))])
 
 
 def parse_chat(formatted: str) -> list[tuple[str, str]]:

@@ -7,7 +7,12 @@ probability of each vote in each class. The posterior of a pattern goes back by
 bounded table.
 
 Defined cases: a null or blank text has no words, all counts 0, base_failed true and kept false;
-repeated rows get a result each; an empty table gives an empty result; null ids stay null.
+a text of any length is measured whole; a posterior of just the threshold keeps, and documents of equal votes tie always;
+repeated rows get a result each and count each in the statistics; an empty table gives an empty result; null ids stay null. Only
+doc_id and text are read, so other columns can't clash.
+
+Two stages follow each other: EM learns what each vote tells of a class, then DOUBT bounds it. Rules are not independent as EM
+takes them to be, so without the bound one vote could outweigh all others.
 """
 
 from __future__ import annotations

@@ -13,10 +13,11 @@ they leave a split, and in round k the entered splits are joined with pointers 2
 a file of n splits takes log2 n rounds. Magic inside a payload is never reached; the fragments up to the next reached record are its payload.
 Tables of offsets and headers go through the joins, payload bytes only where a record has to be put together.
 
-Defined cases: a null payload counts as empty; null or odd URLs are kept with control characters
-and spaces percent-encoded; rows repeated in full are records of their own (if they hold the
-largest page_id, all of them are responses); an empty table makes empty archives; a null page_id
-never wins over a number.
+Defined cases: a null payload counts as empty, a null URL as an empty one; a URL comes back as it was, blanks, controls and %
+being percent-encoded in the archive; a payload or URL of any length is one record's; rows repeated in full are records of
+their own, and of equal payloads those tied for the largest page_id are all responses; an empty table makes empty archives; a
+null page_id never wins over a number. Only page_id, url and html are read, so other columns can't clash. A response holds the
+payload alone, without an HTTP block.
 """
 
 from __future__ import annotations
@@ -42,6 +43,26 @@ def _record_id(page_id: Column) -> Column:
     return F.concat(F.lit("<urn:page:"), F.coalesce(page_id.cast("string"), F.lit("")), F.lit(">"))
 
 
+#: Characters that a URL can't bear in a header line, % first, since the others are written with it.
+_UNFIT = ("%", *map(chr, range(33)), "\x7f")
+
+
+def encoded(url: Column) -> Column:
+    """A URL fit for a header line: blanks, controls and % percent-encoded."""
+    out = url
+    for c in _UNFIT:
+        out = F.replace(out, F.lit(c), F.lit(f"%{ord(c):02X}"))
+    return F.when(url.rlike(r"[%\x00-\x20\x7F]"), out).otherwise(url)
+
+
+def decoded(url: Column) -> Column:
+    """The URL that encoded() was given."""
+    out = url
+    for c in reversed(_UNFIT):
+        out = F.replace(out, F.lit(f"%{ord(c):02X}"), F.lit(c))
+    return F.when(F.contains(url, F.lit("%")), out).otherwise(url)
+
+
 def records(pages: DataFrame, least: int = LEAST) -> DataFrame:
     """One string for each page: a whole WARC record but for the CRLF CRLF that closes it."""
     pages = pages.select(
@@ -58,7 +79,7 @@ def records(pages: DataFrame, least: int = LEAST) -> DataFrame:
     last = stored(last)  # its size is known from here on, so payloads are shuffled only if it is too large to broadcast
     body = body.join(last, (F.col("digest") == F.col("d")) & (F.col("bytes") == F.col("b")), "left")
     again = F.col("first_id").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("first_id"))
-    url = F.regexp_replace(F.regexp_replace(F.coalesce("url", F.lit("")), "%", "%25"), r"[\x00-\x20\x7F]", "%20")
+    url = encoded(F.coalesce("url", F.lit("")))
     line = lambda name, value: F.concat(F.lit(f"{name}: "), value, F.lit("\r\n"))
     head = F.concat(
         F.lit(MAGIC),
@@ -186,7 +207,13 @@ def read_warc(spark: SparkSession, path: str, payloads: bool = True) -> DataFram
     rows = cut(candidates(spark, path))
     real = reached(rows).withColumn("real", F.lit(True))
     marked = rows.join(real, ["file", "start"], "left")
-    owner = F.max(F.when(F.col("real"), F.col("start"))).over(Window.partitionBy("file").orderBy("start"))
+    # a fragment's owner is the last record before it: in its split, else the last one of the splits before, so no file is one task's work
+    last = marked.where("real").groupBy("file", "split").agg(F.max("start").alias("last"))
+    every = marked.select("file", "split").distinct().join(last, ["file", "split"], "left")
+    ahead = F.max("last").over(Window.partitionBy("file").orderBy("split").rowsBetween(Window.unboundedPreceding, -1))  # a row for each split
+    marked = marked.join(every.select("file", "split", ahead.alias("ahead")), ["file", "split"])
+    inside = F.max(F.when(F.col("real"), F.col("start"))).over(Window.partitionBy("file", "split").orderBy("start"))
+    owner = F.coalesce(inside, F.col("ahead"))
     # a record with magic in its payload lies in several fragments; the first one tells its owner's length
     first = marked.where("real")
     plain = first.where("got = length")
@@ -227,7 +254,7 @@ def page_records(read: DataFrame) -> DataFrame:
             F.when(again, F.regexp_extract(field("WARC-Payload-Digest"), "sha1:(.*)", 1)).otherwise(F.col("payload_digest")).alias("payload_digest"),
             "record_type",
             "refers_to",
-            field("WARC-Target-URI").alias("url"),
+            decoded(field("WARC-Target-URI")).alias("url"),
         )
     )
 

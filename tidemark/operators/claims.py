@@ -89,6 +89,22 @@ def read_grouped_heads(messages: DataFrame, queue: str, as_of: str, qty: int, vt
     return claimed(own.join(heads, "msg_id").orderBy("msg_id").limit(qty), as_of, vt_secs)
 
 
+GROUPED = {"fill": read_grouped, "round_robin": read_grouped_round_robin, "heads": read_grouped_heads}
+
+
+def read_grouped_with_poll(messages: DataFrame, queue: str, as_of: str, qty: int, order: str = "fill", vt_secs: int = 30, max_poll_s: float = 5, every_ms: int = 100) -> DataFrame:
+    """A grouped read, tried again every every_ms until some group's head is claimable or max_poll_s have passed.
+
+    The try that finds rows follows from the least vt of the heads: one value comes to the driver.
+    """
+    heads = fifo_heads(messages.where(F.col("queue_name") == queue))
+    wait = F.greatest(times.seconds_between(F.min("head_vt"), times.moment(as_of)), F.lit(0.0))
+    tick = F.ceil(F.round(wait * 1000 / every_ms, 6)) * every_ms / 1000
+    polled = times.moment(as_of) + F.make_dt_interval(secs=F.col("after_s").cast("decimal(18,6)"))
+    row = heads.agg(tick.alias("after_s")).where(F.col("after_s") < max_poll_s).select(polled.cast("string").alias("at")).first()
+    return GROUPED[order](messages, queue, row.at if row else as_of, qty if row else 0, vt_secs)
+
+
 def read_prioritized(messages: DataFrame, as_of: str, qty: int, priority: Column, vt_secs: int = 30) -> DataFrame:
     """Priority 0 is drained first, then 1 and so on."""
     return claimed(messages.where(visible(as_of)).withColumn("priority", priority).orderBy("priority", "msg_id").limit(qty), as_of, vt_secs)

@@ -255,11 +255,17 @@ def drained_split(backlog: DataFrame, drained: DataFrame | None) -> DataFrame:
     return backlog.join(marks, "queue_name", "left").withColumn("drained", F.coalesce("__d", F.lit(False))).drop("__d")
 
 
+def fingerprints(queues: DataFrame, indexes: DataFrame) -> DataFrame:
+    """Queues that bear a stream's mark in the index catalog, with the index. indexes: index_name."""
+    named = queues.select("queue_name").distinct().withColumn("index_name", F.concat(F.lit("a_"), "queue_name", F.lit("_msg_id_idx")))
+    return named.join(indexes.select("index_name").distinct(), "index_name", "left_semi").select("queue_name", "index_name")
+
+
 def unregistered(queues: DataFrame, indexes: DataFrame, registry: DataFrame) -> DataFrame:
     """Queues that look like streams, by the index that only a stream's archive has, but are not registered. indexes: index_name."""
-    mark = indexes.select("index_name").distinct()
-    looks = queues.withColumn("index_name", F.concat(F.lit("a_"), "queue_name", F.lit("_msg_id_idx"))).join(mark, "index_name", "left_semi")
-    return looks.join(registry, "queue_name", "left_anti").select("queue_name")
+    return fingerprints(queues, indexes).join(registry, "queue_name", "left_anti").select("queue_name")
+
+
 
 def zombies(messages: DataFrame, failures: DataFrame) -> DataFrame:
     """Messages read more than once without a recorded failure: the worker died or the job was dropped."""
@@ -292,6 +298,18 @@ def sync(tasks: DataFrame, config: DataFrame, keys: list[str]) -> DataFrame:
     return merge(tasks.where("NOT static"), config, keys)
 
 
+def enqueue_kinds(jobs: DataFrame, special: Column, as_of: Column) -> DataFrame:
+    """By queue how many jobs go one by one (special: they take locks or slots), in bulk at once, and in bulk with a delay."""
+    later = F.col("vt") > as_of
+    return jobs.groupBy("queue_name").agg(F.count_if(special).alias("special"), F.count_if(~special & ~later).alias("immediate"), F.count_if(~special & later).alias("scheduled"))
+
+
+def locks_after(locks: DataFrame, gone: DataFrame) -> DataFrame:
+    """Locks that stay when messages go: those whose key no gone body bears."""
+    keys = gone.select(lock_key_of(F.col("message")).alias("lock_key")).where("lock_key IS NOT NULL").distinct()
+    return locks.join(keys, "lock_key", "left_anti")
+
+
 def handled(pending: DataFrame, as_of: str) -> DataFrame:
     """Rows of processed events (event_id, handler_class) that mark pending ones as done."""
     return pending.select("event_id", "handler_class", times.moment(as_of).alias("processed_at"))

@@ -175,6 +175,12 @@ def distributions(stats: DataFrame) -> DataFrame:
     )
 
 
+def byte_distributions(frames: DataFrame, by: str, payload: str) -> DataFrame:
+    """By stream: frames, and mean and upper percentile of their bytes."""
+    rows = frames.withColumn("bytes", F.octet_length(payload))
+    return rows.groupBy(by).agg(F.count("*").alias("n"), F.round(F.avg("bytes"), 4).alias("mean_bytes"), F.round(p("bytes", 0.95), 4).alias("p95_bytes"))
+
+
 def stat_rows(runs: DataFrame) -> DataFrame:
     """Log rows of finished runs: latency is never negative, a first read is no retry."""
     return runs.select(

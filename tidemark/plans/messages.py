@@ -386,3 +386,26 @@ def queue_kinds(s: Source) -> DataFrame:
 def detach_archive(s: Source) -> DataFrame:
     gone, rest = queues.detached(s.queue_messages.select("queue_name").distinct(), "mq_low")
     return gone.join(F.broadcast(rest.agg(F.count("*").alias("rest"))))  # one row
+
+
+_WAITING = f"""WITH own AS (SELECT *, coalesce(group_key, '_default_fifo_group') AS fifo_key FROM queue_messages WHERE queue_name = 'mq_mailers' AND vt > {_T}),
+heads AS (SELECT fifo_key, min(msg_id) AS head_id, min_by(vt, msg_id) AS head_vt FROM own GROUP BY fifo_key),
+t AS (SELECT {_T} + to_seconds(ceil(epoch(min(head_vt) - {_T}) * 1000 / 100.0) * 0.1) AS polled FROM heads),
+ranked AS (SELECT o.msg_id, h.head_id, polled, row_number() OVER (PARTITION BY o.fifo_key ORDER BY o.msg_id) AS msg_rank FROM own o JOIN heads h ON h.fifo_key = o.fifo_key, t WHERE h.head_vt <= polled AND o.vt <= polled)"""
+
+
+@query(f"{_WAITING} SELECT 'fill' AS kind, * FROM (SELECT msg_id, polled AS last_read_at FROM ranked ORDER BY head_id, msg_rank LIMIT 6) a UNION ALL SELECT 'round_robin', * FROM (SELECT msg_id, polled FROM ranked ORDER BY msg_rank, head_id LIMIT 6) b UNION ALL SELECT 'heads', * FROM (SELECT msg_id, polled FROM ranked WHERE msg_rank = 1 ORDER BY msg_id LIMIT 6) c")
+def read_grouped_with_poll(s: Source) -> DataFrame:
+    """The three grouped reads of a queue where nothing is claimable at first."""
+    waiting = s.queue_messages.where(~claims.visible(NOW))
+    out = None
+    for kind in claims.GROUPED:
+        one = claims.read_grouped_with_poll(waiting, "mq_mailers", NOW, 6, kind, max_poll_s=7200).select(F.lit(kind).alias("kind"), "msg_id", "last_read_at")
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
+@query("SELECT queue_name || '_p' || least(read_ct, 2) AS queue_name, '{\"msg_id\":' || msg_id || ',\"group_key\":' || coalesce('\"' || group_key || '\"', 'null') || '}' AS message FROM queue_messages")
+def client_send(s: Source) -> DataFrame:
+    """What a client sends: the sub-queue of each priority, the payload as JSON."""
+    return queues.prepared(s.queue_messages.withColumn("priority", F.col("read_ct")), ["msg_id", "group_key"], 3)

@@ -10,6 +10,7 @@ from tidemark.operators import claims, metrics, stats
 from tidemark.plans.registry import query
 from tidemark.sources import queues, sinks
 from tidemark.sources.views import NOW, Source
+from tidemark.streaming import fanout
 
 _T = f"TIMESTAMP '{NOW}'"
 
@@ -256,10 +257,10 @@ def json_api(s: Source) -> DataFrame:
     return sinks.json_rows(stats.counts_by(s.job_stats, "status"))
 
 
-@query("SELECT event_id, octet_length(encode(props)) > 9 AS durable FROM events")
+@query("SELECT event_id, CASE WHEN octet_length(encode(props)) > 9 THEN 'durable' ELSE 'notify' END AS route, 'durable' AS large FROM events")
 def notify_cap(s: Source) -> DataFrame:
-    """Payloads beyond the notification limit (here 9 bytes) take the durable path."""
-    return s.events.select("event_id", (F.octet_length("props") > 9).alias("durable"))
+    """Payloads beyond the notification's limit (here 9 bytes, then the usual one) take the durable path."""
+    return s.events.select("event_id", fanout.notify_route(F.col("props"), 9).alias("route"), fanout.notify_route(F.repeat("props", F.lit(8000))).alias("large"))
 
 
 @query(f"""SELECT queue_name, gauge, value FROM (SELECT queue_name, 'queue_depth' AS gauge, CAST(count(*) AS DOUBLE) AS value FROM queue_messages GROUP BY 1

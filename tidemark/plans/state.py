@@ -13,6 +13,7 @@ from tidemark.sources.views import NOW, Source
 from tidemark.streaming import fanout
 
 _T = f"TIMESTAMP '{NOW}'"
+_LOCKED = """SELECT o_orderkey AS msg_id, 'mq_orders' AS queue_name, CASE WHEN o_orderkey % 3 = 0 THEN '{"uniqueness_key":"lock' || CAST(o_orderkey % 900 AS VARCHAR) || '"}' ELSE '{}' END AS message FROM orders"""
 
 
 @query("SELECT event_id, handler_class FROM processed_events WHERE completed_at IS NULL")
@@ -26,8 +27,8 @@ _HOPS = """WITH RECURSIVE first AS (SELECT {key}, min(ts) AS ts FROM events GROU
 
 @query(_HOPS.format(key="user_id", then="e.ts > h.ts + INTERVAL 3600 SECOND") + " SELECT user_id, ts FROM hops WHERE ts IS NOT NULL")
 def dedup_cache(s: Source) -> DataFrame:
-    """Times at which a user's events pass one cache for all: those more than the TTL after the last that passed."""
-    rows = s.events.select(F.lit("worker").alias("process"), F.col("user_id"), "ts").distinct()
+    """Times at which a user's events pass the cache of the process they come to: those more than the TTL after the last that passed."""
+    rows = s.events.select((F.col("user_id") % 16).alias("process"), F.col("user_id"), "ts").distinct()
     return state.dedup_cache(rows, "process", "user_id", "ts", 3600).select("user_id", "ts")
 
 
@@ -223,11 +224,11 @@ def ambiguous_ids(s: Source) -> DataFrame:
     return rows.where(names.is_dead_letters(F.col("queue_name"))).groupBy("msg_id").agg(F.countDistinct("queue_name").alias("queues")).where("queues > 1")
 
 
-@query("SELECT queue_name, 'a_' || queue_name || '_msg_id_idx' AS index_name FROM (SELECT DISTINCT queue_name FROM queue_messages) q WHERE queue_name NOT LIKE '%dlq'")
+@query("SELECT DISTINCT queue_name, 'a_' || queue_name || '_msg_id_idx' AS index_name FROM queue_messages WHERE queue_name IN ('mq_mailers', 'mq_low')")
 def stream_fingerprints(s: Source) -> DataFrame:
-    own = s.queue_messages.select("queue_name").distinct()
-    index = own.where(~names.is_dead_letters(F.col("queue_name"))).select(F.concat(F.lit("a_"), "queue_name", F.lit("_msg_id_idx")).alias("index_name"))
-    return own.withColumn("index_name", F.concat(F.lit("a_"), "queue_name", F.lit("_msg_id_idx"))).join(index, "index_name").select("queue_name", "index_name")
+    """Queues that the index catalog shows to be streams."""
+    indexes = s.spark.createDataFrame([("a_mq_mailers_msg_id_idx",), ("a_mq_low_msg_id_idx",), ("a_mq_gone_msg_id_idx",), ("q_mq_billing_vt_idx",)], "index_name string")
+    return state.fingerprints(s.queue_messages, indexes)
 
 
 @query("SELECT queue_name FROM (SELECT DISTINCT queue_name FROM queue_messages WHERE queue_name IN ('mq_mailers', 'mq_low')) q WHERE queue_name NOT IN (SELECT queue_name FROM stream_queues)")
@@ -358,9 +359,13 @@ def consumer_priority(s: Source) -> DataFrame:
 
 @query("SELECT queue_name, count(*) FILTER (WHERE special) AS special, count(*) FILTER (WHERE NOT special AND vt <= enqueued_at + INTERVAL 1 MINUTE) AS immediate, count(*) FILTER (WHERE NOT special AND vt > enqueued_at + INTERVAL 1 MINUTE) AS scheduled FROM (SELECT *, group_key IS NULL AS special FROM queue_messages) m GROUP BY 1")
 def bulk_enqueue(s: Source) -> DataFrame:
-    special = F.col("group_key").isNull()
-    later = F.col("vt") > F.col("enqueued_at") + F.expr("INTERVAL 1 MINUTE")
-    return s.queue_messages.groupBy("queue_name").agg(F.count_if(special).alias("special"), F.count_if(~special & ~later).alias("immediate"), F.count_if(~special & later).alias("scheduled"))
+    return state.enqueue_kinds(s.queue_messages, F.col("group_key").isNull(), F.col("enqueued_at") + F.expr("INTERVAL 1 MINUTE"))
+
+
+@query(f"SELECT DISTINCT lock_key FROM locks WHERE lock_key NOT IN (SELECT json_extract_string(message, '$.uniqueness_key') FROM ({_LOCKED}) m WHERE message <> '{{}}' AND msg_id % 2 = 0)")
+def bulk_release(s: Source) -> DataFrame:
+    """Locks that stay when every second message is discarded."""
+    return state.locks_after(s.locks, _locked(s).where("msg_id % 2 = 0")).select("lock_key").distinct()
 
 
 @query("SELECT queue_name, count(*) AS n FROM queue_messages WHERE NOT (queue_name = 'mq_default_dlq') AND msg_id NOT IN (SELECT msg_id FROM locks) GROUP BY 1")
@@ -394,9 +399,6 @@ def dead_letter_decision(s: Source) -> DataFrame:
     return s.queue_messages.select("msg_id", (state.job_outcome(F.col("read_ct"), F.lit(True)) == "dead_lettered").alias("dead"))
 
 
-_LOCKED = """SELECT o_orderkey AS msg_id, 'mq_orders' AS queue_name, CASE WHEN o_orderkey % 3 = 0 THEN '{"uniqueness_key":"lock' || CAST(o_orderkey % 900 AS VARCHAR) || '"}' ELSE '{}' END AS message FROM orders"""
-
-
 def _locked(s: Source) -> DataFrame:
     key = F.col("o_orderkey")
     body = F.when(key % 3 == 0, F.concat(F.lit('{"uniqueness_key":"lock'), (key % 900).cast("string"), F.lit('"}'))).otherwise("{}")

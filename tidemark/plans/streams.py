@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.functions import times
+from tidemark.operators import stats
 from tidemark.plans.registry import query
 from tidemark.sources.views import NOW, Source
 from tidemark.streaming import fanout, live
@@ -123,3 +124,15 @@ def wake_coalescing(s: Source) -> DataFrame:
     SELECT event_type, ts FROM hops WHERE ts IS NOT NULL""")
 def notify_throttle(s: Source) -> DataFrame:
     return live.throttled_batch(s.events, "event_type", "ts", 7_200_000)
+
+
+@query(f"SELECT id, CASE WHEN epoch({_T} - last_heartbeat_at) >= 86500 THEN 'close' WHEN epoch({_T} - loop_tick_at) >= 86450 THEN 'beat' ELSE 'none' END AS action FROM processes")
+def heartbeats(s: Source) -> DataFrame:
+    """What the heartbeat does for each connection."""
+    rows = s.processes.select("id", F.col("last_heartbeat_at").alias("last_used_at"), F.col("loop_tick_at").alias("last_write_at"))
+    return fanout.beats(rows, NOW, 86_450, 86_500).select("id", "action")
+
+
+@query("SELECT stream_name, count(*) AS n, round(avg(octet_length(encode(payload))), 4) AS mean_bytes, round(quantile_cont(octet_length(encode(payload)), 0.95), 4) AS p95_bytes FROM stream_messages GROUP BY 1")
+def stream_bytes(s: Source) -> DataFrame:
+    return stats.byte_distributions(s.stream_messages, "stream_name", "payload")

@@ -45,6 +45,13 @@ def message_bounds(live: DataFrame, archive: DataFrame, by: list[str]) -> DataFr
     return both.groupBy(*by).agg(F.coalesce(F.max(live_id), F.lit(0).cast("long")).alias("current_id"), F.min("msg_id").alias("oldest_id"))
 
 
+def prepared(messages: DataFrame, payload: list[str], levels: int = 1) -> DataFrame:
+    """Messages (queue_name, priority and payload columns) as a client sends them: queue_name with the sub-queue of the priority, if there are levels, and message as JSON."""
+    target = names.with_priority(F.col("queue_name"), F.coalesce("priority", F.lit(0)), levels) if levels > 1 else F.col("queue_name")
+    body = F.to_json(F.struct(*payload), {"ignoreNullFields": "false"})
+    return messages.select(target.alias("queue_name"), body.alias("message"))
+
+
 def checked_batch(messages: list[str], headers: list[str | None] | None) -> list[tuple[str, str | None]]:
     """Pairs for send_batch; a batch must hold messages, and headers, if any, must be as many."""
     if not messages:

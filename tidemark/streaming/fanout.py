@@ -96,6 +96,21 @@ def visible_to(label: Column, predicates: dict[str, Column]) -> Column:
     return F.when(label.isNull(), True).otherwise(out)
 
 
+#: Fixed value: bytes that a notification's payload has at most.
+NOTIFY_BYTES = 7999
+
+
+def notify_route(payload: Column, most: int = NOTIFY_BYTES) -> Column:
+    """How a frame goes out: in the notification itself, or stored if it is too large for one."""
+    return F.when(F.octet_length(payload) > most, "durable").otherwise("notify")
+
+
+def beats(connections: DataFrame, as_of: str, beat_s: float = 15, idle_s: float = 3600) -> DataFrame:
+    """Connections with what their heartbeat does now: close what nobody used for idle_s, write to what was silent for beat_s, else nothing. last_used_at, last_write_at."""
+    used, wrote = (times.seconds_between(times.moment(as_of), F.col(c)) for c in ("last_used_at", "last_write_at"))
+    return connections.withColumn("action", F.when(used >= idle_s, "close").when(wrote >= beat_s, "beat").otherwise("none"))
+
+
 def deferred(broadcasts: DataFrame, transactions: DataFrame) -> DataFrame:
     """Broadcasts as they go out: those of a transaction at its commit, never if it rolled back, others at once.
 
