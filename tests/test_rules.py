@@ -11,7 +11,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tidemark.functions import names, payloads, times, topics
-from tidemark.operators import admin, claims, metrics, schedules, state, stats
+from tidemark.operators import admin, claims, metrics, runs, schedules, state, stats
 from tidemark.sources import queues, sinks
 from tidemark.sources.views import Source
 from tidemark.streaming import fanout, live
@@ -294,3 +294,48 @@ def test_labels_are_sorted_and_escaped(spark):
 
 def test_window_labels():
     assert [times.range_label(m) for m in (30, 60, 360, 1440, 10080, 90)] == ["30m", "1h", "6h", "1d", "7d", "90m"]
+
+
+@pytest.mark.parametrize(("run", "width"), [(10, 0.05), (3, 0.2), (10**6, 0.05), (1, 0.001), (5, 3.0)])
+def test_windows_in_runs_against_a_plain_fold(spark, run, width):
+    rng = random.Random(run)
+    rows = [(rng.choice(["hot", "hot", "hot", "b", None]), rng.randrange(3000) * rng.choice([1, 1, 50]) * 1000, i) for i in range(500)]
+    events = spark.createDataFrame(rows, "k string, us long, i int").withColumn("at", F.timestamp_micros("us").cast("timestamp_ntz"))
+    want = {}
+    for key in {r[0] for r in rows}:
+        start = None
+        for _, us, i in sorted((r for r in rows if r[0] == key), key=lambda r: r[1:]):
+            if start is None or us - start >= width * 1e6:
+                start = us
+            want[i] = start
+    assert {r.i: r.window for r in fanout.windows(events, ["k"], "at", width, run).collect()} == want
+    assert fanout.windows(events.where("false"), ["k"], "at", width).count() == 0
+
+
+@pytest.mark.parametrize("size", [7, 40, 10**6])
+def test_hot_keys_are_gone_through_in_runs(spark, monkeypatch, size):
+    """Streaks, sessions and drop-oldest give the same however many runs a key's rows are cut into."""
+    monkeypatch.setattr(runs, "RUN_ROWS", size)
+    rng = random.Random(1)
+    rows = [(rng.choice(["hot", "hot", "hot", "b", None]), i, rng.random() < 0.9, rng.randrange(5), i * 60 + rng.randrange(60) + 3000 * (i // 37)) for i in range(300)]
+    table = spark.createDataFrame(rows, "k string, i long, bad boolean, frames int, s long").withColumn("at", F.timestamp_seconds("s").cast("timestamp_ntz"))
+    streak, sessions, fits = {}, [], set()
+    for key in {r[0] for r in rows}:
+        own, n, last = [r for r in rows if r[0] == key], 0, None
+        for _, i, bad, _, sec in own:
+            n = n + 1 if bad else 0
+            streak[i] = n
+            if last is None or sec - last >= 600:
+                sessions.append([key, sec, sec, 0])
+            last = sessions[-1][2] = sec
+            sessions[-1][3] += 1
+        total = 0
+        for _, i, _, frames, _ in reversed(own):
+            total += frames
+            if total <= 20 or i == own[-1][1]:
+                fits.add(i)
+    assert {r.i: r.streak for r in state.streaks(table, "k", ["i"], F.col("bad")).collect()} == streak
+    got = fanout.sessions(table, "k", "at", 600).collect()
+    epoch = datetime.datetime(1970, 1, 1)
+    assert sorted(((r.k or "", (r.start - epoch).total_seconds(), (r.end - epoch).total_seconds(), r.n) for r in got)) == sorted((k or "", a, b, n) for k, a, b, n in sessions)
+    assert {r.i for r in fanout.newest_within(table, "k", "i", "frames", 20).collect()} == fits

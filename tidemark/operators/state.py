@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.functions import times, topics, values
+from tidemark.operators import runs
 from tidemark.operators.claims import numbered
 
 
@@ -143,11 +144,20 @@ def conflict_outcome(granted: Column, policy: str) -> Column:
 
 
 def streaks(rows: DataFrame, key: str, order: list[str], failed: Column) -> DataFrame:
-    """rows with streak: failures in a row up to here, 0 at a success."""
-    by = Window.partitionBy(key).orderBy(*order)
-    marked = rows.withColumn("__island", F.count_if(~failed).over(by.rowsBetween(Window.unboundedPreceding, 0)))
-    inside = Window.partitionBy(key, "__island").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    return marked.withColumn("streak", F.when(failed, F.count_if(failed).over(inside)).otherwise(F.lit(0).cast("long"))).drop("__island")
+    """rows with streak: failures in a row up to here, 0 at a success. A hot key's rows are counted run by run."""
+    dealt, n = runs.cut_in_runs(rows.withColumn("__failed", failed), order[0])
+    by = Window.partitionBy(key, "__run").orderBy(*order)
+    marked = dealt.withColumn("__island", F.count_if(~F.col("__failed")).over(by.rowsBetween(Window.unboundedPreceding, 0)))
+    inside = Window.partitionBy(key, "__run", "__island").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    marked = marked.withColumn("__own", F.when(F.col("__failed"), F.count_if(F.col("__failed")).over(inside)).otherwise(F.lit(0).cast("long")))
+    if n > 1:  # the streak that a run begins with: that of the run before, and of those before it as far as they only failed
+        each = marked.groupBy(key, "__run").agg(F.max_by("__own", F.struct(*order)).alias("__tail"), F.count_if(~F.col("__failed")).alias("__ok"))
+        each = each.withColumn("__since", F.count_if(F.col("__ok") > 0).over(runs.over_runs(key)))
+        total = F.sum("__tail").over(Window.partitionBy(key, "__since").orderBy("__run"))
+        each = each.withColumn("__total", total).withColumn("__carry", F.coalesce(F.lag("__total").over(runs.over_runs(key)), F.lit(0)))
+        marked = runs.joined(marked, each.select(key, "__run", "__carry"), key)
+        marked = marked.withColumn("__own", F.when(F.col("__failed") & (F.col("__island") == 0), F.col("__own") + F.col("__carry")).otherwise(F.col("__own"))).drop("__carry")
+    return marked.withColumnRenamed("__own", "streak").drop("__island", "__run", "__failed")
 
 
 def breaker_trips(rows: DataFrame, key: str, order: list[str], failed: Column, after: int = 5, base: float = 30, most: float = 600) -> DataFrame:

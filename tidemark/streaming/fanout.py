@@ -5,13 +5,15 @@ Batch forms take a log and give what a stream would have emitted by its end.
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.functions import times
+from tidemark.operators import runs
 
 
 def min_cursors(clients: DataFrame) -> DataFrame:
@@ -41,47 +43,85 @@ def acknowledged(written: DataFrame) -> DataFrame:
     return written.select("client", F.coalesce(done, F.col("last_sent")).alias("cursor"))
 
 
-def folded(rows: DataFrame, keys: list[str], at: str, step: Callable[[], Callable[[int, bool], int]]) -> DataFrame:
-    """rows with window: what a fold over each key's rows in time order (ties by the other columns) gives for each; nothing of a key is held but the fold's state.
+#: Rows of a key that a task goes through in one run of time, about.
+RUN_ROWS = 1_000_000
 
-    step makes the fold: (microseconds, whether the key is new) -> window.
-    """
-    rest = [c for c in rows.columns if c not in (*keys, at)]
-    dealt = rows.withColumn("__us", times.micros(F.col(at))).repartition(*keys).sortWithinPartitions(*keys, "__us", *rest)
-    place = [dealt.columns.index(c) for c in (*keys, "__us")]
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        fold, last = step(), None
-        for batch in batches:
-            out = []
-            for *key, us in zip(*(batch.column(i).to_pylist() for i in place), strict=True):
-                out.append(fold(us, key != last))
-                last = key
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(out, pa.int64())], names=[*batch.schema.names, "window"])
-
-    return dealt.mapInArrow(run, dealt.withColumn("window", F.lit(0).cast("long")).schema).drop("__us")
 
+def _exits(group: pa.Table, window_us: int) -> pa.Table:
+    """Of one key's times in a run: by the time from which a window may open (upto, the last such time), when the window that is then open at the run's end closes."""
+    times_ = np.sort(np.asarray(group.column("__us").to_numpy(), np.int64))
+    after = np.searchsorted(times_, times_ + window_us)  # the next row that opens a window
+    close = times_ + window_us
+    for i in range(len(times_) - 1, -1, -1):
+        if after[i] < len(times_):
+            close[i] = close[after[i]]
+    last = np.flatnonzero(np.append(close[1:] != close[:-1], True))  # entries of one outcome are one row
+    out = group.take(pa.array(np.zeros(len(last), np.int64)))
+    return pa.table({**{c: out.column(c) for c in out.column_names if c != "__us"}, "upto": pa.array(times_[last]), "close": pa.array(close[last])})
 
-def opened_by_first(window_s: float) -> Callable[[], Callable[[int, bool], int]]:
-    """A fold: the start of a window that its first row opens and that is closed window_s later, however many rows come."""
 
-    def step() -> Callable[[int, bool], int]:
-        start = 0
+def windows(rows: DataFrame, keys: list[str], at: str, window_s: float, run_rows: int = RUN_ROWS) -> DataFrame:
+    """rows with window (microseconds): the start of the window each is in. A key's first row opens a window, and so does each first row window_s or more after the last opening.
 
-        def fold(us: int, new: bool) -> int:
-            nonlocal start
-            if new or us - start >= window_s * 1e6:
-                start = us
-            return start
-
-        return fold
+    A key's log is cut into runs of time. Each run tells, for every time from which a window may open in it, when the window open at its
+    end closes; chains of windows soon meet, so that is a short table. One pass over these tables, key by key, gives what is open as
+    each run begins, and then runs go through their rows apart. So a key with most of the rows is many tasks' work.
+    """
+    width = int(window_s * 1e6)
+    dealt = rows.withColumn("__us", times.micros(F.col(at)))
+    low, high, n = dealt.agg(F.min("__us"), F.max("__us"), F.count("*")).first()
+    if not n:
+        return dealt.withColumn("window", F.col("__us")).drop("__us")
+    run = max(width, -(-(high - low + 1) // -(-n // run_rows)), 1)
+    dealt = dealt.withColumn("__run", F.floor((F.col("__us") - low) / run))
+    kinds = dict(dealt.dtypes)
+    typed = ", ".join(f"`{k}` {kinds[k]}" for k in keys)
+    exits = dealt.select(*keys, "__run", "__us").distinct().groupBy(*keys, "__run").applyInArrow(lambda group: _exits(group, width), f"{typed}, __run long, upto long, close long")
+    tables = exits.repartition(*keys).sortWithinPartitions(*keys, "__run", "upto")
+    n_keys = len(keys)
+
+    def entries(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, now, open_until, known = None, None, 0, False
+        for batch in batches:
+            out = []
+            for *own, r, upto, close in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if own != key:
+                    key, now, open_until = own, None, -(1 << 62)
+                if r != now:
+                    now, known = r, False
+                    out.append((*own, r, open_until))
+                if not known and upto >= open_until:
+                    open_until, known = close, True
+            columns = list(zip(*out, strict=True)) or [[]] * (n_keys + 2)
+            types = [*[batch.schema.field(i).type for i in range(n_keys)], pa.int64(), pa.int64()]
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], names=[*[f"__k{i}" for i in range(n_keys)], "__r", "__open"])
+
+    begun = tables.mapInArrow(entries, ", ".join(f"__k{i} {kinds[k]}" for i, k in enumerate(keys)) + ", __r long, __open long")
+    same = F.col("__run") == F.col("__r")
+    for i, k in enumerate(keys):
+        same = same & F.col(k).eqNullSafe(F.col(f"__k{i}"))
+    whole = dealt.join(begun, same).select(*dealt.columns, "__open")
+    whole = whole.repartition(*keys, "__run").sortWithinPartitions(*keys, "__run", "__us")
+    place = [whole.columns.index(c) for c in (*keys, "__run", "__us", "__open")]
+
+    def run_through(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last, until = None, 0
+        for batch in batches:
+            out = []
+            for *own, us, begin in zip(*(batch.column(i).to_pylist() for i in place), strict=True):
+                if own != last:
+                    last, until = own, begin
+                if us >= until:
+                    until = us + width
+                out.append(until - width)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(out, pa.int64())], names=[*batch.schema.names, "window"])
 
-    return step
+    return whole.mapInArrow(run_through, whole.withColumn("window", F.lit(0).cast("long")).schema).drop("__us", "__run", "__open")
 
 
 def coalesced(frames: DataFrame, keys: list[str], at: str, order: str, window_s: float) -> DataFrame:
     """The last frame of each key (stream and target) in windows that their first frame opens, with flushed_at, the window's end."""
-    marked = folded(frames, keys, at, opened_by_first(window_s))
+    marked = windows(frames, keys, at, window_s)
     rest = [c for c in frames.columns if c not in keys]
     best = marked.groupBy(*keys, "window").agg(F.max_by(F.struct(*rest), F.struct(at, order)).alias("f"))
     flushed = F.timestamp_micros((F.col("window") + int(window_s * 1e6))).cast("timestamp_ntz")
@@ -156,10 +196,22 @@ def members_swept(members: DataFrame, cutoff: str) -> tuple[DataFrame, DataFrame
 
 
 def newest_within(jobs: DataFrame, client: str, order: str, frames: str, cap: int) -> DataFrame:
-    """Drop-oldest: the newest write jobs of a client whose frames fit the cap; the newest passes however large it is."""
-    back = Window.partitionBy(client).orderBy(F.desc(order)).rowsBetween(Window.unboundedPreceding, 0)
-    newest = F.row_number().over(Window.partitionBy(client).orderBy(F.desc(order)))
-    return jobs.withColumns({"__sum": F.sum(frames).over(back), "__rank": newest}).where((F.col("__sum") <= cap) | (F.col("__rank") == 1)).drop("__sum", "__rank")
+    """Drop-oldest: the newest write jobs of a client whose frames fit the cap; the newest passes however large it is.
+
+    A hot client's jobs are summed up run by run, and only runs that the cap reaches are looked into.
+    """
+    dealt, n = runs.cut_in_runs(jobs, order)
+    newer = F.lit(0).cast("long")
+    if n > 1:
+        later = Window.partitionBy(client).orderBy(F.desc("__run")).rowsBetween(Window.unboundedPreceding, -1)
+        each = dealt.groupBy(client, "__run").agg(F.sum(frames).alias("__frames")).withColumn("__newer", F.coalesce(F.sum("__frames").over(later), F.lit(0)))
+        each = each.withColumn("__last", F.max("__run").over(Window.partitionBy(client)) == F.col("__run"))
+        dealt = runs.joined(dealt, each.where((F.col("__newer") <= cap) | F.col("__last")).select(client, "__run", "__newer", "__last"), client)
+        newer = F.col("__newer")
+    by = Window.partitionBy(client, "__run").orderBy(F.desc(order))
+    marked = dealt.withColumns({"__sum": F.sum(frames).over(by.rowsBetween(Window.unboundedPreceding, 0)) + newer, "__rank": F.row_number().over(by)})
+    newest = (F.col("__rank") == 1) & (F.col("__last") if n > 1 else F.lit(True))
+    return marked.where((F.col("__sum") <= cap) | newest).drop("__sum", "__rank", "__run", "__newer", "__last")
 
 
 def presence(events: DataFrame, as_of: str, timeout_s: int, left: Column) -> DataFrame:
@@ -179,9 +231,19 @@ def wakes(notifications: DataFrame, batch: Column) -> DataFrame:
 
 
 def sessions(events: DataFrame, key: str, at: str, gap_s: int) -> DataFrame:
-    """Connections by idle timeout: runs of events less than the gap apart."""
-    by = Window.partitionBy(key).orderBy(at)
-    new = F.coalesce(times.seconds_between(F.col(at), F.lag(at).over(by)) >= gap_s, F.lit(True))
-    marked = events.withColumn("__new", new)
+    """Connections by idle timeout: runs of events less than the gap apart. A hot key's events are numbered stretch by stretch."""
+    dealt, n = runs.cut_in_runs(events, at)
+    by = Window.partitionBy(key, "__run").orderBy(at)
+    before = F.lag(at).over(by)
+    if n > 1:
+        ends = dealt.groupBy(key, "__run").agg(F.max(at).alias("__end")).withColumn("__before", F.lag("__end").over(runs.over_runs(key)))
+        dealt = runs.joined(dealt, ends.select(key, "__run", "__before"), key)
+        before = F.coalesce(before, F.col("__before"))
+    new = F.coalesce(times.seconds_between(F.col(at), before) >= gap_s, F.lit(True))
+    marked = dealt.withColumn("__new", new)
     marked = marked.withColumn("session", F.count_if(F.col("__new")).over(by.rowsBetween(Window.unboundedPreceding, 0)))
+    if n > 1:
+        count = marked.groupBy(key, "__run").agg(F.count_if(F.col("__new")).alias("__n"))
+        ahead = F.coalesce(F.sum("__n").over(runs.over_runs(key).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+        marked = runs.joined(marked, count.select(key, "__run", ahead.alias("__ahead")), key).withColumn("session", F.col("session") + F.col("__ahead"))
     return marked.groupBy(key, "session").agg(F.min(at).alias("start"), F.max(at).alias("end"), F.count("*").alias("n"))
