@@ -41,7 +41,9 @@ def test_operators_give_each_row_a_result(spark, docs):
     assert ids(pii.all_spans(docs).collect()) == every
     assert ids(jaccard_join.jaccard_components(docs).collect()) == every
     assert ids(quality_model.score_documents(docs, quality_model.train(docs, quality_model.grades_of(labels(spark)))).collect()) == every
-    assert ids(pseudo_likelihood.score_documents(docs, *pseudo_likelihood.train(docs)).collect()) == every
+    counts = pseudo_likelihood.count_words(docs)
+    known = pseudo_likelihood.lexicon(counts)
+    assert ids(pseudo_likelihood.score_documents(docs, pseudo_likelihood.train(docs, known), known, counts).collect()) == every
     assert set(ids(packing.pack_documents(docs).collect())) == set(every)
     assert licenses.scan_licenses(docs, licenses.train(docs)).count() == 0
 
