@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+import re
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.functions import names, times, values
@@ -121,8 +123,32 @@ def watchdog(ages: list[Column], threshold: float) -> Column:
     return F.coalesce(F.least(*ages) > threshold, F.lit(False)) if len(ages) > 1 else F.coalesce(ages[0] > threshold, F.lit(False))
 
 
+#: The kinds of processes that claim, how many queues a reason names, and the reasons' texts.
 DRAINING = ("worker", "consumer")
 SHOWN = 10
+STALLED_REASONS = {
+    "standing": "{stalled_workers} worker(s) stalled (heart-beating but claim loop not advancing) while {active_n} queue(s) have visible backlog: {active_names}",
+    "unclaimed": "{unclaimed_n} queue(s) have visible messages with read_ct=0 (never claimed) while {drainers} draining process(es) are alive: {unclaimed_names}",
+}
+DEGRADED_REASONS = {
+    "stale": "{stale_processes} process(es) stale (no recent heartbeat)",
+    "held": "{held_n} paused queue(s) holding a backlog: {held_names}",
+    "undrained": "{undrained_n} queue(s) hold messages but no capsule is configured to drain them: {undrained_names}",
+    "dead": "{dead_n} dead-letter queue(s) hold messages",
+    "old": "oldest open transaction is {oldest_transaction_s}s old (MVCC horizon pinning risk)",
+    "unregistered": "{unregistered} unregistered stream queue(s) detected (dormant pre-registry durable streams)",
+}
+
+
+def filled(text: str) -> Column:
+    """A text with the columns it names in braces."""
+    parts = re.split(r"\{(\w+)\}", text)
+    return F.concat(*[F.col(x).cast("string") if i % 2 else F.lit(x) for i, x in enumerate(parts)])
+
+
+def reasons(texts: dict[str, str], hold: dict[str, Column]) -> Column:
+    """The texts whose condition holds, in their order."""
+    return F.filter(F.array(*[F.when(hold[name], filled(text)) for name, text in texts.items()]), lambda x: x.isNotNull())
 
 
 def _listed(rows: DataFrame, flag: str, prefix: str) -> list[Column]:
@@ -177,21 +203,14 @@ def verdict(
     )
     # two frames of one row each
     one = load.join(F.broadcast(crew)).withColumns({"oldest_transaction_s": oldest_transaction_s if oldest_transaction_s is not None else F.lit(None).cast("long"), "unregistered": unregistered if unregistered is not None else F.lit(0)})
-    text = lambda n, *parts: F.concat(F.col(n).cast("string"), *[F.lit(p) if p[:1] in " :" else F.col(p) for p in parts])
-    standing = (F.col("stalled_workers") > 0) & (F.col("active_n") > 0)
-    stalled = [
-        F.when(standing, text("stalled_workers", " worker(s) stalled (heart-beating but claim loop not advancing) while ", "active_n", " queue(s) have visible backlog: ", "active_names")),
-        F.when(~standing & (F.col("drainers") > 0) & (F.col("unclaimed_n") > 0), text("unclaimed_n", " queue(s) have visible messages with read_ct=0 (never claimed) while ", "drainers", " draining process(es) are alive: ", "unclaimed_names")),
-    ]
-    degraded = [
-        F.when(F.col("stale_processes") > 0, text("stale_processes", " process(es) stale (no recent heartbeat)")),
-        F.when(F.col("held_n") > 0, text("held_n", " paused queue(s) holding a backlog: ", "held_names")),
-        F.when(F.col("undrained_n") > 0, text("undrained_n", " queue(s) hold messages but no capsule is configured to drain them: ", "undrained_names")),
-        F.when(F.col("dead_n") > 0, text("dead_n", " dead-letter queue(s) hold messages")),
-        F.when(F.col("oldest_transaction_s") > 300, F.concat(F.lit("oldest open transaction is "), F.col("oldest_transaction_s").cast("string"), F.lit("s old (MVCC horizon pinning risk)"))),
-        F.when(F.col("unregistered") > 0, text("unregistered", " unregistered stream queue(s) detected (dormant pre-registry durable streams)")),
-    ]
-    one = one.withColumns({"stalled": F.filter(F.array(*stalled), lambda r: r.isNotNull()), "degraded": F.filter(F.array(*degraded), lambda r: r.isNotNull())})
+    some = lambda c: F.col(c) > 0
+    standing = some("stalled_workers") & some("active_n")
+    stalled = reasons(STALLED_REASONS, {"standing": standing, "unclaimed": ~standing & some("drainers") & some("unclaimed_n")})
+    degraded = reasons(
+        DEGRADED_REASONS,
+        {"stale": some("stale_processes"), "held": some("held_n"), "undrained": some("undrained_n"), "dead": some("dead_n"), "old": F.col("oldest_transaction_s") > 300, "unregistered": some("unregistered")},
+    )
+    one = one.withColumns({"stalled": stalled, "degraded": degraded})
     status = F.when(F.size("stalled") > 0, "STALLED").when(F.size("degraded") > 0, "DEGRADED").otherwise("OK")
     summary = ("queues", "total_visible", "total_depth", "workers", "stalled_workers", "stale_processes", "oldest_transaction_s")
     return one.select(status.alias("status"), F.concat("stalled", "degraded").alias("reasons"), *summary)
@@ -252,8 +271,6 @@ def autoscale(size: Column, available: Column, limit: Column, used: Column, peer
 
 def snapshot_rates(snapshots: DataFrame, key: str, at: str, count: str) -> DataFrame:
     """Change of a count per second since the snapshot before, to one place; 0.0 for the first."""
-    from pyspark.sql import Window
-
     order = Window.partitionBy(key).orderBy(at)
     seconds = times.seconds_between(F.col(at), F.lag(at).over(order))
     rate = F.round((F.col(count) - F.lag(count).over(order)) / seconds, 1)
