@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import gc
 import os
+import re
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -20,31 +22,62 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The checkpoint folder, which all executors share: spark.checkpoint.dir, or where that is unset (tests) a local one."""
+    """The checkpoint folder, which all executors share: the session's spark.checkpoint.dir.
+
+    Where that is unset a folder of this machine serves only if Spark runs in this one process, as in tests; on a cluster that would lose data.
+    """
     context = spark.sparkContext
     found = context._jsc.sc().getCheckpointDir()
     if not found.isDefined():
-        context.setCheckpointDir(context.getConf().get("spark.checkpoint.dir") or os.path.join(tempfile.gettempdir(), "tidemark-checkpoints"))
+        folder = context.getConf().get("spark.checkpoint.dir")
+        if not folder and not re.fullmatch(r"local(\[.*\])?", context.master):
+            raise ValueError("spark.checkpoint.dir is not set: the executors need a folder that all of them share")
+        context.setCheckpointDir(folder or os.path.join(tempfile.gettempdir(), "tidemark-checkpoints"))
         found = context._jsc.sc().getCheckpointDir()
     return found.get()
 
 
-def cut(df: DataFrame) -> DataFrame:
+#: Rows of ids that one file of a checkpoint is to hold at least, where their number is known beforehand.
+FILE_ROWS = 500_000
+
+
+def cut(df: DataFrame, rows: int | None = None) -> DataFrame:
     """df, written to the shared checkpoint folder: later steps don't recompute it and lost executors don't lose it.
 
-    The folder is the session's spark.checkpoint.dir; see shared_folder.
+    The folder is the session's spark.checkpoint.dir; see shared_folder. rows: how many there are at most, for frames of ids that are
+    cheap to make: as few tasks then make as few files.
     """
     shared_folder(df.sparkSession)
-    return df.checkpoint(eager=True)
+    return (df if rows is None else df.coalesce(max(1, -(-rows // FILE_ROWS)))).checkpoint(eager=True)
 
 
-def stored(df: DataFrame) -> DataFrame:
-    """df, written as Parquet to the shared folder and read again: for frames that hold texts."""
-    path = f"{shared_folder(df.sparkSession)}/stored-{uuid.uuid4().hex}"
+def stored(df: DataFrame, path: str | None = None) -> DataFrame:
+    """df, written as Parquet to the shared folder and read again: for frames that hold texts. discard() removes it when it has served."""
+    path = path or new_folder(df.sparkSession, "stored")
     df.write.parquet(path)
     return df.sparkSession.read.parquet(path)
 
 
+def new_folder(spark: SparkSession, name: str) -> str:
+    """A name for a folder in the shared one that nothing else has."""
+    return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+def let_go(spark: SparkSession) -> None:
+    """Asks the driver for a garbage collection: only then does Spark remove the shuffle files of frames that nobody holds any more.
+
+    Worth its tenths of a second after a step whose shuffles are as large as the corpus.
+    """
+    gc.collect()
+    spark._jvm.System.gc()
+
+
+def discard(spark: SparkSession, path: str) -> None:
+    """Removes a folder of the shared one."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+
+
 def map_texts(
     df: DataFrame, columns: list[str], schema: str, work: Callable[[pa.RecordBatch, list[bytes]], Iterator[dict[str, pa.Array]]], text: str = "text"
 ) -> DataFrame:

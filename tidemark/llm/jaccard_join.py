@@ -10,41 +10,61 @@ found or is implied by links that are.
    shingles, a class with fewer shared ones than that links with nothing. Of the others, the rarest
    shingles up to and including the first one that no link can miss are keys; linked classes have a key
    in common, so classes joined by keys, directly or through others, form a block. Shingles
-   travel as packed arrays, by ranges of their hash, so counting them costs a few bytes each. Hot
-   shingles, which HOT or more classes hold, come last in the order and are not sent about at all: a class tells how many it has.
+   travel as packed arrays, by ranges of their hash that hold RANGE_TOKENS each whatever the corpus. A batch of
+   texts is dealt to FAN buckets at most: beyond FAN ranges, tasks deal the buckets on to their ranges in a second hop,
+   and the ranges' shared shingles to shards of classes likewise, so steps and rows for each batch have a fixed bound.
+   Hot shingles, which HOT or more classes hold, come last in the order and are not sent about at all: a class tells how many it has.
 3. Signature trees. A block's classes are the leaves of a tree whose nodes hold the OR of the token
    bitmaps beneath, and their size range. A dual traversal descends pairs of nodes and drops
    those whose largest possible overlap (common bits, plus what hash folding may hide) is below what their smallest
    sizes need, and those all of whose leaves are in one component already. Leaf pairs that remain are
-   compared exactly. Blocks beyond BLOCK classes are split by hash into parts, and each pair of parts is a task.
-4. Components of the links by star steps, then the smallest doc_id of each.
+   compared exactly.
+4. Large blocks, beyond BLOCK classes, are never compared as a whole. First each class goes to the cells of two of its keys,
+   those of least hash under two seeds; near copies meet there, and cells of any size are split, since
+   this round need not find all. Then only keys whose classes are still in two or more components count: of each, the classes
+   outside its largest component meet one another and the rest, part by part. A link that is not implied yet has such a key.
+5. Components of the links by star steps, then the smallest doc_id of each.
 
 Defined cases: null and empty texts have an empty set and stand alone; repeated rows are copies and
-link; a null doc_id takes part and gets its component's smallest id; an empty table gives an empty result.
+link; a null doc_id takes part and gets its component's smallest id; an empty table gives an empty result. A text of any
+length is one set, packed in pieces. Ties don't show: components don't depend on the order of links, and of rows tied for the
+smallest doc_id any one stays, being equal in it. Only doc_id and text are read, so other columns can't clash.
 """
 
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from itertools import pairwise
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import cut, map_texts, table
+from tidemark.llm.common import cut, let_go, map_texts, table
 from tidemark.llm.components import components
 from tidemark.llm.tokens import Words, shingle_sets
 
-RANGE_TOKENS = 3_000_000
+RANGE_TOKENS = 2_000_000
+#: Ranges at least, so that small corpora are many tasks' work too.
+LEAST_RANGES = 24
+#: Buckets that one batch or range is dealt to at most; with more ranges, a second hop deals the buckets on.
+FAN = 4096
+#: Shingles that a task of the second hop holds before it sends them on.
+HELD = 4_000_000
+#: Tasks that ranges are dealt to at most, if the session asks for no more.
+MOST_TASKS = 4096
 #: A shingle that this many classes hold (counting those of batches in which LOCAL or more do) is hot; more are needed where that would give over HOT_MOST.
 HOT = 200_000
 HOT_MOST = 1_000_000
 LOCAL = 4
-BLOCK = 2048
-BLOCK_TOKENS = 3_000_000
-FILTER_BITS = 1 << 24
+#: Classes, and shingles, that meet in one tree; smaller groups are bundled into tasks of BUNDLE classes.
+BLOCK = 1024
+BLOCK_TOKENS = 1_000_000
+BUNDLE = 256
+#: The filter of members has 16 bits for each, within these bounds: 32 MB at most.
+FILTER_BITS = (1 << 20, 1 << 28)
 _U = np.uint64
 
 
@@ -53,7 +73,24 @@ def _sets(texts: list[bytes], k: int) -> list[np.ndarray]:
 
 
 def _class_of(tokens: np.ndarray) -> bytes:
-    return hashlib.blake2b(tokens.tobytes(), digest_size=16).digest()
+    return hashlib.blake2b(tokens.tobytes(), digest_size=12).digest()
+
+
+_CLASS = np.dtype([("a", "<u8"), ("b", "<u4")])
+
+
+def _ids(classes: np.ndarray, wide: bool) -> np.ndarray:
+    """What classes go by while shingles are counted: their first 64 bits if no two classes share them, else (wide) all."""
+    return classes if wide else np.ascontiguousarray(classes["a"])
+
+
+def _kind(wide: bool) -> np.dtype:
+    return _CLASS if wide else np.dtype("<u8")
+
+
+def _places(ids: np.ndarray) -> np.ndarray:
+    """What deals each class to its shard."""
+    return ((ids if ids.dtype.names is None else ids["a"]) >> _U(1)).astype(np.int64)
 
 
 def needed(n, num: int, den: int):
@@ -62,7 +99,7 @@ def needed(n, num: int, den: int):
 
 
 def set_sizes(docs: DataFrame, k: int) -> DataFrame:
-    """doc_id, key (hash of the text), n (set size) and cls (digest of the set) of every row.
+    """doc_id, key (hash of the text), n (set size), cls (digest of the set) and place (first bits of it) of every row.
 
     common, in one row of each batch: the shingles that LOCAL or more classes of it hold, and how many do.
     """
@@ -73,9 +110,11 @@ def set_sizes(docs: DataFrame, k: int) -> DataFrame:
         token, count = np.unique(every, return_counts=True)
         token, count = token[count >= LOCAL], count[count >= LOCAL]
         common = [np.concatenate([token, count.astype(_U)]).tobytes()] + [None] * (len(texts) - 1)
-        yield {"doc_id": batch.column(0), "key": batch.column(1), "n": pa.array([len(s) for s in sets], pa.int64()), "cls": pa.array([_class_of(s) for s in sets], pa.binary()), "common": pa.array(common, pa.binary())}
+        cls = [_class_of(s) for s in sets]
+        place = _places(np.frombuffer(b"".join(cls), _CLASS))
+        yield {"doc_id": batch.column(0), "key": batch.column(1), "n": pa.array([len(s) for s in sets], pa.int64()), "cls": pa.array(cls, pa.binary()), "place": pa.array(place), "common": pa.array(common, pa.binary())}
 
-    return map_texts(docs.select("doc_id", F.xxhash64("text").alias("key"), "text"), ["doc_id", "key"], "doc_id long, key long, n long, cls binary, common binary", work)
+    return map_texts(docs.select("doc_id", F.xxhash64("text").alias("key"), "text"), ["doc_id", "key"], "doc_id long, key long, n long, cls binary, place long, common binary", work)
 
 
 def hot_shingles(common: DataFrame, total: int) -> np.ndarray:
@@ -92,34 +131,49 @@ def hot_shingles(common: DataFrame, total: int) -> np.ndarray:
     return np.sort(np.asarray(found.column(0).to_numpy(), np.int64).view(_U))
 
 
-def _pack(sets: list[np.ndarray], full: np.ndarray, keys: list[bytes], ranges: int) -> Iterator[dict]:
-    """The tokens of sets by range of their hash: classes, full sizes, how many of each, and their low 32 bits."""
-    sizes = np.array([len(s) for s in sets], np.int64)
-    own = np.repeat(np.arange(len(sets)), sizes)
-    tokens = np.concatenate(sets)
-    part = ((tokens >> _U(32)) % _U(ranges)).astype(np.int64)
-    order = np.lexsort((own, part))
-    part, own, low = part[order], own[order], tokens[order].astype(np.uint32)
-    cuts = np.searchsorted(part, np.arange(ranges + 1))
-    for r in range(ranges):
-        lo, hi = cuts[r], cuts[r + 1]
-        if lo < hi:
-            here, count = np.unique(own[lo:hi], return_counts=True)
-            yield {
-                "range": r,
-                "classes": b"".join(keys[i] for i in here),
-                "sizes": full[here].astype(np.uint32).tobytes(),
-                "counts": count.astype(np.uint32).tobytes(),
-                "tokens": low[lo:hi].tobytes(),
-            }
-
-
-_PACKED = "range long, classes binary, sizes binary, counts binary, tokens binary"
-
-
-def packed_tokens(docs: DataFrame, k: int, ranges: int, hot: np.ndarray, num: int, den: int) -> DataFrame:
-    """The shingles of all classes, packed by range. Hot ones stay behind: a class's row in range -1-shard tells
-    how many it holds, and the first of them as far as they can be keys, in the order of _keys: by their low 63 bits.
+def _pack(bucket: np.ndarray, own: np.ndarray, classes: np.ndarray, **tokens: np.ndarray) -> Iterator[dict]:
+    """One row for each bucket that occurs: its classes, how many tokens of each (a byte; 255: as large says), and arrays by token.
+
+    bucket, own (place in classes) and tokens go by token.
+    """
+    order = np.lexsort((own, bucket))
+    bucket, own = bucket[order], own[order]
+    tokens = {c: v[order] for c, v in tokens.items()}
+    edge = np.flatnonzero(np.concatenate([[True], bucket[1:] != bucket[:-1], [True]])) if len(bucket) else []
+    for lo, hi in pairwise(edge):
+        here, count = np.unique(own[lo:hi], return_counts=True)
+        yield {
+            "bucket": int(bucket[lo]),
+            "classes": classes[here].tobytes(),
+            "counts": np.minimum(count, 255).astype(np.uint8).tobytes(),
+            "large": count[count >= 255].astype(np.uint32).tobytes(),
+            **{c: v[lo:hi].tobytes() for c, v in tokens.items()},
+        }
+
+
+_PACKED = pa.schema([("bucket", pa.int32()), *((c, pa.binary()) for c in ("classes", "counts", "large", "tokens", "ranks"))])
+_PACKED_SQL = "bucket int, classes binary, counts binary, large binary, tokens binary, ranks binary"
+
+
+def _joined(rows: list[bytes | None], kind) -> np.ndarray:
+    return np.frombuffer(b"".join(r or b"" for r in rows), kind)
+
+
+def _entries(counts: list[bytes], large: list[bytes]) -> np.ndarray:
+    """How many tokens each class of packed rows has."""
+    out = _joined(counts, np.uint8).astype(np.int64)
+    out[out == 255] = _joined(large, np.uint32)
+    return out
+
+
+def _range_of(tokens: np.ndarray, ranges: int) -> np.ndarray:
+    return ((tokens >> _U(32)) % _U(ranges)).astype(np.int64)
+
+
+def packed_tokens(docs: DataFrame, k: int, ranges: int, hot: np.ndarray, num: int, den: int, wide: bool = True) -> DataFrame:
+    """The shingles of all classes, packed by range: their low 32 bits (beyond FAN ranges by range modulo FAN: whole). Hot ones
+    stay behind: a class's row in bucket -1-shard has their number in large, and the first of them as far as they can be keys, in
+    the order of _keys: by their low 63 bits.
     """
     sent = docs.sparkSession.sparkContext.broadcast(hot)
 
@@ -130,120 +184,159 @@ def packed_tokens(docs: DataFrame, k: int, ranges: int, hot: np.ndarray, num: in
                 own.setdefault(_class_of(s), s)  # copies here count once already
         if not own:
             return
-        names, sets = list(own), list(own.values())
+        classes, sets = _ids(np.frombuffer(b"".join(own), _CLASS), wide), list(own.values())
         warm = [s[np.isin(s, sent.value)] for s in sets] if len(sent.value) else []
-        sizes = np.array([len(s) for s in sets])
         cold = [s[~np.isin(s, h)] if len(h) else s for s, h in zip(sets, warm, strict=True)] if warm else sets
-        for row in _pack(cold, sizes, names, ranges):
-            yield {c: pa.array([v]) for c, v in row.items()}
-        for name, h, n in zip(names, warm, sizes.tolist(), strict=False):
+        tokens = np.concatenate(cold)
+        place = np.repeat(np.arange(len(cold)), [len(s) for s in cold])
+        part = _range_of(tokens, ranges)
+        rows = list(_pack(part % FAN, place, classes, tokens=tokens) if ranges > FAN else _pack(part, place, classes, tokens=tokens.astype(np.uint32)))
+        shards = _places(classes) % ranges
+        for i, h in enumerate(warm):
             if len(h):
-                row = (-1 - _shard(np.frombuffer(name, "V16"), ranges)[0], name, np.uint32(n).tobytes(), np.uint32(len(h)).tobytes(), h[np.argsort(h << _U(1), kind="stable")][: n - needed(n, num, den) + 1].tobytes())
-                yield {c: pa.array([v]) for c, v in zip(("range", "classes", "sizes", "counts", "tokens"), row, strict=True)}
+                n = len(sets[i])
+                first = h[np.argsort(h << _U(1), kind="stable")][: n - needed(n, num, den) + 1]
+                rows.append({"bucket": int(-1 - shards[i]), "classes": classes[i].tobytes(), "large": np.uint32(len(h)).tobytes(), "tokens": first.tobytes()})
+        for lo in range(0, len(rows), 256):
+            yield {c: pa.array([r.get(c) for r in rows[lo : lo + 256]], t) for c, t in zip(_PACKED.names, _PACKED.types, strict=True)}
+
+    return map_texts(docs, [], _PACKED_SQL, work)
+
+
+def dealt_on(rows: DataFrame, tasks: int, split: Callable[[list[dict]], Iterator[dict]]) -> DataFrame:
+    """The second hop: rows of each bucket, HELD tokens at a time, through split, which deals them to finer buckets.
+
+    A bucket's rows come in any number of tasks, so none has to hold it. Negative buckets pass as they are.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[int, list[dict]] = {}
+        total = 0
+        for batch in batches:
+            for row in batch.to_pylist():
+                if row["bucket"] < 0:
+                    yield pa.RecordBatch.from_pylist([row], schema=_PACKED)
+                    continue
+                held.setdefault(row["bucket"], []).append(row)
+                total += len(row["tokens"]) // 4
+                if total >= HELD:
+                    for own in held.values():
+                        yield pa.RecordBatch.from_pylist(list(split(own)), schema=_PACKED)
+                    held, total = {}, 0
+        for own in held.values():
+            yield pa.RecordBatch.from_pylist(list(split(own)), schema=_PACKED)
+
+    salts = max(1, tasks // FAN)
+    return rows.repartition(tasks, "bucket", F.pmod(F.xxhash64("classes"), F.lit(salts))).mapInArrow(run, _PACKED_SQL)
 
-    return map_texts(docs, [], _PACKED, work)
 
+def _to_ranges(rows: list[dict], ranges: int, wide: bool) -> Iterator[dict]:
+    counts = _entries([r["counts"] for r in rows], [r["large"] for r in rows])
+    tokens = _joined([r["tokens"] for r in rows], _U)
+    own = np.repeat(np.arange(len(counts)), counts)
+    return _pack(_range_of(tokens, ranges), own, _joined([r["classes"] for r in rows], _kind(wide)), tokens=tokens.astype(np.uint32))
 
-def _shard(classes: np.ndarray, shards: int) -> np.ndarray:
-    return (classes.view("<u8").reshape(-1, 2)[:, 0] % _U(shards)).astype(np.int64)
 
+def _to_shards(rows: list[dict], shards: int, wide: bool) -> Iterator[dict]:
+    counts, classes = _entries([r["counts"] for r in rows], [r["large"] for r in rows]), _joined([r["classes"] for r in rows], _kind(wide))
+    own = np.repeat(np.arange(len(counts)), counts)
+    shard = (_places(classes) % shards)[own]
+    return _pack(shard, own, classes, tokens=_joined([r["tokens"] for r in rows], np.int64), ranks=_joined([r["ranks"] for r in rows], np.uint8))
 
-def _array(column: pa.ChunkedArray, kind) -> np.ndarray:
-    return np.frombuffer(b"".join(column.to_pylist()), kind)
 
+def _shared(key: tuple, group: pa.Table, shards: int, fan: int, wide: bool) -> pa.Table:
+    """The shared tokens of one range as longs, each with the rank of its class count, by shard of their class (beyond fan shards: modulo fan).
 
-def _shared(key: tuple, group: pa.Table, shards: int) -> pa.Table:
-    """The shared tokens of one range, by class: packed as before, with each token's class count, by shard of the class."""
-    if key[0].as_py() < 0:  # hot shingles go on as they are, a row for each class
+    A rank of eight steps for each doubling is as good as the count: all that matters is one order for all classes.
+    """
+    r = key[0].as_py()
+    if r < 0:  # hot shingles go on as they are, a row for each class
         names = group.column("classes").to_pylist()
-        rows = group.take(pa.array(sorted({name: i for i, name in enumerate(names)}.values())))
-        n = len(rows)
-        extra = {"shard": pa.array([-1 - key[0].as_py()] * n, pa.int64()), "range": pa.array([-1] * n, pa.int64()), "dfs": pa.array([b""] * n, pa.binary())}
-        return pa.table({c: extra.get(c, rows.column(c) if c in rows.column_names else None) for c in _SHARED.names})
-    classes = _array(group.column("classes"), "V16")
-    counts, sizes = _array(group.column("counts"), np.uint32), _array(group.column("sizes"), np.uint32)
-    _, first = np.unique(classes.view([("a", "<u8"), ("b", "<u8")]), return_index=True)
+        return group.take(pa.array(sorted({name: i for i, name in enumerate(names)}.values())))
+    columns = {c: group.column(c).to_pylist() for c in ("classes", "counts", "large", "tokens")}
+    classes, counts = _joined(columns["classes"], _kind(wide)), _entries(columns["counts"], columns["large"])
+    _, first = np.unique(classes, return_index=True)
     keep = np.zeros(len(classes), bool)
     keep[first] = True
-    both = _array(group.column("tokens"), np.uint32).astype(_U)
+    both = _joined(columns["tokens"], np.uint32).astype(_U)
+    del columns
     both <<= _U(32)
     both |= np.repeat(np.arange(len(classes), dtype=np.uint32), counts)
     both = both[np.repeat(keep, counts)]
     both.sort()
     token = (both >> _U(32)).astype(np.uint32)
     edge = np.flatnonzero(np.concatenate([[True], token[1:] != token[:-1], [True]]))
-    df = np.diff(edge).astype(np.uint32)
+    df = np.diff(edge)
     shared = np.repeat(df > 1, df)  # most shingles are held once
     both, df = both[shared], np.repeat(df[df > 1], df[df > 1])
     del token, edge, shared
-    token, own = (both >> _U(32)).astype(np.uint32), (both & _U(0xFFFFFFFF)).astype(np.int64)
-    shard = _shard(classes, shards)
-    order = np.lexsort((own, shard[own]))
-    token, own, df = token[order], own[order], df[order]
-    cuts = np.searchsorted(shard[own], np.arange(shards + 1))
-    rows = []
-    for s in range(shards):
-        lo, hi = cuts[s], cuts[s + 1]
-        if lo < hi:
-            here, count = np.unique(own[lo:hi], return_counts=True)
-            rows.append(
-                {
-                    "shard": s,
-                    "range": key[0].as_py(),
-                    "classes": classes[here].tobytes(),
-                    "sizes": sizes[here].tobytes(),
-                    "counts": count.astype(np.uint32).tobytes(),
-                    "tokens": token[lo:hi].tobytes(),
-                    "dfs": df[lo:hi].tobytes(),
-                }
-            )
-    return pa.Table.from_pylist(rows, schema=_SHARED)
-
-
-_SHARED = pa.schema([("shard", pa.int64()), ("range", pa.int64()), *((c, pa.binary()) for c in ("classes", "sizes", "counts", "tokens", "dfs"))])
-
-
-def _keys(group: pa.Table, num: int, den: int) -> pa.Table:
-    """(cls, token) of the keys of the classes of one shard: shared shingles by class count and id, then hot ones by id."""
-    pairs = [("a", "<u8"), ("b", "<u8")]
-    warm = np.asarray(group.column("range").to_numpy(), np.int64) < 0
+    token, own = (both >> _U(32)).astype(np.int64) | (r << 32), (both & _U(0xFFFFFFFF)).astype(np.int64)
+    shard = (_places(classes) % shards)[own]
+    rank = np.minimum(8 * np.log2(df), 255).astype(np.uint8)
+    return pa.Table.from_pylist(list(_pack(shard % fan if shards > fan else shard, own, classes, tokens=token, ranks=rank)), schema=_PACKED)
+
+
+def _keys(group: pa.Table, sizes: pa.Table, num: int, den: int, wide: bool) -> pa.Table:
+    """(id, token) of the keys of the classes of one shard: shared shingles by rank and id, then hot ones by id. sizes: cls, id and n of its classes."""
+    warm = np.asarray(group.column("bucket").to_numpy(), np.int64) < 0
     hot, group = group.filter(pa.array(warm)), group.filter(pa.array(~warm))
-    counts = _array(group.column("counts"), np.uint32)
-    classes = np.concatenate([_array(group.column("classes"), "V16"), _array(hot.column("classes"), "V16")]).view(pairs)
-    sizes = np.concatenate([_array(group.column("sizes"), np.uint32), _array(hot.column("sizes"), np.uint32)]).astype(np.int64)
-    names, first, at = np.unique(classes, return_index=True, return_inverse=True)
-    n, at = sizes[first], at.ravel()
-    own = np.repeat(at[: len(counts)], counts)
-    rows = np.repeat(np.asarray(group.column("range").to_numpy(), np.int64), [len(x) // 4 for x in group.column("tokens").to_pylist()])
-    token = (rows << 32) | _array(group.column("tokens"), np.uint32).astype(np.int64)
-    df = _array(group.column("dfs"), np.uint32).astype(np.int64)
-    held = np.bincount(at[len(counts) :], _array(hot.column("counts"), np.uint32), minlength=len(n)).astype(np.int64)
+    names = _joined(sizes.column("cls").to_pylist(), _CLASS)
+    order = np.argsort(_ids(names, wide))
+    n, ids = (np.asarray(sizes.column(c).to_numpy(), np.int64)[order] for c in ("n", "id"))
+    every, kind = _ids(names[order], wide), _kind(wide)
+    columns = {c: group.column(c).to_pylist() for c in ("classes", "counts", "large", "tokens", "ranks")}
+    counts = _entries(columns["counts"], columns["large"])
+    own = np.repeat(np.searchsorted(every, _joined(columns["classes"], kind)), counts)
+    token, rank = _joined(columns["tokens"], np.int64), _joined(columns["ranks"], np.uint8).astype(np.int64)
+    of_hot = np.searchsorted(every, _joined(hot.column("classes").to_pylist(), kind))
+    held = np.bincount(of_hot, _joined(hot.column("large").to_pylist(), np.uint32), minlength=len(n)).astype(np.int64)
     listed = [len(x) // 8 for x in hot.column("tokens").to_pylist()]
-    own = np.concatenate([own, np.repeat(at[len(counts) :], listed)])
-    token = np.concatenate([token, (_array(hot.column("tokens"), _U) | _U(1 << 63)).view(np.int64)])
-    df = np.concatenate([df, np.full(sum(listed), np.iinfo(np.int64).max)])
-    cold = np.bincount(own[: len(own) - sum(listed)], minlength=len(n))
+    cold = np.bincount(own, minlength=len(n))
+    own = np.concatenate([own, np.repeat(of_hot, listed)])
+    token = np.concatenate([token, (_joined(hot.column("tokens").to_pylist(), _U) | _U(1 << 63)).view(np.int64)])
+    rank = np.concatenate([rank, np.full(sum(listed), 256)])
     keys = cold + held - needed(n, num, den) + 1  # the rarest of the shared; classes below 1 have too few
     live = (keys > 0)[own]
-    own, token, df = own[live], token[live], df[live]
-    order = np.lexsort((token, df, own))
+    own, token, rank = own[live], token[live], rank[live]
+    order = np.lexsort((token, rank, own))
     own, token = own[order], token[order]
     place = np.arange(len(own)) - np.searchsorted(own, own)
     use = place < keys[own]
     own, token = own[use], token[use]
-    return pa.table({"cls": pa.array([names[i].tobytes() for i in own], pa.binary()), "token": pa.array(token)})
+    return pa.table({"id": pa.array(ids[own]), "token": pa.array(token)})
 
 
-def blocks(docs: DataFrame, k: int, num: int, den: int, total: int, hot: np.ndarray) -> DataFrame:
-    """(cls, block) of the classes that may link, blocks of two or more; linked classes are in one block."""
-    ranges = max(24, -(-total // RANGE_TOKENS))
-    packed = packed_tokens(docs, k, ranges, hot, num, den)
-    shared = packed.groupBy("range").applyInArrow(
-        lambda key, group: _shared(key, group, ranges), "shard long, range long, classes binary, sizes binary, counts binary, tokens binary, dfs binary"
-    )
-    keys = cut(shared.groupBy("shard").applyInArrow(lambda group: _keys(group, num, den), "cls binary, token long"))
-    hubs = keys.groupBy("token").agg(F.min("cls").alias("hub"), F.count("*").alias("c")).where("c > 1").drop("c")
-    return components(keys.join(hubs, "token").select(F.col("cls").alias("a"), F.col("hub").alias("b"))).select(F.col("node").alias("cls"), F.col("component").alias("block"))
+def _tasks(spark: SparkSession, ranges: int) -> int:
+    """One for each range, as far as Spark can bear that many; then each has as many ranges as the others."""
+    return min(ranges, max(MOST_TASKS, int(spark.conf.get("spark.sql.shuffle.partitions"))))
+
+
+def keys_of(docs: DataFrame, classes: DataFrame, k: int, num: int, den: int, total: int, hot: np.ndarray, wide: bool = True) -> DataFrame:
+    """(id, token) of the keys of all classes that may link; linked classes have a key in common.
+
+    classes: cls, id, place, n. wide: whether two of them may have the same place.
+    """
+    ranges, fan = max(LEAST_RANGES, -(-total // RANGE_TOKENS)), FAN
+    packed = packed_tokens(docs, k, ranges, hot, num, den, wide)
+    if ranges > fan:
+        packed = dealt_on(packed, -(-total // HELD), lambda rows: _to_ranges(rows, ranges, wide))
+    # a range is a task's, not as many as hash to one
+    tasks = _tasks(docs.sparkSession, ranges)
+    packed = packed.repartitionById(tasks, "bucket")
+    shared = packed.groupBy("bucket").applyInArrow(lambda key, group: _shared(key, group, ranges, fan, wide), _PACKED_SQL)
+    if ranges > fan:
+        shared = dealt_on(shared, -(-total // HELD), lambda rows: _to_shards(rows, ranges, wide))
+    shard = F.when(F.col("bucket") < 0, -1 - F.col("bucket")).otherwise(F.col("bucket"))
+    shared = shared.withColumn("shard", shard).repartitionById(tasks, "shard")
+    sizes = classes.select("cls", "id", "n", (F.col("place") % ranges).cast("int").alias("shard")).repartitionById(tasks, "shard")
+    both = shared.groupBy("shard").cogroup(sizes.groupBy("shard"))
+    return cut(both.applyInArrow(lambda group, sizes: _keys(group, sizes, num, den, wide), "id long, token long"))
+
+
+def blocks(keys: DataFrame) -> DataFrame:
+    """(id, block) of the classes that share keys, directly or through others; blocks of two or more."""
+    hubs = keys.groupBy("token").agg(F.min("id").alias("hub"), F.count("*").alias("c")).where("c > 1").drop("c")
+    return components(keys.join(hubs, "token").select(F.col("id").alias("a"), F.col("hub").alias("b"))).select(F.col("node").alias("id"), F.col("component").alias("block"))
 
 
 class Tree:
@@ -306,13 +399,19 @@ def _overlap(a: np.ndarray, b: np.ndarray, pairs: np.ndarray) -> np.ndarray:
     return out
 
 
-def tree_links(sets: list[np.ndarray], sides: np.ndarray, num: int, den: int) -> list[tuple[int, int]]:
-    """Links (i, j) that span every component of the sets' links; with two sides only links across count."""
+def tree_links(sets: list[np.ndarray], sides: np.ndarray, num: int, den: int, known: np.ndarray | None = None) -> list[tuple[int, int]]:
+    """Links (i, j) that span every component of the sets' links; with two sides only links across count.
+
+    known: sets of one number are in one component already and need no link.
+    """
     if len(sets) < 2:
         return []
     tree = Tree(sets, sides)
     across = len(np.unique(sides)) > 1
     label = np.arange(len(sets))
+    if known is not None:
+        _, first, at = np.unique(known[tree.order], return_index=True, return_inverse=True)
+        label = first[at]
     links: list[tuple[int, int]] = []
 
     def may(pairs: np.ndarray, maps: np.ndarray, small: np.ndarray, large: np.ndarray, hidden: np.ndarray) -> np.ndarray:
@@ -328,7 +427,18 @@ def tree_links(sets: list[np.ndarray], sides: np.ndarray, num: int, den: int) ->
             i = label[i]
         return i
 
+    def flat() -> np.ndarray:
+        out = label
+        while (out != (out := out[out])).any():
+            pass
+        return out
+
     def descend(depth: int, pairs: np.ndarray) -> None:
+        at = np.arange(0, len(label), tree.LEAF * tree.FAN**depth)
+        now = flat()
+        least, most = np.minimum.reduceat(now, at), np.maximum.reduceat(now, at)
+        # nodes all of whose leaves are in one component have nothing to link
+        pairs = pairs[(least[pairs[:, 0]] != most[pairs[:, 1]]) | (most[pairs[:, 0]] != least[pairs[:, 1]])]
         pairs = may(pairs, *tree.levels[depth])
         most = 1 << (14 if depth else 9)
         for lo in range(0, len(pairs), most):
@@ -336,10 +446,8 @@ def tree_links(sets: list[np.ndarray], sides: np.ndarray, num: int, den: int) ->
             if depth:
                 descend(depth - 1, below)
                 continue
-            flat = label
-            while (flat != (flat := flat[flat])).any():
-                pass
-            below = below[flat[below[:, 0]] != flat[below[:, 1]]]
+            now = flat()
+            below = below[now[below[:, 0]] != now[below[:, 1]]]
             if across:
                 below = below[tree.side[below[:, 0]] != tree.side[below[:, 1]]]
             for a, b in may(below, tree.maps, tree.n, tree.n, tree.hidden).tolist():
@@ -359,73 +467,132 @@ def tree_links(sets: list[np.ndarray], sides: np.ndarray, num: int, den: int) ->
     return links
 
 
-def _block_links(group: pa.Table, num: int, den: int) -> pa.Table:
-    """Links of one task: of each of its blocks, or across two parts of one block."""
+def _cell_links(group: pa.Table, num: int, den: int) -> pa.Table:
+    """Links of one task, cell by cell: of the cell's classes that are not in one component (label) already, across its sides if it has two."""
     a, b = [], []
-    group = group.sort_by("block")
-    block, cls = group.column("block").to_pylist(), group.column("cls").to_pylist()
-    part = np.asarray(group.column("part").to_numpy(), np.int64)
+    group = group.sort_by("cell")
+    cell, ids, label = (group.column(c).to_pylist() for c in ("cell", "id", "label"))
+    side = np.asarray(group.column("side").to_numpy(), np.int64)
     tokens = group.column("tokens").to_pylist()
-    lo = 0
-    while lo < len(block):
-        hi = lo
-        while hi < len(block) and block[hi] == block[lo]:
-            hi += 1
-        for i, j in tree_links([np.frombuffer(t, _U) for t in tokens[lo:hi]], part[lo:hi], num, den):
-            a.append(cls[lo + i])
-            b.append(cls[lo + j])
-        lo = hi
-    return pa.table({"a": pa.array(a, pa.binary()), "b": pa.array(b, pa.binary())})
-
-
-def class_links(docs: DataFrame, classes: DataFrame, members: DataFrame, k: int, num: int, den: int) -> DataFrame:
-    """(a, b): links that span the components of the classes. classes: cls, rep, n; members: cls, block."""
-    members = cut(members.join(classes, "cls").select("cls", "block", "rep", "n"))
-    # A bitmap of the members' ids, FILTER_BITS whatever their number, spares other texts; the join below decides.
-    bit = F.pmod(F.xxhash64("rep"), F.lit(FILTER_BITS))
+    edge = [i for i in range(len(cell) + 1) if i in (0, len(cell)) or cell[i] != cell[i - 1]]
+    for lo, hi in pairwise(edge):
+        names = {x: i for i, x in enumerate(dict.fromkeys(label[lo:hi]))}
+        known = np.array([names[x] for x in label[lo:hi]])
+        for i, j in tree_links([np.frombuffer(t, _U) for t in tokens[lo:hi]], side[lo:hi], num, den, known):
+            a.append(ids[lo + i])
+            b.append(ids[lo + j])
+    return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
+
+
+def cell_links(cells: DataFrame, sets: DataFrame, num: int, den: int, rows: int | None = None) -> DataFrame:
+    """(a, b) links inside the cells. cells: id, cell, size (classes in the cell), side, label; a class's label is its component so far. rows: how many they are at most."""
+    cells = cut(cells, rows)
+    few = F.col("size") < BUNDLE
+    bundles = max(1, -(-int(cells.where(few).count()) // BUNDLE))
+    task = F.when(few, F.pmod(F.xxhash64("cell"), F.lit(bundles)).cast("string")).otherwise(F.col("cell"))
+    rows = cells.withColumn("task", task).join(sets, "id").select("task", "cell", "id", "side", "label", "tokens")
+    return rows.groupBy("task").applyInArrow(lambda group: _cell_links(group, num, den), "a long, b long")
+
+
+def _parts(count: str, tokens: str) -> Column:
+    return F.greatest(F.ceil(F.col(count) / BLOCK), F.ceil(F.col(tokens) / BLOCK_TOKENS))
+
+
+def near_cells(keys: DataFrame, large: DataFrame) -> DataFrame:
+    """Cells of two keys for each class of large blocks, those of least hash; cells beyond BLOCK are split by a hash of the class."""
+    own = keys.join(large.select("id", "n"), "id")
+    picks = [F.struct(F.lit(seed).alias("seed"), F.min_by("token", F.xxhash64("token", F.lit(seed))).alias("token")) for seed in (1, 2)]
+    own = own.groupBy("id").agg(F.first("n").alias("n"), F.array(*picks).alias("picks")).select("id", "n", F.inline("picks"))
+    sizes = own.groupBy("seed", "token").agg(F.count("*").alias("c"), F.sum("n").alias("t"))
+    own = own.join(sizes.where("c > 1").withColumn("parts", _parts("c", "t")), ["seed", "token"])
+    part = F.pmod(F.xxhash64("id", "seed"), "parts")
+    return own.select("id", F.concat_ws(":", "seed", "token", part).alias("cell"), F.ceil(F.col("c") / F.col("parts")).alias("size"), F.lit(0).cast("long").alias("side"), F.col("id").alias("label"))
+
+
+def open_cells(keys: DataFrame, large: DataFrame, links: DataFrame) -> DataFrame:
+    """Cells of the keys whose classes are still in two or more components: classes outside a key's largest component meet one another and the rest.
+
+    The parts of the former come first, 0 up to m; cell (i, j) holds parts i < m and j > i, and has two sides but for j = m, where part i meets itself too.
+    """
+    found = components(links).select(F.col("node").alias("id"), F.col("component").alias("c"))
+    labelled = large.select("id", "n").join(found, "id", "left").select("id", "n", F.coalesce("c", "id").alias("label"))
+    own = cut(keys.join(labelled, "id"))
+    by_label = own.groupBy("token", "label").agg(F.count("*").alias("c"), F.sum("n").alias("t"))
+    largest = F.max(F.struct("c", "t", "label"))
+    still = by_label.groupBy("token").agg(F.count("*").alias("labels"), F.sum("c").alias("all_c"), F.sum("t").alias("all_t"), largest.alias("major")).where("labels > 1")
+    still = still.select("token", F.col("major.label").alias("major"), F.col("major.c").alias("c1"), F.col("major.t").alias("t1"), (F.col("all_c") - F.col("major.c")).alias("c0"), (F.col("all_t") - F.col("major.t")).alias("t0"))
+    # two parts meet in a cell, so each has half of what a tree takes
+    still = still.select("token", "major", "c0", "c1", (2 * _parts("c0", "t0")).alias("m"), (2 * _parts("c1", "t1")).alias("rest"))
+    whole = (F.col("c0") + F.col("c1") <= BLOCK // 2)
+    still = still.withColumns({"m": F.when(whole, 1).otherwise(F.col("m")), "rest": F.when(whole, 1).otherwise(F.col("rest"))})
+    rows = own.join(still, "token").withColumn("is_major", F.col("label") == F.col("major"))
+    part = F.when(F.col("is_major"), F.col("m") + F.pmod(F.xxhash64("id"), "rest")).otherwise(F.pmod(F.xxhash64("id"), "m"))
+    rows = rows.withColumn("part", part).withColumn("other", F.explode(F.expr("sequence(0L, IF(is_major, m, m + rest) - 1)"))).where("other <> part")
+    lo, hi = F.least("part", "other"), F.greatest("part", "other")
+    size = F.ceil(F.col("c0") / F.col("m")) + F.ceil(F.greatest("c0", "c1") / F.least("m", "rest"))
+    return rows.select("id", F.concat_ws(":", "token", lo, hi).alias("cell"), size.alias("size"), F.when(hi == F.col("m"), 0).otherwise(F.col("part")).cast("long").alias("side"), "label")
+
+
+def sets_of(docs: DataFrame, members: DataFrame, k: int) -> DataFrame:
+    """(id, tokens) of the members (cls, id, rep): each class's set once, the other texts staying where they are."""
+    least, most = FILTER_BITS
+    bits = min(most, max(least, 1 << (16 * members.count()).bit_length()))
+    # a bitmap of the members' ids spares other texts; the join that follows decides
+    bit = F.pmod(F.xxhash64("rep"), F.lit(bits))
     words = members.select((bit / 64).cast("int").alias("w"), (bit % 64).cast("int").alias("m")).select("w", F.expr("shiftleft(1L, m)").alias("m")).groupBy("w").agg(F.bit_or("m").alias("m")).toArrow()
-    filled = np.zeros(FILTER_BITS // 64, np.int64)
+    filled = np.zeros(bits // 64, np.int64)
     filled[np.asarray(words.column("w").to_numpy(), np.int64)] = words.column("m").to_numpy()
-    sent = docs.sparkSession.sparkContext.broadcast(np.unpackbits(filled.view(np.uint8), bitorder="little"))
+    sent = docs.sparkSession.sparkContext.broadcast(filled.view(_U))
 
     def work(batch: pa.RecordBatch, texts: list[bytes]) -> Iterator[dict[str, pa.Array]]:
-        use = np.flatnonzero(sent.value[np.asarray(batch.column(0).to_numpy(), np.int64)])
-        sets = _sets([texts[i] for i in use], k) if len(use) else []
-        yield {"cls": pa.array([_class_of(s) for s in sets], pa.binary()), "tokens": pa.array([s.tobytes() for s in sets], pa.binary())}
+        bit = np.asarray(batch.column(0).to_numpy(), np.int64)
+        use = np.flatnonzero((sent.value[bit // 64] >> (bit % 64).astype(_U)) & _U(1))
+        own = {_class_of(s): s.tobytes() for s in _sets([texts[i] for i in use], k)} if len(use) else {}
+        yield {"cls": pa.array(own, pa.binary()), "tokens": pa.array(own.values(), pa.binary())}
+
+    keyed = docs.select(F.pmod(F.xxhash64("doc_id"), F.lit(bits)).alias("bit"), "text")
+    found = map_texts(keyed, ["bit"], "cls binary, tokens binary", work)
+    own = found.join(members.select("cls", "id"), "cls").groupBy("cls", "id").agg(F.first("tokens").alias("tokens"))
+    return cut(own.select("id", "tokens"))  # texts' worth of bytes: not in few files
+
+
+def class_links(docs: DataFrame, classes: DataFrame, count: int, keys: DataFrame, k: int, num: int, den: int) -> DataFrame:
+    """(a, b): links that span the components of the count classes, by id. classes: cls, id, rep, n; keys: id, token."""
+    let_go(docs.sparkSession)  # the shuffles of all shingles
+    members = cut(blocks(keys).join(classes, "id").select("id", "cls", "block", "rep", "n"), count)
+    count = members.count()
+    sets = sets_of(docs, members, k)
+    let_go(docs.sparkSession)
+    sizes = members.groupBy("block").agg(F.count("*").alias("c"), F.sum("n").alias("t"))
+    placed = cut(members.join(sizes.select("block", "c", _parts("c", "t").alias("parts")), "block").select("id", "block", "n", "c", "parts"), count)
+    large = placed.where("parts > 1")
+    cells = placed.where("parts = 1").select("id", F.col("block").cast("string").alias("cell"), F.col("c").alias("size"), F.lit(0).cast("long").alias("side"), F.col("id").alias("label"))
+    if not large.limit(1).count():
+        return cell_links(cells, sets, num, den, count)
+    links = cut(cell_links(cells.unionByName(near_cells(keys, large)), sets, num, den, 2 * count))
+    return links.unionByName(cell_links(open_cells(keys, large, links), sets, num, den))
 
-    keyed = docs.select(F.pmod(F.xxhash64("doc_id"), F.lit(FILTER_BITS)).alias("bit"), "text")
-    sets = map_texts(keyed, ["bit"], "cls binary, tokens binary", work)
 
-    sizes = members.groupBy("block").agg(F.count("*").alias("c"), F.sum("n").alias("t"))
-    parts = F.greatest(F.ceil(F.col("c") / BLOCK), F.ceil(F.col("t") / BLOCK_TOKENS))
-    placed = members.join(sizes.select("block", "c", parts.alias("parts")), "block")
-    shards = max(1, -(-int(placed.where("parts = 1").count()) // BLOCK))
-    alone = F.col("parts") == 1
-    placed = placed.select(
-        "cls", "block", "parts", F.when(alone, 0).otherwise(F.pmod(F.xxhash64("cls"), "parts")).alias("part"), F.when(alone, F.pmod(F.xxhash64("block"), F.lit(shards))).otherwise(-1).alias("shard")
-    )
-    # a split block's part meets itself and every other part: (i, j) with i <= j is a task
-    other = F.explode(F.when(alone, F.array(F.lit(0).cast("long"))).otherwise(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)))
-    tasks = placed.withColumn("other", other).select(
-        "cls", "block", "part", "shard", F.when(alone, F.lit(b"")).otherwise(F.col("block")).alias("whole"), F.least("part", "other").alias("i"), F.greatest("part", "other").alias("j")
-    )
-    rows = tasks.join(sets.groupBy("cls").agg(F.first("tokens").alias("tokens")), "cls")
-    return rows.groupBy("shard", "whole", "i", "j").applyInArrow(lambda group: _block_links(group, num, den), "a binary, b binary")
+def numbered(rows: DataFrame) -> tuple[DataFrame, bool]:
+    """(classes of rows: cls, id, place, rep and n; whether two of them have one place). A class's id is its place if that is its own."""
+    classes = cut(rows.where("n > 0").groupBy("cls").agg(F.min("doc_id").alias("rep"), F.max("n").alias("n"), F.first("place").alias("place")))
+    wide = bool(classes.groupBy("place").count().where("count > 1").limit(1).count())
+    return (cut(classes.withColumn("id", F.monotonically_increasing_id())) if wide else classes.withColumn("id", F.col("place"))), wide
 
 
 def components_of(docs: DataFrame, k: int, num: int, den: int) -> DataFrame:
     """doc_id, key, n, component (a class of it; null for empty sets) and component_id of every row."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").alias("text"))
     rows = cut(set_sizes(docs, k))
-    classes = cut(rows.where("n > 0").groupBy("cls").agg(F.min("doc_id").alias("rep"), F.max("n").alias("n")))
-    total = classes.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    classes, wide = numbered(rows)
+    total, count = classes.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
     hot = hot_shingles(rows.where("common IS NOT NULL").select("common"), total)
-    links = class_links(docs, classes, blocks(docs, k, num, den, total, hot), k, num, den)
+    links = class_links(docs, classes, count, keys_of(docs, classes, k, num, den, total, hot, wide), k, num, den)
     found = components(links)
-    own = classes.join(found, F.col("cls") == F.col("node"), "left").select("cls", "rep", F.coalesce("component", "cls").alias("component"))
+    own = classes.join(found, F.col("id") == F.col("node"), "left").select("cls", "rep", F.coalesce("component", "id").alias("component"))
     least = own.groupBy("component").agg(F.min("rep").alias("component_id"))
     ids = own.join(least, "component").select("cls", "component", "component_id")
-    return rows.join(ids, "cls", "left").drop("cls", "common")
+    return rows.join(ids, "cls", "left").drop("cls", "place", "common")
 
 
 def jaccard_components(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100) -> DataFrame:
