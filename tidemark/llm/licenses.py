@@ -36,6 +36,8 @@ BITS = 20
 SAMPLE_TEXTS = 2_000
 SAMPLE_PIECES = 8_000
 SAMPLE_WORDS = 60
+#: Long paragraphs made of sampled pieces, for the unknown class too.
+LONG_PIECES = 600
 MIN_PROBABILITY = 0.5
 MIN_SIMILARITY = 0.6
 _U = np.uint64
@@ -203,7 +205,7 @@ def bucket(h: np.ndarray) -> np.ndarray:
 
 def _templates() -> list[tuple[int, np.ndarray]]:
     """(family, n-grams) of each text and name of two words or more."""
-    own = [(f, x) for f, name in enumerate(FAMILIES) for x in (*TEXTS[name], *NAMES[name])]
+    own = [(f, x) for f, name in enumerate(FAMILIES) for x in (*TEXTS[name], *(n for n in NAMES[name] if len(Words([n.encode()], fold=PLAIN).hash) > 1))]
     text, h = text_grams(encode([x for _, x in own]))
     cuts = np.searchsorted(text, np.arange(len(own) + 1))
     return [(f, h[a:b]) for (f, _), a, b in zip(own, cuts[:-1], cuts[1:], strict=True)]
@@ -386,6 +388,8 @@ def fit(sample: list[str], seed: int = 7, rounds: int = 150, penalty: float = 1e
     # the corpus holds licences too: pieces that name one in a way known here don't teach unknown
     marks = [" ".join(text.lower().split()[:4]) for texts in TEXTS.values() for text in texts] + [n.lower() for names in NAMES.values() for n in names if len(n) > 4]
     sample = [x for x in sample if (plain := " ".join(x.lower().split())) not in stated and not any(m in plain for m in marks)]
+    if sample:  # paragraphs of many lines too say nothing of a licence, whatever words of one they hold
+        sample += [" ".join(sample[j] for j in rng.integers(0, len(sample), rng.integers(4, 40))) for _ in range(LONG_PIECES)]
     y = np.array([*labels, *[UNKNOWN] * len(sample)])
     groups = np.array([*groups, *range(max(groups) + 1, max(groups) + 1 + len(sample))])
     text, h = text_grams(encode([*paragraphs, *sample]))
