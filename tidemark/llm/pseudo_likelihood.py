@@ -122,10 +122,11 @@ class Network:
             back[at] += error @ self.members[c].T
         back *= 1 - h * h
         step.hidden[:] = back.sum(0)
-        columns = np.ascontiguousarray(back.T)
         for p in range(len(_OFFSETS)):
-            for d in range(HIDDEN):
-                step.context[p, :, d] = np.bincount(around[p], columns[d], SYMBOLS)
+            order = np.argsort(around[p].astype(np.uint16), kind="stable")
+            there = around[p][order]
+            first = np.flatnonzero(np.concatenate([[True], there[1:] != there[:-1]]))
+            step.context[p][there[first]] = np.add.reduceat(back[order], first, axis=0)
         return step.flat
 
     def learn(self, symbols: np.ndarray, around: np.ndarray, times: np.ndarray, power: np.ndarray) -> None:
