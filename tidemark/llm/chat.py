@@ -57,17 +57,18 @@ def best_paths(messages: DataFrame, top: int = 1) -> DataFrame:
     messages: tree_id, msg_id (unique), parent_id, score. A better path has the larger mean score
     (null score: 0), then the more turns, then the smaller leaf.
     """
+    n = messages.count()  # no frame here has more rows, so few files hold each
     ids = messages.select(F.col("msg_id").alias("up"))
     start = messages.join(ids, F.col("parent_id") == F.col("up"), "left")
-    jumps = [cut(start.select("tree_id", "msg_id", F.col("up").alias("anc"), F.coalesce(F.col("score").cast("double"), F.lit(0.0)).alias("total"), F.lit(1).cast("long").alias("steps")))]
-    rounds = max(1, jumps[0].count()).bit_length()  # a path is no longer than the table
+    jumps = [cut(start.select("tree_id", "msg_id", F.col("up").alias("anc"), F.coalesce(F.col("score").cast("double"), F.lit(0.0)).alias("total"), F.lit(1).cast("long").alias("steps")), n)]
+    rounds = max(1, n).bit_length()  # a path is no longer than the table
     while len(jumps) <= rounds and jumps[-1].where("anc IS NOT NULL").limit(1).count():
         last = jumps[-1]
         up = last.select(F.col("msg_id").alias("a"), F.col("anc").alias("a_anc"), F.col("total").alias("a_total"), F.col("steps").alias("a_steps"))
         far = last.where("anc IS NOT NULL").join(up, F.col("anc") == F.col("a")).select(
             "tree_id", "msg_id", F.col("a_anc").alias("anc"), (F.col("total") + F.col("a_total")).alias("total"), (F.col("steps") + F.col("a_steps")).alias("steps")
         )
-        jumps.append(cut(far.unionByName(last.where("anc IS NULL"))))
+        jumps.append(cut(far.unionByName(last.where("anc IS NULL")), n))
     done = jumps[-1].where("anc IS NULL")
     inner = messages.where("parent_id IS NOT NULL").select(F.col("parent_id").alias("msg_id")).distinct()
     leaves = done.join(inner, "msg_id", "left_anti")
@@ -79,7 +80,7 @@ def best_paths(messages: DataFrame, top: int = 1) -> DataFrame:
         order = Window.partitionBy("tree_id").orderBy(mean.desc(), F.desc("steps"), "msg_id")
         path = leaves.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= top).select("rank", "msg_id")
     for jump in jumps[:-1]:  # each distance up the path is one sum of powers of two, so no node comes twice in a path
-        path = cut(path)
+        path = cut(path, n * top)
         path = path.unionByName(path.join(jump.where("anc IS NOT NULL").select("msg_id", "anc"), "msg_id").select("rank", F.col("anc").alias("msg_id")))
     return path.join(done, "msg_id").select("tree_id", "rank", "msg_id", (F.col("steps") - 1).alias("depth"))
 
@@ -87,9 +88,10 @@ def best_paths(messages: DataFrame, top: int = 1) -> DataFrame:
 def chain(conversations: DataFrame) -> DataFrame:
     """Conversation rows as messages: each turn answers the turn before it."""
     rows = conversations.select(F.col("conv_id").cast("long").alias("tree_id"), "turn", F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
-    rows = cut(rows.withColumn("msg_id", F.monotonically_increasing_id()))
+    rows = rows.withColumn("msg_id", F.monotonically_increasing_id())
     order = Window.partitionBy("tree_id").orderBy(F.col("turn").asc_nulls_first(), "role", "text", "msg_id")
-    return rows.withColumn("parent_id", F.lag("msg_id").over(order)).withColumn("score", F.lit(0.0))
+    # cut once, after the window: ids stay what they are, and what reads them later sorts no texts again
+    return cut(rows.withColumn("parent_id", F.lag("msg_id").over(order)).withColumn("score", F.lit(0.0)))
 
 
 def format_chats(messages: DataFrame, top: int = 1) -> DataFrame:
