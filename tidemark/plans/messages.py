@@ -38,11 +38,11 @@ def catalog_scan(s: Source) -> DataFrame:
 
 @query(
     f"""SELECT queue_name, msg_id, read_ct, vt, headers FROM (SELECT queue_name, msg_id, read_ct, vt, headers FROM queue_messages
-    UNION ALL SELECT queue_name, max(msg_id) + 1, 0, {_T} + INTERVAL 10 SECOND, '{{"x-pgmq-group":"g"}}' FROM queue_messages WHERE queue_name = 'mq_low' GROUP BY queue_name) u
+    UNION ALL SELECT queue_name, max(msg_id) + 1, 0, {_T} + INTERVAL 10 SECOND, '{{"x-fifo-group":"g"}}' FROM queue_messages WHERE queue_name = 'mq_low' GROUP BY queue_name) u
     WHERE queue_name = 'mq_low' AND vt > {_T}"""
 )
 def send(s: Source) -> DataFrame:
-    body = s.spark.createDataFrame([("mq_low", 1, '{"a":1}', '{"x-pgmq-group":"g"}')], "queue_name string, position long, message string, headers string")
+    body = s.spark.createDataFrame([("mq_low", 1, '{"a":1}', '{"x-fifo-group":"g"}')], "queue_name string, position long, message string, headers string")
     sent = queues.send(s.queue_messages, body, NOW, delay=10)
     return sent.where("queue_name = 'mq_low'").where(F.col("vt") > times.moment(NOW)).select("queue_name", "msg_id", "read_ct", "vt", "headers")
 

@@ -96,7 +96,7 @@ def json_preview(s: Source) -> DataFrame:
     return s.events.select("event_id", values.preview(F.concat("props", "props", "props"), 20).alias("preview"))
 
 
-@query("SELECT msg_id, CAST(json_extract_string(message, '$.k') AS INTEGER) AS k, coalesce(json_extract_string(headers, '$.x-pgmq-group'), '_default_fifo_group') AS group_key FROM queue_messages")
+@query("SELECT msg_id, CAST(json_extract_string(message, '$.k') AS INTEGER) AS k, coalesce(json_extract_string(headers, '$.x-fifo-group'), '_default_fifo_group') AS group_key FROM queue_messages")
 def json_extract(s: Source) -> DataFrame:
     group = F.coalesce(queues.group_of(F.col("headers")), F.lit(claims.NO_GROUP))
     return s.queue_messages.select("msg_id", F.get_json_object("message", "$.k").cast("int").alias("k"), group.alias("group_key"))

@@ -9,8 +9,8 @@ from tidemark.functions import names, times, topics
 from tidemark.operators import claims
 
 MESSAGE = ("msg_id", "queue_name", "read_ct", "enqueued_at", "last_read_at", "vt", "message", "headers")
-#: Fixed value: the header that names a message's FIFO group.
-GROUP_HEADER = "x-pgmq-group"
+#: The header that names a message's FIFO group, unless a log has another name for it.
+GROUP_HEADER = "x-fifo-group"
 
 
 def page(messages: DataFrame, limit: int, offset: int = 0, queues: list[str] | None = None, key: str = "msg_id") -> DataFrame:
@@ -67,9 +67,9 @@ def records(messages: DataFrame) -> DataFrame:
     return messages.select(*[F.col(c) if c in messages.columns else F.lit(None).cast(kinds[c]).alias(c) for c in MESSAGE])
 
 
-def group_of(headers: Column) -> Column:
+def group_of(headers: Column, header: str = GROUP_HEADER) -> Column:
     """The FIFO group that a message's headers name, null if none."""
-    return F.get_json_object(headers, f"$['{GROUP_HEADER}']")
+    return F.get_json_object(headers, f"$['{header}']")
 
 
 def sent(messages: DataFrame, bodies: DataFrame, as_of: str, delay: int | Column = 0, marks: DataFrame | None = None) -> DataFrame:

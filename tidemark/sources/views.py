@@ -23,7 +23,7 @@ VIEWS: dict[str, str] = {
        CASE WHEN user_id % 5 = 0 THEN NULL ELSE concat('u', CAST(user_id AS STRING)) END AS group_key,
        concat(event_type, '.u', CAST(user_id AS STRING), CASE WHEN k % 2 = 0 THEN '.retry' ELSE '' END) AS routing_key,
        props AS message,
-       CASE WHEN user_id % 5 = 0 THEN NULL ELSE concat(chr(123), '"x-pgmq-group":"u', CAST(user_id AS STRING), '"', chr(125)) END AS headers FROM {_K}""",
+       CASE WHEN user_id % 5 = 0 THEN NULL ELSE concat(chr(123), '"x-fifo-group":"u', CAST(user_id AS STRING), '"', chr(125)) END AS headers FROM {_K}""",
     "job_stats": f"""SELECT event_id AS id, concat(event_type, '_job') AS job_class, concat('mq_q', CAST(user_id % 4 AS STRING)) AS queue_name,
        CASE WHEN k % 20 = 0 THEN 'dead_lettered' WHEN k % 20 < 3 THEN 'failed' ELSE 'success' END AS status,
        CAST(round(value * 10) AS BIGINT) AS duration_ms,
