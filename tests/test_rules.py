@@ -249,6 +249,34 @@ def test_polling_loop_hands_over_each_batch(spark, tmp_path):
     assert sorted(seen) == [0, 1, 2, 3, 4]
 
 
+@pytest.mark.parametrize(("seconds", "every"), [(5, 100), (2.5, 400), (1, 7)])
+def test_polling_goes_on_until_its_time_is_over(spark, seconds, every):
+    """Against the tries one by one, three messages a call."""
+    rng = random.Random(every)
+    waits = {i: rng.randrange(-(10**6), 6 * 10**6) for i in range(300)} | {300: 0, 301: 1, 302: 10**5, 303: 10**5 + 1, 304: int(seconds * 10**6), 305: int(seconds * 10**6) + 1}
+    at = lambda us: str(START + datetime.timedelta(microseconds=us))
+    rows = [(i, q, 0, at(us)) for i, us in waits.items() for q in ("q", "r")] + [(306, "q", 0, None)]
+    messages = spark.createDataFrame(rows, "msg_id long, queue_name string, read_ct int, vt string").withColumn("vt", F.col("vt").cast("timestamp_ntz"))
+    want, now, end = {}, 0, int(seconds * 10**6)
+    while len(want) < sum(us <= end for us in waits.values()):
+        batch = sorted(i for i, us in waits.items() if us <= now and i not in want)[:3]
+        want |= {i: (START + datetime.timedelta(microseconds=now), START + datetime.timedelta(microseconds=now, seconds=45), 1) for i in batch}
+        now = now if batch else min(now + every * 1000, end)
+    got = claims.read_while_polling(messages, "q", str(START), vt_secs=45, max_poll_s=seconds, every_ms=every).collect()
+    assert len(got) == len(want) and {r.msg_id: (r.last_read_at, r.vt, r.read_ct) for r in got} == want
+    odd = claims.read_while_polling(messages, "q", str(START), F.col("msg_id") % 2 == 1, max_poll_s=seconds, every_ms=every)
+    assert {r.msg_id for r in odd.collect()} == {i for i in want if i % 2}
+
+
+def test_one_poll_ends_with_its_first_find_or_in_vain(spark):
+    rows = [(i, "q", 0, f"2024-01-01 00:00:{wait:06.3f}") for i, wait in enumerate((6, 4.95, 5, 4.85, 4.9, 4.801))]
+    messages = spark.createDataFrame(rows, "msg_id long, queue_name string, read_ct int, vt string").withColumn("vt", F.col("vt").cast("timestamp_ntz"))
+    poll = lambda rows, qty: [(r.msg_id, str(r.last_read_at)[17:22]) for r in claims.read_with_poll(rows, "q", str(START), qty).collect()]
+    assert poll(messages, 2) == [(3, "04.90"), (4, "04.90")] and poll(messages, 9) == [(3, "04.90"), (4, "04.90"), (5, "04.90")]
+    assert poll(messages.where("msg_id < 3"), 9) == [] and poll(messages.where("msg_id = 0"), 9) == []
+    assert sorted(r.msg_id for r in claims.read_while_polling(messages, "q", str(START)).collect()) == [1, 2, 3, 4, 5]
+
+
 def test_throttle_takes_rows_an_interval_apart(spark):
     rows = spark.createDataFrame([("a", t) for t in (0, 100, 250, 260, 499, 500, 900)], "k string, ms int").withColumn("at", F.timestamp_millis("ms").cast("timestamp_ntz"))
     assert sorted(r.at.microsecond // 1000 for r in live.throttled_batch(rows, "k", "at", 250).collect()) == [0, 250, 500, 900]

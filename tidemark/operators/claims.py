@@ -18,7 +18,7 @@ def visible(as_of: str) -> Column:
     return F.col("vt") <= times.moment(as_of)
 
 
-def claimed(rows: DataFrame, as_of: str, vt_secs: int = 30) -> DataFrame:
+def claimed(rows: DataFrame, as_of: str | Column, vt_secs: int = 30) -> DataFrame:
     return rows.withColumns({"vt": times.ago(as_of, -vt_secs), "read_ct": F.col("read_ct") + 1, "last_read_at": times.moment(as_of)})
 
 
@@ -45,6 +45,20 @@ def read_with_poll(messages: DataFrame, queue: str, as_of: str, qty: int = 1, co
     return ready.withColumns({"vt": F.col("polled_at") + F.make_dt_interval(secs=F.lit(vt_secs)), "read_ct": F.col("read_ct") + 1, "last_read_at": F.col("polled_at")})
 
 
+def read_while_polling(messages: DataFrame, queue: str, as_of: str, condition: Column | None = None, vt_secs: int = 30, max_poll_s: float = 5, every_ms: int = 100) -> DataFrame:
+    """All that read_with_poll hands over in max_poll_s, called again as soon as it returns; the next call after them starts with a try at their very end.
+
+    A call after one that found rows tries at once, so qty holds no rows back: each message comes at the first try at or
+    after its vt. It comes once, as it is worked off within vt_secs. One filter, whatever the number of tries.
+    """
+    after = lambda secs: times.moment(as_of) + F.make_dt_interval(secs=secs.cast("decimal(18,6)"))
+    rows = messages.where((F.col("queue_name") == queue) & (F.col("vt") <= after(F.lit(max_poll_s))))
+    rows = rows if condition is None else rows.where(condition)
+    wait = F.greatest(times.micros(F.col("vt")) - times.micros(times.moment(as_of)), F.lit(0))
+    tick = F.ceil(wait / (every_ms * 1000)) * every_ms / 1000  # the first try at or after vt
+    return claimed(rows, after(F.least(tick, F.lit(float(max_poll_s)))), vt_secs)
+
+
 def pop(messages: DataFrame, queue: str, as_of: str, qty: int = 1) -> tuple[DataFrame, DataFrame]:
     """(what is read, unclaimed, and removed; what stays)."""
     taken = messages.where((F.col("queue_name") == queue) & visible(as_of)).orderBy("msg_id").limit(qty)
